@@ -5,17 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanlake.llm import setsketch
+from spanlake.llm import pieces, secret_scan, setsketch
 from spanlake.llm.common import read
 
 
+def op2_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode_decode(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    line = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", *map(count, secret_scan.BASE_KINDS), F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
+
+
 def op7_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_sentencepiece_round_trip": op2_sentencepiece_round_trip,
+        "op3_secret_scan": op3_secret_scan,
         "op7_setsketch_near_duplicates": op7_setsketch_near_duplicates,
     }
 
