@@ -13,29 +13,24 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Priorities are hashes that change with the round, so a path halves each time whatever its numbering. A round is
     one map-side combined minimum and joins whose hot keys AQE can split; no node's neighbours are ever gathered.
-    Loops and edges with a null end are ignored; no edges give no rows.
+    Loops and edges with a null end are ignored; no edges give no rows. ``edges`` is read more than once: cut its lineage
+    before.
     """
-    pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    nodes = None
-    step = 0
+    pairs = edges.select(F.least(a, b).cast("long").alias("a"), F.greatest(a, b).cast("long").alias("b")).where("a <> b")
+    moved = []
     while not pairs.isEmpty():
-        def order(column: str, step: int = step):
+        def order(column: str, step: int = len(moved)):
             return F.struct(F.xxhash64(F.lit(step), F.col(column)).alias("h"), F.col(column).alias("to"))
 
-        both = pairs.select(F.col("a").alias("node"), order("b").alias("o")).unionAll(pairs.select(F.col("b").alias("node"), order("a").alias("o")))
-        moves = both.groupBy("node").agg(F.min("o").alias("o")).select("node", F.least("o", order("node"))["to"].alias("to"))
-        moves = cut(moves)
-        if nodes is None:
-            nodes = moves
-        else:
-            nodes = nodes.withColumnRenamed("to", "at").join(moves.withColumnRenamed("node", "at"), "at", "left").select("node", F.coalesce("to", "at").alias("to"))
-            nodes = cut(nodes)
+        both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), order("b").alias("o")), F.struct(F.col("b").alias("node"), order("a").alias("o")))).alias("e")).select("e.*")
+        moves = cut(both.groupBy("node").agg(F.min("o").alias("o")).select("node", F.least("o", order("node"))["to"].alias("to")))
+        moved.append(moves)
         left, right = moves.toDF("a", "ta"), moves.toDF("b", "tb")
-        pairs = pairs.join(left, "a").join(right, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
-        pairs = cut(pairs)
-        step += 1
-    if nodes is None:
+        pairs = cut(pairs.join(left, "a").join(right, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+    if not moved:
         return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    nodes = moved[0]
+    for moves in moved[1:]:
+        nodes = nodes.toDF("node", "at").join(moves.toDF("at", "next"), "at", "left").select("node", F.coalesce("next", "at").alias("to"))
     least = nodes.groupBy("to").agg(F.min("node").alias("root"))
     return nodes.join(least, "to").select("node", "root")

@@ -3,9 +3,11 @@
 A document's set holds its distinct five-word shingles. The sketch of a set has ``BANDS * ROWS`` registers; each is an
 exponentially spaced, truncated minimum ``clamp(floor(1 - log_b(x / a)), 0, q + 1)`` of exponential variates of the
 elements, so the sketch of a union is the larger value of each register. Sets that agree on a whole band meet in a
-bucket. Within a bucket nobody pairs everybody: members are compared with a centre, further centres follow while a
-bucket holds more than one component, and what then remains apart is compared in full, so no link between components
-is lost. Candidates pass a joint likelihood test over their registers and are confirmed on the full sets.
+bucket. Members of a bucket are first compared with two centres. Buckets that then hold more than one component are
+compared in full, in blocks of bounded size: a first pass keeps the rows whose registers make a link to another component
+plausible, a second compares their full sets and returns a forest of the links between components, so none is lost and
+no block returns more rows than it has. Candidates pass a joint likelihood test over their registers and are confirmed
+on the full sets.
 """
 
 from __future__ import annotations
@@ -19,16 +21,17 @@ from pyspark.sql import functions as F
 
 from spanlake.llm.common import band, cut, keep_ids
 from spanlake.llm.components import connected_components
+from spanlake.llm.pieces import gather
 
 WORDS = 5
-#: A pair at the threshold of 0.85 shares no band with probability (1 - 0.85**4)**24 < 3e-8.
-BANDS, ROWS = 24, 4
+#: A pair at the threshold of 0.85 shares no band with probability (1 - 0.85**6)**32 < 3e-7.
+BANDS, ROWS = 32, 6
 #: Register spacing, rate and largest value.
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 #: A pair is let go before verification only if the likelihood at the threshold is below exp(-LEEWAY) of the largest.
 LEEWAY = 20.0
-#: Text bytes that are hashed at once, which bounds a task's memory.
-CHUNK = 1 << 20
+#: Text bytes that are hashed at once and rows of one side of a block comparison, which bound a task's memory.
+CHUNK, BLOCK = 1 << 20, 2048
 
 _RANDOM = np.random.default_rng(20240229)
 _FOLD = np.arange(256)
@@ -195,14 +198,15 @@ def _likely(threshold: float):
 def _confirmed(percent: int):
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        last: tuple[str | None, np.ndarray | None] = (None, None)
         for batch in batches:
-            a, b, left, right = batch.columns
+            left, right = (batch.column(k).dictionary_encode() for k in (2, 3))
+            sets = []
+            for side in (left, right):  # each different text of a batch is hashed once
+                shingles, at = shingler.sets([_bytes(t) for t in side.dictionary.to_pylist()])
+                sets.append([shingles[lo:hi] for lo, hi in zip(at[:-1], at[1:], strict=True)])
             keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                if (text := right[i].as_py()) != last[0] or last[1] is None:
-                    last = text, shingler.sets([_bytes(text)])[0]
-                mine, other = shingler.sets([_bytes(left[i].as_py())])[0], last[1]
+            for i, (x, y) in enumerate(zip(left.indices.to_pylist(), right.indices.to_pylist(), strict=True)):
+                mine, other = sets[0][x], sets[1][y]
                 both = len(np.intersect1d(mine, other, assume_unique=True))
                 keep[i] = len(mine) > 0 and 100 * both >= percent * (len(mine) + len(other) - both)
             yield batch.select([0, 1]).filter(pa.array(keep))
@@ -210,27 +214,111 @@ def _confirmed(percent: int):
     return test
 
 
-def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (``a``, ``b``: class ids) that the likelihood test lets pass and the full sets confirm."""
-    left, right = (classes.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("regs").alias(f"regs_{k}")) for k in "ab")
-    likely = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
-    likely = cut(likely.mapInArrow(_likely(percent / 100), "a long, b long").distinct())
-    needed = likely.select(F.col("a").alias("rep")).unionAll(likely.select(F.col("b").alias("rep"))).distinct()
-    found = keep_ids(texts, "rep", needed).groupBy("rep").agg(F.collect_set("text").alias("text"))  # an id may be repeated
-    found = cut(found.select("rep", F.explode("text").alias("text")))
+def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rep`` and each different ``text`` of it (an id may be repeated) for the ids of one column."""
+    found = keep_ids(texts, "rep", ids).groupBy("rep").agg(F.collect_set("text").alias("text"))
+    return cut(found.select("rep", F.explode("text").alias("text")))
+
+
+def _confirm(likely: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Those of ``likely`` (``a``, ``b``: class ids) that the full sets confirm."""
+    found = _texts_of(likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), texts)
     left, right = (found.select(F.col("rep").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
     full = likely.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return full.mapInArrow(_confirmed(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, centres: int = 2) -> DataFrame:
+def _by_block(columns: tuple[str, ...], schema: pa.Schema, found):
+    """A mapper over rows sorted by ``bucket, i, j``: calls ``found`` with each block's rows, left and right side."""
+
+    def block(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        chunk, i, j = (rows.column(k).to_numpy() for k in ("chunk", "i", "j"))
+        left = np.flatnonzero(chunk == i)
+        out = found(rows, left, left if i[0] == j[0] else np.flatnonzero(chunk == j))
+        if out is not None and len(out[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if rest is None else pa.concat_batches([rest, batch])
+            keys = np.stack([rows.column(k).to_numpy() for k in ("bucket", "i", "j")])
+            at = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1), rows.num_rows]
+            for lo, hi in zip(at[:-2], at[1:-1], strict=True):
+                yield from block(rows.slice(lo, hi - lo))
+            rest = rows.slice(at[-2])
+        if rest is not None:
+            yield from block(rest)
+
+    return run
+
+
+_BLOCK = ("bucket", "i", "j", "chunk", "rep", "root")
+
+
+def _promising(percent: int):
+    """Rows of a block that have a plausible partner in another component; at most as many as there are."""
+
+    def found(rows: pa.RecordBatch, left: np.ndarray, right: np.ndarray):
+        root, n = rows.column("root").to_numpy(), rows.column("n").to_numpy()
+        regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint16).reshape(len(root), -1)
+        most = 0.6 * regs.shape[1]  # equal registers: ten standard deviations below what the threshold gives
+        flag = np.zeros(len(root), bool)
+        for k, x in enumerate(left):
+            y = right[k + 1 :] if right is left else right
+            y = y[(root[y] != root[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+            if flag[x]:
+                y = y[~flag[y]]
+            if len(y):
+                y = y[np.count_nonzero(regs[y] == regs[x], axis=1) >= most]
+            if len(y):
+                y = y[plausible(np.broadcast_to(regs[x], (len(y), regs.shape[1])), regs[y], np.full(len(y), float(n[x])), n[y].astype(float), percent / 100)]
+                flag[y] = True
+                flag[x] |= len(y) > 0
+        return [rows.column(k).to_numpy()[flag] for k in _BLOCK]
+
+    return _by_block(_BLOCK, pa.schema([(k, pa.int32() if k in ("i", "j", "chunk") else pa.int64()) for k in _BLOCK]), found)
+
+
+def _exact(percent: int):
+    """A forest of the links between components of a block, from the full sets."""
+
+    def found(rows: pa.RecordBatch, left: np.ndarray, right: np.ndarray):
+        rep = rows.column("rep").to_numpy()
+        shingles, at = Shingler().sets([_bytes(t) for t in rows.column("text").to_pylist()])
+        n = np.diff(at)
+        known, code = np.unique(shingles, return_inverse=True)
+        seen = np.zeros(len(known), np.int64)
+        _, group = np.unique(rows.column("root").to_numpy(), return_inverse=True)
+        a, b = [], []
+        for k, x in enumerate(left):
+            y = right[k + 1 :] if right is left else right
+            y = y[(group[y] != group[x]) & (n[y] > 0) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+            if not len(y):
+                continue
+            seen[code[at[x] : at[x + 1]]] = 1
+            both = np.add.reduceat(seen[gather(code, at[y], n[y])], np.cumsum(n[y]) - n[y])
+            seen[code[at[x] : at[x + 1]]] = 0
+            for z in y[100 * both >= percent * (n[y] + n[x] - both)]:
+                if group[z] != group[x]:
+                    a.append(min(rep[x], rep[z]))
+                    b.append(max(rep[x], rep[z]))
+                    group[group == group[z]] = group[x]
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    return _by_block((*_BLOCK, "text"), pa.schema([("a", pa.int64()), ("b", pa.int64())]), found)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
     Two documents are linked if ``100 * |A & B| >= percent * |A | B|`` over their sets of distinct five-word shingles;
     ``component_id`` is the smallest id that links reach, ``kept`` whether it is the row's own. Null and empty texts,
     and texts without words, have an empty set and are linked with nothing. Rows with a null id are linked with nothing:
     their ``component_id`` is null and they are kept. Rows that repeat an id count as one document: it has the links of
-    all its texts. ``centres`` is the number of rounds with centres before a full comparison of what is still apart.
+    all its texts.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = cut(sketch(rows))
@@ -238,38 +326,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(sketches.where("n > 0 and doc_id is not null").groupBy(*own).agg(F.min("doc_id").alias("rep"), F.any_value("regs").alias("regs")))
     texts = rows.withColumnRenamed("doc_id", "rep")
     buckets = classes.select("rep", "n", F.explode(F.array(*[band(F.col("regs"), i, 2 * ROWS) for i in range(BANDS)])).alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("bucket")
-    members = cut(buckets.join(shared, "bucket"))
-    close = f"100 * least(n, nb) >= {int(percent)} * greatest(n, nb)"
+    centre = lambda *key: F.min(F.struct(*key, "rep", "n"))
+    shared = buckets.groupBy("bucket").agg(centre().alias("c"), centre(F.xxhash64("rep").alias("h")).alias("d"), F.max("rep").alias("most")).where("c.rep < most")
+    members = cut(buckets.join(shared.select("bucket", "c", F.struct("d.rep", "d.n").alias("d")), "bucket"))
+    stars = members.select("rep", "n", F.explode(F.array("c", "d")).alias("c")).where("rep <> c.rep")
+    stars = stars.where(f"100 * least(n, c.n) >= {int(percent)} * greatest(n, c.n)").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
+    left, right = (classes.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("regs").alias(f"regs_{k}")) for k in "ab")
+    stars = stars.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
     many = sketches.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("doc_id")
-    links = cut(sketches.join(many, "doc_id").join(classes.select(*own, "rep"), own).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    roots, step = None, 0
-    if not links.isEmpty():
-        roots = cut(connected_components(links))
-    while True:
-        if roots is None:
-            placed = members.withColumn("root", F.col("rep"))
-        else:
-            placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        apart = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(step), "rep") if step else F.lit(0), "rep", "n", "root")).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        if step < centres:
-            pairs = placed.join(apart.select("bucket", F.col("c.rep").alias("b"), F.col("c.n").alias("nb"), F.col("c.root").alias("rb")), "bucket")
-        else:
-            open_ = cut(placed.join(apart.select("bucket"), "bucket", "left_semi"))
-            pairs = open_.join(open_.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")), "bucket")
-        pairs = pairs.where("root <> rb").where(close).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-        more = cut(_links(pairs, classes, texts, percent))
-        links = links.unionAll(more)
-        if not more.isEmpty():
-            roots = cut(connected_components(links))
-        if step >= centres:
-            break
-        step += 1
+    many = sketches.join(many, "doc_id").join(classes.select(*own, "rep"), own).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = cut(_confirm(cut(stars.mapInArrow(_likely(percent / 100), "a long, b long")), texts, percent).unionAll(many))
+    roots = cut(connected_components(links))
+
+    placed = members.select("bucket", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    apart = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo < hi")
+    open_ = placed.join(apart.select("bucket", F.ceil(F.col("k") / BLOCK).cast("int").alias("chunks")), "bucket").join(classes.select("rep", "n", "regs"), "rep")
+    open_ = open_.withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    open_ = open_.select("bucket", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "chunk", "rep", "root", "n", "regs")
+    dealt = lambda df: df.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    hopeful = cut(dealt(open_).mapInArrow(_promising(percent), "bucket long, i int, j int, chunk int, rep long, root long"))
+    with_text = hopeful.join(_texts_of(hopeful.select("rep").distinct(), texts), "rep").select(*_BLOCK, "text")
+    more = cut(dealt(with_text).mapInArrow(_exact(percent), "a long, b long"))
+    if not more.isEmpty():
+        roots = cut(connected_components(links.unionAll(more)))
     of = classes.select(*own, F.col("rep").alias("node"))
-    if roots is not None:
-        of = of.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    else:
-        of = of.withColumn("root", F.col("node"))
+    of = of.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     out = sketches.select("doc_id", *own).join(of.select(*own, "root"), own, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
