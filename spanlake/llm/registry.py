@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import pieces, secret_scan, setsketch
+from spanlake.llm import embed_dedup, mixing, pieces, secret_scan, setsketch, topk, url_cascade, warc_revisits
 from spanlake.llm.common import read
 
 
+#: Rules of the URL filter as (action, host, path), and hosts that its own list blocks where no rule fits.
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+ADVERTISING = r"(^|\.)(ads?|ads-track|track|tracker|tracking|banners?)\."
+
+
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_revisits.resolve_revisits(warc_revisits.records_of_pages(read(spark, sf_dir, "pages")))
+    headers = F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
+    return found.select("record_id", "canonical", "response_id", "status", headers.alias("headers"), "payload_digest")
+
+
 def op2_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pieces.encode_decode(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -23,15 +34,36 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secret_scan.BASE_KINDS), F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
 
 
+def op4_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(read(spark, sf_dir, "documents"), max_epochs=2.0)
+
+
 def op7_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_cascade.filter_urls(read(spark, sf_dir, "pages"), URL_RULES, ADVERTISING)
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_revisits": op1_warc_revisits,
         "op2_sentencepiece_round_trip": op2_sentencepiece_round_trip,
         "op3_secret_scan": op3_secret_scan,
+        "op4_embedding_near_duplicates": op4_embedding_near_duplicates,
+        "op6_temperature_mixing": op6_temperature_mixing,
         "op7_setsketch_near_duplicates": op7_setsketch_near_duplicates,
+        "op8_url_cascade": op8_url_cascade,
+        "op9_exact_top_k": op9_exact_top_k,
     }
 
 
