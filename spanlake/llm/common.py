@@ -26,14 +26,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def keep_ids(df: DataFrame, key: str, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is among ``ids`` (one column of that name).
+def keep_ids(df: DataFrame, key: str, ids: DataFrame, how: str = "left_semi", most: int = 1_000_000) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is among ``ids`` (one column of that name), or is not (``left_anti``).
 
     ``ids`` is broadcast only if a count shows that it has at most ``most`` rows (8 bytes each); beyond that the
-    semi-join shuffles both sides.
+    join shuffles both sides.
     """
     few = ids.limit(most + 1).count() <= most
-    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
+    return df.join(F.broadcast(ids) if few else ids, key, how)
 
 
 def band(data: Column, index: int, width: int) -> Column:

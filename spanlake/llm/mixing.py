@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import cut
+from spanlake.llm.common import cut, keep_ids
 
 #: Points of a bisection pass and passes: the exponent is exact to 33**-8.
 POINTS, PASSES = 32, 8
@@ -99,3 +99,11 @@ def plan(docs: DataFrame, max_epochs: float | None = 2.0, entropy: float | None
     inner = Window.partitionBy("source", "block").orderBy("place", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     some = part.join(last, ["source", "block"]).withColumn("run", F.col("before") + F.coalesce(F.sum("tokens").over(inner), F.lit(0))).where("run < `left`").select(columns)
     return whole.unionAll(part.join(full, ["source", "block"]).select(columns)).unionAll(some)
+
+
+def mix(docs: DataFrame, max_epochs: float, seed: int = 1) -> DataFrame:
+    """``docs`` (all its columns) with each row as often as ``plan`` uses its document; rows with a null id once."""
+    uses = plan(docs, max_epochs=max_epochs, seed=seed).where("doc_id is not null").groupBy("doc_id").agg(F.count_distinct("epoch").alias("_uses"))
+    more = cut(uses.where("_uses > 1").select("doc_id", F.explode(F.sequence(F.lit(2), F.col("_uses"))).alias("_use")).select("doc_id"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.unionAll(keep_ids(docs, "doc_id", more, "inner").select(columns))

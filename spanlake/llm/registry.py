@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import embed_dedup, mixing, pieces, secret_scan, setsketch, topk, url_cascade, warc_revisits
+import corpus_pipeline
+from spanlake.llm import edit_counts, embed_dedup, langid, mixing, pieces, secret_scan, setsketch, topk, url_cascade, warc_revisits
 from spanlake.llm.common import read
 
 
@@ -38,6 +39,12 @@ def op4_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame
     return embed_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    evidence = langid.evidence_of_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages"))
+    found = langid.identify(evidence).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", "language", F.round("confidence", 4).alias("confidence"), F.col("accepted").alias("kept"))
+
+
 def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read(spark, sf_dir, "documents"), max_epochs=2.0)
 
@@ -54,16 +61,23 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
 
 
+def op10_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts.count_after_edits(read(spark, sf_dir, "documents"), edit_counts.redactions)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_revisits": op1_warc_revisits,
         "op2_sentencepiece_round_trip": op2_sentencepiece_round_trip,
         "op3_secret_scan": op3_secret_scan,
         "op4_embedding_near_duplicates": op4_embedding_near_duplicates,
+        "op5_language_id": op5_language_id,
         "op6_temperature_mixing": op6_temperature_mixing,
         "op7_setsketch_near_duplicates": op7_setsketch_near_duplicates,
         "op8_url_cascade": op8_url_cascade,
         "op9_exact_top_k": op9_exact_top_k,
+        "op10_edit_aware_counts": op10_edit_aware_counts,
+        "pipeline": corpus_pipeline.run,
     }
 
 

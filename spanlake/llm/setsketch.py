@@ -354,3 +354,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = sketches.select("doc_id", *own).join(of.select(*own, "root"), own, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """``docs`` (all its columns) with one document of each group of near-duplicates: the one with the smallest id.
+
+    Rows with a null id stay. Of rows that repeat an id one stays.
+    """
+    gone = near_duplicates(docs, percent=percent).where("not kept").select("doc_id").distinct()
+    left = keep_ids(docs, "doc_id", cut(gone), "left_anti").select(docs.columns)
+    again = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return left
+    return keep_ids(left, "doc_id", again, "left_anti").unionAll(keep_ids(left, "doc_id", again).dropDuplicates(["doc_id"]))
