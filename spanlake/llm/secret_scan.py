@@ -22,7 +22,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 BASE_KINDS = ("assign", "access", "hex")
 #: Character classes: the window's width and the least entropy in bits. Candidates have 24 characters at least.
 CLASSES = {"entropy_hex": (20, 3.0), "entropy_base32": (20, 3.4), "entropy_base64": (20, 3.9)}
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 _MIXED = re.compile(r"(?=[^0-9]*[0-9][^0-9]*[0-9])(?=.*[A-Za-z])", re.DOTALL)
 _HEX_CHARS = re.compile(r"[0-9a-fA-F]+\Z")
 _BASE32_CHARS = re.compile(r"[A-Z0-9]+=*\Z")

@@ -1,0 +1,371 @@
+"""Corpus operators against brute force and library results, with nulls, empty and repeated rows."""
+
+import hashlib
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from spanlake.llm import components, edit_counts, embed_dedup, langid, mixing, pieces, secret_scan, setsketch, topk, url_cascade, warc_revisits
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, rep string, label string, bucket string"
+
+
+def docs_of(spark, texts, ids=None):
+    ids = range(len(texts)) if ids is None else ids
+    rows = [(i, t, "en", "s1", len(t) if t else 0, "x", "y", "z") for i, t in zip(ids, texts, strict=True)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def shingles(text):
+    words = WORD.findall((text or "").translate(ASCII))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def roots_of(n, linked):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(n):
+        for j in range(i):
+            if linked(i, j):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(100, 140)] + [(1, 2), (3, 2), (7, 7), (None, 4), (50, 200), (51, 200), (50, 51)]
+    found = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {**dict.fromkeys(range(100, 141), 100), 1: 1, 2: 1, 3: 1, 50: 50, 51: 50, 200: 50}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_duplicates(spark):
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 6))) for _ in range(400)]
+    texts = []
+    for _ in range(8):
+        base = [r.choice(vocabulary) for _ in range(r.choice([6, 60, 200, 400]))]
+        for _ in range(r.randint(1, 12)):
+            words = list(base)
+            for _ in range(r.randint(0, max(1, len(base) // 60))):
+                words[r.randrange(len(words))] = r.choice(vocabulary)
+            texts.append(r.choice([" ", "\n", "\t  "]).join(w.upper() if r.random() < 0.2 else w for w in words))
+    texts += [None, "", " \n\t", "one two", "ONE  two", "one two three", "x" * 50_000, "a b c d e " * 5000, texts[0]]
+    sets = [shingles(t) for t in texts]
+    expected = roots_of(len(texts), lambda i, j: bool(sets[i]) and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]))
+    found = {x.doc_id: x for x in setsketch.near_duplicates(docs_of(spark, texts)).collect()}
+    assert len(found) == len(texts)
+    for i, s in enumerate(sets):
+        assert (found[i].n_shingles, found[i].component_id, found[i].kept) == (len(s), expected[i], expected[i] == i)
+    assert len(set(expected)) < len(texts) - 10
+    kept = setsketch.keep_one(docs_of(spark, texts))
+    assert kept.columns == [c.split()[0] for c in DOCS.split(", ")]
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(set(expected))
+
+
+def test_near_duplicates_blocks(spark, monkeypatch):
+    """Buckets that stay apart after the centres are compared in several blocks."""
+    monkeypatch.setattr(setsketch, "BLOCK", 3)
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(40):
+        words = list(base)
+        for _ in range(r.randint(0, 3)):
+            words[r.randrange(150)] = f"n{i}{r.random()}"
+        texts.append(" ".join(words))
+    sets = [shingles(t) for t in texts]
+    expected = roots_of(len(texts), lambda i, j: 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]))
+    found = {x.doc_id: x.component_id for x in setsketch.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [found[i] for i in range(40)] == expected
+
+
+def test_near_duplicates_ids(spark):
+    text = "the same words again and again for ever"
+    rows = setsketch.near_duplicates(docs_of(spark, [text, text, text, "others are here to be seen now", text], [None, 5, 3, 3, 5])).collect()
+    assert sorted((x.doc_id or -1, x.component_id or -1, x.kept) for x in rows) == [(-1, -1, True), (3, 3, True), (3, 3, True), (5, 3, False), (5, 3, False)]
+    assert setsketch.near_duplicates(docs_of(spark, [])).count() == 0
+    assert setsketch.keep_one(docs_of(spark, [text, text, text], [None, 5, 5])).count() == 2
+
+
+def test_sketches_merge_and_estimate():
+    r = np.random.default_rng(1)
+    a, b = np.unique(r.integers(0, 2**63, 3000).astype(np.uint64)), np.unique(r.integers(0, 2**63, 3000).astype(np.uint64))
+    both = np.unique(np.concatenate([a, b]))
+    sketch = lambda x: setsketch.registers(x, np.array([0, len(x)]))
+    assert (setsketch.merge_registers(sketch(a), sketch(b)) == sketch(both)).all()
+    near = np.unique(np.concatenate([a[:2900], b[:100]]))
+    size = lambda x: np.array([float(len(x))])
+    assert setsketch.plausible(sketch(a), sketch(near), size(a), size(near), 0.85)[0]
+    assert not setsketch.plausible(sketch(a), sketch(b), size(a), size(b), 0.85)[0]
+
+
+def test_pieces_equal_the_library(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    r = random.Random(2)
+    names = [model.id_to_piece(i) for i in range(300, 31_000)]
+    texts = ["", None, " ", "   a  ", "a" + " " * 40 + "b", "▁ ▁▁x", "日本語 漢字 ①", "\x00\r\n\t", "😀😀", "aaaa" * 200, "<s><unk><0x0A>", "connection threads"]
+    texts += ["".join(r.choice("abcdethinsor ▁.,\n中é") for _ in range(r.randint(0, 150))) for _ in range(150)]
+    texts += ["".join(r.choice(names).replace("▁", r.choice(["", " "])) for _ in range(40)) for _ in range(150)]
+    texts.append("".join(r.choice(names).strip("▁") for _ in range(3000)))
+    found = {x.doc_id: x for x in pieces.encode_decode(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        ids = model.encode(t or "")
+        assert (found[i].ids, found[i].n_tokens, found[i].decoded) == (ids, len(ids), model.decode(ids) if ids else "")
+
+
+def test_piece_store_is_bounded(monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT", 3)
+    encoder = pieces.Encoder(pieces.default_model())
+    first = encoder.encode(["some words are here", "and others there"])
+    for _ in range(3):
+        again = encoder.encode(["some words are here", "and others there"])
+        assert (first[0] == again[0]).all() and (first[1] == again[1]).all()
+
+
+def test_secret_spans(spark):
+    texts = [
+        "password = 'abcdef' token:abc api-key=zzzzzzzz API_KEY: q1w2e3r4t5", "AKIA" + "A1" * 8 + " AKIAshort", "x" + "0af3" * 7 + "g 0123456789abcdef0123456",
+        "ſecret=abcdefgh toKen=abcdefgh", None, "", "é password=tok=secret=abc", "id 550e8400-e29b-41d4-a716-446655440000", "k=Zx9Qm2Lr7Tp4Vn8Kw3Yb6Hs1Dg5Fj0Ca", "passwd" * 9000,
+    ]
+    found = {x.doc_id: x for x in secret_scan.scan(docs_of(spark, texts)).collect()}
+    base = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    for i, t in enumerate(texts):
+        t = t or ""
+        expected = [("assign", *m.span()) for m in base.finditer(t) if len(m[2]) >= 6]
+        expected += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        expected += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        got = [(s.kind, s.start, s.end) for s in found[i].base]
+        assert sorted(got) == sorted(expected) and got == sorted(got, key=lambda s: (s[1], secret_scan.BASE_KINDS.index(s[0])))
+        assert {tuple(s) for s in found[i].base} <= {tuple(s) for s in found[i].spans}
+    assert [s.kind for s in found[8].spans] == ["entropy_base64"]
+    assert not found[7].spans
+    out = {x.doc_id: x.text for x in secret_scan.redact(docs_of(spark, texts)).collect()}
+    assert out[8] == "k=[secret]" and out[4] is None and out[5] == ""
+
+
+def test_entropies_are_those_of_windows():
+    r = random.Random(4)
+    strings = ["".join(r.choice("abc123XYZ") for _ in range(n)) for n in (20, 24, 57, 21)]
+    for s, found in zip(strings, secret_scan.entropies(strings, 20), strict=True):
+        windows = [s[i : i + 20] for i in range(len(s) - 19)]
+        assert np.allclose(found, [-sum(w.count(c) / 20 * math.log2(w.count(c) / 20) for c in set(w)) for w in windows])
+
+
+VECTORS = "vec_id long, embedding array<double>, label int, part int, cell int, h1 int"
+
+
+@pytest.mark.parametrize(("cell", "block"), [(2048, 2048), (20, 7)])
+def test_embedding_links(spark, monkeypatch, cell, block):
+    monkeypatch.setattr(embed_dedup, "CELL", cell)
+    monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    r = np.random.default_rng(3)
+    rows = []
+    for _ in range(12):
+        base = r.normal(size=8)
+        rows += [(base + r.normal(size=8) * s).tolist() for s in r.choice([0, 0.05, 0.15, 0.3], 10)]
+    labels = r.integers(0, 2, len(rows)).tolist()
+    vectors = [*rows, [0.0] * 8, None, [1.0, None, *[0.0] * 6], [float("nan")] * 8, [float("inf")] * 8, rows[0], rows[0], [1.0, 2.0], []]
+    labels += [0, 0, 0, 0, 0, labels[0], None, 0, 0]
+    df = spark.createDataFrame([(i, v, k, 1, 2, 3) for i, (v, k) in enumerate(zip(vectors, labels, strict=True))], VECTORS)
+    found = {x.vec_id: x for x in embed_dedup.near_duplicates(df).collect()}
+    ok = [v is not None and len(v) > 0 and None not in v and np.isfinite(v).all() and any(v) and k is not None for v, k in zip(vectors, labels, strict=True)]
+
+    def linked(i, j):
+        if not (ok[i] and ok[j]) or labels[i] != labels[j] or len(vectors[i]) != len(vectors[j]):
+            return False
+        a, b = np.array(vectors[i]), np.array(vectors[j])
+        return a @ b / np.sqrt(a @ a) / np.sqrt(b @ b) >= 0.93 - 1e-12
+
+    expected = roots_of(len(vectors), linked)
+    for i in range(len(vectors)):
+        n = sum(linked(i, j) for j in range(len(vectors)) if j != i)
+        assert (found[i].n_links, found[i].component_id, found[i].kept) == (n, expected[i], expected[i] == i)
+    assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_top_k(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 50)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    r = np.random.default_rng(8)
+    vectors = [r.normal(size=40).round(1).tolist() for _ in range(170)] + [None, [None] * 40, [float("nan")] * 40, [float("inf")] * 40]
+    vectors[40] = vectors[60]
+    df = spark.createDataFrame([(i, v, 1, 2, 3, 4) for i, v in enumerate(vectors)], VECTORS)
+    got = {}
+    for x in topk.top_k(df, k=7, every=20).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    q = np.floor(64 * np.array(vectors[:170])).astype(int)
+    for i in range(0, 170, 20):
+        scores = q @ q[i]
+        best = sorted((j for j in range(170) if j != i), key=lambda j: (-scores[j], j))[:7]
+        assert got.pop(i) == [(k + 1, j, scores[j]) for k, j in enumerate(best)]
+    assert not got and topk.top_k(df.limit(0)).count() == 0
+    assert topk.top_k(df.limit(3), k=20, every=1).count() == 6
+
+
+def test_url_filter(spark):
+    rules = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+    urls = [
+        "http://A.Example.NET/en/1?x", "https://example.net/de/", "http://net", "http://net?/", "x://net/", "http://b.example.com/de/#f", "http://example.com/de", "http://notexample.com/de/",
+        "ftp://q.org/fr/x", None, "", "no scheme/de/", "http:///fr/", "http://ads.q.org/en/", "http://x.net/a://b", "http://ads.example.net/en/2",
+    ]
+    df = spark.createDataFrame([(i, u, "a", "b") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
+    found = {x.page_id: x for x in url_cascade.filter_urls(df, rules, r"(^|\.)ads\.").collect()}
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host, path = re.match("([^/?#]*)([^?#]*)", rest, re.DOTALL).groups()
+        host = host.translate(ASCII)
+        fit = [(len(h + p), h + p, a) for a, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        _, rule, verdict = max(fit) if fit else (0, None, "block" if re.search(r"(^|\.)ads\.", host) else "allow")
+        assert (found[i].host, found[i].path, found[i].rule, found[i].verdict) == (host, path, rule, verdict)
+    assert url_cascade.filter_urls(df.limit(0), rules, "ads").count() == 0
+
+
+def test_cascade_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(url_cascade, "BITS", 2)
+    keys = spark.range(3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), (F.pmod(F.xxhash64("id"), F.lit(5)) == 0).alias("listed"))
+    cascade = url_cascade.Cascade.build(keys)
+    assert len(cascade.levels) > 3
+    assert keys.where(cascade.listed(F.col("key")) != F.col("listed")).count() == 0
+
+
+RECORDS = "record_id string, kind string, uri string, ts long, etag string, last_modified string, headers map<string,string>, payload_digest string, slice string"
+
+
+def test_revisits(spark):
+    r = random.Random(6)
+    rows = []
+    for i in range(300):
+        kind = r.choice(["response", "revisit"])
+        host = r.choice(["a.org/x", "www.a.org/x/", "A.org:443/x?utm_source=q#f", "b.org/?p=1&ref=2"])
+        headers = r.choice([None, {"etag": "1", "server": "s"}, {"date": "d", "content-length": "9"}])
+        rows.append((f"{i:04}", kind, r.choice(["http://", "https://"]) + host, r.choice([None, *range(40)] * 3), r.choice([None, '"1"', 'W/"1"', '"2"']), r.choice([None, "m"]), headers, f"d{i}", "s"))
+    rows += [("x", "revisit", None, 3, None, None, None, None, "s"), ("y", "other", "http://a.org/x", 3, None, None, None, None, "s")]
+    canonical = {"a.org/x": "a.org/x", "www.a.org/x/": "a.org/x", "A.org:443/x?utm_source=q#f": "a.org/x", "b.org/?p=1&ref=2": "b.org?p=1"}
+    found = {x.record_id: x for x in warc_revisits.resolve_revisits(spark.createDataFrame(rows, RECORDS), slices=5).collect()}
+    assert set(found) == {x[0] for x in rows if x[1] == "revisit"}
+    url = lambda x: x and canonical[x.split("://")[1]]
+    for x in rows:
+        if x[1] != "revisit":
+            continue
+        earlier = [y for y in rows if y[1] == "response" and x[3] is not None and x[2] and y[3] is not None and url(y[2]) == url(x[2]) and y[3] < x[3]]
+        best = max(earlier, key=lambda y: (y[3], y[0]), default=None)
+        got = found[x[0]]
+        assert got.canonical == url(x[2]) and got.response_id == (best and best[0])
+        if best is None:
+            assert got.status == "no_response" and got.headers is None
+            continue
+        same = None
+        if x[4] and best[4]:
+            same = x[4].removeprefix("W/") == best[4].removeprefix("W/")
+        elif x[5] and best[5]:
+            same = x[5] == best[5]
+        assert got.status == {None: "unverified", True: "resolved", False: "mismatch"}[same]
+        merged = {**(best[6] or {}), **{k: v for k, v in (x[6] or {}).items() if k in warc_revisits.PERMITTED}}
+        assert (got.headers, got.payload_digest) == ((merged, best[7]) if same else (None, None))
+    assert warc_revisits.resolve_revisits(spark.createDataFrame([], RECORDS)).count() == 0
+
+
+def test_mixing(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 30)
+    r = random.Random(7)
+    rows = [(i, r.choice(["", "w " * r.randint(1, 9), "one\n two"]), "en", r.choice(["a"] * 8 + ["b", "c", None]), 0, "x", "y", "z") for i in range(300)]
+    df = spark.createDataFrame(rows, DOCS)
+    used = mixing.plan(df, max_epochs=3.0).collect()
+    tokens = {i: len(t.split()) for i, t, *_ in rows}
+    by = {}
+    for x in used:
+        assert x.tokens == tokens[x.doc_id]
+        by.setdefault(x.source, {}).setdefault(x.epoch, []).append(x)
+    sizes = {s: sum(tokens[i] for i, _, _, q, *_ in rows if (q or "") == s) for s in by}
+    top = max(sizes.values())
+    exponent = 1 - math.log(3) / math.log(top / min(sizes.values()))
+    for s, epochs in by.items():
+        quota = sizes[s] ** exponent * top ** (1 - exponent)
+        whole = math.floor(quota / sizes[s] + 1e-9)
+        for e, part in epochs.items():
+            assert len({x.doc_id for x in part}) == len(part)
+            if e < whole:
+                assert sum(x.tokens for x in part) == sizes[s]
+        taken = sum(x.tokens for e in epochs.values() for x in e)
+        assert quota - 1e-3 <= taken <= quota + 9 or taken == sizes[s] * whole
+    assert {x.doc_id for x in used} == {x[0] for x in rows}
+    shares = spark.createDataFrame([("a", 900), ("b", 90), ("c", 10)], "source string, tokens long")
+    exponent = mixing.solve_exponent(shares, entropy=1.0)
+    w = np.array([900, 90, 10]) ** exponent
+    w = w / w.sum()
+    assert abs(-(w * np.log(w)).sum() - 1.0) < 1e-6
+    assert mixing.plan(df.limit(0)).count() == 0
+    mixed = mixing.mix(df, 3.0)
+    assert mixed.columns == df.columns and mixed.count() == len(used)
+
+
+def test_language_id(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = langid.identify(langid.evidence_of_documents(docs)).join(docs, F.col("id") == F.col("doc_id"))
+    assert found.where("language <> lang or not accepted").count() == 0
+    # held out: a quarter of the rows declare nothing
+    hidden = langid.evidence_of_documents(docs.withColumn("lang", F.when(F.col("doc_id") % 4 > 0, F.col("lang"))))
+    right = langid.identify(hidden).join(docs, F.col("id") == F.col("doc_id")).where("doc_id % 4 = 0")
+    assert right.where("language = lang").count() >= 0.95 * right.count()
+    odd = docs_of(spark, [None, "", "123 456", "the house and the garden of the man", "x" * 100_000], [None, 1, 2, 3, 4])
+    assert {x.id: x.accepted for x in langid.identify(langid.evidence_of_documents(odd)).collect()}.items() >= {None: False, 1: False, 2: False, 3: True}.items()
+    assert sorted(x.doc_id for x in langid.keep_identified(odd).collect()) == [3, 4]
+    assert langid.identify(langid.evidence_of_documents(odd.limit(0))).count() == 0
+
+
+def test_edit_counts(spark):
+    counter = edit_counts.Counter(*edit_counts.default_vocabulary())
+    full = lambda t: len(counter.encoding.encode_ordinary(t))
+    r = random.Random(9)
+    for _ in range(600):
+        text = "".join(r.choice(" \n'srelvdt1a.é") for _ in range(r.randint(0, 400)))
+        cuts = sorted(r.sample(range(len(text) + 1), min(len(text) + 1, 2 * r.randint(0, 4))))
+        edits = [(a, b, r.choice(["", " ", "'s", "  ", "xyz 12", "\n"])) for a, b in zip(cuts[::2], cuts[1::2], strict=False)]
+        out, at = [], 0
+        for a, b, new in edits:
+            out += [text[at:a], new]
+            at = b
+        assert edit_counts.recount(counter, text, edits)[:2] == (full(text), full("".join([*out, text[at:]])))
+    texts = ["write to a.b@c.org  or call 555-123-4567", None, "", "plain"]
+    found = {x.doc_id: x for x in edit_counts.count_after_edits(docs_of(spark, texts), edit_counts.redactions).collect()}
+    assert (found[0].n_edits, found[0].n_after) == (3, full("write to [redacted] or call [redacted]"))
+    assert (found[1].n_before, found[2].n_after, found[3].n_after) == (0, 0, full("plain"))
+
+
+def test_pipeline(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    texts = {x.doc_id: x.text for x in docs.collect()}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    ids = sorted(texts)
+    roots = roots_of(len(ids), lambda i, j: 100 * len(sets[ids[i]] & sets[ids[j]]) >= 85 * len(sets[ids[i]] | sets[ids[j]]))
+    assert {x.doc_id for x in found} == {ids[k] for k in set(roots)}
+    clean = secret_scan.redact(docs)
+    after = {x.doc_id: x.text for x in clean.collect()}
+    for x in found:
+        expected = model.encode(after[x.doc_id])
+        assert x.ids == expected and x.decoded_sha256 == hashlib.sha256(model.decode(expected).encode()).hexdigest()
+    odd = docs_of(spark, [None, "", "words and more words in the garden of the house", "words and more words in the garden of the house"], [None, 1, 2, 3])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, "/root/testdata/sf0.001")
+        assert out.columns == odd.columns
+        out.collect()
+        stage(spark, odd.limit(0), "/root/testdata/sf0.001").collect()
