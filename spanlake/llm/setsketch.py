@@ -336,9 +336,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     many = sketches.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("doc_id")
     many = sketches.join(many, "doc_id").join(classes.select(*own, "rep"), own).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = cut(_confirm(cut(stars.mapInArrow(_likely(percent / 100), "a long, b long")), texts, percent).unionAll(many))
-    roots = cut(connected_components(links))
-
-    placed = members.select("bucket", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    # the least that a document is linked to in two steps: pairs that share it need no further look
+    near = links.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("b").alias("to")), F.struct(F.col("b").alias("rep"), F.col("a").alias("to")))).alias("e")).groupBy("e.rep").agg(F.min("e.to").alias("to"))
+    near = near.join(near.toDF("to", "on"), "to").select("rep", F.least("to", "on").alias("to"))
+    placed = members.select("bucket", "rep").join(near, "rep", "left").withColumn("root", F.least("rep", "to"))
     apart = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo < hi")
     open_ = placed.join(apart.select("bucket", F.ceil(F.col("k") / BLOCK).cast("int").alias("chunks")), "bucket").join(classes.select("rep", "n", "regs"), "rep")
     open_ = open_.withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -347,8 +348,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hopeful = cut(dealt(open_).mapInArrow(_promising(percent), "bucket long, i int, j int, chunk int, rep long, root long"))
     with_text = hopeful.join(_texts_of(hopeful.select("rep").distinct(), texts), "rep").select(*_BLOCK, "text")
     more = cut(dealt(with_text).mapInArrow(_exact(percent), "a long, b long"))
-    if not more.isEmpty():
-        roots = cut(connected_components(links.unionAll(more)))
+    roots = connected_components(links.unionAll(more))
     of = classes.select(*own, F.col("rep").alias("node"))
     of = of.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     out = sketches.select("doc_id", *own).join(of.select(*own, "root"), own, "left")
