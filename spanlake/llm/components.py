@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Priorities are hashes that change with the round, so a path halves each time whatever its numbering. A round is
     one map-side combined minimum and joins whose hot keys AQE can split; no node's neighbours are ever gathered.
     Loops and edges with a null end are ignored; no edges give no rows. ``edges`` is read more than once: cut its lineage
-    before.
+    before. Joins are merge joins even where a side is small: tables built for broadcasts would crowd the driver.
     """
     pairs = edges.select(F.least(a, b).cast("long").alias("a"), F.greatest(a, b).cast("long").alias("b")).where("a <> b")
     moved = []
@@ -26,11 +26,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         moves = cut(both.groupBy("node").agg(F.min("o").alias("o")).select("node", F.least("o", order("node"))["to"].alias("to")))
         moved.append(moves)
         left, right = moves.toDF("a", "ta"), moves.toDF("b", "tb")
-        pairs = cut(pairs.join(left, "a").join(right, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+        pairs = cut(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
     if not moved:
         return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
     nodes = moved[0]
     for moves in moved[1:]:
-        nodes = nodes.toDF("node", "at").join(moves.toDF("at", "next"), "at", "left").select("node", F.coalesce("next", "at").alias("to"))
+        nodes = nodes.toDF("node", "at").join(moves.toDF("at", "next").hint("merge"), "at", "left").select("node", F.coalesce("next", "at").alias("to"))
     least = nodes.groupBy("to").agg(F.min("node").alias("root"))
-    return nodes.join(least, "to").select("node", "root")
+    return nodes.join(least.hint("merge"), "to").select("node", "root")

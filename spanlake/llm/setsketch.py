@@ -224,7 +224,7 @@ def _confirm(likely: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of ``likely`` (``a``, ``b``: class ids) that the full sets confirm."""
     found = _texts_of(likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), texts)
     left, right = (found.select(F.col("rep").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    full = likely.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    full = likely.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
     return full.mapInArrow(_confirmed(percent), "a long, b long")
 
 
@@ -328,30 +328,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = classes.select("rep", "n", F.explode(F.array(*[band(F.col("regs"), i, 2 * ROWS) for i in range(BANDS)])).alias("bucket"))
     centre = lambda *key: F.min(F.struct(*key, "rep", "n"))
     shared = buckets.groupBy("bucket").agg(centre().alias("c"), centre(F.xxhash64("rep").alias("h")).alias("d"), F.max("rep").alias("most")).where("c.rep < most")
-    members = cut(buckets.join(shared.select("bucket", "c", F.struct("d.rep", "d.n").alias("d")), "bucket"))
+    members = cut(buckets.join(shared.select("bucket", "c", F.struct("d.rep", "d.n").alias("d")).hint("merge"), "bucket"))
     stars = members.select("rep", "n", F.explode(F.array("c", "d")).alias("c")).where("rep <> c.rep")
     stars = stars.where(f"100 * least(n, c.n) >= {int(percent)} * greatest(n, c.n)").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
     left, right = (classes.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("regs").alias(f"regs_{k}")) for k in "ab")
-    stars = stars.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
+    stars = stars.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
     many = sketches.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("doc_id")
-    many = sketches.join(many, "doc_id").join(classes.select(*own, "rep"), own).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    many = sketches.join(many.hint("merge"), "doc_id").join(classes.select(*own, "rep").hint("merge"), own).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = cut(_confirm(cut(stars.mapInArrow(_likely(percent / 100), "a long, b long")), texts, percent).unionAll(many))
     # the least that a document is linked to in two steps: pairs that share it need no further look
     near = links.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("b").alias("to")), F.struct(F.col("b").alias("rep"), F.col("a").alias("to")))).alias("e")).groupBy("e.rep").agg(F.min("e.to").alias("to"))
-    near = near.join(near.toDF("to", "on"), "to").select("rep", F.least("to", "on").alias("to"))
-    placed = members.select("bucket", "rep").join(near, "rep", "left").withColumn("root", F.least("rep", "to"))
+    near = near.join(near.toDF("to", "on").hint("merge"), "to").select("rep", F.least("to", "on").alias("to"))
+    placed = members.select("bucket", "rep").join(near.hint("merge"), "rep", "left").withColumn("root", F.least("rep", "to"))
     apart = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo < hi")
-    open_ = placed.join(apart.select("bucket", F.ceil(F.col("k") / BLOCK).cast("int").alias("chunks")), "bucket").join(classes.select("rep", "n", "regs"), "rep")
+    open_ = placed.join(apart.select("bucket", F.ceil(F.col("k") / BLOCK).cast("int").alias("chunks")).hint("merge"), "bucket").join(classes.select("rep", "n", "regs").hint("merge"), "rep")
     open_ = open_.withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     open_ = open_.select("bucket", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "chunk", "rep", "root", "n", "regs")
     dealt = lambda df: df.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     hopeful = cut(dealt(open_).mapInArrow(_promising(percent), "bucket long, i int, j int, chunk int, rep long, root long"))
-    with_text = hopeful.join(_texts_of(hopeful.select("rep").distinct(), texts), "rep").select(*_BLOCK, "text")
+    with_text = hopeful.join(_texts_of(hopeful.select("rep").distinct(), texts).hint("merge"), "rep").select(*_BLOCK, "text")
     more = cut(dealt(with_text).mapInArrow(_exact(percent), "a long, b long"))
     roots = connected_components(links.unionAll(more))
     of = classes.select(*own, F.col("rep").alias("node"))
-    of = of.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    out = sketches.select("doc_id", *own).join(of.select(*own, "root"), own, "left")
+    of = of.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    out = sketches.select("doc_id", *own).join(of.select(*own, "root").hint("merge"), own, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
 
