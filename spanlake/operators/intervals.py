@@ -19,3 +19,67 @@ def merge(df: DataFrame, keys: list[str], max_gap: int = 0, start: str = "start_
     """Union of intervals of a key; neighbours at most ``max_gap`` apart become one."""
     found = islands(df, keys, max_gap, start, end, order)
     return found.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_segments")).drop("island")
+
+
+def complement(df: DataFrame, keys: list[str], total: str, start: str = "start_ms", end: str = "end_ms", least: int = 0) -> DataFrame:
+    """What the merged intervals of a key leave of [0, ``total``): gaps longer than ``least``, head and tail included."""
+    w = Window.partitionBy(*keys).orderBy(start, end)
+    before = F.coalesce(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    gaps = df.select(*keys, before.alias("gap_start"), F.col(start).alias("gap_end"))
+    tail = df.groupBy(*keys).agg(F.max(end).alias("gap_start"), F.max(total).alias("gap_end"))
+    return gaps.unionByName(tail).where(F.col("gap_end") - F.col("gap_start") > least).select(*keys, F.col("gap_start").alias(start), F.col("gap_end").alias(end))
+
+
+def pad_without_overlap(df: DataFrame, keys: list[str], buffer: int, order: list[str], start: str = "start_ms", end: str = "end_ms") -> DataFrame:
+    """Intervals padded by ``buffer`` (not below zero); padded neighbours that overlap meet at their midpoint."""
+    w = Window.partitionBy(*keys).orderBy(start, *order)
+    lo, hi = F.greatest(F.col(start) - buffer, F.lit(0)), F.col(end) + buffer
+    df = df.withColumn("_lo", lo).withColumn("_hi", hi)
+    df = df.withColumn("_ph", F.lag("_hi").over(w)).withColumn("_nl", F.lead("_lo").over(w))
+    middle = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2)
+    padded_start = F.when(F.col("_ph") > F.col("_lo"), middle("_ph", "_lo")).otherwise(F.col("_lo"))
+    padded_end = F.when(F.col("_nl") < F.col("_hi"), middle("_hi", "_nl")).otherwise(F.col("_hi"))
+    return df.withColumn("padded_start", padded_start).withColumn("padded_end", padded_end).drop("_lo", "_hi", "_ph", "_nl")
+
+
+def fix_overlaps(df: DataFrame, keys: list[str], order: list[str], margin: int = 100, start: str = "start_ms", end: str = "end_ms") -> DataFrame:
+    """Neighbours in ``order`` that overlap are both cut at their midpoint, ``margin`` apart; bounds are read first."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    pe, ns = F.lag(end).over(w), F.lead(start).over(w)
+    df = df.withColumn("_pe", pe).withColumn("_ns", ns)
+    fixed_start = F.when(F.col("_pe") > F.col(start), F.floor((F.col("_pe") + F.col(start)) / 2) + margin).otherwise(F.col(start))
+    fixed_end = F.when(F.col("_ns") < F.col(end), F.floor((F.col(end) + F.col("_ns")) / 2) - margin).otherwise(F.col(end))
+    return df.withColumn("fixed_start", fixed_start).withColumn("fixed_end", fixed_end).drop("_pe", "_ns")
+
+
+def duration(start: str = "start_ms", end: str = "end_ms"):
+    """Length of an interval, never below zero."""
+    return F.greatest(F.lit(0), F.col(end) - F.col(start))
+
+
+def subtract(segments: DataFrame, removed: DataFrame, keys: list[str], ident: str, width: int, least: int = 0) -> DataFrame:
+    """Each segment (``ident``) without the merged removed intervals of its key: pieces longer than ``least``."""
+    from spanlake.operators.joins import overlap_join
+
+    left = segments.select(*keys, ident, F.col("start_ms").alias("l_start"), F.col("end_ms").alias("l_end"))
+    holes = merge(removed, keys).select(*keys, F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
+    cut = overlap_join(left, holes, keys, width).select(*keys, ident, "l_start", "l_end", F.greatest("l_start", "r_start").alias("a"), F.least("l_end", "r_end").alias("b"))
+    bounds = left.select(*keys, ident, "l_start", "l_end", F.col("l_end").alias("a"), F.col("l_end").alias("b"))
+    w = Window.partitionBy(*keys, ident).orderBy("a", "b")
+    pieces = cut.unionByName(bounds).withColumn("start_ms", F.coalesce(F.lag("b").over(w), F.col("l_start")))
+    return pieces.where(F.col("a") - F.col("start_ms") > least).select(*keys, ident, "start_ms", F.col("a").alias("end_ms"))
+
+
+def runs(df: DataFrame, keys: list[str], flag: str, order: list[str]) -> DataFrame:
+    """Maximal runs of rows in ``order`` for which ``flag`` holds: ``first_pos``, ``last_pos``, ``n``."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    at = df.withColumn("_pos", F.row_number().over(w)).where(F.col(flag))
+    at = at.withColumn("_run", F.col("_pos") - F.row_number().over(Window.partitionBy(*keys).orderBy("_pos")))
+    return at.groupBy(*keys, "_run").agg(F.min("_pos").alias("first_pos"), F.max("_pos").alias("last_pos"), F.count("*").alias("n")).drop("_run")
+
+
+def sessions(df: DataFrame, keys: list[str], gap: int, order: list[str], start: str = "start_ms", end: str = "end_ms") -> DataFrame:
+    """``df`` with ``session``: a new one begins where a row starts at least ``gap`` after the row before it ended."""
+    w = Window.partitionBy(*keys).orderBy(start, *order)
+    fresh = F.when(F.col(start) - F.lag(end).over(w) < gap, 0).otherwise(1)
+    return df.withColumn("_fresh", fresh).withColumn("session", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
