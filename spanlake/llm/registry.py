@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanlake.llm import edit_counts, embed_dedup, langid, mixing, pieces, secret_scan, setsketch, topk, url_cascade, warc_revisits
+from spanlake.llm import edit_counts, embed_dedup, langid, mixing, oracles, pieces, secret_scan, setsketch, topk, url_cascade, warc_revisits
 from spanlake.llm.common import read
 
 
@@ -82,4 +82,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_warc_revisits": oracles.OP1,
+        "op4_embedding_near_duplicates": oracles.OP4,
+        "op7_setsketch_near_duplicates": oracles.OP7,
+        "op8_url_cascade": oracles.op8(URL_RULES, ADVERTISING),
+        "op9_exact_top_k": oracles.OP9,
+    }
