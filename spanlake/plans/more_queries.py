@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import difflib
 import tempfile
 import uuid
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -220,25 +218,23 @@ def distinct_reasons(spark, sf_dir):
 
 @register("H6_semantic_similarity")
 def semantic_similarity(spark, sf_dir):
+    from spanlake.functions.matching import sequence_ratio
+
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name")
     w = Window.partitionBy("p_brand").orderBy("p_partkey")
     p = p.select("p_partkey", F.col("p_name").alias("a"), F.lead("p_name").over(w).alias("b")).where("b is not null")
     ratio = F.least(F.length("a"), F.length("b")) / F.greatest(F.length("a"), F.length("b"))
     shared = tx.jaccard(tx.keywords(F.col("a"), []), tx.keywords(F.col("b"), []))
-    return p.select("p_partkey", F.round(0.4 * shared + 0.3 * matcher("a", "b") + 0.3 * ratio, 4).alias("similarity"))
-
-
-@F.pandas_udf("double")
-def matcher(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio, for which no native expression exists."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+    return p.select("p_partkey", F.round(0.4 * shared + 0.3 * sequence_ratio("a", "b") + 0.3 * ratio, 4).alias("similarity"))
 
 
 @register("H7_sequence_matcher")
 def sequence_matcher(spark, sf_dir):
+    from spanlake.functions.matching import sequence_ratio
+
     w = Window.partitionBy("p_brand").orderBy("p_partkey")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.lead("p_name").over(w).alias("b")).where("b is not null")
-    return p.select("p_partkey", F.round(matcher("p_name", "b"), 6).alias("ratio"))
+    return p.select("p_partkey", F.round(sequence_ratio("p_name", "b"), 6).alias("ratio"))
 
 
 @register("H19_outline_score", "SELECT p_partkey, round(greatest(0.0, least(1.0, 0.5 + CASE WHEN p_size > 40 THEN 0.25 ELSE 0 END + 0.06 * least(p_size % 6, 4) + CASE WHEN length(p_name) < 4 THEN -0.15 WHEN length(p_name) > 40 THEN -0.1 ELSE 0 END)), 4) AS score FROM part")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from spanlake.functions import text as tx
 from spanlake.functions import times
 from spanlake.operators import intervals, joins, mining, relational, topics
-from spanlake.plans.more_queries import matcher
 from spanlake.sources import srt
 from spanlake.streaming import progress
 
@@ -132,4 +131,6 @@ def test_subtitles(spark, tmp_path):
 
 
 def test_sequence_matcher(spark):
-    assert spark.createDataFrame([("abcd", "bcde")], "a string, b string").select(matcher("a", "b")).first()[0] == 0.75
+    from spanlake.functions.matching import sequence_ratio
+
+    assert spark.createDataFrame([("abcd", "bcde")], "a string, b string").select(sequence_ratio("a", "b")).first()[0] == 0.75
