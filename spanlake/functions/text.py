@@ -109,3 +109,27 @@ def speaker_of(text: Column) -> Column:
 def squeeze_repeats(text: Column) -> Column:
     """Runs of one character (three or more) cut to one."""
     return F.regexp_replace(text, r"(.)\1{2,}", "$1")
+
+
+def windowed_words(text: Column, keep: int, sizes: Sequence[int]) -> Column:
+    """Words of up to ``keep`` characters, and of longer ones all windows of the given sizes; distinct, in order."""
+    windows = lambda w, n: F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substr(w, i, F.lit(n)))
+    parts = F.transform(words(text), lambda w: F.when(F.length(w) <= keep, F.array(w)).otherwise(F.concat(*[windows(w, n) for n in sizes])))
+    return F.array_distinct(F.flatten(parts))
+
+
+def energy_score(energy: Column) -> Column:
+    """Piecewise on a normalised energy; 0.5 if unknown."""
+    return F.when(energy.isNull(), 0.5).when(energy < 0.2, 0.3).when(energy < 0.4, 0.6).when(energy <= 0.8, 1.0).otherwise(0.8)
+
+
+def finish_title(title: Column, pad: Column, least: int, most: int) -> Column:
+    """A title padded by ``pad`` if shorter than ``least`` characters and cut at ``most``."""
+    full = F.when(F.length(title) < least, F.concat(title, F.lit(" "), pad)).otherwise(title)
+    return F.trim(F.left(full, F.lit(most)))
+
+
+def head_and_tail(lines: Column, head: int, tail: int, mark: str = "[...]") -> Column:
+    """The first ``head`` and the last ``tail`` elements with a mark between if any are left out."""
+    n = F.size(lines)
+    return F.when(n <= head + tail, lines).otherwise(F.concat(F.slice(lines, 1, head), F.array(F.lit(mark)), F.slice(lines, -tail, tail)))

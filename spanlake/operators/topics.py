@@ -35,13 +35,51 @@ def suppress(df: DataFrame, keys: list[str], ident: str, score: str, width: int,
     rank = lambda s, a, b, i: F.struct(-F.col(s), F.col(b) - F.col(a), F.col(i))
     better = rank("rs", "r_start", "r_end", "r") < rank("ls", "l_start", "l_end", "l")
     rivals = pairs.where((shared > most * union) & better).select(F.col("l").alias("id"), F.col("r").alias("rival")).checkpoint()
-    state = rows.select(F.col(ident).alias("id")).join(rivals.select("id").distinct().withColumn("open", F.lit(True)), "id", "left")
+    kept = undefeated(rows.select(F.col(ident).alias("id")), rivals)
+    return df.join(kept.select(F.col("id").alias(ident)), ident, "left_semi")
+
+
+def undefeated(ids: DataFrame, rivals: DataFrame) -> DataFrame:
+    """The ``id``s that a greedy pass keeps: each goes if one of its better ``rival``s is kept.
+
+    Each round decides at once all whose better rivals are decided, or of which one is kept. ``rivals`` (``id``,
+    ``rival``) must be acyclic and materialised.
+    """
+    state = ids.join(rivals.select("id").distinct().withColumn("open", F.lit(True)), "id", "left")
     state = state.select("id", F.when(F.col("open"), F.lit(None).cast("boolean")).otherwise(True).alias("kept")).checkpoint()
     while not state.where("kept is null").isEmpty():
         seen = rivals.join(state.select(F.col("id").alias("rival"), F.col("kept").alias("k")), "rival")
         seen = seen.groupBy("id").agg(F.max(F.coalesce("k", F.lit(False))).alias("lost"), F.min(F.col("k").isNotNull()).alias("decided"))
         state = state.join(seen, "id", "left").select("id", F.coalesce("kept", F.when(F.col("lost"), False).when(F.col("decided"), True)).alias("kept")).checkpoint()
-    return df.join(state.where("kept").select(F.col("id").alias(ident)), ident, "left_semi")
+    return state.where("kept").select("id")
+
+
+def absorb_short(df: DataFrame, keys: list[str], ident: str, short: int, gap: int) -> DataFrame:
+    """Topics of a key in order of start; one of at most ``short`` that begins within ``gap`` of the kept one before is
+    absorbed by it. Each step reads the result of the one before, so a key's few topics are folded in one expression."""
+    rows = F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", F.col(ident).alias("id"))))
+    kind = "array<struct<start_ms:bigint,end_ms:bigint,id:bigint,n:int>>"
+
+    def step(done, x):
+        last = F.element_at(done, -1)
+        joins_ = (F.size(done) > 0) & (x["end_ms"] - x["start_ms"] <= short) & (x["start_ms"] - F.try_element_at(done, F.lit(-1))["end_ms"] <= gap)
+        grown = F.struct(last["start_ms"].alias("start_ms"), F.greatest(last["end_ms"], x["end_ms"]).alias("end_ms"), last["id"].alias("id"), (last["n"] + 1).alias("n"))
+        fresh = F.struct(x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), x["id"].alias("id"), F.lit(1).alias("n"))
+        return F.when(joins_, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(fresh)))
+
+    folded = df.groupBy(*keys).agg(rows.alias("r")).withColumn("r", F.aggregate("r", F.array().cast(kind), step))
+    return folded.select(*keys, F.explode("r").alias("t")).select(*keys, F.col("t.id").alias(ident), "t.start_ms", "t.end_ms", "t.n")
+
+
+def pack(parts, limit: int):
+    """Consecutive strings joined by a line feed into chunks of at most ``limit`` characters; longer ones stand alone."""
+
+    def step(done, x):
+        last = F.try_element_at(done, F.lit(-1))
+        fits = (F.size(done) > 0) & (F.length(last) + 1 + F.length(x) <= limit)
+        return F.when(fits, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(last, F.lit("\n"), x)))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(parts, F.array().cast("array<string>"), step)
 
 
 def outline_score(outline: Column, subtopics: Column, signature: Column) -> Column:

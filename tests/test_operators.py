@@ -134,3 +134,28 @@ def test_sequence_matcher(spark):
     from spanlake.functions.matching import sequence_ratio
 
     assert spark.createDataFrame([("abcd", "bcde")], "a string, b string").select(sequence_ratio("a", "b")).first()[0] == 0.75
+
+
+def test_absorbing_and_packing(spark):
+    r = random.Random(5)
+    rows = [(k, i, a, a + r.randint(1, 30)) for i in range(60) for k, a in [(r.randint(0, 3), r.randint(0, 400))]]
+    found = topics.absorb_short(spark.createDataFrame(rows, "k long, id long, start_ms long, end_ms long"), ["k"], "id", 8, 5)
+    expected = []
+    for k in range(4):
+        done = []
+        for a, b, i in sorted((x[2], x[3], x[1]) for x in rows if x[0] == k):
+            if done and b - a <= 8 and a - done[-1][1] <= 5:
+                done[-1] = (done[-1][0], max(done[-1][1], b), done[-1][2], done[-1][3] + 1)
+            else:
+                done.append((a, b, i, 1))
+        expected += [(k, i, a, b, n) for a, b, i, n in done]
+    assert rows_of(found, "k", "id", "start_ms", "end_ms", "n") == sorted(expected)
+    text = "\n".join("w" * r.randint(0, 40) for _ in range(50))
+    got = spark.createDataFrame([(text,)], "t string").select(topics.pack(F.split("t", "\n"), 60)).first()[0]
+    chunks = []
+    for part in text.split("\n"):
+        if chunks and len(chunks[-1]) + 1 + len(part) <= 60:
+            chunks[-1] += "\n" + part
+        else:
+            chunks.append(part)
+    assert got == chunks
