@@ -93,3 +93,19 @@ def duration_flags(df: DataFrame, least: int, most: int) -> DataFrame:
     """``flag``: too_short, too_long or ok."""
     length = F.col("end_ms") - F.col("start_ms")
     return df.withColumn("flag", F.when(length < least, "too_short").when(length > most, "too_long").otherwise("ok"))
+
+
+def cut_points(pauses, interval: int):
+    """Cuts along ascending ``pauses``: the first pause between 90 and 110 % of an interval after the last cut, and a
+    forced cut after each whole interval that has none."""
+    start = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<bigint>").alias("cuts"))
+
+    def step(s, t):
+        forced = F.greatest(F.lit(0), F.ceil((10 * (t - s["last"]) - 11 * interval) / (10 * interval))).cast("long")
+        ends = F.when(forced > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(forced, F.lit(1))), lambda i: s["last"] + i * interval)).otherwise(F.array().cast("array<bigint>"))
+        last = s["last"] + forced * interval
+        cuts = F.concat(s["cuts"], ends)
+        here = 10 * (t - last) >= 9 * interval
+        return F.struct(F.when(here, t).otherwise(last).alias("last"), F.when(here, F.concat(cuts, F.array(t))).otherwise(cuts).alias("cuts"))
+
+    return F.aggregate(pauses, start, step)["cuts"]

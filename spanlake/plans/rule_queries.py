@@ -15,6 +15,7 @@ from spanlake.plans.interval_queries import CAPTIONS as EVENTS
 from spanlake.plans.more_queries import ONE_LINE, folder, one_line
 from spanlake.plans.relational_queries import table
 from spanlake.plans.text_queries import CAPTIONS, SIMILAR, WORDS, _similar, captions
+from spanlake.sources import files
 from spanlake.sources.captions import from_events
 
 
@@ -389,3 +390,48 @@ def markdown_table(spark, sf_dir):
     text = F.concat(F.lit("intro\n| key | note |\n|---|:-:|\n"), F.array_join(F.transform(rows, line), "\n"))
     cells = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(text.alias("t")).select("o_custkey", js.table_cells(F.col("t")).alias("c"))
     return cells.select("o_custkey", F.size("c").cast("long").alias("n"), F.get(F.get("c", F.lit(0)), F.lit(0)).cast("long").alias("first_key"))
+
+
+@register("A11_first_existing", "SELECT r_regionkey, r_name FROM region")
+def first_existing(spark, sf_dir):
+    return files.first_existing(spark, [f"{sf_dir}/regions.parquet", f"{sf_dir}/region.parquet"])
+
+
+@register("A18_list_files")
+def list_files(spark, sf_dir):
+    return files.listing(spark, sf_dir, "*.parquet").select("name", "length")
+
+
+@register("C15_retention_filter")
+def retention_filter(spark, sf_dir):
+    return files.listing(spark, sf_dir, "*.parquet").where(F.col("modified") >= F.current_timestamp() - F.expr("INTERVAL 3650 DAYS")).select("name", "length")
+
+
+@register("B10_upserted_progress", "SELECT user_id, max(ts) AS ts, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
+def upserted_progress(spark, sf_dir):
+    from spanlake.streaming.progress import upserted
+
+    return upserted(spark, f"{sf_dir}/events.parquet", "user_id", ["ts", "event_id"], "event_type").select("user_id", "ts", "event_type")
+
+
+@register("F22_smart_chunks")
+def smart_chunks(spark, sf_dir):
+    c = captions(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list("end_ms")).alias("p"))
+    return c.select("conv_id", F.posexplode(topics.cut_points(F.col("p"), 5_000)).alias("pos", "cut_ms"))
+
+
+@register("X7_step_dependencies", """
+WITH s AS (SELECT user_id, max((event_type = 'signup')::INT) AS a, max((event_type = 'view')::INT) AS b, max((event_type = 'click')::INT) AS c, max((event_type = 'purchase')::INT) AS d FROM events GROUP BY user_id)
+SELECT user_id, CASE WHEN a = 0 THEN 'signup' WHEN b = 0 THEN 'view' WHEN c = 0 THEN 'click' WHEN d = 0 THEN 'purchase' ELSE 'none' END AS first_missing FROM s""")
+def step_dependencies(spark, sf_dir):
+    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("have"))
+    need = F.array(*[F.lit(x) for x in ("signup", "view", "click", "purchase")])
+    return g.select("user_id", F.coalesce(F.get(F.filter(need, lambda x: ~F.array_contains("have", x)), F.lit(0)), F.lit("none")).alias("first_missing"))
+
+
+@register("X16_titled_collections", "SELECT c_mktsegment || ' ' || c_nationkey AS title, list(c_custkey ORDER BY c_custkey)[1:5] AS clip_ids, count(*) AS n FROM customer GROUP BY c_mktsegment, c_nationkey HAVING count(*) >= 2")
+def titled_collections(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.concat_ws(" ", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("title"), "c_custkey")
+    n = c.groupBy("title").agg(F.count("*").alias("n")).where("n >= 2")
+    first = rel.top(c, ["title"], [F.col("c_custkey")], 5).groupBy("title").agg(F.array_sort(F.collect_list("c_custkey")).alias("clip_ids"))
+    return first.join(n, "title").select("title", "clip_ids", "n")

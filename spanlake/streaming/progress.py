@@ -49,3 +49,27 @@ def drained(spark: SparkSession, path: str, through: Callable[[DataFrame], DataF
     query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def upserted(spark: SparkSession, path: str, key: str, by: Sequence[str], *columns: str, files: int = 1) -> DataFrame:
+    """Latest values per key of a table read as a stream; each micro-batch is merged into a new version of the snapshot.
+
+    A version is written beside the last one and only then named, so a batch that is tried again does no harm.
+    """
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")) + f"/upsert-{uuid.uuid4().hex}"
+    table = spark.read.parquet(path)
+    parent, name = path.rsplit("/", 1)
+    reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files)
+    if any(f.rsplit("/", 1)[1] == name for f in table.inputFiles()):
+        reader, path = reader.option("pathGlobFilter", name), parent
+    last: list[str] = []
+
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = batch.select(key, *by, *columns)
+        if last:
+            rows = rows.unionByName(batch.sparkSession.read.parquet(last[-1]))
+        latest(rows, key, by, *columns).select(key, *by, *columns).write.mode("overwrite").parquet(f"{folder}/v{number}")
+        last.append(f"{folder}/v{number}")
+
+    reader.parquet(path).writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(last[-1]) if last else latest(table, key, by, *columns)

@@ -159,3 +159,25 @@ def test_absorbing_and_packing(spark):
         else:
             chunks.append(part)
     assert got == chunks
+
+
+def test_cut_points(spark):
+    r = random.Random(6)
+    for _ in range(5):
+        pauses = sorted(r.sample(range(1, 4000), 25))
+        last, cuts = 0, []
+        for t in pauses:
+            while t > last + 110:
+                last += 100
+                cuts.append(last)
+            if t >= last + 90:
+                last = t
+                cuts.append(t)
+        assert spark.createDataFrame([(pauses,)], "p array<bigint>").select(topics.cut_points(F.col("p"), 100)).first()[0] == cuts
+
+
+def test_upserts_by_batch(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    got = progress.upserted(spark, str(tmp_path / "events.parquet"), "user_id", ["ts", "event_id"], "event_type")
+    assert sorted(got.collect()) == sorted(progress.latest(events, "user_id", ["ts", "event_id"], "event_type").collect())
