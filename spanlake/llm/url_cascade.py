@@ -30,6 +30,10 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+class TooManyKeys(ValueError):
+    """A level would take more words than may be held as a constant."""
+
+
 class Cascade:
     """``listed(key)`` is exact for all keys of the universe; ``levels`` holds each level's words."""
 
@@ -44,7 +48,7 @@ class Cascade:
         while (n := inside.count()) > 0:
             words = -(-n * BITS // 64)
             if words > MOST_WORDS:
-                raise ValueError(f"{n} keys need {words} words; split the universe by a hash of the key and build a cascade for each part")
+                raise TooManyKeys(f"{n} keys need {words} words")
             level = len(levels)
             bit = F.explode(F.array(*[_position(level, i, words, F.col("key")) for i in range(HASHES)])).alias("bit")
             found = inside.select(bit).groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits"))
@@ -83,7 +87,8 @@ def filter_urls(
 
     ``rules`` are (action, host, path): a rule fits its host and all subdomains if the path starts with its own; the
     longest (host and path together) wins. Where none fits, hosts that match the pattern ``advertising`` are blocked,
-    others allowed. Each of the three lists is a cascade over all keys that occur in ``pages``. A null url, or one
+    others allowed. Each of the three lists is a cascade over all keys that occur in ``pages``; only if more hosts match
+    than a constant may hold are these joined instead. A null url, or one
     without ``://``, has an empty host and path, no rule and the verdict of the empty host. Repeated rows are judged
     alike; other columns are left out; an empty table gives no rows.
     """
@@ -98,10 +103,15 @@ def filter_urls(
     known = cut(rows.select(F.explode("keys").alias("key")).distinct())
     list_of: Callable[[str], list[str]] = lambda action: [h + p for a, h, p in rules if a == action]
     block, allow = (Cascade.build(known.withColumn("listed", F.col("key").isin(list_of(a)))) for a in ("block", "allow"))
-    hosts = Cascade.build(cut(rows.select(F.col("host").alias("key")).distinct().withColumn("listed", F.col("key").rlike(advertising))))
+    every = cut(rows.select(F.col("host").alias("key")).distinct().withColumn("listed", F.col("key").rlike(advertising)))
+    try:
+        advertises = Cascade.build(every).listed(F.col("host"))
+    except TooManyKeys:
+        rows = rows.join(every.where("listed").select(F.col("key").alias("host"), F.lit(True).alias("_listed")), "host", "left")
+        advertises = F.coalesce("_listed", F.lit(False))
 
     fitting = F.filter("keys", lambda k: block.listed(k) | allow.listed(k))
     longest = F.array_max(F.transform(fitting, lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"))))["rule"]
     rows = rows.withColumn("rule", longest)
-    blocked = F.when(F.col("rule").isNotNull(), block.listed(F.col("rule"))).otherwise(hosts.listed(F.col("host")))
+    blocked = F.when(F.col("rule").isNotNull(), block.listed(F.col("rule"))).otherwise(advertises)
     return rows.select("page_id", "host", "path", "rule", F.when(blocked, "block").otherwise("allow").alias("verdict"))

@@ -235,6 +235,16 @@ def test_url_filter(spark):
     assert url_cascade.filter_urls(df.limit(0), rules, "ads").count() == 0
 
 
+def test_url_filter_beyond_a_constant(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"http://ads.h{i}.org/fr/" if i % 3 else f"http://h{i}.com/", "a", "b") for i in range(100)], "page_id long, url string, host string, rule string")
+    found = url_cascade.filter_urls(df, (("allow", "h1.org", "/fr/"),), r"(^|\.)ads\.")
+    expected = {(x.page_id, x.rule, x.verdict) for x in found.collect()}
+    monkeypatch.setattr(url_cascade, "MOST_WORDS", 5)
+    again = url_cascade.filter_urls(df, (("allow", "h1.org", "/fr/"),), r"(^|\.)ads\.")
+    assert {(x.page_id, x.rule, x.verdict) for x in again.collect()} == expected
+    assert sum(v == "block" for *_, v in expected) == 65
+
+
 def test_cascade_is_exact(spark, monkeypatch):
     monkeypatch.setattr(url_cascade, "BITS", 2)
     keys = spark.range(3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), (F.pmod(F.xxhash64("id"), F.lit(5)) == 0).alias("listed"))
@@ -369,3 +379,20 @@ def test_pipeline(spark):
         assert out.columns == odd.columns
         out.collect()
         stage(spark, odd.limit(0), "/root/testdata/sf0.001").collect()
+
+
+def test_sql(spark, sf_dir):
+    """The queries that SQL can express, on the smallest tables."""
+    import os
+
+    import duckdb
+
+    from spanlake.llm import registry
+
+    con = duckdb.connect()
+    for name in os.listdir(sf_dir):
+        con.execute(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM '{sf_dir}/{name}'")
+    for name, sql in registry.oracle_sql().items():
+        got, expected = registry.queries()[name](spark, sf_dir).toPandas(), con.execute(sql).df()
+        rows = [sorted(map(str, f[sorted(expected.columns)].itertuples(index=False, name=None))) for f in (got.astype(object).where(got.notna(), None), expected.astype(object).where(expected.notna(), None))]
+        assert sorted(got.columns) == sorted(expected.columns) and rows[0] == rows[1], name
