@@ -109,3 +109,25 @@ def cut_points(pauses, interval: int):
         return F.struct(F.when(here, t).otherwise(last).alias("last"), F.when(here, F.concat(cuts, F.array(t))).otherwise(cuts).alias("cuts"))
 
     return F.aggregate(pauses, start, step)["cuts"]
+
+
+def extend_back(segments: DataFrame, captions: DataFrame, keys: list[str], ident: str, reach: int, holds: Column, width: int) -> DataFrame:
+    """``ident``, ``start_ms``: segments (``l_start``) begun earlier, over the unbroken row of captions (``r_start``,
+    ``r_end``) before them for which ``holds``, at most ``reach`` back."""
+    before = segments.select(*keys, ident, F.col("l_start").alias("begin"), (F.col("l_start") - reach).alias("l_start"), F.col("l_start").alias("l_end"))
+    near = overlap_join(before, captions, keys, width, how="within")
+    w = Window.partitionBy(ident).orderBy(F.desc("r_start"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0)
+    ok = near.withColumn("_ok", F.bool_and(holds).over(w)).where("_ok")
+    moved = ok.groupBy(ident).agg(F.min("r_start").alias("_new"))
+    return segments.join(moved, ident, "left").select(ident, F.coalesce("_new", "l_start").alias("start_ms"))
+
+
+def edited(start: Column, end: Column, advice: Column, most: int) -> Column:
+    """Bounds after an advice such as ``extend end by 12 s``, ``shrink start by 3 s`` or ``remove``; moves are limited."""
+    side, verb = F.regexp_extract(advice, r"(start|end)", 1), F.regexp_extract(advice, r"^(extend|shrink|remove)", 1)
+    by = F.least(F.regexp_extract(advice, r"by (\d+) s", 1).try_cast("long") * 1000, F.lit(most))
+    out = F.when(verb == "extend", by).otherwise(-by)
+    a = F.when(side == "start", start - out).otherwise(start)
+    b = F.when(side == "end", end + out).otherwise(end)
+    kept = F.struct(F.greatest(F.lit(0), a).alias("start_ms"), b.alias("end_ms"))
+    return F.when(verb == "remove", F.lit(None)).when(verb == "", F.struct(start.alias("start_ms"), end.alias("end_ms"))).when(a < b, kept)

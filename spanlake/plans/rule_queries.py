@@ -435,3 +435,48 @@ def titled_collections(spark, sf_dir):
     n = c.groupBy("title").agg(F.count("*").alias("n")).where("n >= 2")
     first = rel.top(c, ["title"], [F.col("c_custkey")], 5).groupBy("title").agg(F.array_sort(F.collect_list("c_custkey")).alias("clip_ids"))
     return first.join(n, "title").select("title", "clip_ids", "n")
+
+
+@register("F9_internal_gaps", SEGMENTS + """,
+p AS (SELECT segment_id, r_start, r_end, event_id, max(r_end) OVER (PARTITION BY segment_id ORDER BY r_start, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+  FROM segments JOIN others USING (media_id) WHERE r_start < l_end + 43200000 AND r_end > l_start - 43200000)
+SELECT segment_id, reach AS start_ms, r_start AS end_ms FROM p WHERE r_start - reach > 7200000""")
+def internal_gaps(spark, sf_dir):
+    """Sections to remove: gaps of more than two hours between the captions around a segment."""
+    p = joins.overlap_join(segments(spark, sf_dir), others(spark, sf_dir), ["media_id"], 72 * BIN, margin=43_200_000)
+    w = Window.partitionBy("segment_id").orderBy("r_start", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    p = p.withColumn("reach", F.max("r_end").over(w)).where(F.col("r_start") - F.col("reach") > 7_200_000)
+    return p.select("segment_id", F.col("reach").alias("start_ms"), F.col("r_start").alias("end_ms"))
+
+
+@register("F14_cross_clip_boundary", """
+WITH c AS (SELECT conv_id, turn, text, (turn // 3) AS clip, regexp_extract(text, '[A-Za-z]{2,}') AS word FROM conversations),
+k AS (SELECT conv_id, clip, lead(w) OVER (PARTITION BY conv_id ORDER BY clip) AS next_word FROM (SELECT conv_id, clip, arg_min(word, turn) AS w FROM c GROUP BY ALL))
+SELECT conv_id, clip, max(turn) AS cut_at FROM c JOIN k USING (conv_id, clip) WHERE next_word <> '' AND contains(text, next_word) GROUP BY conv_id, clip""")
+def cross_clip_boundary(spark, sf_dir):
+    """Of three turns each, the last turn of a clip that holds the first word of the next clip."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.floor(F.col("turn") / 3).alias("clip"), F.regexp_extract("text", r"[A-Za-z]{2,}", 0).alias("word"))
+    k = c.groupBy("conv_id", "clip").agg(F.min_by("word", "turn").alias("w"))
+    k = k.select("conv_id", "clip", F.lead("w").over(Window.partitionBy("conv_id").orderBy("clip")).alias("next_word")).where("next_word <> ''")
+    return c.join(k, ["conv_id", "clip"]).where(F.contains("text", F.col("next_word"))).groupBy("conv_id", "clip").agg(F.max("turn").alias("cut_at"))
+
+
+@register("F15_extend_back", SEGMENTS + """,
+p AS (SELECT segment_id, r_start, bool_and(event_type <> 'error') OVER (PARTITION BY segment_id ORDER BY r_start DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS ok
+  FROM segments JOIN others USING (media_id) WHERE r_end <= l_start AND r_start >= l_start - 86400000),
+m AS (SELECT segment_id, min(r_start) AS a FROM p WHERE ok GROUP BY segment_id)
+SELECT segment_id, coalesce(a, l_start) AS start_ms FROM segments LEFT JOIN m USING (segment_id)""")
+def extend_back(spark, sf_dir):
+    return topics.extend_back(segments(spark, sf_dir), others(spark, sf_dir), ["media_id"], "segment_id", 86_400_000, F.col("event_type") != "error", 144 * BIN)
+
+
+@register("X11_boundary_advice", SEGMENTS + """,
+a AS (SELECT *, segment_id % 3 AS k, least((segment_id % 300) * 1000, 180000) AS d FROM segments),
+b AS (SELECT segment_id, k, CASE WHEN k = 1 THEN l_start + d ELSE l_start END AS s, CASE WHEN k = 0 THEN l_end + d ELSE l_end END AS e FROM a)
+SELECT segment_id, greatest(0, s) AS start_ms, e AS end_ms FROM b WHERE k <> 2 AND s < e""")
+def boundary_advice(spark, sf_dir):
+    by = F.concat(F.lit(" by "), (F.col("segment_id") % 300).cast("string"), F.lit(" s"))
+    k = F.col("segment_id") % 3
+    advice = F.when(k == 0, F.concat(F.lit("extend end"), by)).when(k == 1, F.concat(F.lit("shrink start"), by)).otherwise("remove")
+    new = topics.edited(F.col("l_start"), F.col("l_end"), advice, 180_000)
+    return segments(spark, sf_dir).select("segment_id", new.alias("n")).where("n is not null").select("segment_id", "n.start_ms", "n.end_ms")
