@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +43,17 @@ def keep_ids(df: DataFrame, key: str, ids: DataFrame, how: str = "left_semi", mo
 def band(data: Column, index: int, width: int) -> Column:
     """Bucket key of the ``index``-th ``width`` bytes of a binary column."""
     return F.xxhash64(F.lit(index), F.substring(data, index * width + 1, width))
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of ``batches`` whose strings in ``column`` have about ``size`` bytes together, or one row that has more.
+
+    Python objects and work arrays then take a bounded multiple of that, however many or long a batch's texts are.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi

@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanlake.llm.common import slices
+
 #: Characters past its end that the pattern may have examined for a match.
 LOOKAHEAD = 4
 #: Different pre-tokens whose counts a worker keeps.
@@ -145,7 +147,7 @@ def count_after_edits(docs: DataFrame, editor: Callable[[str], Edits], id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path, pattern)
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = []
             for b in batch.column(1).to_pylist():
                 text = (b or b"").decode("utf-8", "replace")

@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanlake.llm.common import slices
+
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _NONE = np.int32(2**31 - 1)
-#: Characters encoded at once, and words kept between batches: both bound a worker's memory.
-CHUNK, KEPT = 1 << 21, 400_000
+#: Bytes of text encoded at once, and words kept between batches: both bound a worker's memory.
+CHUNK, KEPT = 1 << 20, 200_000
 
 
 def default_model() -> str:
@@ -246,17 +248,6 @@ class Encoder:
         return gather(self.pool, self.starts[at], sizes), np.diff(ends)
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= CHUNK:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _offsets(sizes: np.ndarray) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
 
@@ -272,14 +263,12 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for batch in batches:
-            texts = [(b or b"").decode("utf-8", "replace") for b in batch.column(1).to_pylist()]
-            for lo, hi in _slices(texts):
-                ids, counts = encoder.encode(texts[lo:hi])
-                data, sizes = encoder.pieces.decode(ids, counts)
-                rows = pa.ListArray.from_arrays(_offsets(counts), pa.array(ids))
-                decoded = pa.StringArray.from_buffers(hi - lo, _offsets(sizes).buffers()[1], pa.py_buffer(data))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts.astype(np.int64)), rows, decoded], ["doc_id", "n_tokens", "ids", "decoded"])
+        for batch in slices(batches, 1, CHUNK):
+            ids, counts = encoder.encode([(b or b"").decode("utf-8", "replace") for b in batch.column(1).to_pylist()])
+            data, sizes = encoder.pieces.decode(ids, counts)
+            rows = pa.ListArray.from_arrays(_offsets(counts), pa.array(ids))
+            decoded = pa.StringArray.from_buffers(batch.num_rows, _offsets(sizes).buffers()[1], pa.py_buffer(data))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.astype(np.int64)), rows, decoded], ["doc_id", "n_tokens", "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanlake.llm.common import slices
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
@@ -132,7 +134,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = find_secrets([(b or b"").decode("utf-8", "replace") for b in batch.column(1).to_pylist()], allow)
             spans = [pa.array([[{"kind": k, "start": s, "end": e} for s, e, k in f[j]] for f in found], _TYPE) for j in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *spans], ["doc_id", "base", "spans"])
@@ -150,7 +152,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", allo
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             texts = batch.column(at).to_pylist()
             out = list(texts)
             for i, (_, spans) in enumerate(find_secrets([t or "" for t in texts], allow)):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import band, cut, keep_ids
+from spanlake.llm.common import band, cut, keep_ids, slices
 from spanlake.llm.components import connected_components
 from spanlake.llm.pieces import gather
 
@@ -167,21 +167,19 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
-    for batch in batches:
-        ids, texts = batch.column(0), [_bytes(t) for t in batch.column(1).to_pylist()]
-        for lo, hi in _chunks(texts):
-            shingles, at = shingler.sets(texts[lo:hi])
-            n = np.diff(at)
-            full = n > 0
-            starts = np.concatenate([at[:-1][full], at[-1:]])
-            regs = registers(shingles, starts)
-            prints = np.zeros((2, hi - lo), np.uint64)
-            if len(regs):
-                prints[0, full] = np.add.reduceat(_mix(shingles ^ _SHORT[0]), starts[:-1])
-                prints[1, full] = np.add.reduceat(_mix(shingles + _SHORT[1]), starts[:-1])
-            rows = iter(regs)
-            sketches = [next(rows).tobytes() if x else None for x in full]
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), pa.array(sketches, pa.binary())], ["doc_id", "n", "f1", "f2", "regs"])
+    for batch in slices(batches, 1, CHUNK):
+        shingles, at = shingler.sets([_bytes(t) for t in batch.column(1).to_pylist()])
+        n = np.diff(at)
+        full = n > 0
+        starts = np.concatenate([at[:-1][full], at[-1:]])
+        regs = registers(shingles, starts)
+        prints = np.zeros((2, len(n)), np.uint64)
+        if len(regs):
+            prints[0, full] = np.add.reduceat(_mix(shingles ^ _SHORT[0]), starts[:-1])
+            prints[1, full] = np.add.reduceat(_mix(shingles + _SHORT[1]), starts[:-1])
+        rows = iter(regs)
+        sketches = [next(rows).tobytes() if x else None for x in full]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), pa.array(sketches, pa.binary())], ["doc_id", "n", "f1", "f2", "regs"])
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,7 +202,7 @@ def _likely(threshold: float):
 def _confirmed(percent: int):
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for batch in batches:
+        for batch in slices(batches, 3, 4 * CHUNK):
             left, right = (batch.column(k).dictionary_encode() for k in (2, 3))
             sets = []
             for side in (left, right):  # each different text of a batch is hashed once
