@@ -40,8 +40,8 @@ def op4_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    evidence = langid.evidence_of_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages"))
-    found = langid.identify(evidence).withColumnRenamed("id", "doc_id")
+    evidence, captures = langid.evidence_of_documents(read(spark, sf_dir, "documents")), langid.captures_of_pages(read(spark, sf_dir, "pages"))
+    found = langid.identify(evidence, captures=captures).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", "language", F.round("confidence", 4).alias("confidence"), F.col("accepted").alias("kept"))
 
 
