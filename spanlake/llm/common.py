@@ -45,12 +45,26 @@ def band(data: Column, index: int, width: int) -> Column:
     return F.xxhash64(F.lit(index), F.substring(data, index * width + 1, width))
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, its session set to hand Python at most ``rows`` rows at a time.
+
+    Texts may be long: with the default of 10,000 rows a batch takes several times tens of megabytes in each task, and
+    both the executor and its Python worker keep what they once took.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark = df.sparkSession
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of ``batches`` whose strings in ``column`` have about ``size`` bytes together, or one row that has more.
 
     Python objects and work arrays then take a bounded multiple of that, however many or long a batch's texts are.
     """
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         lo = 0
         while lo < batch.num_rows:

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import slices
+from spanlake.llm.common import slices, small_batches
 
 #: Characters past its end that the pattern may have examined for a match.
 LOOKAHEAD = 4
@@ -157,7 +157,7 @@ def count_after_edits(docs: DataFrame, editor: Callable[[str], Edits], id_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_edits", "n_before", "n_after", "n_pretokens", "n_redone"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_edits long, n_before long, n_after long, n_pretokens long, n_redone long")
+    return small_batches(rows).mapInArrow(run, "doc_id long, n_edits long, n_before long, n_after long, n_pretokens long, n_redone long")
 
 
 _PERSONAL = regex.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|\b\d{3}[-. ]\d{3,4}[-. ]\d{4}\b|[ \t]{2,}")

@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import slices
+from spanlake.llm.common import slices, small_batches
 
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _NONE = np.int32(2**31 - 1)
 #: Bytes of text encoded at once, and words kept between batches: both bound a worker's memory.
-CHUNK, KEPT = 1 << 20, 200_000
+CHUNK, KEPT = 1 << 19, 150_000
 
 
 def default_model() -> str:
@@ -271,4 +271,4 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.astype(np.int64)), rows, decoded], ["doc_id", "n_tokens", "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return small_batches(rows).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")

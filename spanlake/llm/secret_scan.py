@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import slices
+from spanlake.llm.common import slices, small_batches
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -140,7 +140,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow:
             yield pa.RecordBatch.from_arrays([batch.column(0), *spans], ["doc_id", "base", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, base {_SPANS}, spans {_SPANS}")
+    return small_batches(rows).mapInArrow(run, f"doc_id long, base {_SPANS}, spans {_SPANS}")
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", allow: tuple[str, ...] = ALLOWED) -> DataFrame:
@@ -165,4 +165,4 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", allo
                     out[i] = "".join([*parts, texts[i][end:]])
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import band, cut, keep_ids, slices
+from spanlake.llm.common import band, cut, keep_ids, slices, small_batches
 from spanlake.llm.components import connected_components
 from spanlake.llm.pieces import gather
 
@@ -185,7 +185,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, set size ``n``, 128-bit set fingerprint ``f1``, ``f2`` and registers ``regs`` (null for an empty set)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_sketch, "doc_id long, n long, f1 long, f2 long, regs binary")
+    return small_batches(rows).mapInArrow(_sketch, "doc_id long, n long, f1 long, f2 long, regs binary")
 
 
 def _likely(threshold: float):
