@@ -13,6 +13,8 @@ from spanlake.llm.common import read
 
 #: The most often that mixing uses a document on average of its source; the largest source is used once.
 MAX_EPOCHS = 1.25
+#: Shared share of five-word shingles, in percent, from which documents are near-duplicates.
+NEAR = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return setsketch.keep_one(docs)
+    return setsketch.keep_one(docs, NEAR)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,8 +24,8 @@ from spanlake.llm.components import connected_components
 from spanlake.llm.pieces import gather
 
 WORDS = 5
-#: A pair at the threshold of 0.85 shares no band with probability (1 - 0.85**6)**32 < 3e-7.
-BANDS, ROWS = 32, 6
+#: A pair at the least threshold in use, 0.8, shares no band with probability (1 - 0.8**5)**38 < 3e-7.
+BANDS, ROWS = 38, 5
 #: Register spacing, rate and largest value.
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 #: A pair is let go before verification only if the likelihood at the threshold is below exp(-LEEWAY) of the largest.
@@ -268,7 +268,8 @@ def _promising(percent: int):
     def found(rows: pa.RecordBatch, left: np.ndarray, right: np.ndarray):
         root, n = rows.column("root").to_numpy(), rows.column("n").to_numpy()
         regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint16).reshape(len(root), -1)
-        most = 0.6 * regs.shape[1]  # equal registers: ten standard deviations below what the threshold gives
+        t, k = percent / 100, regs.shape[1]
+        most = k * t - 10 * np.sqrt(k * t * (1 - t))  # equal registers: ten standard deviations below what the threshold gives
         flag = np.zeros(len(root), bool)
         for k, x in enumerate(left):
             y = right[k + 1 :] if right is left else right

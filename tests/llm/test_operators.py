@@ -92,6 +92,27 @@ def test_near_duplicates_blocks(spark, monkeypatch):
     assert [found[i] for i in range(40)] == expected
 
 
+def test_near_duplicates_stage(spark, monkeypatch):
+    """The pipeline's stage links from 0.8 on, also where buckets are compared in blocks; pairs at 0.8 share a band."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pairs = [(" ".join(f"p{i}w{k}" for k in range(49)), " ".join(f"p{i}w{k}" for k in range(5 - i % 2, 54 - i % 2))) for i in range(40)]  # 45 shingles each, 40 or 41 shared
+    odd = docs_of(spark, [t for p in pairs for t in p], range(10_000, 10_080)).select(docs.columns)
+    docs = docs.select(*[F.col(c).cast(k) for c, k in odd.dtypes]).unionAll(odd)
+    texts = {x.doc_id: x.text for x in docs.collect()}
+    ids = sorted(texts)
+    sets = [shingles(texts[i]) for i in ids]
+
+    def survivors(percent):
+        return {ids[k] for k in roots_of(len(ids), lambda i, j: bool(sets[i] and sets[j]) and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]))}
+
+    assert len(survivors(80)) <= len(survivors(85)) - 40
+    for block in (2048, 3):
+        monkeypatch.setattr(setsketch, "BLOCK", block)
+        found = corpus_pipeline.near_duplicates(spark, docs, "")
+        assert {x.doc_id for x in found.select("doc_id").collect()} == survivors(80)
+    assert (1 - 0.8**setsketch.ROWS) ** setsketch.BANDS < 3e-7
+
+
 def test_near_duplicates_ids(spark):
     text = "the same words again and again for ever"
     rows = setsketch.near_duplicates(docs_of(spark, [text, text, text, "others are here to be seen now", text], [None, 5, 3, 3, 5])).collect()
