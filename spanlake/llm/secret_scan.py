@@ -26,9 +26,11 @@ BASE_KINDS = ("assign", "access", "hex")
 CLASSES = {"entropy_hex": (20, 3.0), "entropy_base32": (20, 3.4), "entropy_base64": (20, 3.9)}
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 _MIXED = re.compile(r"(?=[^0-9]*[0-9][^0-9]*[0-9])(?=.*[A-Za-z])", re.DOTALL)
+_DELIMITERS, _SEGMENT = frozenset("+/_=-"), re.compile(r"[^+/_=-]+")
 _HEX_CHARS = re.compile(r"[0-9a-fA-F]+\Z")
 _BASE32_CHARS = re.compile(r"[A-Z0-9]+=*\Z")
 #: Strings that look random and are none: example keys, UUIDs, dotted or slashed paths of words, counters, placeholders.
+#: A pattern covers the characters that it matches, in a candidate or in one of its segments, and no others.
 ALLOWED = (
     r"EXAMPLE|example|placeholder|changeme|dummy|sample",
     r"\A[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\Z",
@@ -85,15 +87,32 @@ def _class_of(s: str) -> str:
     return "entropy_hex" if _HEX_CHARS.match(s) else "entropy_base32" if _BASE32_CHARS.match(s) else "entropy_base64"
 
 
-def entropy_spans(texts: list[str], allowed: re.Pattern[str] | None) -> list[list[tuple[int, int, str]]]:
-    """(start, end, kind) for each text: unions of the windows whose entropy reaches their class's bound."""
+def _uncovered(s: str, allowed: list[re.Pattern[str]]) -> np.ndarray | None:
+    """Sums of the characters before each place of a candidate that no allowed pattern covers; None if all are covered.
+
+    Delimiters between segments count as covered.
+    """
+    left = np.array([c not in _DELIMITERS for c in s])
+    parts = [(0, s)] + ([(m.start(), m.group()) for m in _SEGMENT.finditer(s)] if not left.all() else [])
+    for start, part in parts:
+        for pattern in allowed:
+            for m in pattern.finditer(part):
+                left[start + m.start() : start + m.end()] = False
+    return np.concatenate([[0], np.cumsum(left)]) if left.any() else None
+
+
+def entropy_spans(texts: list[str], allowed: list[re.Pattern[str]]) -> list[list[tuple[int, int, str]]]:
+    """(start, end, kind) for each text: unions of the windows whose entropy reaches their class's bound.
+
+    A window whose characters are all covered by allowed patterns is passed over; the rest of its candidate is not.
+    """
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    by: dict[str, list[tuple[int, int, str]]] = {k: [] for k in CLASSES}
+    by: dict[str, list[tuple[int, int, str, np.ndarray]]] = {k: [] for k in CLASSES}
     for i, t in enumerate(texts):
         for m in _CANDIDATE.finditer(t):
             s = m.group()
-            if _MIXED.match(s) and not (allowed and allowed.search(s)):
-                by[_class_of(s)].append((i, m.start(), s))
+            if _MIXED.match(s) and (left := _uncovered(s, allowed)) is not None:
+                by[_class_of(s)].append((i, m.start(), s, left))
     for kind, (width, bound) in CLASSES.items():
         group = sorted(by[kind], key=lambda x: len(x[2]))
         at = 0
@@ -101,8 +120,8 @@ def entropy_spans(texts: list[str], allowed: re.Pattern[str] | None) -> list[lis
             most = at + max(1, min(4096, 2_000_000 // (2 * len(group[at][2]) + 64)))
             part = [g for g in group[at:most] if len(g[2]) <= 2 * len(group[at][2]) + 64]
             at += len(part)
-            for (i, start, _), h in zip(part, entropies([g[2] for g in part], width), strict=True):
-                high = np.flatnonzero(h >= bound - 1e-9)
+            for (i, start, _, left), h in zip(part, entropies([g[2] for g in part], width), strict=True):
+                high = np.flatnonzero((h >= bound - 1e-9) & (left[width:] > left[:-width]))
                 if len(high):
                     breaks = np.flatnonzero(np.diff(high) > width)
                     for lo, hi in zip(high[np.concatenate([[0], breaks + 1])], high[np.concatenate([breaks, [len(high) - 1]])], strict=True):
@@ -112,7 +131,7 @@ def entropy_spans(texts: list[str], allowed: re.Pattern[str] | None) -> list[lis
 
 def find_secrets(texts: list[str], allow: tuple[str, ...] = ALLOWED) -> list[tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]]:
     """For each text its base spans and all spans, as (start, end, kind) in order of start, then kind."""
-    allowed = re.compile("|".join(allow)) if allow else None
+    allowed = [re.compile(x) for x in allow]
     order = {k: i for i, k in enumerate((*BASE_KINDS, *CLASSES))}
     out = []
     for text, more in zip(texts, entropy_spans(texts, allowed), strict=True):
@@ -129,8 +148,8 @@ _TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end"
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: tuple[str, ...] = ALLOWED) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``base`` (spans of fixed formats) and ``spans`` (those and the method's).
 
-    Base spans are never suppressed; ``allow`` lists patterns of strings that the entropy test passes over. A null or
-    empty text has no spans. Repeated and null ids are kept as they are; other columns are left out.
+    Base spans are never suppressed; ``allow`` lists patterns of strings that the entropy test passes over, which are
+    looked for in candidates and in their segments between delimiters. A null or empty text has no spans. Repeated and null ids are kept as they are; other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

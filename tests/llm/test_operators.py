@@ -179,6 +179,21 @@ def test_secret_spans(spark):
     assert out[8] == "k=[secret]" and out[4] is None and out[5] == ""
 
 
+def _spans(texts, **options):
+    return [[tuple(x) for x in f[1]] for f in secret_scan.find_secrets(texts, **options)]
+
+
+def test_secrets_beside_allowed_strings():
+    """What an allow pattern matches is passed over, and nothing else of the run it stands in."""
+    key = "q7Zx81LmP0vTr4Wn9KsYb2HdEa6UcGf3"
+    for text in (f"https://host.net/example/keys/{key}", f"see sample-{key}", f"{key}/dummy", f"x0123456789_{key}", f"example{key}", f"a/{key[:25]}/placeholder/{key}"):
+        found = _spans([text])[0]
+        at = text.rindex(key)
+        assert any(k == "entropy_base64" and s <= at and e >= at + len(key) for s, e, k in found), text
+    clean = ["/usr/local/share/applications/documentation", "--example/placeholder--dummy_sample/changeme", "550e8400-e29b-41d4-a716-446655440000", "1234567890-1234567890/12345", "thanbleshaningtionnt"]
+    assert _spans(clean) == [[] for _ in clean]
+
+
 def test_entropies_are_those_of_windows():
     r = random.Random(4)
     strings = ["".join(r.choice("abc123XYZ") for _ in range(n)) for n in (20, 24, 57, 21)]
