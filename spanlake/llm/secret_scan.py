@@ -22,10 +22,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 BASE_KINDS = ("assign", "access", "hex")
-#: Character classes: the window's width and the least entropy in bits. Candidates have 24 characters at least.
+#: Character classes: the window's width and the least entropy in bits. Candidates are at least as long as a window.
 CLASSES = {"entropy_hex": (20, 3.0), "entropy_base32": (20, 3.4), "entropy_base64": (20, 3.9)}
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
-_MIXED = re.compile(r"(?=[^0-9]*[0-9][^0-9]*[0-9])(?=.*[A-Za-z])", re.DOTALL)
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{min(w for w, _ in CLASSES.values())},}}={{0,2}}")
 _DELIMITERS, _SEGMENT = frozenset("+/_=-"), re.compile(r"[^+/_=-]+")
 _HEX_CHARS = re.compile(r"[0-9a-fA-F]+\Z")
 _BASE32_CHARS = re.compile(r"[A-Z0-9]+=*\Z")
@@ -111,7 +110,7 @@ def entropy_spans(texts: list[str], allowed: list[re.Pattern[str]]) -> list[list
     for i, t in enumerate(texts):
         for m in _CANDIDATE.finditer(t):
             s = m.group()
-            if _MIXED.match(s) and (left := _uncovered(s, allowed)) is not None:
+            if (left := _uncovered(s, allowed)) is not None:
                 by[_class_of(s)].append((i, m.start(), s, left))
     for kind, (width, bound) in CLASSES.items():
         group = sorted(by[kind], key=lambda x: len(x[2]))

@@ -194,6 +194,14 @@ def test_secrets_beside_allowed_strings():
     assert _spans(clean) == [[] for _ in clean]
 
 
+def test_secrets_of_few_digits_and_short_ones():
+    """Entropy and the allow-list alone decide, from the window's width on."""
+    one, none, short = "qZxULmPavTrcWnEKsYbD7HdJeaUc", "qZxULmPavTrcWnEKsYbDkHdJeaUc", "q7Zx81LmP0vTr4Wn9KsY"
+    assert [[(s, e) for s, e, _ in f] for f in _spans([one, short, none])] == [[(0, 28)], [(0, 20)], []]
+    assert _spans([none], allow=()) == [[(0, 28, "entropy_base64")]]
+    assert _spans([short[:19]]) == [[]]
+
+
 def test_entropies_are_those_of_windows():
     r = random.Random(4)
     strings = ["".join(r.choice("abc123XYZ") for _ in range(n)) for n in (20, 24, 57, 21)]
