@@ -3,7 +3,9 @@
 Four kinds of evidence give a posterior over languages: the text (byte trigrams, trained on all rows that declare one
 of the languages), the language declared in the markup, the suffix of the address, and the host. Host priors are
 smoothed hierarchically: a host's counts are backed by those of its site (the last two labels), these by the suffix and
-these by the whole table. All tables of counts are grouped aggregations; hosts meet their priors in a join.
+these by the whole table. All tables of counts are grouped aggregations; hosts meet their priors in a join. One more
+hypothesis, any other language or none, competes with the languages: its text is as likely per trigram as a text at the
+lower edge of the spread of the rows that the model is trained on.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from spanlake.llm.url_cascade import host_of
 LANGUAGES = ("de", "en", "es", "fr")
 #: Hashed trigrams, weight of a trigram (neighbours overlap), smoothing of the text model and of the priors.
 BUCKETS, WEIGHT, ADD, STRENGTH = 1 << 14, 0.3, 0.5, 20.0
+#: Prior of another language or junk, and the edge of its texts: standard deviations of a trigram, and of a text's mean.
+OTHER, FAR, SURE = 1e-3, 1.75, 4.0
 #: Posterior that a document needs to be kept.
 LEAST = 0.5
 CHUNK = 1 << 20
@@ -80,14 +84,17 @@ def _scores(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.value
         for batch in slices(batches, 5, CHUNK):
-            out = np.zeros((batch.num_rows, len(table)))
+            out, square = np.zeros((batch.num_rows, len(table))), np.zeros(batch.num_rows)
             size = np.zeros(batch.num_rows, np.int64)
             for lo, hi, found, starts in _pieces(batch.column(batch.num_columns - 1).to_pylist()):
                 size[lo:hi] = np.diff(starts) - 2
                 for k in range(len(table)):
                     out[lo:hi, k] = np.add.reduceat(table[k][found], starts[:-1])
+                best = np.repeat(out[lo:hi].argmax(1), np.diff(starts))
+                square[lo:hi] = np.add.reduceat(table[best, found[: len(best)]] ** 2, starts[:-1])
             out[size == 0] = 0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(list(out * WEIGHT), pa.list_(pa.float64())), pa.array(size)], [*batch.schema.names[:-1], "text_ll", "size"])
+            columns = [pa.array(list(out * WEIGHT), pa.list_(pa.float64())), pa.array(square), pa.array(size)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], "text_ll", "square", "size"])
 
     return run
 
@@ -105,7 +112,11 @@ def identify(docs: DataFrame, languages: Sequence[str] = LANGUAGES, least: float
     (``number``, ``markup``, ``host_``) also ``number``, and a capture's values go before the row's own. The log posterior
     of a language is the sum of the text's log likelihood, the smoothed log probabilities of the declared language
     (and of having declared none) and of the host's suffix given the language, and the log of the host's prior. Counts
-    use each row's most likely language by text. ``accepted`` says that the best posterior reaches ``least`` and that
+    use each row's most likely language by text. The posterior is over the languages and one more hypothesis, any other
+    language or junk: with ``mean`` and ``sd`` of a trigram's log likelihood over the rows that declare one of the
+    languages, each row counting once, its text has ``mean - sd * (FAR + SURE / sqrt(trigrams))`` for a trigram. Rows
+    whose text it explains best are left out of the counts, and the declared language and the suffix say nothing about it.
+    ``language`` is the best of the languages, ``accepted`` says that its posterior reaches ``least`` and that
     the text has at least one letter; a null, empty or letterless text is never accepted. Ties go to the language that
     comes first. Unknown declared languages are evidence like any other value. Repeated rows are judged alike; an empty
     table gives no rows.
@@ -117,13 +128,23 @@ def identify(docs: DataFrame, languages: Sequence[str] = LANGUAGES, least: float
     model = small_batches(rows).sparkSession.sparkContext.broadcast(train(rows, languages))  # languages * BUCKETS numbers
     scored = rows.select("id", "number", "declared", "host", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), F.col("text").cast("binary").alias("text"))
     kind = dict(docs.select("id").dtypes)["id"]
-    scored = scored.mapInArrow(_scores(model), f"id {kind}, number long, declared string, host string, letters boolean, text_ll array<double>, size long")
+    scored = scored.mapInArrow(_scores(model), f"id {kind}, number long, declared string, host string, letters boolean, text_ll array<double>, square double, size long")
+    own = F.col("declared").isin(*languages)  # before a capture's value goes before it: the rows of the model
+    scored = scored.withColumn("own", own)
     if captures is not None:  # texts have been scored before this shuffle
         scored = scored.join(captures, "number", "left").withColumn("declared", F.coalesce(F.lower("markup"), "declared")).withColumn("host", F.coalesce("host_", "host"))
-    scored = cut(scored.select("id", "declared", "host", "letters", "text_ll", "size"))
+    scored = cut(scored.select("id", "declared", "host", "letters", "text_ll", "square", "size", "own"))
+    trigrams = F.col("size") + 2  # with those that reach into the blanks around a text
+    m = scored.where("own and size > 0").agg(F.avg(F.array_max("text_ll") / trigrams / WEIGHT).alias("mean"), F.avg(F.col("square") / trigrams).alias("square")).first()
+    if m["mean"] is None:  # nothing declares a language, so the text says nothing
+        edge = F.lit(float("-inf"))
+    else:
+        sd = max(m["square"] - m["mean"] ** 2, 0.0) ** 0.5
+        edge = WEIGHT * (trigrams * (m["mean"] - FAR * sd) - SURE * sd * F.sqrt(trigrams))
+    scored = scored.withColumn("other_ll", edge)
     levels = _levels(F.col("host"))
     best = F.expr("array_position(text_ll, array_max(text_ll)) - 1").cast("int")
-    counts = cut(scored.where("size > 0").groupBy("declared", "host", best.alias("k")).count())
+    counts = cut(scored.where("size > 0 and array_max(text_ll) >= other_ll").groupBy("declared", "host", best.alias("k")).count())
     one = lambda *by: counts.groupBy(*by).agg(*[F.sum(F.when(F.col("k") == k, F.col("count")).otherwise(0)).cast("double").alias(f"n{k}") for k in range(n)])
     whole = one().first()
     total = [float(whole[f"n{k}"] or 0) for k in range(n)]
@@ -146,8 +167,11 @@ def identify(docs: DataFrame, languages: Sequence[str] = LANGUAGES, least: float
     fused = scored.join(priors, "host", "left").join(declared, "declared", "left")
     parts = [F.col("text_ll")] + [F.coalesce(c, none) for c in ("host_ll", "suffix_ll", "declared_ll")]
     fused = fused.withColumn("ll", F.array(*[sum((F.get(p, F.lit(k)) for p in parts[1:]), F.get(parts[0], F.lit(k))) for k in range(n)]))
-    top = F.array_max("ll")
-    confidence = 1 / F.aggregate("ll", F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    mean = lambda c: F.log(F.aggregate(F.coalesce(c, none), F.lit(0.0), lambda s, x: s + F.exp(x)) / n)
+    other = F.col("other_ll") + mean(F.col("suffix_ll")) + mean(F.col("declared_ll")) + F.lit(float(np.log(OTHER / (1 - OTHER))))
+    fused = fused.withColumn("other", other)
+    top = F.greatest(F.array_max("ll"), "other")
+    confidence = F.exp(F.array_max("ll") - top) / F.aggregate("ll", F.exp(F.col("other") - top), lambda s, x: s + F.exp(x - top))
     language = F.get(F.array(*[F.lit(x) for x in languages]), F.expr("array_position(ll, array_max(ll)) - 1").cast("int"))
     return fused.select("id", language.alias("language"), confidence.alias("confidence"), (F.col("letters") & (confidence >= least)).alias("accepted"))
 

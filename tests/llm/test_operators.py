@@ -382,6 +382,26 @@ def test_language_id(spark):
     assert langid.identify(langid.evidence_of_documents(odd.limit(0))).count() == 0
 
 
+FOREIGN = {
+    "it": "Quando arrivò la sera tutti i ragazzi tornarono a casa con le loro biciclette e la nonna preparò una cena molto buona per la famiglia. Il gatto dormiva sul tetto mentre la pioggia cadeva piano sulla città vecchia e sulle sue strade strette, e nessuno parlava più del lungo viaggio verso il mare.",
+    "pl": "Wieczorem wszystkie dzieci wróciły do domu na swoich rowerach, a babcia przygotowała bardzo dobrą kolację dla całej rodziny. Kot spał na dachu, podczas gdy deszcz powoli padał na stare miasto i jego wąskie ulice, i nikt już nie mówił o długiej podróży nad morze.",
+    "zh": "今天天气很好，我们一起去公园散步。晚上孩子们骑着自行车回家，奶奶为全家准备了一顿丰盛的晚餐。猫在屋顶上睡觉，雨慢慢地落在古老的城市里。" * 2,
+}
+
+
+def test_other_languages_go(spark):
+    """Texts of other languages and junk have low confidence and go; those of the four languages stay."""
+    r = random.Random(12)
+    texts = [*FOREIGN.values(), "".join(r.choice("bcdfghjklmnpqrstvwxz ") for _ in range(300))]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for declared in (None, "it", "zz"):
+        odd = docs_of(spark, texts, range(10_000, 10_000 + len(texts))).withColumn("lang", F.lit(declared).cast("string")).select(docs.columns)
+        both = docs.select(*[F.col(c).cast(k) for c, k in odd.dtypes]).unionAll(odd)
+        found = langid.identify(langid.evidence_of_documents(both)).collect()
+        assert all(x.accepted == (x.id < 10_000) and (x.confidence > 0.5) == x.accepted for x in found) and len(found) == both.count()
+        assert {x.doc_id for x in langid.keep_identified(both).select("doc_id").collect()} == {x.doc_id for x in docs.select("doc_id").collect()}
+
+
 def test_edit_counts(spark):
     counter = edit_counts.Counter(*edit_counts.default_vocabulary())
     full = lambda t: len(counter.encoding.encode_ordinary(t))
