@@ -98,6 +98,15 @@ def align_sentences(spark, sf_dir):
     return d.select("doc_id", (F.col("i") + 1).alias("i"), F.when(total > 0, F.floor(60000.0 * before / total)).otherwise(0).alias("start_ms"))
 
 
+@register("F36_align_all_sentences")
+def align_all_sentences(spark, sf_dir):
+    """All sentences of each text: a sentence starts at its offset's share of the whole text, of 60 s."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("total"), F.posexplode(F.split("text", r"\.")).alias("i", "sentence"))
+    w = Window.partitionBy("doc_id").orderBy("i")
+    before = F.sum(F.length("sentence") + 1).over(w) - F.length("sentence") - 1  # with the full stops
+    return d.select("doc_id", (F.col("i") + 1).alias("i"), F.when(F.col("total") > 0, F.floor(60000.0 * before / F.col("total"))).otherwise(0).alias("start_ms"))
+
+
 @register("H1_strip_fillers", "SELECT doc_id, trim(regexp_replace(replace(replace(text, 'tion', ''), 'er', ''), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ') AS cleaned FROM documents")
 def strip_fillers(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.strip_fillers(F.col("text"), ["er", "tion"]).alias("cleaned"))

@@ -44,3 +44,16 @@ def test_query(spark, sf_dir, tables, name):
     expected = tables.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(expected.columns)
     assert rows(got) == rows(expected)
+
+
+def test_all_sentences(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    expected = set()
+    for key, text in texts.items():
+        at = 0
+        for i, sentence in enumerate((text or "").split(".") if text is not None else []):
+            expected.add((key, i + 1, math.floor(60000.0 * at / len(text)) if text else 0))
+            at += len(sentence) + 1
+    got = QUERIES["F36_align_all_sentences"](spark, sf_dir).collect()
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+    assert max(i for _, i, _ in expected) > 3
