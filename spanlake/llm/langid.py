@@ -190,7 +190,7 @@ def captures_of_pages(pages: DataFrame) -> DataFrame:
     Of several captures the one with the smallest id counts. Pages without a number, or with a null address, have none.
     """
     number = F.regexp_extract(F.regexp_extract("url", r"^[^?#]*", 0), r"/(\d{1,18})(?:\.html|/)?$", 1)
-    markup = F.regexp_extract(F.substring("html", 1, 400), r"<html[^>]*\slang=[\"']?([A-Za-z]+)", 1)
+    markup = F.regexp_extract("html", r"<html[^>]*\slang=[\"']?([A-Za-z]+)", 1)
     seen = pages.select(F.expr("try_cast(page_id AS BIGINT)").alias("page_id"), number.try_cast("long").alias("number"), host_of(F.col("url")).alias("host_"), F.nullif(markup, F.lit("")).alias("markup"))
     seen = seen.where("number is not null").groupBy("number").agg(F.min(F.struct("page_id", "host_", "markup")).alias("p"))
     return seen.select("number", "p.host_", "p.markup")

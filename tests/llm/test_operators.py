@@ -402,6 +402,16 @@ def test_other_languages_go(spark):
         assert {x.doc_id for x in langid.keep_identified(both).select("doc_id").collect()} == {x.doc_id for x in docs.select("doc_id").collect()}
 
 
+def test_markup_far_down(spark):
+    """The html tag's language counts wherever the tag begins and however long it is."""
+    pages = [
+        (1, "http://a.org/en/1", f"<!-- {'licence ' * 200}--><html lang='fr'><p>"), (2, "http://a.org/en/2", f"<html {'data-x=1 ' * 200}lang=de>"),
+        (3, "http://a.org/en/3", '<html lang="es">'), (4, "http://a.org/en/4", "<html><p lang='es'>"), (5, "http://a.org/en/5", None),
+    ]
+    found = langid.captures_of_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {x.number: x.markup for x in found} == {1: "fr", 2: "de", 3: "es", 4: None, 5: None}
+
+
 def test_edit_counts(spark):
     counter = edit_counts.Counter(*edit_counts.default_vocabulary())
     full = lambda t: len(counter.encoding.encode_ordinary(t))
