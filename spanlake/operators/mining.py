@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlake.storage import checkpoints
+
 
 def term_counts(df: DataFrame, keys: Sequence[str], terms: Column, least: int = 1) -> DataFrame:
     """``term``, ``n`` for each key; map-side combined."""
@@ -53,13 +55,12 @@ def similar_pairs(df: DataFrame, key: str, grams: Column, threshold: float) -> D
     return full.select("a", "b", F.round(cosine, 6).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` (smallest reachable): labels take the least of their neighbours and of their label's label.
 
-    The lineage of each round is cut by a checkpoint; set ``spark.checkpoint.dir``, or pass ``folder``.
+    The lineage of each round is cut by a checkpoint.
     """
-    if folder is not None:
-        edges.sparkSession.sparkContext.setCheckpointDir(folder)
+    checkpoints(edges.sparkSession)
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node").checkpoint()
     while True:

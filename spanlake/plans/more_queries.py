@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -18,11 +15,12 @@ from spanlake.plans.relational_queries import table
 from spanlake.plans.text_queries import CAPTIONS, SIMILAR, WORDS, _similar, captions
 from spanlake.sources import srt
 from spanlake.sources.captions import from_events
+from spanlake.storage import checkpoints, shared_folder
 
 
 def folder(spark) -> str:
     """A new folder under the shared one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")) + f"/sink-{uuid.uuid4().hex}"
+    return shared_folder(spark, "sink")
 
 
 def one_line(c):
@@ -120,8 +118,7 @@ def merge_neighbour_pairs(spark, sf_dir):
 
 @register("F16_suppress_overlaps")
 def suppress_overlaps(spark, sf_dir):
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder(spark))
+    checkpoints(spark)
     e = from_events(spark, sf_dir).withColumn("score", F.col("event_id") % 7)
     # clips that last an hour around each event overlap often
     e = e.withColumn("end_ms", F.col("end_ms") + 3_600_000)

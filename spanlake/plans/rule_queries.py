@@ -17,11 +17,7 @@ from spanlake.plans.relational_queries import table
 from spanlake.plans.text_queries import CAPTIONS, SIMILAR, WORDS, _similar, captions
 from spanlake.sources import files
 from spanlake.sources.captions import from_events
-
-
-def checkpointed(spark) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder(spark))
+from spanlake.storage import checkpoints
 
 
 @register("A9_numbered_chunks", "SELECT conv_id % 12 AS chunk, row_number() OVER (PARTITION BY conv_id % 12 ORDER BY conv_id, turn) AS pos, conv_id, turn FROM conversations")
@@ -108,7 +104,7 @@ def trim_silence(spark, sf_dir):
 @register("F32_merge_outlines")
 def merge_outlines(spark, sf_dir):
     """Turns that resemble no kept earlier turn."""
-    checkpointed(spark)
+    checkpoints(spark)
     rivals = _similar(spark, sf_dir).select(F.col("b").alias("id"), F.col("a").alias("rival")).checkpoint()
     ids = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
     return topics.undefeated(ids, rivals)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -242,8 +240,7 @@ def similarity_join(spark, sf_dir):
 v AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT a, a FROM v UNION SELECT v.b, r.root FROM r JOIN v ON v.a = r.node)
 SELECT node, min(root) AS root FROM r GROUP BY node""")
 def components(spark, sf_dir):
-    folder = None if spark.sparkContext.getCheckpointDir() else spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-    return mining.components(_similar(spark, sf_dir).select("a", "b"), folder)
+    return mining.components(_similar(spark, sf_dir).select("a", "b"))
 
 
 @register("Y1_safe_parse", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanlake.storage import shared_folder
+
 
 def percent(stage: Column, sub: Column, weights: Mapping[str, int]) -> Column:
     """Share done: weights of earlier stages plus the part of this one, at most 99."""
@@ -39,7 +39,7 @@ def drained(spark: SparkSession, path: str, through: Callable[[DataFrame], DataF
 
     Output and state lie in the shared folder of ``spark.checkpoint.dir``.
     """
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")) + f"/stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "stream")
     table = spark.read.parquet(path)
     parent, name = path.rsplit("/", 1)
     reader = spark.readStream.schema(table.schema)
@@ -56,7 +56,7 @@ def upserted(spark: SparkSession, path: str, key: str, by: Sequence[str], *colum
 
     A version is written beside the last one and only then named, so a batch that is tried again does no harm.
     """
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")) + f"/upsert-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "upsert")
     table = spark.read.parquet(path)
     parent, name = path.rsplit("/", 1)
     reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files)
