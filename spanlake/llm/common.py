@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanlake.storage import checkpoints
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the data folder; the path may lie in any store that Spark can open."""
@@ -18,18 +19,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, so that a lost executor costs no recomputation.
-
-    The folder is the one named in ``spark.checkpoint.dir``; only where that is unset (tests on one machine) is a
-    temporary one set.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """``df`` written to the shared checkpoint folder and read back, so that a lost executor costs no recomputation."""
+    checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def quoted(names: Sequence[str]) -> list[Column]:
+    """Columns by their exact names, whatever characters these hold."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in names]
+
+
+def unused(name: str, taken: Sequence[str]) -> str:
+    """``name``, lengthened until no name in ``taken`` equals it in any case."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def keep_ids(df: DataFrame, key: str, ids: DataFrame, how: str = "left_semi", most: int = 1_000_000) -> DataFrame:
     """Rows of ``df`` whose ``key`` is among ``ids`` (one column of that name), or is not (``left_anti``).
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import cut, keep_ids, slices, small_batches
+from spanlake.llm.common import cut, keep_ids, quoted, slices, small_batches, unused
 from spanlake.llm.url_cascade import host_of
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -204,6 +204,6 @@ def keep_identified(docs: DataFrame, pages: DataFrame | None = None) -> DataFram
     key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"))
     evidence = evidence_of_documents(docs.select(key.alias("key"), "doc_id", "text", "lang", "source"), "key")
     found = identify(evidence, captures=None if pages is None else captures_of_pages(pages))
-    rejected = found.where("not accepted").select(F.to_json("id").alias("_rejected")).distinct()
-    marked = docs.withColumn("_rejected", F.to_json(key))
-    return keep_ids(marked, "_rejected", cut(rejected), "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    name = unused("_rejected", docs.columns)
+    rejected = found.where("not accepted").select(F.to_json("id").alias(name)).distinct()
+    return keep_ids(docs.withColumn(name, F.to_json(key)), name, cut(rejected), "left_anti").select(quoted(docs.columns))

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from spanlake.llm import edit_counts, embed_dedup, langid, mixing, oracles, pieces, secret_scan, setsketch, topk, url_cascade, warc_revisits
 from spanlake.llm.common import read
 
@@ -77,7 +76,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_cascade": op8_url_cascade,
         "op9_exact_top_k": op9_exact_top_k,
         "op10_edit_aware_counts": op10_edit_aware_counts,
-        "pipeline": corpus_pipeline.run,
     }
 
 
