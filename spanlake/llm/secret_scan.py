@@ -2,8 +2,9 @@
 
 Candidates are maximal runs of token characters. Each is judged by its character class; a window of fixed width slides
 over it and the sum of ``c * log2(c)`` over the window's character counts changes by the two characters that leave and
-enter, which gives every window's Shannon entropy in constant time. Windows of one class are processed together: a step
-of the slide is one numpy operation over all candidates of a batch.
+enter, which gives every window's Shannon entropy in constant time. Windows of one class are processed together: long
+candidates are cut into stretches that overlap by a window less one character, and a step of the slide is one numpy
+operation over all stretches of a batch.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ BASE_KINDS = ("assign", "access", "hex")
 #: Character classes: the window's width and the least entropy in bits. Candidates are at least as long as a window.
 CLASSES = {"entropy_hex": (20, 3.0), "entropy_base32": (20, 3.4), "entropy_base64": (20, 3.9)}
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{min(w for w, _ in CLASSES.values())},}}={{0,2}}")
+#: Windows of a stretch.
+STRETCH = 256
 _DELIMITERS, _SEGMENT = frozenset("+/_=-"), re.compile(r"[^+/_=-]+")
 _HEX_CHARS = re.compile(r"[0-9a-fA-F]+\Z")
 _BASE32_CHARS = re.compile(r"[A-Z0-9]+=*\Z")
@@ -41,18 +44,20 @@ ALLOWED = (
 
 def entropies(strings: list[str], width: int) -> list[np.ndarray]:
     """Shannon entropy in bits of every window of ``width`` characters of each string (at least that long)."""
-    lengths = np.array([len(s) for s in strings])
+    windows = [len(s) - width + 1 for s in strings]
+    parts = [s[k : k + STRETCH + width - 1] for s, n in zip(strings, windows, strict=True) for k in range(0, n, STRETCH)]
+    lengths = np.array([len(p) for p in parts], np.int64)
     order = np.argsort(-lengths, kind="stable")
-    longest = lengths[order[0]] if len(order) else 0
-    codes = np.zeros((len(strings), longest), np.uint8)
+    longest = int(lengths.max(initial=0))
+    codes = np.zeros((len(parts), longest), np.uint8)
     for row, i in enumerate(order):
-        codes[row, : lengths[i]] = np.frombuffer(strings[i].encode("ascii"), np.uint8)
+        codes[row, : lengths[i]] = np.frombuffer(parts[i].encode("ascii"), np.uint8)
     term = np.arange(width + 2) * np.log2(np.maximum(np.arange(width + 2), 1))
-    counts = np.zeros((len(strings), 128), np.int16)
-    total = np.zeros(len(strings))
-    out = np.zeros((len(strings), max(longest - width + 1, 0)))
-    rows = np.arange(len(strings))
-    alive = np.searchsorted(-lengths[order], -np.arange(1, longest + 1), side="right")  # strings that reach so far
+    counts = np.zeros((len(parts), 128), np.int16)
+    total = np.zeros(len(parts))
+    out = np.zeros((len(parts), max(longest - width + 1, 0)))
+    rows = np.arange(len(parts))
+    alive = np.searchsorted(-lengths[order], -np.arange(1, longest + 1), side="right")  # stretches that reach so far
     for k in range(longest):
         live = rows[: alive[k]]
         come = codes[live, k]
@@ -66,9 +71,14 @@ def entropies(strings: list[str], width: int) -> list[np.ndarray]:
             counts[live, go] = c - 1
         if k >= width - 1:
             out[live, k - width + 1] = np.log2(width) - total[live] / width
-    back = np.empty(len(strings), np.int64)
+    back = np.empty(len(parts), np.int64)
     back[order] = rows
-    return [out[back[i], : max(lengths[i] - width + 1, 0)] for i in range(len(strings))]
+    found, at = [], 0
+    for n in windows:
+        own = back[at : at - (-n // STRETCH)]
+        found.append(out[own].ravel()[:n] if len(own) > 1 else out[own[0], :n])
+        at += len(own)
+    return found
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -113,11 +123,10 @@ def entropy_spans(texts: list[str], allowed: list[re.Pattern[str]]) -> list[list
             if (left := _uncovered(s, allowed)) is not None:
                 by[_class_of(s)].append((i, m.start(), s, left))
     for kind, (width, bound) in CLASSES.items():
-        group = sorted(by[kind], key=lambda x: len(x[2]))
-        at = 0
-        while at < len(group):  # strings of like length together, so that the table of codes stays small
-            most = at + max(1, min(4096, 2_000_000 // (2 * len(group[at][2]) + 64)))
-            part = [g for g in group[at:most] if len(g[2]) <= 2 * len(group[at][2]) + 64]
+        group, at = by[kind], 0
+        while at < len(group):  # about a million characters at once
+            ends = np.cumsum([len(g[2]) for g in group[at : at + 4096]])
+            part = group[at : at + max(1, int(np.searchsorted(ends, 1_000_000, side="right")))]
             at += len(part)
             for (i, start, _, left), h in zip(part, entropies([g[2] for g in part], width), strict=True):
                 high = np.flatnonzero((h >= bound - 1e-9) & (left[width:] > left[:-width]))
@@ -164,23 +173,26 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow:
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", allow: tuple[str, ...] = ALLOWED) -> DataFrame:
     """``docs`` with every secret's span replaced by ``mark`` (overlapping spans by one mark); all rows and columns stay.
 
-    A null text stays null.
+    A null text stays null. A text without secrets stays as it is; of one with secrets, bytes that are no UTF-8 become
+    replacement characters.
     """
     schema = docs.schema
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, at):
-            texts = batch.column(at).to_pylist()
-            out = list(texts)
-            for i, (_, spans) in enumerate(find_secrets([t or "" for t in texts], allow)):
+            kind = batch.schema.field(at).type
+            raw = batch.column(at).cast(pa.large_binary()).to_pylist()
+            out = list(raw)
+            for i, (_, spans) in enumerate(find_secrets([(t or b"").decode("utf-8", "replace") for t in raw], allow)):
                 if spans:
-                    parts, end = [], 0
+                    text, parts, end = raw[i].decode("utf-8", "replace"), [], 0
                     for s, e, _ in sorted(spans):
                         if s >= end:
-                            parts += [texts[i][end:s], mark]
+                            parts += [text[end:s], mark]
                         end = max(end, e)
-                    out[i] = "".join([*parts, texts[i][end:]])
-            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+                    out[i] = "".join([*parts, text[end:]]).encode()
+            texts = pa.array(out, pa.large_binary() if pa.types.is_large_string(kind) else pa.binary())
+            yield batch.set_column(at, batch.schema.field(at), pa.Array.from_buffers(kind, len(texts), texts.buffers()))
 
     return small_batches(docs).mapInArrow(run, schema)
