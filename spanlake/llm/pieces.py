@@ -4,14 +4,16 @@ Texts are cut before each run of spaces that follows another character (no piece
 are encoded together over flat symbol arrays, and each round merges, in every word, the leftmost occurrences of that
 word's pair of least rank. The library pops one pair at a time from a queue ordered by score and then by position; a
 merge that makes a pair of lower rank than its own would be overtaken there, so a word in which that happens merges its
-leftmost occurrence alone in that round. Both orders then give the same pieces.
+leftmost occurrence alone in that round. Both orders then give the same pieces. A long word is first cut wherever its two
+characters stand side by side in no piece; what is still long then has a queue of its own instead of rounds.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -26,6 +28,8 @@ _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _NONE = np.int32(2**31 - 1)
 #: Bytes of text encoded at once, and words kept between batches: both bound a worker's memory.
 CHUNK, KEPT = 1 << 19, 150_000
+#: Characters from which a word is cut, and from which a part of one is encoded by its own queue.
+LONG, QUEUE = 64, 4096
 
 
 def default_model() -> str:
@@ -50,6 +54,9 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         n = self.size = model.get_piece_size()
         names = [model.id_to_piece(i) for i in range(n)]
+        probe = "  a  b \ufb01 \u2460 \uff21\n\tx "
+        if model.normalize(probe) != SPACE + probe.replace(" ", SPACE):
+            raise ValueError("the model normalises texts or adds no space before them")
         plain = {p: i for i, p in enumerate(names) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
         runs = {len(p): i for p, i in plain.items() if set(p) == {SPACE}}
         if any(SPACE in p.lstrip(SPACE) or (p.startswith(SPACE * 2) and len(p) not in runs) for p in plain) or 1 not in runs:
@@ -76,6 +83,8 @@ class Pieces:
         for p, i in plain.items():
             if len(p) == 1:
                 self.char[ord(p)] = i
+        beside = {(ord(x) << 21) + ord(y) for p in plain for x, y in zip(p, p[1:])}  # noqa: B905
+        self.beside = np.array(sorted(beside), np.int64)
         keys, made = [], []
         for i in order:
             p = names[i]
@@ -117,6 +126,47 @@ class Pieces:
             look, at = look[on], (at[on] + 1) & ((1 << self.bits) - 1)
         return out
 
+    def apart(self, word: str) -> list[str]:
+        """A word cut between characters that no piece has side by side, so that no merge spans a cut."""
+        points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        keys = (points[:-1] << 21) + points[1:]
+        at = np.searchsorted(self.beside, keys)
+        at[at == len(self.beside)] = 0
+        ends = [0, *(np.flatnonzero(self.beside[at] != keys) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    @cached_property
+    def _merges(self) -> dict[int, int]:
+        full = self.keys >= 0
+        return dict(zip(self.keys[full].tolist(), self.made[full].tolist(), strict=True))
+
+    def _queued(self, sym: list[int]) -> list[int]:
+        """What merging one pair at a time leaves of one word: the least rank first, then the leftmost."""
+        rank, merges, n = self.rank, self._merges, len(sym)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue: list[tuple[int, int, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < n and sym[i] < self.size and sym[j] < self.size and (piece := merges.get(sym[i] * self.size + sym[j])) is not None and rank[piece] != _NONE:
+                heapq.heappush(queue, (int(rank[piece]), i, sym[i], sym[j], piece))
+
+        for i in range(n - 1):
+            offer(i)
+        while queue:
+            _, i, left, right, piece = heapq.heappop(queue)
+            j = after[i]
+            if sym[i] != left or j >= n or sym[j] != right:
+                continue
+            sym[i], sym[j] = piece, -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [s for s in sym if s >= 0]
+
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and how many each has."""
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -124,6 +174,14 @@ class Pieces:
         sym = np.where(sym < 0, self.size + points.astype(np.int32), sym)  # characters that no piece has
         word = np.repeat(np.arange(len(words)), [len(w) for w in words])
         done_sym, done_word = [], []
+        large = [k for k, w in enumerate(words) if len(w) > QUEUE]
+        if large:
+            ends = np.cumsum([len(w) for w in words])
+            for k in large:
+                done_sym.append(np.array(self._queued(sym[ends[k] - len(words[k]) : ends[k]].tolist()), np.int64))
+                done_word.append(np.full(len(done_sym[-1]), k))
+            rest = ~np.isin(word, large)
+            sym, word = sym[rest], word[rest]
         pair = np.full(len(sym), self.size, np.int32)
         if len(sym) > 1:
             pair[:-1] = self.merged(sym[:-1], sym[1:])
@@ -233,15 +291,20 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has."""
         words = [_WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        for i, found in enumerate(words):
+            if max(map(len, found), default=0) > LONG:
+                words[i] = [part for w in found for part in (self.pieces.apart(w) if len(w) > LONG else (w,))]
         if len(self.index) > KEPT:
             self._reset()
         new = set().union(*words).difference(self.index)
         if new:
             fresh = list(new)
             self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh)), strict=True))
-            ids, sizes = self.pieces.encode(fresh)
-            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
-            self.sizes, self.pool = np.concatenate([self.sizes, sizes]), np.concatenate([self.pool, ids])
+            group = np.cumsum([len(w) for w in fresh]) // CHUNK
+            for lo, hi in zip(at := np.flatnonzero(np.diff(group, prepend=-1)), [*at[1:], len(fresh)], strict=True):
+                ids, sizes = self.pieces.encode(fresh[lo:hi])
+                self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+                self.sizes, self.pool = np.concatenate([self.sizes, sizes]), np.concatenate([self.pool, ids])
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
         sizes = self.sizes[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)]
