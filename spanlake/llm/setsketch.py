@@ -7,7 +7,8 @@ bucket. Members of a bucket are first compared with two centres. Buckets that th
 compared in full, in blocks of bounded size: a first pass keeps the rows whose registers make a link to another component
 plausible, a second compares their full sets and returns a forest of the links between components, so none is lost and
 no block returns more rows than it has. Candidates pass a joint likelihood test over their registers and are confirmed
-on the full sets.
+on the full sets: a centre's members are dealt into blocks, and its text goes once to each. Texts are read as bytes, so
+invalid UTF-8 is compared as it is.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import band, cut, keep_ids, slices, small_batches
+from spanlake.llm.common import band, cut, keep_ids, quoted, slices, small_batches
 from spanlake.llm.components import connected_components
 from spanlake.llm.pieces import gather
 
@@ -30,8 +32,8 @@ BANDS, ROWS = 38, 5
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 #: A pair is let go before verification only if the likelihood at the threshold is below exp(-LEEWAY) of the largest.
 LEEWAY = 20.0
-#: Text bytes that are hashed at once and rows of one side of a block comparison, which bound a task's memory.
-CHUNK, BLOCK = 1 << 20, 2048
+#: Text bytes that are hashed at once, and rows and shingles of one side of a block comparison, which bound a task's memory.
+CHUNK, BLOCK, SHINGLES = 1 << 20, 2048, 1 << 20
 
 _RANDOM = np.random.default_rng(20240229)
 _FOLD = np.arange(256)
@@ -150,10 +152,6 @@ def plausible(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray,
     return (top[:, 0] >= threshold - 1e-9) & (likelihood(threshold + np.linspace(0, 1, 21)[None, :] * span).max(1) >= best - leeway)
 
 
-def _bytes(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
-
-
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     start = size = 0
     for i, t in enumerate(texts):
@@ -168,7 +166,7 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in slices(batches, 1, CHUNK):
-        shingles, at = shingler.sets([_bytes(t) for t in batch.column(1).to_pylist()])
+        shingles, at = shingler.sets([t or b"" for t in batch.column(1).to_pylist()])
         n = np.diff(at)
         full = n > 0
         starts = np.concatenate([at[:-1][full], at[-1:]])
@@ -184,7 +182,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, set size ``n``, 128-bit set fingerprint ``f1``, ``f2`` and registers ``regs`` (null for an empty set)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return small_batches(rows).mapInArrow(_sketch, "doc_id long, n long, f1 long, f2 long, regs binary")
 
 
@@ -200,36 +198,46 @@ def _likely(threshold: float):
 
 
 def _confirmed(percent: int):
+    """Rows sorted by ``a``, ``h``, ``chunk``, each block's centre first (``b`` is null): the members that it links to."""
+
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for batch in slices(batches, 3, 4 * CHUNK):
-            left, right = (batch.column(k).dictionary_encode() for k in (2, 3))
-            sets = []
-            for side in (left, right):  # each different text of a batch is hashed once
-                shingles, at = shingler.sets([_bytes(t) for t in side.dictionary.to_pylist()])
-                sets.append([shingles[lo:hi] for lo, hi in zip(at[:-1], at[1:], strict=True)])
+        centre = np.empty(0, np.uint64)
+        for batch in slices(batches, 4):
+            shingles, at = shingler.sets([t or b"" for t in batch.column(4).to_pylist()])
+            first = pc.is_null(batch.column(3)).to_numpy(zero_copy_only=False)
             keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(left.indices.to_pylist(), right.indices.to_pylist(), strict=True)):
-                mine, other = sets[0][x], sets[1][y]
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                keep[i] = len(mine) > 0 and 100 * both >= percent * (len(mine) + len(other) - both)
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            for i in range(batch.num_rows):
+                own = shingles[at[i] : at[i + 1]]
+                if first[i]:
+                    centre = own
+                elif len(own) and len(centre):
+                    both = len(np.intersect1d(centre, own, assume_unique=True))
+                    keep[i] = 100 * both >= percent * (len(centre) + len(own) - both)
+            yield batch.select([0, 3]).filter(pa.array(keep))
 
     return test
 
 
 def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """``rep`` and each different ``text`` of it (an id may be repeated) for the ids of one column."""
-    found = keep_ids(texts, "rep", ids).groupBy("rep").agg(F.collect_set("text").alias("text"))
-    return cut(found.select("rep", F.explode("text").alias("text")))
+    """``rep``, ``h`` and ``text`` for the ids of one column: each different text once (an id may be repeated)."""
+    found = keep_ids(texts, "rep", ids).withColumn("h", F.xxhash64("text"))
+    return cut(found.dropDuplicates(["rep", "h"]))
 
 
 def _confirm(likely: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Those of ``likely`` (``a``, ``b``: class ids) that the full sets confirm."""
+    """Those of ``likely`` (``a``: centre, ``b``: member, class ids) that the full sets confirm."""
     found = _texts_of(likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), texts)
-    left, right = (found.select(F.col("rep").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    full = likely.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
-    return full.mapInArrow(_confirmed(percent), "a long, b long")
+    chunks = likely.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    dealt = likely.join(chunks.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"))
+    centres = found.select(F.col("rep").alias("a"), "h")
+    dealt = cut(dealt.join(centres.hint("merge"), "a"))  # a block for each different text of a centre
+    columns = ["a", "h", "chunk", "b", "text"]
+    heads = dealt.select("a", "h", "chunk").distinct().join(found.withColumnRenamed("rep", "a").hint("merge"), ["a", "h"])
+    members = dealt.join(found.select(F.col("rep").alias("b"), "text").hint("merge"), "b")
+    rows = heads.withColumn("b", F.lit(None).cast("long")).select(columns).unionAll(members.select(columns))
+    rows = rows.repartition("a", "h", "chunk").sortWithinPartitions("a", "h", "chunk", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(_confirmed(percent), "a long, b long")
 
 
 def _by_block(columns: tuple[str, ...], schema: pa.Schema, found):
@@ -243,18 +251,22 @@ def _by_block(columns: tuple[str, ...], schema: pa.Schema, found):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        held: list[pa.RecordBatch] = []  # parts of the block that has not ended yet
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = batch if rest is None else pa.concat_batches([rest, batch])
-            keys = np.stack([rows.column(k).to_numpy() for k in ("bucket", "i", "j")])
-            at = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1), rows.num_rows]
-            for lo, hi in zip(at[:-2], at[1:-1], strict=True):
-                yield from block(rows.slice(lo, hi - lo))
-            rest = rows.slice(at[-2])
-        if rest is not None:
-            yield from block(rest)
+            keys = np.stack([batch.column(k).to_numpy() for k in ("bucket", "i", "j")])
+            at = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1), batch.num_rows]
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                key = tuple(keys[:, lo])
+                if held and key != last:
+                    yield from block(pa.concat_batches(held))
+                    held = []
+                last = key
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from block(pa.concat_batches(held))
 
     return run
 
@@ -292,7 +304,7 @@ def _exact(percent: int):
 
     def found(rows: pa.RecordBatch, left: np.ndarray, right: np.ndarray):
         rep = rows.column("rep").to_numpy()
-        shingles, at = Shingler().sets([_bytes(t) for t in rows.column("text").to_pylist()])
+        shingles, at = Shingler().sets([t or b"" for t in rows.column("text").to_pylist()])
         n = np.diff(at)
         known, code = np.unique(shingles, return_inverse=True)
         seen = np.zeros(len(known), np.int64)
@@ -323,9 +335,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the smallest id that links reach, ``kept`` whether it is the row's own. Null and empty texts,
     and texts without words, have an empty set and are linked with nothing. Rows with a null id are linked with nothing:
     their ``component_id`` is null and they are kept. Rows that repeat an id count as one document: it has the links of
-    all its texts.
+    all its texts. Sets are compared by 64-bit hashes of their shingles, equal sets are found by 128-bit fingerprints.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     sketches = cut(sketch(rows))
     own = ["f1", "f2", "n"]
     classes = cut(sketches.where("n > 0 and doc_id is not null").groupBy(*own).agg(F.min("doc_id").alias("rep"), F.any_value("regs").alias("regs")))
@@ -335,7 +347,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = buckets.groupBy("bucket").agg(centre().alias("c"), centre(F.xxhash64("rep").alias("h")).alias("d"), F.max("rep").alias("most")).where("c.rep < most")
     members = cut(buckets.join(shared.select("bucket", "c", F.struct("d.rep", "d.n").alias("d")).hint("merge"), "bucket"))
     stars = members.select("rep", "n", F.explode(F.array("c", "d")).alias("c")).where("rep <> c.rep")
-    stars = stars.where(f"100 * least(n, c.n) >= {int(percent)} * greatest(n, c.n)").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
+    stars = stars.where(f"100 * least(n, c.n) >= {int(percent)} * greatest(n, c.n)").select(F.col("c.rep").alias("a"), F.col("rep").alias("b")).distinct()
     left, right = (classes.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("regs").alias(f"regs_{k}")) for k in "ab")
     stars = stars.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
     many = sketches.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("doc_id")
@@ -344,14 +356,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the least that a document is linked to in two steps: pairs that share it need no further look
     near = links.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("b").alias("to")), F.struct(F.col("b").alias("rep"), F.col("a").alias("to")))).alias("e")).groupBy("e.rep").agg(F.min("e.to").alias("to"))
     near = near.join(near.toDF("to", "on").hint("merge"), "to").select("rep", F.least("to", "on").alias("to"))
-    placed = members.select("bucket", "rep").join(near.hint("merge"), "rep", "left").withColumn("root", F.least("rep", "to"))
-    apart = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo < hi")
-    open_ = placed.join(apart.select("bucket", F.ceil(F.col("k") / BLOCK).cast("int").alias("chunks")).hint("merge"), "bucket").join(classes.select("rep", "n", "regs").hint("merge"), "rep")
+    placed = members.select("bucket", "rep", "n").join(near.hint("merge"), "rep", "left").withColumn("root", F.least("rep", "to"))
+    apart = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"), F.sum("n").alias("size")).where("lo < hi")
+    chunks = F.ceil(F.greatest(F.col("k") / BLOCK, F.col("size") / SHINGLES)).cast("int").alias("chunks")
+    open_ = placed.join(apart.select("bucket", chunks).hint("merge"), "bucket").join(classes.select("rep", "n", "regs").hint("merge"), ["rep", "n"])
     open_ = open_.withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     open_ = open_.select("bucket", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "chunk", "rep", "root", "n", "regs")
     dealt = lambda df: df.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     hopeful = cut(dealt(open_).mapInArrow(_promising(percent), "bucket long, i int, j int, chunk int, rep long, root long"))
-    with_text = hopeful.join(_texts_of(hopeful.select("rep").distinct(), texts).hint("merge"), "rep").select(*_BLOCK, "text")
+    with_text = hopeful.join(_texts_of(hopeful.select("rep").distinct(), texts).drop("h").hint("merge"), "rep").select(*_BLOCK, "text")
     more = cut(dealt(with_text).mapInArrow(_exact(percent), "a long, b long"))
     roots = connected_components(links.unionAll(more))
     of = classes.select(*own, F.col("rep").alias("node"))
@@ -367,8 +380,9 @@ def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     Rows with a null id stay. Of rows that repeat an id one stays.
     """
     gone = near_duplicates(docs, percent=percent).where("not kept").select("doc_id").distinct()
-    left = keep_ids(docs, "doc_id", cut(gone), "left_anti").select(docs.columns)
+    left = keep_ids(docs, "doc_id", cut(gone), "left_anti").select(quoted(docs.columns))
     again = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
         return left
-    return keep_ids(left, "doc_id", again, "left_anti").unionAll(keep_ids(left, "doc_id", again).dropDuplicates(["doc_id"]))
+    columns = quoted(docs.columns)
+    return keep_ids(left, "doc_id", again, "left_anti").select(columns).unionAll(keep_ids(left, "doc_id", again).dropDuplicates(["doc_id"]).select(columns))
