@@ -67,15 +67,31 @@ def estimate_tokens(text: Column) -> Column:
 
 
 def length_score(text: Column) -> Column:
-    """An inverted U over the characters that aren't blank."""
-    n = F.length(F.regexp_replace(text, r"\s", ""))
-    return F.when(n < 10, 0.3).when(n < 20, 0.6).when(n <= 80, 1.0).when(n <= 120, 0.7).otherwise(0.4)
+    """1 for 20 to 80 characters (blanks and line feeds aside), falling to .7 at 10 and 120 and on to .2 beyond."""
+    n = F.length(F.translate(text, " \n", ""))
+    low, high = F.lit(0.2), F.lit(0.2)
+    ladder = F.when(n.between(20, 80), 1.0).when(n.between(10, 19), 0.7 + 0.3 * (n - 10) / 10).when(n.between(81, 120), 0.7 + 0.3 * (120 - n) / 40)
+    return ladder.when(n < 10, F.greatest(low, n / 10 * 0.5)).otherwise(F.greatest(high, F.lit(120) / n * 0.5))
 
 
 def diversity_score(text: Column) -> Column:
-    """Distinct characters over all of them, in three steps."""
-    ratio = F.size(F.array_distinct(F.split(text, ""))) / F.length(text)
-    return F.when(F.length(text) == 0, 0.0).when(ratio >= 0.7, 1.0).when(ratio >= 0.4, 0.7).otherwise(0.4)
+    """Distinct letters, digits and ideographs over all of them, stretched from .3 to .7; zero without any."""
+    clean = F.regexp_replace(text, r"[^\x{4e00}-\x{9fa5}a-zA-Z0-9]", "")
+    ratio = F.size(F.array_distinct(F.split(clean, ""))) / F.length(clean)
+    return F.when(F.length(clean) == 0, 0.0).when(ratio >= 0.3, F.least(F.lit(1.0), (ratio - 0.3) / 0.4)).otherwise(ratio)
+
+
+def keyword_score(text: Column, pattern: str) -> Column:
+    """.3, and .05 for each match up to .25."""
+    return 0.3 + F.least(F.lit(0.25), 0.05 * F.regexp_count(text, F.lit(pattern)))
+
+
+def local_score(text: Column, energy: Column, pattern: str) -> Column:
+    """The mean of the four scores; very short texts have fixed ones. Between .3 and 1."""
+    short = F.length(F.trim(text)) < 5
+    or_ = lambda value, score: F.when(short, value).otherwise(score)
+    mean = (or_(0.6, length_score(text)) + energy_score(energy) + or_(0.5, diversity_score(text)) + or_(0.4, keyword_score(text, pattern))) / 4
+    return F.greatest(F.lit(0.3), F.least(F.lit(1.0), mean))
 
 
 def file_name(name: Column) -> Column:
@@ -119,8 +135,22 @@ def windowed_words(text: Column, keep: int, sizes: Sequence[int]) -> Column:
 
 
 def energy_score(energy: Column) -> Column:
-    """Piecewise on a normalised energy; 0.5 if unknown."""
-    return F.when(energy.isNull(), 0.5).when(energy < 0.2, 0.3).when(energy < 0.4, 0.6).when(energy <= 0.8, 1.0).otherwise(0.8)
+    """1 for a normalised energy of .3 to .7, less beyond down to .2; .5 if it is unknown."""
+    outside = F.when(energy < 0.3, energy / 0.3 * 0.7).otherwise((1 - energy) / 0.3 * 0.7)
+    return F.when(energy.isNull(), 0.5).when(energy.between(0.3, 0.7), 1.0).otherwise(F.greatest(F.lit(0.2), outside))
+
+
+def duration_score(seconds: Column, length: Column | None = None) -> Column:
+    """7 to 9 for 30 to 120 s (best at 60), 5 to 7 below, 6 to 5.5 above; with ``length``, .5 more over 50 characters and
+    .5 less under 20."""
+    base = F.when(seconds.between(30, 120), 7 + (1 - F.abs(seconds - 60) / 60) * 2).when(seconds < 30, 5 + seconds / 30 * 2)
+    base = base.otherwise(6 - F.least((seconds - 120) / 120, F.lit(0.5)))
+    return base if length is None else base + F.when(length > 50, 0.5).when(length < 20, -0.5).otherwise(0.0)
+
+
+def two_places(score: Column, places: int = 2) -> Column:
+    """Rounded half up as a decimal, so that engines agree."""
+    return F.round(score.cast("decimal(18,6)"), places).cast("double")
 
 
 def finish_title(title: Column, pad: Column, least: int, most: int) -> Column:

@@ -8,25 +8,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bins of a level are so many times wider than those of the level below, and levels above the lowest.
+_FACTOR, _LEVELS = 8, 10
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width: int, how: str = "overlap", closed: bool = False, margin: int = 0) -> DataFrame:
     """Pairs of ``left`` (``l_start``, ``l_end``) and ``right`` (``r_start``, ``r_end``) rows of equal ``keys``.
 
     ``how``: ``overlap`` (half-open unless ``closed``; ``margin`` widens the left side) or ``within`` (right lies inside
-    left). Both sides are dealt into time bins of ``width``; a pair is kept only in the first bin that both share, so it
-    appears once, and the join is an equi-join on keys and bin whose hot bins AQE can split.
+    left). Both sides are dealt into time bins of ``width``, longer intervals into the bins of a level whose width fits
+    their length, so that a row meets at most two bins of each level in use. A pair meets at the level of its longer
+    interval and is kept only in the first bin that both share, so it appears once; the join is an equi-join on keys,
+    level and bin whose hot bins AQE can split.
     """
     lo, hi = F.col("l_start") - margin, F.col("l_end") + margin
-    bins = lambda a, b: F.sequence(F.floor(a / width), F.floor(b / width))
-    a = left.withColumn("_bin", F.explode(bins(F.least(lo, hi), F.greatest(lo, hi))))
-    b = right.withColumn("_bin", F.explode(bins(F.least("r_start", "r_end"), F.greatest("r_start", "r_end"))))
+    widths = [width * _FACTOR**k for k in range(_LEVELS + 1)]
+    level = lambda a, b: sum(((b - a > w).cast("int") for w in widths[1:-1]), (b - a > widths[0]).cast("int"))
+    wide = lambda k: F.element_at(F.array(*[F.lit(w).cast("long") for w in widths]), k + 1)
+    bounds = {"l": (F.least(lo, hi), F.greatest(lo, hi)), "r": (F.least("r_start", "r_end"), F.greatest("r_start", "r_end"))}
+    used = left.select(level(*bounds["l"]).alias("k")).unionAll(right.select(level(*bounds["r"]).alias("k"))).agg(F.collect_set("k").alias("levels")).scalar()
+
+    def dealt(df: DataFrame, side: str, own: str, other: str) -> DataFrame:
+        """Rows by level and bin; of two rows at a level one at least is there in its own right (``roles``)."""
+        a, b = bounds[side]
+        df = df.withColumn("_own", level(a, b))
+        df = df.withColumn("_level", F.explode(used)).where("_level >= _own")
+        df = df.withColumn("_bin", F.explode(F.sequence(F.floor(a / wide(F.col("_level"))), F.floor(b / wide(F.col("_level"))))))
+        roles = F.when(F.col("_own") == F.col("_level"), F.array(F.lit("both"), F.lit(own))).otherwise(F.array(F.lit(other)))
+        return df.withColumn("_roles", F.explode(roles)).drop("_own")
+
     if how == "within":
         test: Column = (F.col("r_start") >= F.col("l_start")) & (F.col("r_end") <= F.col("l_end"))
     elif closed:
         test = (F.col("r_start") <= hi) & (F.col("r_end") >= lo)
     else:
         test = (F.col("r_start") < hi) & (F.col("r_end") > lo)
-    first = F.greatest(F.floor(F.least(lo, hi) / width), F.floor(F.least("r_start", "r_end") / width))
-    return a.join(b, [*keys, "_bin"]).where(test & (F.col("_bin") == first)).drop("_bin")
+    size = wide(F.col("_level"))
+    first = F.greatest(F.floor(bounds["l"][0] / size), F.floor(bounds["r"][0] / size))
+    met = dealt(left, "l", "left", "right").join(dealt(right, "r", "right", "left"), [*keys, "_level", "_bin", "_roles"])
+    return met.where(test & (F.col("_bin") == first)).drop("_level", "_bin", "_roles")
 
 
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, ts: str, value: str, direction: str = "backward") -> DataFrame:

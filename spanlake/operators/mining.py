@@ -32,27 +32,60 @@ def themes(df: DataFrame, key: str, text: Column, words: Mapping[str, Sequence[s
     return df.select(key, F.array_max(F.array(*options)).alias("b")).where("b.n > 0").select(key, "b.theme", F.col("b.n").alias("n"))
 
 
+def set_classes(df: DataFrame, key: str, grams: Column) -> DataFrame:
+    """``k`` and ``rep`` for every row with elements: ``rep`` is the smallest key whose set is equal."""
+    sets = _sets(df, key, grams)
+    return sets.join(sets.groupBy("h1", "h2").agg(F.min("k").alias("rep")), ["h1", "h2"]).select("k", "rep")
+
+
+def _sets(df: DataFrame, key: str, grams: Column) -> DataFrame:
+    """``k``, the sorted set ``g`` and its 128-bit hash; rows without elements are left out."""
+    sets = df.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(grams)).alias("g")).where(F.size("g") > 0)
+    return sets.select("k", "g", F.xxhash64(F.lit(1), "g").alias("h1"), F.xxhash64(F.lit(2), "g").alias("h2"))
+
+
 def similar_pairs(df: DataFrame, key: str, grams: Column, threshold: float) -> DataFrame:
-    """Pairs ``a < b`` whose sets have a cosine of at least ``threshold``, by prefix filtering.
+    """``a``, ``b``, ``similarity``, ``n_a``, ``n_b``: pairs of different sets whose cosine is at least ``threshold``.
 
-    Elements are ordered by rarity and only a prefix of each set is indexed: sets that reach the threshold share an
-    element of their prefixes, so a very common element is in no index and no bucket holds everybody.
+    Rows with equal sets are one class, named by its smallest key and with ``n`` rows; ``set_classes`` tells who is in it,
+    so that copies are never paired with each other. Elements are ordered by rarity and only a prefix of each set is
+    indexed: sets that reach the threshold share an element of their prefixes.
     """
-    sets = df.select(F.col(key).alias("k"), F.array_distinct(grams).alias("g")).where(F.size("g") > 0)
-    items = sets.select("k", F.size("g").alias("n"), F.explode("g").alias("item"))
+    sets = _sets(df, key, grams).groupBy("h1", "h2").agg(F.min("k").alias("k"), F.count("*").alias("n"), F.any_value("g").alias("g")).drop("h1", "h2")
+    items = sets.select("k", F.size("g").alias("size"), F.explode("g").alias("item"))
     rare = items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
     ordered = items.join(rare, "item").withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy("df", "item")))
-    missing = items.groupBy("k").agg(F.max("n").alias("size"))
     # a partner shares at least threshold**2 * n of n elements; elements that nobody shares only shorten the prefix
-    known = ordered.groupBy("k").agg(F.count("*").alias("shared"))
-    length = F.col("shared") - F.ceil(F.lit(threshold * threshold) * F.col("size") - 1e-9) + 1
-    prefix = ordered.join(missing.join(known, "k").withColumn("length", length), "k").where("pos <= length").select("k", "item", "size")
+    known = F.count("*").over(Window.partitionBy("k"))
+    length = known - F.ceil(F.lit(threshold * threshold) * F.col("size") - 1e-9) + 1
+    prefix = ordered.withColumn("length", length).where("pos <= length").select("k", "item", "size")
     right = prefix.select(F.col("k").alias("b"), "item", F.col("size").alias("size_b"))
     close = (F.least("size", "size_b") >= F.lit(threshold * threshold) * F.greatest("size", "size_b") - 1e-9) & (F.col("k") < F.col("b"))
     pairs = prefix.join(right, "item").where(close).select(F.col("k").alias("a"), "b").distinct()
-    full = pairs.join(sets.select(F.col("k").alias("a"), F.col("g").alias("ga")), "a").join(sets.select(F.col("k").alias("b"), F.col("g").alias("gb")), "b")
-    cosine = F.size(F.array_intersect("ga", "gb")) / F.sqrt(F.size("ga").cast("double") * F.size("gb"))
-    return full.select("a", "b", F.round(cosine, 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    side = lambda k: sets.select(F.col("k").alias(k), F.col("g").alias(f"g_{k}"), F.col("n").alias(f"n_{k}"))
+    full = pairs.join(side("a"), "a").join(side("b"), "b")
+    cosine = F.size(F.array_intersect("g_a", "g_b")) / F.sqrt(F.size("g_a").cast("double") * F.size("g_b"))
+    return full.select("a", "b", F.round(cosine, 6).alias("similarity"), "n_a", "n_b").where(F.col("similarity") >= threshold)
+
+
+def similar_clusters(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``node``, ``root`` for every row that is linked with another: by a pair of classes or by an equal set."""
+    roots = components(pairs.select("a", "b")).withColumnRenamed("node", "rep")
+    shared = classes.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep", F.col("rep").alias("own"))
+    linked = roots.join(shared, "rep", "full").select("rep", F.coalesce("root", "own").alias("root"))
+    return classes.join(linked, "rep").select(F.col("k").alias("node"), "root")
+
+
+def inner_similarity(pairs: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``root``, ``n``, ``mean`` of each cluster: the mean similarity of all its pairs of rows, zero where a pair has none."""
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
+    of = clusters.select(F.col("node").alias("a"), "root")
+    between = pairs.join(of, "a").groupBy("root").agg(F.sum(F.col("similarity") * F.col("n_a") * F.col("n_b")).alias("s"))
+    copies = classes.groupBy("rep").agg(F.count("*").alias("m")).where("m > 1").select(F.col("rep").alias("a"), (F.col("m") * (F.col("m") - 1) / 2).alias("s"))
+    within = copies.join(of, "a").groupBy("root").agg(F.sum("s").alias("w"))
+    total = F.coalesce("s", F.lit(0.0)) + F.coalesce("w", F.lit(0.0))
+    out = sizes.join(between, "root", "left").join(within, "root", "left")
+    return out.select("root", "n", (total / (F.col("n") * (F.col("n") - 1) / 2)).alias("mean"))
 
 
 def components(edges: DataFrame) -> DataFrame:

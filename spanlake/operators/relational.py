@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlake.functions.text import two_places
+
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
     """``df`` with its row number by ``order`` within ``keys``."""
@@ -46,13 +48,15 @@ def positional_zip(left: DataFrame, right: DataFrame, keys: Sequence[str], left_
     return a.join(b, [*keys, "_pos", "_n"]).drop("_pos", "_n")
 
 
-def diversify(df: DataFrame, keys: Sequence[str], score: str, order: Sequence[Column], spread: float = 0.1) -> DataFrame:
-    """Scores of a key that are all equal (of several rows) move linearly from ``+spread`` to ``-spread`` by rank."""
+def diversify(df: DataFrame, keys: Sequence[str], score: str, order: Sequence[Column], length: Column | None = None) -> DataFrame:
+    """Scores of a key that are all equal (of several rows) get a bonus for ``length`` (.15 over 200, .08 over 100, .03 over
+    50) and move linearly by rank from -.1 to +.1; they stay within [.1, 1] and have two places."""
     w = Window.partitionBy(*keys)
     n = F.count("*").over(w)
     flat = (F.min(score).over(w) == F.max(score).over(w)) & (n > 1)
-    step = spread - 2 * spread * (F.row_number().over(w.orderBy(*order)) - 1) / F.greatest(n - 1, F.lit(1))
-    moved = F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.col(score) + step))
+    step = 0.2 * (F.row_number().over(w.orderBy(*order)) - 1) / F.greatest(n - 1, F.lit(1)) - 0.1
+    bonus = F.lit(0.0) if length is None else F.when(length > 200, 0.15).when(length > 100, 0.08).when(length > 50, 0.03).otherwise(0.0)
+    moved = two_places(F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.col(score) + bonus + step)))
     return df.withColumn(score, F.when(flat, moved).otherwise(F.col(score)))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,11 +84,26 @@ def pack(parts, limit: int):
     return F.aggregate(parts, F.array().cast("array<string>"), step)
 
 
-def outline_score(outline: Column, subtopics: Column, signature: Column) -> Column:
-    """.5, .25 for a signature, .06 for each of four subtopics, less for very short or very long titles; within [0, 1]."""
-    size = F.length(outline)
-    fit = F.when(size < 4, -0.15).when(size > 40, -0.1).otherwise(0.0)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + F.when(signature, 0.25).otherwise(0.0) + 0.06 * F.least(subtopics, F.lit(4)) + fit))
+def outline_score(title: Column, subtopics: Column, signature: Column, generic: Sequence[str]) -> Column:
+    """.5, .25 for a signature, .08 for each of three subtopics, .15 for 6 to 20 characters (-.2 below 4), -.25 for a generic
+    word, .05 for four different characters; within [0, 1]."""
+    size = F.length(title)
+    fit = F.when(size.between(6, 20), 0.15).when(size < 4, -0.2).otherwise(0.0)
+    vague = F.lit(False)
+    for word in generic:
+        vague = vague | F.contains(title, F.lit(word))
+    varied = F.when(F.size(F.array_distinct(F.split(title, ""))) >= 4, 0.05).otherwise(0.0)
+    score = 0.5 + F.when(signature, 0.25).otherwise(0.0) + F.least(0.08 * subtopics, F.lit(0.24)) + fit + F.when(vague, -0.25).otherwise(0.0) + varied
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+
+
+def topic_score(quality: Column, seconds: Column, model: Column, least: float = 120, most: float = 720) -> Column:
+    """Outline quality, fit of the duration and a model's score (if above zero) in the parts .25, .45 and .30, else the
+    first two in the parts .35 and .65."""
+    near = 0.5 + 0.5 * (1 - F.abs(seconds - (least + most) / 2) / max(most - least, 1.0))
+    fit = F.when(seconds <= 0, 0.0).when(seconds < least, seconds / least * 0.4).when(seconds > most, 0.6).otherwise(near)
+    mixed = F.when(model > 0, quality * 0.25 + fit * 0.45 + model * 0.30).otherwise(quality * 0.35 + fit * 0.65)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), mixed))
 
 
 def duration_flags(df: DataFrame, least: int, most: int) -> DataFrame:

@@ -12,7 +12,7 @@ from spanlake.plans.catalogue import register
 from spanlake.plans.interval_queries import BIN, SEGMENTS, others, segments, silences
 from spanlake.plans.interval_queries import CAPTIONS as EVENTS
 from spanlake.plans.relational_queries import table
-from spanlake.plans.text_queries import CAPTIONS, SIMILAR, WORDS, _similar, captions
+from spanlake.plans.text_queries import CAPTIONS, CLUSTERS, WORDS, _clusters, captions
 from spanlake.sources import srt
 from spanlake.sources.captions import from_events
 from spanlake.storage import checkpoints, shared_folder
@@ -196,10 +196,14 @@ def hotword_union(spark, sf_dir):
     return a.union(table(spark, sf_dir, "region").select(F.lower("r_name").alias("term"))).distinct()
 
 
-@register("G14_internal_similarity", SIMILAR + " SELECT a // 1000 AS conv_id, count(*) AS n, round(sum(similarity) / count(*), 4) AS mean FROM e GROUP BY 1")
+INNER = CLUSTERS + """,
+s AS (SELECT root, sum(x) AS s FROM (SELECT root, similarity * n_a * n_b AS x FROM e JOIN rr ON rr.rep = e.a UNION ALL SELECT root, reps.n * (reps.n - 1) / 2 FROM reps JOIN rr USING (rep)) GROUP BY root),
+z AS (SELECT DISTINCT root, n FROM cl WHERE n > 1), i AS (SELECT root, n, s / (n * (n - 1) / 2) AS mean FROM z JOIN s USING (root))"""
+
+
+@register("G14_internal_similarity", INNER + " SELECT root, n, round(mean, 4) AS mean FROM i")
 def internal_similarity(spark, sf_dir):
-    s = _similar(spark, sf_dir).withColumn("conv_id", F.floor(F.col("a") / 1000)).groupBy("conv_id")
-    return s.agg(F.count("*").alias("n"), F.round(F.sum("similarity") / F.count("*"), 4).alias("mean"))
+    return mining.inner_similarity(*_clusters(spark, sf_dir)).select("root", "n", F.round("mean", 4).alias("mean"))
 
 
 @register("G23_batch_outcome", "SELECT c_nationkey, count(*) FILTER (c_acctbal >= 0) AS n_ok, count(*) FILTER (c_acctbal < 0) AS n_failed, list(c_custkey ORDER BY c_custkey) FILTER (c_acctbal < -900) AS failed FROM customer GROUP BY c_nationkey HAVING count(*) FILTER (c_acctbal < -900) > 0")
@@ -234,15 +238,28 @@ def sequence_matcher(spark, sf_dir):
     return p.select("p_partkey", F.round(sequence_ratio("p_name", "b"), 6).alias("ratio"))
 
 
-@register("H19_outline_score", "SELECT p_partkey, round(greatest(0.0, least(1.0, 0.5 + CASE WHEN p_size > 40 THEN 0.25 ELSE 0 END + 0.06 * least(p_size % 6, 4) + CASE WHEN length(p_name) < 4 THEN -0.15 WHEN length(p_name) > 40 THEN -0.1 ELSE 0 END)), 4) AS score FROM part")
+GENERIC = ("green", "blue", "red")
+OUTLINE = """greatest(0.0, least(1.0, 0.5 + CASE WHEN p_size > 40 THEN 0.25 ELSE 0 END + least(0.08 * (p_size % 6), 0.24)
+  + CASE WHEN length(p_name) BETWEEN 6 AND 20 THEN 0.15 WHEN length(p_name) < 4 THEN -0.2 ELSE 0 END
+  + CASE WHEN regexp_matches(p_name, 'green|blue|red') THEN -0.25 ELSE 0 END + CASE WHEN len(list_distinct(string_split(p_name, ''))) >= 4 THEN 0.05 ELSE 0 END))"""
+
+
+def _quality():
+    return topics.outline_score(F.col("p_name"), F.col("p_size") % 6, F.col("p_size") > 40, GENERIC)
+
+
+@register("H19_outline_score", f"SELECT p_partkey, round({OUTLINE}, 4) AS score FROM part")
 def outline_score(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(topics.outline_score(F.col("p_name"), F.col("p_size") % 6, F.col("p_size") > 40), 4).alias("score"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(_quality(), 4).alias("score"))
 
 
-@register("H20_topic_score", "SELECT event_id, round(0.25 * (event_id % 11) / 10.0 + 0.45 * least(1.0, value / 300) + 0.30 * (event_id % 7) / 6.0, 7) AS score FROM events")
+@register("H20_topic_score", f"""
+WITH d AS (SELECT p_partkey, {OUTLINE} AS q, (p_size - 1) * 20.0 AS s, p_partkey % 4 / 4.0 AS m FROM part),
+f AS (SELECT *, CASE WHEN s <= 0 THEN 0 WHEN s < 120 THEN s / 120 * 0.4 WHEN s > 720 THEN 0.6 ELSE 0.5 + 0.5 * (1 - abs(s - 420) / 600) END AS fit FROM d)
+SELECT p_partkey, round(greatest(0.0, least(1.0, CASE WHEN m > 0 THEN q * 0.25 + fit * 0.45 + m * 0.3 ELSE q * 0.35 + fit * 0.65 END)), 6) AS score FROM f""")
 def topic_score(spark, sf_dir):
-    score = 0.25 * (F.col("event_id") % 11) / 10.0 + 0.45 * F.least(F.lit(1.0), F.col("value") / 300) + 0.30 * (F.col("event_id") % 7) / 6.0
-    return table(spark, sf_dir, "events").select("event_id", F.round(score, 7).alias("score"))
+    score = topics.topic_score(_quality(), (F.col("p_size") - 1) * 20.0, F.col("p_partkey") % 4 / 4.0)
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(score, 6).alias("score"))
 
 
 @register("H24_truncate_lines", "SELECT doc_id, CAST(least(len(string_split(text, chr(10))), 3) + greatest(0, least(len(string_split(text, chr(10))) - 3, 2)) AS BIGINT) AS n_kept FROM documents")

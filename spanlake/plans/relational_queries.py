@@ -240,12 +240,13 @@ def step_performance(spark, sf_dir):
 
 
 @register("G20_score_diversity", """
-WITH s AS (SELECT conv_id, turn, 0.5 AS score FROM conversations WHERE conv_id % 2 = 0 UNION ALL SELECT conv_id, turn, round(turn / 10.0, 1) FROM conversations WHERE conv_id % 2 = 1),
-w AS (SELECT *, min(score) OVER p AS lo, max(score) OVER p AS hi, count(*) OVER p AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM s WINDOW p AS (PARTITION BY conv_id))
-SELECT conv_id, turn, round(CASE WHEN lo = hi AND n > 1 THEN greatest(0.1, least(1.0, score + 0.1 - 0.2 * (k - 1) / greatest(n - 1, 1))) ELSE score END, 4) AS score FROM w""")
+WITH s AS (SELECT conv_id, turn, length(text) AS size, 0.5 AS score FROM conversations WHERE conv_id % 2 = 0 UNION ALL SELECT conv_id, turn, length(text), round(turn / 10.0, 1) FROM conversations WHERE conv_id % 2 = 1),
+w AS (SELECT *, min(score) OVER p AS lo, max(score) OVER p AS hi, count(*) OVER p AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM s WINDOW p AS (PARTITION BY conv_id)),
+v AS (SELECT *, score + CASE WHEN size > 200 THEN 0.15 WHEN size > 100 THEN 0.08 WHEN size > 50 THEN 0.03 ELSE 0 END + 0.2::DOUBLE * (k - 1) / greatest(n - 1, 1) - 0.1 AS moved FROM w)
+SELECT conv_id, turn, CAST(CASE WHEN lo = hi AND n > 1 THEN CAST(round(CAST(greatest(0.1, least(1.0, moved)) AS DECIMAL(18, 6)), 2) AS DOUBLE) ELSE score END AS DOUBLE) AS score FROM v""")
 def score_diversity(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("conv_id") % 2 == 0, 0.5).otherwise(F.round(F.col("turn") / 10.0, 1)).alias("score"))
-    return rel.diversify(c, ["conv_id"], "score", [F.col("turn")]).select("conv_id", "turn", F.round("score", 4).alias("score"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("size"), F.when(F.col("conv_id") % 2 == 0, 0.5).otherwise(F.round(F.col("turn") / 10.0, 1)).alias("score"))
+    return rel.diversify(c, ["conv_id"], "score", [F.col("turn")], F.col("size")).select("conv_id", "turn", "score")
 
 
 @register("G24_account_kpis", "SELECT c_mktsegment, count(*) AS n, count(*) FILTER (c_acctbal < 0) AS n_negative, round(avg(c_acctbal), 1) AS mean FROM customer GROUP BY c_mktsegment")

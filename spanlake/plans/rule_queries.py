@@ -12,9 +12,9 @@ from spanlake.operators import relational as rel
 from spanlake.plans.catalogue import register
 from spanlake.plans.interval_queries import BIN, SEGMENTS, others, segments, silences
 from spanlake.plans.interval_queries import CAPTIONS as EVENTS
-from spanlake.plans.more_queries import ONE_LINE, folder, one_line
+from spanlake.plans.more_queries import INNER, ONE_LINE, folder, one_line
 from spanlake.plans.relational_queries import table
-from spanlake.plans.text_queries import CAPTIONS, SIMILAR, WORDS, _similar, captions
+from spanlake.plans.text_queries import CAPTIONS, CLUSTERS, DIVERSITY, ENERGY, KEYWORD, LENGTH, WORDS, _clusters, captions
 from spanlake.sources import files
 from spanlake.sources.captions import from_events
 from spanlake.storage import checkpoints
@@ -105,7 +105,7 @@ def trim_silence(spark, sf_dir):
 def merge_outlines(spark, sf_dir):
     """Turns that resemble no kept earlier turn."""
     checkpoints(spark)
-    rivals = _similar(spark, sf_dir).select(F.col("b").alias("id"), F.col("a").alias("rival")).checkpoint()
+    rivals = _clusters(spark, sf_dir)[0].select(F.col("b").alias("id"), F.col("a").alias("rival")).checkpoint()
     ids = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
     return topics.undefeated(ids, rivals)
 
@@ -124,17 +124,17 @@ def group_by_chunk(spark, sf_dir):
     return captions(spark, sf_dir).groupBy("conv_id", F.floor(F.col("start_ms") / 5000).alias("chunk")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@register("G15_cluster_confidence", SIMILAR + " SELECT a // 1000 AS conv_id, round(0.6 * (sum(similarity) / count(*)) + 0.4 * least(count(*) / 20.0, 1.0), 3) AS confidence FROM e GROUP BY 1")
+@register("G15_cluster_confidence", INNER + " SELECT root, round(0.6 * mean + 0.4 * least(n / 20.0, 1.0), 3) AS confidence FROM i")
 def cluster_confidence(spark, sf_dir):
-    g = _similar(spark, sf_dir).groupBy(F.floor(F.col("a") / 1000).alias("conv_id"))
-    return g.agg(F.round(0.6 * (F.sum("similarity") / F.count("*")) + 0.4 * F.least(F.count("*") / 20.0, F.lit(1.0)), 3).alias("confidence"))
+    inner = mining.inner_similarity(*_clusters(spark, sf_dir))
+    return inner.select("root", F.round(0.6 * F.col("mean") + 0.4 * F.least(F.col("n") / 20.0, F.lit(1.0)), 3).alias("confidence"))
 
 
-@register("G16_cluster_statistics", SIMILAR + ", k AS (SELECT a AS k FROM e UNION SELECT b FROM e) SELECT (SELECT count(*) FROM conversations) AS total, count(*) AS n_linked, round(count(*) / (SELECT count(*) FROM conversations), 4) AS ratio FROM k")
+@register("G16_cluster_statistics", CLUSTERS + """
+SELECT (SELECT count(*) FROM conversations) AS total, count(*) FILTER (n > 1) AS n_linked, round(count(*) FILTER (n > 1) / (SELECT count(*) FROM conversations), 4) AS ratio FROM cl""")
 def cluster_statistics(spark, sf_dir):
-    s = _similar(spark, sf_dir)
     total = table(spark, sf_dir, "conversations").agg(F.count("*").alias("total")).scalar()
-    n = s.select(F.explode(F.array("a", "b")).alias("k")).agg(F.count_distinct("k").alias("n_linked"))
+    n = _clusters(spark, sf_dir)[2].agg(F.count("*").alias("n_linked"))
     return n.select(total.alias("total"), "n_linked", F.round(F.col("n_linked") / total, 4).alias("ratio"))
 
 
@@ -176,24 +176,28 @@ def candidate_words(spark, sf_dir):
     return mining.term_counts(table(spark, sf_dir, "conversations"), [], F.filter(tx.words(F.col("text")), lambda w: F.length(w) >= 2))
 
 
-@register("H17_energy_score", "SELECT event_id, CASE WHEN value / 500 < 0.2 THEN 0.3 WHEN value / 500 < 0.4 THEN 0.6 WHEN value / 500 <= 0.8 THEN 1.0 ELSE 0.8 END AS score FROM events")
+@register("H17_energy_score", f"SELECT event_id, round({ENERGY.format('(value / 500)')}, 6) AS score FROM events")
 def energy_score(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", tx.energy_score(F.col("value") / 500).alias("score"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(tx.energy_score(F.col("value") / 500), 6).alias("score"))
 
 
-@register("H18_local_score", """
-WITH n AS (SELECT conv_id, turn, length(regexp_replace(text, '[ \\t\\n\\r\\f\\v]', '', 'g')) AS n, len(list_distinct(string_split(text, ''))) / CAST(length(text) AS DOUBLE) AS r FROM conversations)
-SELECT conv_id, turn, round(greatest(0.3, (CASE WHEN n < 10 THEN 0.3 WHEN n < 20 THEN 0.6 WHEN n <= 80 THEN 1.0 WHEN n <= 120 THEN 0.7 ELSE 0.4 END + CASE WHEN r >= 0.7 THEN 1.0 WHEN r >= 0.4 THEN 0.7 ELSE 0.4 END) / 2), 3) AS score FROM n""")
+_SHORT = "length(trim(text, ' ')) < 5"
+
+
+@register("H18_local_score", f"""
+SELECT doc_id, round(greatest(0.3, least(1.0, (CASE WHEN {_SHORT} THEN 0.6 ELSE {LENGTH} END + {ENERGY.format('(doc_id % 101 / 100.0)')} + CASE WHEN {_SHORT} THEN 0.5 ELSE {DIVERSITY} END + CASE WHEN {_SHORT} THEN 0.4 ELSE {KEYWORD} END) / 4)), 6) AS score FROM documents""")
 def local_score(spark, sf_dir):
-    mean = (tx.length_score(F.col("text")) + tx.diversity_score(F.col("text"))) / 2
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(F.greatest(F.lit(0.3), mean), 3).alias("score"))
+    score = tx.local_score(F.col("text"), F.col("doc_id") % 101 / 100.0, "(the|und|les)")
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(score, 6).alias("score"))
+
+
+_D = "(CASE WHEN value BETWEEN 30 AND 120 THEN 7 + (1 - abs(value - 60) / 60) * 2 WHEN value < 30 THEN 5 + value / 30 * 2 ELSE 6 - least((value - 120) / 120, 0.5) END)"
 
 
-@register("H21_duration_fallback", "SELECT event_id, round(CASE WHEN value < 30 THEN 0.5 + value / 300 WHEN value <= 180 THEN 0.7 + value / 1800 ELSE greatest(0.3, 0.6 - value / 3600) END, 6) AS score FROM events")
+@register("H21_duration_fallback", f"SELECT event_id, round({_D}, 6) AS score, round({_D} + CASE WHEN event_id % 80 > 50 THEN 0.5 WHEN event_id % 80 < 20 THEN -0.5 ELSE 0 END, 6) AS with_length FROM events")
 def duration_fallback(spark, sf_dir):
     v = F.col("value")
-    score = F.when(v < 30, 0.5 + v / 300).when(v <= 180, 0.7 + v / 1800).otherwise(F.greatest(F.lit(0.3), 0.6 - v / 3600))
-    return table(spark, sf_dir, "events").select("event_id", F.round(score, 6).alias("score"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(tx.duration_score(v), 6).alias("score"), F.round(tx.duration_score(v, F.col("event_id") % 80), 6).alias("with_length"))
 
 
 @register("H23_speakers", "SELECT conv_id, turn, role AS speaker FROM conversations")

@@ -10,6 +10,7 @@ from spanlake.functions import times
 from spanlake.operators import mining
 from spanlake.plans.catalogue import register
 from spanlake.plans.relational_queries import table
+from spanlake.storage import checkpoints
 
 STOP = ("the", "and", "of", "to", "der", "die", "und", "el", "la", "de", "le", "les")
 WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 0)"
@@ -166,23 +167,30 @@ def estimate_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@register("H14_length_score", """
-WITH n AS (SELECT conv_id, turn, length(regexp_replace(text, '[ \\t\\n\\r\\f\\v]', '', 'g')) AS n FROM conversations)
-SELECT conv_id, turn, CASE WHEN n < 10 THEN 0.3 WHEN n < 20 THEN 0.6 WHEN n <= 80 THEN 1.0 WHEN n <= 120 THEN 0.7 ELSE 0.4 END AS score FROM n""")
+_N = "length(replace(replace(text, ' ', ''), chr(10), ''))"
+LENGTH = f"(CASE WHEN {_N} BETWEEN 20 AND 80 THEN 1.0 WHEN {_N} BETWEEN 10 AND 19 THEN 0.7 + 0.3 * ({_N} - 10) / 10.0 WHEN {_N} BETWEEN 81 AND 120 THEN 0.7 + 0.3 * (120 - {_N}) / 40.0 WHEN {_N} < 10 THEN greatest(0.2, {_N} / 10.0 * 0.5) ELSE greatest(0.2, 120.0 / {_N} * 0.5) END)"
+_CLEAN = "regexp_replace(text, '[^\\x{4e00}-\\x{9fa5}a-zA-Z0-9]', '', 'g')"
+_RATIO = f"(len(list_distinct(string_split({_CLEAN}, ''))) / CAST(length({_CLEAN}) AS DOUBLE))"
+DIVERSITY = f"(CASE WHEN length({_CLEAN}) = 0 THEN 0.0 WHEN {_RATIO} >= 0.3 THEN least(1.0, ({_RATIO} - 0.3) / 0.4) ELSE {_RATIO} END)"
+ENERGY = "(CASE WHEN {0} BETWEEN 0.3 AND 0.7 THEN 1.0 WHEN {0} < 0.3 THEN greatest(0.2, {0} / 0.3 * 0.7) ELSE greatest(0.2, (1 - {0}) / 0.3 * 0.7) END)"
+KEYWORD = "(0.3 + least(0.25, 0.05 * len(regexp_extract_all(text, '(the|und|les)'))))"
+
+
+@register("H14_length_score", f"SELECT conv_id, turn, round({LENGTH}, 6) AS score FROM conversations UNION ALL SELECT item_id, -1, round({LENGTH}, 6) FROM (SELECT item_id, left(text, item_id % 40) AS text FROM benchmark)")
 def length_score(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.length_score(F.col("text")).alias("score"))
+    short = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("conv_id"), F.lit(-1).cast("long").alias("turn"), F.left("text", (F.col("item_id") % 40).cast("int")).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").unionByName(short)
+    return rows.select("conv_id", "turn", F.round(tx.length_score(F.col("text")), 6).alias("score"))
 
 
-@register("H15_diversity_score", """
-WITH r AS (SELECT conv_id, turn, len(list_distinct(list_transform(range(1, length(text) + 1), lambda i: substr(text, i, 1)))) / CAST(length(text) AS DOUBLE) AS r FROM conversations)
-SELECT conv_id, turn, CASE WHEN r >= 0.7 THEN 1.0 WHEN r >= 0.4 THEN 0.7 ELSE 0.4 END AS score FROM r""")
+@register("H15_diversity_score", f"SELECT doc_id, round({DIVERSITY}, 6) AS score FROM documents")
 def diversity_score(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.diversity_score(F.col("text")).alias("score"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(tx.diversity_score(F.col("text")), 6).alias("score"))
 
 
-@register("H16_keyword_score", "SELECT doc_id, round(0.3 + least(0.25, 0.05 * len(regexp_extract_all(text, '(the|und|les)'))), 4) AS score FROM documents")
+@register("H16_keyword_score", f"SELECT doc_id, round({KEYWORD}, 4) AS score FROM documents")
 def keyword_score(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(0.3 + F.least(F.lit(0.25), 0.05 * F.regexp_count("text", F.lit("(the|und|les)"))), 4).alias("score"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(tx.keyword_score(F.col("text"), "(the|und|les)"), 4).alias("score"))
 
 
 @register("H22_squeeze_repeats", "SELECT doc_id, length(regexp_replace(text, '%{3,}', '%', 'g')) AS n FROM documents")
@@ -221,26 +229,44 @@ def themes(spark, sf_dir):
 
 
 SIMILAR = f"""
-WITH w AS (SELECT DISTINCT conv_id * 1000 + turn AS k, unnest({WORDS.format('text')}) AS term FROM conversations), n AS (SELECT k, count(*) AS n FROM w GROUP BY k),
-c AS (SELECT x.k AS a, y.k AS b, count(*) AS c FROM w x JOIN w y ON x.term = y.term AND x.k < y.k GROUP BY ALL),
-e AS (SELECT a, b, round(c / sqrt(CAST(p.n AS DOUBLE) * q.n), 6) AS similarity FROM c JOIN n p ON p.k = a JOIN n q ON q.k = b WHERE round(c / sqrt(CAST(p.n AS DOUBLE) * q.n), 6) >= 0.6)"""
+WITH RECURSIVE t AS (SELECT conv_id * 1000 + turn AS k, list_sort(list_distinct({WORDS.format('text')})) AS g FROM conversations),
+m AS (SELECT k, min(k) OVER (PARTITION BY g) AS rep, g FROM t WHERE len(g) > 0), reps AS (SELECT rep, count(*) AS n, any_value(g) AS g FROM m GROUP BY rep),
+w AS (SELECT rep AS k, n, len(g) AS size, unnest(g) AS term FROM reps),
+c AS (SELECT x.k AS a, y.k AS b, any_value(x.n) AS n_a, any_value(y.n) AS n_b, round(count(*) / sqrt(CAST(any_value(x.size) AS DOUBLE) * any_value(y.size)), 6) AS similarity FROM w x JOIN w y ON x.term = y.term AND x.k < y.k GROUP BY x.k, y.k),
+e AS (SELECT * FROM c WHERE similarity >= 0.6)"""
+CLUSTERS = SIMILAR + """,
+v AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT rep, rep FROM reps UNION SELECT v.b, r.root FROM r JOIN v ON v.a = r.node),
+rr AS (SELECT node AS rep, min(root) AS root FROM r GROUP BY node), cl AS (SELECT k AS node, root, count(*) OVER (PARTITION BY root) AS n FROM m JOIN rr USING (rep))"""
+
+
+def _turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text")
 
 
 def _similar(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text")
-    return mining.similar_pairs(t, "k", tx.words(F.col("text")), 0.6)
+    return mining.similar_pairs(_turns(spark, sf_dir), "k", tx.words(F.col("text")), 0.6)
 
 
-@register("J29_similarity_join", SIMILAR + " SELECT a, b, similarity FROM e")
+def _clusters(spark, sf_dir):
+    """Pairs of classes, classes and clusters of turns; the first two are cut off from their lineage."""
+    checkpoints(spark)
+    pairs, classes = _similar(spark, sf_dir).checkpoint(), mining.set_classes(_turns(spark, sf_dir), "k", tx.words(F.col("text"))).checkpoint()
+    return pairs, classes, mining.similar_clusters(pairs, classes)
+
+
+@register("J29_similarity_join", SIMILAR + " SELECT a, b, similarity, n_a, n_b FROM e")
 def similarity_join(spark, sf_dir):
     return _similar(spark, sf_dir)
 
 
-@register("F29_components", SIMILAR.replace("WITH w", "WITH RECURSIVE w") + """,
-v AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT a, a FROM v UNION SELECT v.b, r.root FROM r JOIN v ON v.a = r.node)
-SELECT node, min(root) AS root FROM r GROUP BY node""")
+@register("J29_set_classes", SIMILAR + " SELECT k, rep FROM m")
+def set_classes(spark, sf_dir):
+    return mining.set_classes(_turns(spark, sf_dir), "k", tx.words(F.col("text")))
+
+
+@register("F29_components", CLUSTERS + " SELECT node, root FROM cl WHERE n > 1")
 def components(spark, sf_dir):
-    return mining.components(_similar(spark, sf_dir).select("a", "b"))
+    return _clusters(spark, sf_dir)[2]
 
 
 @register("Y1_safe_parse", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
