@@ -46,6 +46,11 @@ def keep_ids(df: DataFrame, key: str, ids: DataFrame, how: str = "left_semi", mo
     return df.join(F.broadcast(ids) if few else ids, key, how)
 
 
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df``, which has few numbers a row and a cut lineage, marked for broadcast if a count shows at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def band(data: Column, index: int, width: int) -> Column:
     """Bucket key of the ``index``-th ``width`` bytes of a binary column."""
     return F.xxhash64(F.lit(index), F.substring(data, index * width + 1, width))

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import band, cut, keep_ids, quoted, slices, small_batches
+from spanlake.llm.common import band, cut, keep_ids, quoted, slices, small, small_batches
 from spanlake.llm.components import connected_components
 from spanlake.llm.pieces import gather
 
@@ -34,6 +34,8 @@ BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 LEEWAY = 20.0
 #: Text bytes that are hashed at once, and rows and shingles of one side of a block comparison, which bound a task's memory.
 CHUNK, BLOCK, SHINGLES = 1 << 20, 2048, 1 << 20
+#: Members of a centre that are confirmed together; its text goes once to each such group.
+MEMBERS = 256
 
 _RANDOM = np.random.default_rng(20240229)
 _FOLD = np.arange(256)
@@ -228,12 +230,16 @@ def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
 def _confirm(likely: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of ``likely`` (``a``: centre, ``b``: member, class ids) that the full sets confirm."""
     found = _texts_of(likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), texts)
-    chunks = likely.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
-    dealt = likely.join(chunks.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"))
-    centres = found.select(F.col("rep").alias("a"), "h")
-    dealt = cut(dealt.join(centres.hint("merge"), "a"))  # a block for each different text of a centre
+    large = likely.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("chunks")).where("chunks > 1")
+    dealt = likely.join(small(cut(large)), "a", "left")
+    dealt = dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("chunks", F.lit(1))).cast("int").alias("chunk"), F.lit(None).cast("long").alias("h"))
+    several = cut(found.groupBy(F.col("rep").alias("a")).agg(F.count("*").alias("n")).where("n > 1").select("a"))
+    if not several.isEmpty():  # ids with different texts: a block for each text of a centre
+        texts_of = keep_ids(found.withColumnRenamed("rep", "a"), "a", several).select("a", "h")
+        dealt = keep_ids(dealt, "a", several, "left_anti").unionByName(keep_ids(dealt, "a", several).drop("h").join(texts_of, "a"))
+    dealt = cut(dealt)
     columns = ["a", "h", "chunk", "b", "text"]
-    heads = dealt.select("a", "h", "chunk").distinct().join(found.withColumnRenamed("rep", "a").hint("merge"), ["a", "h"])
+    heads = dealt.select("a", "h", "chunk").distinct().join(found.select(F.col("rep").alias("a"), F.col("h").alias("of"), "text").hint("merge"), "a").where("h is null or h = of")
     members = dealt.join(found.select(F.col("rep").alias("b"), "text").hint("merge"), "b")
     rows = heads.withColumn("b", F.lit(None).cast("long")).select(columns).unionAll(members.select(columns))
     rows = rows.repartition("a", "h", "chunk").sortWithinPartitions("a", "h", "chunk", F.col("b").asc_nulls_first())
@@ -347,7 +353,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = buckets.groupBy("bucket").agg(centre().alias("c"), centre(F.xxhash64("rep").alias("h")).alias("d"), F.max("rep").alias("most")).where("c.rep < most")
     members = cut(buckets.join(shared.select("bucket", "c", F.struct("d.rep", "d.n").alias("d")).hint("merge"), "bucket"))
     stars = members.select("rep", "n", F.explode(F.array("c", "d")).alias("c")).where("rep <> c.rep")
-    stars = stars.where(f"100 * least(n, c.n) >= {int(percent)} * greatest(n, c.n)").select(F.col("c.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = stars.where(f"100 * least(n, c.n) >= {int(percent)} * greatest(n, c.n)").select(F.least("rep", "c.rep").alias("lo"), F.greatest("rep", "c.rep").alias("hi"), "c.rep")
+    stars = stars.groupBy("lo", "hi").agg(F.min("rep").alias("a")).select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
     left, right = (classes.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("regs").alias(f"regs_{k}")) for k in "ab")
     stars = stars.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
     many = sketches.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("doc_id")
