@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slices of the whole time range.
-SLICES = 512
+#: Parts of the time range that hold about as many captures each, and slices of equal width in each part.
+PARTS, INNER = 64, 8
 #: Header fields that a 304 response may update (RFC 9110, section 15.4.5); fixed values.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 
@@ -26,7 +26,20 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, F.regexp_replace(path, r"/$", ""), query)
 
 
-def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
+def _slice_of(rows: DataFrame, parts: int) -> Column:
+    """Number of a row's time slice, ascending with ``ts``: parts are cut at quantiles, so that no stray time stamp
+    stretches more than its own part."""
+    span = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.percentile_approx("ts", [k / parts for k in range(1, parts)], 10_000).alias("cuts")).first()
+    if span.lo is None:
+        return F.lit(0)
+    cuts = [span.lo, *span.cuts, span.hi + 1]
+    edges = F.array(*[F.lit(c).cast("long") for c in cuts])
+    part = F.least(F.size(F.filter(edges, lambda c: c <= F.col("ts"))), F.lit(len(cuts) - 1))
+    begin, end = F.get(edges, part - 1), F.get(edges, part)
+    return part * INNER + F.least(F.floor((F.col("ts") - begin) * INNER / F.greatest(end - begin, F.lit(1))), F.lit(INNER - 1))
+
+
+def resolve_revisits(records: DataFrame, slices: int = PARTS) -> DataFrame:
     """One row per revisit record: ``record_id``, ``canonical``, ``response_id``, ``status``, ``headers``, ``payload_digest``.
 
     ``records`` has ``record_id``, ``kind`` (response or revisit), ``uri``, ``ts`` (long), ``etag``, ``last_modified``,
@@ -41,9 +54,7 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     columns = ["record_id", "kind", "ts", "etag", "last_modified", "headers", "payload_digest"]
     rows = records.select(canonical_url(F.col("uri")).alias("canonical"), *columns).where(F.col("kind").isin("response", "revisit"))
     rows = rows.where("kind = 'revisit' or (canonical is not null and ts is not null)")
-    span = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
-    lo, width = span.lo or 0, max(1, -(-((span.hi or 0) - (span.lo or 0) + 1) // slices))
-    rows = rows.withColumn("slice", F.floor((F.col("ts") - lo) / width))
+    rows = rows.withColumn("slice", _slice_of(rows, slices))
     response = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "etag", "last_modified", F.map_entries("headers").alias("headers"), "payload_digest"))
     rows = rows.withColumn("r", response)
     last = rows.where("kind = 'response'").groupBy("canonical", "slice").agg(F.max("r").alias("r"))
