@@ -1,27 +1,30 @@
 """Near-duplicate vectors: an exact range join in angular distance.
 
-Pivots split the vectors of a label into cells, each vector's home being its nearest pivot. Angles obey the triangle
+Pivots split the vectors of each label into cells, each vector's home being its nearest pivot. Angles obey the triangle
 inequality, so a vector can only be linked into a foreign cell if its angle to that pivot exceeds the cell's radius by
 at most the range, and its own home angle by at most twice the range; only there it is replicated. Every link of a home
 vector then lies in its own cell, so cells join independently: each counts its home vectors' links and returns a forest
-of them. A cell beyond the block size is compared in pairs of blocks, so no task grows with a group of copies.
+of them. Home vectors of a cell and all its vectors are cut into blocks apart and each pair of blocks is one group, so
+no task grows with a group of copies. Within a group both sides are sorted by their angle to the pivot; a vector is
+multiplied only with those whose angle differs from its own by at most the range.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import cut
+from spanlake.llm.common import cut, small
 from spanlake.llm.components import connected_components
 
-#: Different vectors that a cell should have, rows of one side of a block, and numbers in all pivots (which the driver holds).
-CELL, BLOCK, PIVOT_VALUES = 2048, 2048, 1 << 20
+#: Different vectors that a cell should have, the most cells of a label, rows of one side of a block, and of a slice whose homes are sought at once.
+CELL, CELLS, BLOCK, SLICE = 2048, 256, 2048, 8192
+#: What is added to the range for rounding: angles travel as 32-bit numbers.
+SLACK = 4e-6
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -46,60 +49,56 @@ def _classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -
     return rows.select("vec_id", "ok", "h1", "h2"), classes.withColumn("part", F.xxhash64("label", F.size("v")))
 
 
-def _pivots(classes: DataFrame) -> dict[int, np.ndarray]:
-    """Pivots of the parts with more than ``CELL`` different vectors; the largest parts come first, the total is bounded."""
-    parts = classes.groupBy("part").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).where(F.col("n") > CELL)
-    large = parts.orderBy(F.desc("n"), "part").limit(1024).collect()
-    left, wanted = PIVOT_VALUES, []
-    for p in large:
-        k = min(math.ceil(p.n / CELL), left // p.width)
-        if k > 1:
-            left -= k * p.width
-            wanted.append((p.part, p.n, k))
-    if not wanted:
-        return {}
-    share = F.create_map(*[F.lit(x) for part, n, k in wanted for x in (part, k / n)])[F.col("part")]
-    picked = classes.where(F.pmod(F.xxhash64("rep", F.lit("pivot")), F.lit(1 << 30)) < share * (1 << 30)).select("part", "v").limit(4 * sum(k for *_, k in wanted)).collect()
-    out: dict[int, list] = {}
-    for row in picked:
-        out.setdefault(row.part, []).append(row.v)
-    return {part: _unit(pa.array(rows, pa.list_(pa.float64()))) for part, rows in out.items() if len(rows) > 1}
-
-
-def _placed(classes: DataFrame, pivots: dict[int, np.ndarray], reach: float) -> DataFrame:
-    """Every class in its home cell and in the cells that its links may reach."""
-    spark = classes.sparkSession
-    shared = spark.sparkContext.broadcast(pivots)  # at most PIVOT_VALUES numbers
-    base = classes.select("part", "rep", "h1", "m", "v")
-
-    def home(batches: Iterator[pa.RecordBatch], radii: dict | None = None) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            part = batch.column(0).to_numpy()
-            for key in np.unique(part):
-                rows = batch.filter(pa.array(part == key))
-                p = shared.value.get(int(key))
-                if p is None:
-                    angle = np.zeros((rows.num_rows, 1))
-                else:
-                    u = _unit(rows.column(4))
-                    angle = _angle(u @ p.T)
-                at = angle.argmin(1)
-                own = angle[np.arange(len(at)), at]
-                if radii is None:
-                    yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(at.astype(np.int32)), pa.array(own)], ["part", "cell", "angle"])
-                    continue
-                go = np.zeros(angle.shape, bool)
-                if p is not None:
-                    bound = np.array([radii.get((int(key), c), (0.0, -1.0)) for c in range(len(p))])
-                    go = (angle <= bound[:, 1] + reach) & (angle >= bound[:, 0] - reach) & (angle - own[:, None] <= 2 * reach)
-                go[np.arange(len(at)), at] = True
-                i, cell = np.nonzero(go)
-                rows = rows.take(pa.array(i))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cell.astype(np.int32)), pa.array(cell == at[i])], [*rows.schema.names, "cell", "home"])
-
-    found = base.mapInArrow(home, "part long, cell int, angle double").where(F.col("part").isin(list(pivots))) if pivots else None
-    radii = {(r.part, r.cell): (r.lo, r.hi) for r in found.groupBy("part", "cell").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi")).collect()} if pivots else {}
-    return base.mapInArrow(lambda b: home(b, radii), "part long, rep long, h1 long, m long, v array<double>, cell int, home boolean")
+def _placed(classes: DataFrame, reach: float) -> DataFrame:
+    """Every class of a label with others: its home cell, its angle there (``own``) and the cells (``c``, ``a``: angle)
+    that Voronoi bounds let it reach.
+
+    A label has two pivots at least (its least and its greatest hash), and one for ``CELL`` vectors up to ``CELLS``.
+    """
+    hashed = classes.withColumn("h", F.xxhash64("rep", "h1", F.lit("pivot")))
+    parts = cut(hashed.groupBy("part").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("n > 1"))
+    rows = hashed.join(small(parts), "part")
+    cells = F.least(F.lit(CELLS), F.greatest(F.lit(2), F.ceil(F.col("n") / CELL)))
+    picked = (F.pmod(F.col("h"), F.lit(1 << 30)) < (cells - 2) / F.col("n") * (1 << 30)) | F.col("h").isin(F.col("lo"), F.col("hi"))
+    slices = F.ceil(F.col("n") / SLICE).cast("int")
+    columns = ["part", "slice", "pivot", "h", "rep", "h1", "m", "v"]
+    pivots = rows.where(picked).withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).withColumn("pivot", F.lit(True))
+    own = rows.withColumn("slice", F.pmod(F.xxhash64("rep", "h1"), slices).cast("int")).withColumn("pivot", F.lit(False))
+
+    def place(_: tuple, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        pivot = table["pivot"].to_numpy()
+        at = np.flatnonzero(pivot)
+        at = at[np.lexsort([table[k].to_numpy()[at] for k in ("h1", "rep", "h")])]
+        u = _unit(table["v"].chunk(0))
+        mine = np.flatnonzero(~pivot)
+        angle = _angle(u[mine] @ u[at].T)
+        home = angle.argmin(1)
+        least = angle[np.arange(len(mine)), home]
+        row, cell = np.nonzero(angle - least[:, None] <= 2 * reach)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(mine)))]).astype(np.int32)
+        near = pa.StructArray.from_arrays([pa.array(cell.astype(np.int32)), pa.array(angle[row, cell].astype(np.float32))], ["c", "a"])
+        out = table.select(["part", "rep", "h1", "m", "v"]).take(pa.array(mine))
+        return out.append_column("home", pa.array(home.astype(np.int32))).append_column("own", pa.array(least.astype(np.float32))).append_column("near", pa.ListArray.from_arrays(pa.array(ends), near))
+
+    rows = own.select(columns).unionAll(pivots.select(columns)).groupBy("part", "slice")
+    return rows.applyInArrow(place, "part long, rep long, h1 long, m long, v array<double>, home int, own float, near array<struct<c: int, a: float>>")
+
+
+def _blocks(placed: DataFrame, reach: float) -> DataFrame:
+    """Both sides of every pair of blocks: home vectors (``left``) and all vectors that reach the cell."""
+    radii = cut(placed.groupBy("part", F.col("home").alias("cell")).agg(F.min("own").alias("lo"), F.max("own").alias("hi")))
+    near = placed.select("part", "home", "rep", "h1", "m", "v", F.explode("near").alias("e")).select("*", F.col("e.c").alias("cell"), F.col("e.a").alias("angle")).drop("e")
+    near = near.join(small(radii), ["part", "cell"]).where((F.col("home") == F.col("cell")) | F.col("angle").between(F.col("lo") - reach, F.col("hi") + reach)).drop("lo", "hi")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = cut(near.groupBy("part", "cell").agg(blocks(F.count("*")).alias("all_"), blocks(F.count_if(F.col("home") == F.col("cell"))).alias("homes")))
+    near = near.join(small(sizes), ["part", "cell"])
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("rep", "h1"), F.col(n)).cast("int")
+    columns = ["part", "cell", "i", "j", "left", "angle", "rep", "h1", "m", "v"]
+    left = near.where("home = cell").withColumn("i", dealt("homes")).withColumn("j", spread("all_")).withColumn("left", F.lit(True))
+    right = near.withColumn("i", spread("homes")).withColumn("j", dealt("all_")).withColumn("left", F.lit(False))
+    return left.select(columns).unionAll(right.select(columns))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -113,42 +112,39 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     """
     rows, classes = _classes(vectors, id_col, vector_col, label_col)
     classes = cut(classes)
-    reach = math.acos(threshold) + 1e-7
-    placed = cut(_placed(classes, _pivots(classes), reach))
-    sizes = placed.groupBy("part", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
-    dealt = placed.join(sizes, ["part", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("rep", "h1"), "chunks").cast("int"))
-    both = F.explode(F.array_union(
-        F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.col("chunk").alias("i"), k.alias("j")))).otherwise(F.array()),
-        F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(k.alias("i"), F.col("chunk").alias("j"))),
-    ))
-    dealt = dealt.withColumn("at", both).select("part", "cell", "at.i", "at.j", "chunk", "home", "rep", "h1", "m", "v")
+    reach = math.acos(threshold) + SLACK
+    blocks = _blocks(cut(_placed(classes, reach)), reach)
 
     def join(_: tuple, table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        i, j, chunk, home, rep, h1, m = (table[k].to_numpy() for k in ("i", "j", "chunk", "home", "rep", "h1", "m"))
+        side, angle, rep, h1, m = (table[k].to_numpy() for k in ("left", "angle", "rep", "h1", "m"))
         u = _unit(table["v"].chunk(0))
-        left, right = np.flatnonzero((chunk == i) & home), np.flatnonzero(chunk == j)
+        left, right = (x[np.argsort(angle[x], kind="stable")] for x in (np.flatnonzero(side), np.flatnonzero(~side)))
         links = np.zeros(len(left), np.int64)
-        group = np.arange(len(rep))
+        known, code = np.unique(rep, return_inverse=True)
+        group = np.arange(len(known))
         a, b = [], []
         for lo in range(0, len(left), 256):
-            near = u[left[lo : lo + 256]] @ u[right].T >= threshold
-            near &= left[lo : lo + 256, None] != right[None, :]
-            links[lo : lo + 256] = near @ m[right]
-            for x, hits in zip(left[lo : lo + 256], near, strict=True):
-                other = group[right[hits]]
-                new, first = np.unique(other[other != group[x]], return_index=True)
+            part = left[lo : lo + 256]
+            within = right[np.searchsorted(angle[right], angle[part[0]] - reach) : np.searchsorted(angle[right], angle[part[-1]] + reach, side="right")]
+            near = u[part] @ u[within].T >= threshold
+            near &= (rep[part][:, None] != rep[within]) | (h1[part][:, None] != h1[within])
+            links[lo : lo + 256] = near @ m[within]
+            for x, hits in zip(part, near, strict=True):
+                to = code[within[hits]]
+                other = group[to]
+                new, first = np.unique(other[other != group[code[x]]], return_index=True)
                 if len(new):
                     a.append(np.full(len(new), rep[x]))
-                    b.append(rep[right[hits]][other != group[x]][first])
-                    group[np.isin(group, new)] = group[x]
+                    b.append(known[to[other != group[code[x]]][first]])
+                    group[np.isin(group, new)] = group[code[x]]
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
         n, k = len(left), len(a)
         own = lambda x, kind=np.int64: pa.array(np.concatenate([x, np.zeros(k, kind)]))
         edge = lambda x: pa.array(np.concatenate([np.zeros(n, np.int64), x]))
         return pa.table({"rep": own(rep[left]), "h1": own(h1[left]), "links": own(links), "a": edge(a), "b": edge(b)})
 
-    found = cut(dealt.groupBy("part", "cell", "i", "j").applyInArrow(join, "rep long, h1 long, links long, a long, b long"))
+    found = cut(blocks.groupBy("part", "cell", "i", "j").applyInArrow(join, "rep long, h1 long, links long, a long, b long"))
     degree = found.groupBy("rep", "h1").agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("a <> b").select("a", "b"))
     of = classes.select("h1", "h2", "rep", "m").join(degree, ["rep", "h1"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
