@@ -11,7 +11,7 @@ from spanlake.llm import edit_counts, embed_dedup, langid, mixing, oracles, piec
 from spanlake.llm.common import read
 
 
-#: Rules of the URL filter as (action, host, path), and hosts that its own list blocks where no rule fits.
+#: Rules of the URL filter as (action, host, path), and the pattern by which its list of hosts is drawn up.
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 ADVERTISING = r"(^|\.)(ads?|ads-track|track|tracker|tracking|banners?)\."
 
@@ -53,7 +53,8 @@ def op7_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op8_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_cascade.filter_urls(read(spark, sf_dir, "pages"), URL_RULES, ADVERTISING)
+    pages = read(spark, sf_dir, "pages")
+    return url_cascade.filter_urls(pages, URL_RULES, url_cascade.hosts_of(pages).where(F.col("key").rlike(ADVERTISING)))
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,9 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_counts.count_after_edits(read(spark, sf_dir, "documents"), edit_counts.redactions)
+    docs = read(spark, sf_dir, "documents")
+    trees = edit_counts.written(edit_counts.build_trees(docs), "trees")
+    return edit_counts.count_after_edits(docs, trees, edit_counts.written(edit_counts.redactions(docs), "edits"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -268,7 +268,8 @@ def test_url_filter(spark):
         "ftp://q.org/fr/x", None, "", "no scheme/de/", "http:///fr/", "http://ads.q.org/en/", "http://x.net/a://b", "http://ads.example.net/en/2",
     ]
     df = spark.createDataFrame([(i, u, "a", "b") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
-    found = {x.page_id: x for x in url_cascade.filter_urls(df, rules, r"(^|\.)ads\.").collect()}
+    listed = spark.createDataFrame([("ads.q.org",), ("ads.example.net",), ("ads.unseen.org",), ("ads.q.org",), (None,)], "key string")
+    found = {x.page_id: x for x in url_cascade.filter_urls(df, rules, listed).collect()}
     for i, u in enumerate(urls):
         rest = u.split("://", 1)[1] if u and "://" in u else ""
         host, path = re.match("([^/?#]*)([^?#]*)", rest, re.DOTALL).groups()
@@ -276,24 +277,33 @@ def test_url_filter(spark):
         fit = [(len(h + p), h + p, a) for a, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         _, rule, verdict = max(fit) if fit else (0, None, "block" if re.search(r"(^|\.)ads\.", host) else "allow")
         assert (found[i].host, found[i].path, found[i].rule, found[i].verdict) == (host, path, rule, verdict)
-    assert url_cascade.filter_urls(df.limit(0), rules, "ads").count() == 0
+    assert url_cascade.filter_urls(df.limit(0), rules, listed).count() == 0
+    assert {x.verdict for x in url_cascade.filter_urls(df.where("url like '%q.org%'"), [], listed.limit(0)).collect()} == {"allow"}
 
 
 def test_url_filter_beyond_a_constant(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"http://ads.h{i}.org/fr/" if i % 3 else f"http://h{i}.com/", "a", "b") for i in range(100)], "page_id long, url string, host string, rule string")
-    found = url_cascade.filter_urls(df, (("allow", "h1.org", "/fr/"),), r"(^|\.)ads\.")
+    listed = url_cascade.hosts_of(df).where("key like 'ads.%'")
+    rules = [("allow", "h1.org", "/fr/"), *(("block", f"h{i}.com", "/") for i in range(0, 60, 3))]
+    found = url_cascade.filter_urls(df, rules, listed)
     expected = {(x.page_id, x.rule, x.verdict) for x in found.collect()}
-    monkeypatch.setattr(url_cascade, "MOST_WORDS", 5)
-    again = url_cascade.filter_urls(df, (("allow", "h1.org", "/fr/"),), r"(^|\.)ads\.")
+    assert sum(v == "block" for *_, v in expected) == 65 + 20
+    monkeypatch.setattr(url_cascade, "MOST_WORDS", 3)  # several shards
+    again = url_cascade.filter_urls(df, rules, listed)
+    assert {(x.page_id, x.rule, x.verdict) for x in again.collect()} == expected
+    assert "Python" not in again._jdf.queryExecution().toString() and "BroadcastHashJoin" not in again._jdf.queryExecution().toString()
+    monkeypatch.setattr(url_cascade, "AT_ONCE", 2)  # and more than a plan holds
+    again = url_cascade.filter_urls(df, rules, listed)
     assert {(x.page_id, x.rule, x.verdict) for x in again.collect()} == expected
-    assert sum(v == "block" for *_, v in expected) == 65
 
 
-def test_cascade_is_exact(spark, monkeypatch):
+@pytest.mark.parametrize("words", [1 << 17, 8])
+def test_cascade_is_exact(spark, monkeypatch, words):
     monkeypatch.setattr(url_cascade, "BITS", 2)
+    monkeypatch.setattr(url_cascade, "MOST_WORDS", words)
     keys = spark.range(3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), (F.pmod(F.xxhash64("id"), F.lit(5)) == 0).alias("listed"))
     cascade = url_cascade.Cascade.build(keys)
-    assert len(cascade.levels) > 3
+    assert len(cascade.shards) == (1 if words > 8 else 3) and max(map(len, cascade.shards)) > 3
     assert keys.where(cascade.listed(F.col("key")) != F.col("listed")).count() == 0
 
 
@@ -426,9 +436,37 @@ def test_edit_counts(spark):
             at = b
         assert edit_counts.recount(counter, text, edits)[:2] == (full(text), full("".join([*out, text[at:]])))
     texts = ["write to a.b@c.org  or call 555-123-4567", None, "", "plain"]
-    found = {x.doc_id: x for x in edit_counts.count_after_edits(docs_of(spark, texts), edit_counts.redactions).collect()}
-    assert (found[0].n_edits, found[0].n_after) == (3, full("write to [redacted] or call [redacted]"))
+    docs = docs_of(spark, [*texts, texts[0], texts[0], texts[0]], [0, 1, 2, 3, 4, 4, None])
+    trees = edit_counts.written(edit_counts.build_trees(docs), "trees")
+    rows = edit_counts.count_after_edits(docs, trees, edit_counts.redactions(docs)).collect()
+    found = {x.doc_id: x for x in rows}
+    assert sorted(x.doc_id if x.doc_id is not None else -1 for x in rows) == [-1, 0, 1, 2, 3, 4, 4]
+    for k in (0, 4, None):
+        assert (found[k].n_edits, found[k].n_after) == (3, full("write to [redacted] or call [redacted]"))
     assert (found[1].n_before, found[2].n_after, found[3].n_after) == (0, 0, full("plain"))
+    none = docs.limit(0)
+    assert edit_counts.count_after_edits(none, edit_counts.build_trees(none), edit_counts.redactions(none)).count() == 0
+    with pytest.raises(ValueError):
+        edit_counts.Counter(edit_counts.default_vocabulary()[0], r"\s*\n|\S+|\s")
+
+
+def test_edits_encode_what_they_touch(spark):
+    """Of a long text only the pre-tokens about each edit are encoded, and an insertion needs no pattern in the text."""
+    text = "some words that are here again, and 12 more of them; " * 4000
+    docs = docs_of(spark, [text, text + "x", None, ""])
+    version = {x.doc_id: x.version for x in edit_counts.build_trees(docs).collect()}
+    changes = {0: [(1000, 1004, "new"), (90_000, 90_000, " in the middle "), (len(text), len(text), "end")], 1: [(0, 5, "")], 2: [(0, 0, "all of it")], 3: [(0, 0, "x")], 9: [(0, 1, "y")]}
+    rows = [(k, version.get(k, 7), [dict(zip(("start", "end", "new"), e)) for e in v]) for k, v in changes.items()] + [(1, 0, [{"start": 3, "end": 9, "new": "another version"}])]  # noqa: B905
+    edits = spark.createDataFrame(rows, "doc_id long, version long, edits array<struct<start: int, end: int, new: string>>")
+    found = {x.doc_id: x for x in edit_counts.count_after_edits(docs, edit_counts.build_trees(docs), edits).collect()}
+    full = edit_counts.Counter(*edit_counts.default_vocabulary()).encoding.encode_ordinary
+    for k, old in enumerate([text, text + "x", "", ""]):
+        new, at = [], 0
+        for a, b, inserted in changes[k]:
+            new += [old[at:a], inserted]
+            at = b
+        assert (found[k].n_before, found[k].n_after) == (len(full(old)), len(full("".join([*new, old[at:]]))))
+        assert found[k].n_redone <= 40 * len(changes[k]) and (k > 1 or found[k].n_pretokens > 40_000)
 
 
 def test_pipeline(spark):
