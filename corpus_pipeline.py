@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.llm import langid, mixing, pieces, secret_scan, setsketch
 from spanlake.llm.common import read
+from spanlake.storage import shared_folder
 
-#: The most often that mixing uses a document on average of its source; the largest source is used once.
-MAX_EPOCHS = 1.25
+#: The most often that mixing uses a document on average of its source; the largest source is used once. As in op6.
+MAX_EPOCHS = 2.0
 #: Shared share of five-word shingles, in percent, from which documents are near-duplicates.
 NEAR = 80
 
@@ -29,11 +27,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays."""
-    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of small sources are repeated towards flatter weights; every document is used at least once."""
+    """The mixture, in its order: documents of small sources are repeated towards flatter weights, each is used at least once."""
     return mixing.mix(docs, MAX_EPOCHS)
 
 
@@ -56,8 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, over the documents table."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-corpus-")
-    folder = f"{shared}/corpus-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "corpus")
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
