@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,6 +52,32 @@ def fix_overlaps(df: DataFrame, keys: list[str], order: list[str], margin: int =
     return df.withColumn("fixed_start", fixed_start).withColumn("fixed_end", fixed_end).drop("_pe", "_ns")
 
 
+def separate_aligned(df: DataFrame, keys: list[str], order: list[str], step: int = 50) -> DataFrame:
+    """Neighbours whose bounds were moved from ``original_start`` and ``original_end``: ``fixed_start``, ``fixed_end``.
+
+    Where the originals leave a gap, no bound moves into it. Neighbours that overlap go back to their originals if that
+    parts them, else both end at the middle; bounds that are set anew keep ``step`` off. Bounds are read as they were.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    df = df.withColumn("_n", F.struct(F.lag("end_ms").over(w).alias("pe"), F.lag("original_end").over(w).alias("poe"), F.lead("start_ms").over(w).alias("ns"), F.lead("original_start").over(w).alias("nos")))
+    pe, poe, ns, nos = (F.col(f"_n.{k}") for k in ("pe", "poe", "ns", "nos"))
+    s, e, os, oe = (F.col(k) for k in ("start_ms", "end_ms", "original_start", "original_end"))
+
+    def guarded(end: Column, was_end: Column, start: Column, was_start: Column) -> tuple[Column, Column]:
+        gap = was_end < was_start
+        return F.when(gap & (end > was_end), was_end).otherwise(end), F.when(gap & (start < was_start), was_start).otherwise(start)
+
+    before_end, own_start = guarded(pe, poe, s, os)
+    own_end, next_start = guarded(e, oe, ns, nos)
+    parted = lambda end, was_end, start, was_start: F.least(end, was_end) <= F.greatest(start, was_start)
+    middle = lambda a, b: F.floor((a + b) / 2)
+    start = F.when(own_start < before_end, F.when(parted(before_end, poe, own_start, os), F.greatest(own_start, os)).otherwise(middle(before_end, own_start)) + step)
+    start = start.when((poe < os) & (s < os), os + step).otherwise(s)
+    end = F.when(next_start < own_end, F.when(parted(own_end, oe, next_start, nos), F.greatest(F.least(own_end, oe) - step, F.lit(0))).otherwise(middle(own_end, next_start) - step))
+    end = end.when((oe < nos) & (e > oe), F.greatest(oe - step, F.lit(0))).otherwise(e)
+    return df.withColumn("fixed_start", start).withColumn("fixed_end", end).drop("_n")
+
+
 def duration(start: str = "start_ms", end: str = "end_ms"):
     """Length of an interval, never below zero."""
     return F.greatest(F.lit(0), F.col(end) - F.col(start))
@@ -67,7 +93,26 @@ def subtract(segments: DataFrame, removed: DataFrame, keys: list[str], ident: st
     bounds = left.select(*keys, ident, "l_start", "l_end", F.col("l_end").alias("a"), F.col("l_end").alias("b"))
     w = Window.partitionBy(*keys, ident).orderBy("a", "b")
     pieces = cut.unionByName(bounds).withColumn("start_ms", F.coalesce(F.lag("b").over(w), F.col("l_start")))
-    return pieces.where(F.col("a") - F.col("start_ms") > least).select(*keys, ident, "start_ms", F.col("a").alias("end_ms"))
+    return pieces.where(F.col("a") - F.col("start_ms") > least).select(*keys, ident, "start_ms", F.col("a").alias("end_ms"), "l_start", "l_end")
+
+
+def effective(segments: DataFrame, removed: DataFrame, keys: list[str], ident: str, width: int, buffer: int = 200, least: int = 500) -> DataFrame:
+    """Each segment without the removed intervals of its key: what is left is padded by ``buffer`` within the segment,
+    touching pieces become one, and pieces up to ``least`` go. Segments of a key without removed intervals stay as they are."""
+    pieces = subtract(segments, removed, keys, ident, width)
+    padded = pieces.withColumn("start_ms", F.greatest("l_start", F.col("start_ms") - buffer)).withColumn("end_ms", F.least("l_end", F.col("end_ms") + buffer))
+    cut = removed.where("end_ms > start_ms").select(*keys).distinct()
+    kept = merge(padded.join(cut, keys, "left_semi"), [*keys, ident]).where(F.col("end_ms") - F.col("start_ms") > least)
+    return kept.select(*keys, ident, "start_ms", "end_ms").unionByName(segments.join(cut, keys, "left_anti").select(*keys, ident, "start_ms", "end_ms"))
+
+
+def gaps_with_samples(orphans: DataFrame, keys: list[str], max_gap: int, text: str, order: list[str], samples: int = 3, size: int = 40) -> DataFrame:
+    """Islands of rows at most ``max_gap`` apart: bounds, ``n`` rows and the beginnings of the first ``samples`` texts."""
+    found = islands(orphans, keys, max_gap, order=order)
+    found = found.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "island").orderBy("start_ms", "end_ms", *order)))
+    first = F.collect_list(F.when((F.col("_k") <= samples) & (F.trim(text) != ""), F.struct("_k", F.left(F.trim(text), F.lit(size)).alias("t"))))
+    out = found.groupBy(*keys, "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n"), F.array_sort(first).alias("s"))
+    return out.select(*keys, "start_ms", "end_ms", "n", F.transform("s", lambda x: x["t"]).alias("samples"))
 
 
 def runs(df: DataFrame, keys: list[str], flag: str, order: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlake.functions.text import jaccard, keywords, title_similarity
 from spanlake.operators.joins import overlap_join
 
 
@@ -56,21 +57,41 @@ def undefeated(ids: DataFrame, rivals: DataFrame) -> DataFrame:
     return state.where("kept").select("id")
 
 
-def absorb_short(df: DataFrame, keys: list[str], ident: str, short: int, gap: int) -> DataFrame:
-    """Topics of a key in order of start; one of at most ``short`` that begins within ``gap`` of the kept one before is
-    absorbed by it. Each step reads the result of the one before, so a key's few topics are folded in one expression."""
-    rows = F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", F.col(ident).alias("id"))))
-    kind = "array<struct<start_ms:bigint,end_ms:bigint,id:bigint,n:int>>"
+def belongs_to_previous(before: Column, title: Column, other_chunk: Column, gap: Column, stop: Sequence[str], window: int, near: int, close: int) -> Column:
+    """Whether a topic continues the one before it in another chunk: it begins from 2,000 before its end to ``window`` after,
+    and the titles are similar (above .45, or .3 if nearer than ``near``), one holds the other, it is ``close``, or the
+    titles share more than a quarter of their keywords."""
+    similar = title_similarity(before, title, stop)
+    shared = jaccard(keywords(before, stop), keywords(title, stop))
+    alike = (similar > 0.45) | ((similar > 0.3) & (gap < near)) | F.contains(before, title) | F.contains(title, before) | (gap < close) | (shared > 0.25)
+    return F.coalesce(other_chunk & (gap >= -2000) & (gap < window) & alike, F.lit(False))
+
+
+def absorb_short(df: DataFrame, keys: list[str], ident: str, title: str, candidate: Column, gap: int, close: int, stop: Sequence[str]) -> DataFrame:
+    """Topics of a key in order of start; a ``candidate`` goes into the kept one before if it begins from 1,000 before that
+    one's end to ``gap`` after, and is ``close`` or has a similar title (above .35, or a quarter of the keywords shared).
+
+    A row that is no candidate, or begins more than ``gap`` after all earlier ends, always starts anew, so a key is first
+    cut there; only the short chains between such rows are folded.
+    """
+    w = Window.partitionBy(*keys).orderBy("start_ms", ident)
+    reach = F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = df.withColumn("_c", candidate).withColumn("_new", F.when(F.col("_c") & (F.col("start_ms") - reach <= gap), 0).otherwise(1))
+    rows = rows.withColumn("_chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    chain = F.array_sort(F.collect_list(F.struct("start_ms", F.col(ident).alias("id"), "end_ms", F.col(title).alias("title"))))
+    kind = "array<struct<start_ms:bigint,end_ms:bigint,id:bigint,title:string,n:int>>"
 
     def step(done, x):
-        last = F.element_at(done, -1)
-        joins_ = (F.size(done) > 0) & (x["end_ms"] - x["start_ms"] <= short) & (x["start_ms"] - F.try_element_at(done, F.lit(-1))["end_ms"] <= gap)
-        grown = F.struct(last["start_ms"].alias("start_ms"), F.greatest(last["end_ms"], x["end_ms"]).alias("end_ms"), last["id"].alias("id"), (last["n"] + 1).alias("n"))
-        fresh = F.struct(x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), x["id"].alias("id"), F.lit(1).alias("n"))
-        return F.when(joins_, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(fresh)))
+        last = F.try_element_at(done, F.lit(-1))
+        after = x["start_ms"] - last["end_ms"]
+        alike = (title_similarity(last["title"], x["title"], stop) > 0.35) | (jaccard(keywords(last["title"], stop), keywords(x["title"], stop)) > 0.25)
+        taken = (F.size(done) > 0) & (after >= -1000) & (after <= gap) & ((after < close) | alike)
+        grown = F.struct(last["start_ms"].alias("start_ms"), F.greatest(last["end_ms"], x["end_ms"]).alias("end_ms"), last["id"].alias("id"), last["title"].alias("title"), (last["n"] + 1).alias("n"))
+        fresh = F.struct(x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), x["id"].alias("id"), x["title"].alias("title"), F.lit(1).alias("n"))
+        return F.when(taken, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(fresh)))
 
-    folded = df.groupBy(*keys).agg(rows.alias("r")).withColumn("r", F.aggregate("r", F.array().cast(kind), step))
-    return folded.select(*keys, F.explode("r").alias("t")).select(*keys, F.col("t.id").alias(ident), "t.start_ms", "t.end_ms", "t.n")
+    single = rows.groupBy(*keys, "_chain").agg(chain.alias("r")).withColumn("r", F.aggregate("r", F.array().cast(kind), step))
+    return single.select(*keys, F.explode("r").alias("t")).select(*keys, F.col("t.id").alias(ident), "t.start_ms", "t.end_ms", "t.n")
 
 
 def pack(parts, limit: int):
@@ -148,3 +169,16 @@ def edited(start: Column, end: Column, advice: Column, most: int) -> Column:
     b = F.when(side == "end", end + out).otherwise(end)
     kept = F.struct(F.greatest(F.lit(0), a).alias("start_ms"), b.alias("end_ms"))
     return F.when(verb == "remove", F.lit(None)).when(verb == "", F.struct(start.alias("start_ms"), end.alias("end_ms"))).when(a < b, kept)
+
+
+def apply_actions(segments: DataFrame, actions: DataFrame, keys: list[str]) -> DataFrame:
+    """Topics (``topic``, one row a segment) after actions on gaps: ``create`` (a topic named ``new``), ``merge_to`` (a segment
+    more for ``target``, if there is that topic) or anything else (nothing). ``id`` numbers them by their first start."""
+    bounds = ["start_ms", "end_ms"]
+    made = actions.where("action = 'create' and end_ms > start_ms").select(*keys, F.col("new").alias("topic"), *bounds)
+    known = segments.select(*keys, "topic").distinct()
+    grown = actions.where("action = 'merge_to'").select(*keys, F.col("target").alias("topic"), *bounds).join(known, [*keys, "topic"], "left_semi")
+    every = segments.select(*keys, "topic", *bounds).unionByName(made).unionByName(grown)
+    parts = F.array_sort(F.collect_list(F.struct(*bounds)))  # the segments of one topic
+    out = every.groupBy(*keys, "topic").agg(F.min("start_ms").alias("first_start"), F.transform(parts, lambda x: x["end_ms"] - x["start_ms"]).alias("lengths"))
+    return out.withColumn("id", F.row_number().over(Window.partitionBy(*keys).orderBy("first_start", "topic")))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from spanlake.functions import text as tx
 from spanlake.operators import intervals, joins
 from spanlake.plans.catalogue import register
 from spanlake.sources.captions import from_events
@@ -65,27 +66,46 @@ def merge_removed(spark, sf_dir):
     return intervals.merge(from_events(spark, sf_dir).where("event_type = 'error'"), ["media_id"], 300, order=["event_id"])
 
 
-@register("F4_effective_segments", SEGMENTS + ", s AS (SELECT * FROM captions WHERE event_type <> 'purchase')" + merged_sql(0, "s") + """,
+@register("F4_effective_segments", SEGMENTS + ", s AS (SELECT * FROM captions WHERE event_type <> 'purchase' AND event_id % 3 = 0)" + merged_sql(0, "s") + """,
 cuts AS (
   SELECT g.media_id, segment_id, l_start, l_end, greatest(l_start, start_ms) AS a, least(l_end, end_ms) AS b
   FROM segments g JOIN merged m ON g.media_id = m.media_id AND m.start_ms < l_end AND m.end_ms > l_start
   UNION ALL SELECT media_id, segment_id, l_start, l_end, l_end, l_end FROM segments),
-pieces AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY media_id, segment_id ORDER BY a, b), l_start) AS start_ms FROM cuts)
-SELECT media_id, segment_id, start_ms, a AS end_ms FROM pieces WHERE a - start_ms > 500""")
+pieces AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY media_id, segment_id ORDER BY a, b), l_start) AS start_ms FROM cuts),
+padded AS (SELECT media_id, segment_id, greatest(l_start, start_ms - 200) AS s, least(l_end, a + 200) AS e FROM pieces WHERE a > start_ms),
+fresh AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY media_id, segment_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM padded),
+numbered2 AS (SELECT *, sum(f) OVER (PARTITION BY media_id, segment_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM fresh),
+touching AS (SELECT media_id, segment_id, min(s) AS start_ms, max(e) AS end_ms FROM numbered2 GROUP BY media_id, segment_id, i)
+SELECT media_id, segment_id, start_ms, end_ms FROM touching WHERE end_ms - start_ms > 500 AND media_id IN (SELECT media_id FROM s WHERE end_ms > start_ms)
+UNION ALL SELECT media_id, segment_id, l_start, l_end FROM segments WHERE media_id NOT IN (SELECT media_id FROM s WHERE end_ms > start_ms)""")
 def effective_segments(spark, sf_dir):
     left = segments(spark, sf_dir).select("media_id", "segment_id", F.col("l_start").alias("start_ms"), F.col("l_end").alias("end_ms"))
-    removed = from_events(spark, sf_dir).where("event_type <> 'purchase'")
-    return intervals.subtract(left, removed, ["media_id"], "segment_id", BIN, least=500)
+    removed = from_events(spark, sf_dir).where("event_type <> 'purchase' and event_id % 3 = 0")
+    return intervals.effective(left, removed, ["media_id"], "segment_id", BIN)
 
 
-@register("F5_coverage_gaps", SEGMENTS + """,
-orphans AS (SELECT media_id, event_id, r_start AS start_ms, r_end AS end_ms FROM others o WHERE NOT EXISTS (
-  SELECT 1 FROM segments s WHERE s.media_id = o.media_id AND o.r_start < s.l_end AND o.r_end > s.l_start))""" + merged_sql(1000, "orphans") + " SELECT * FROM merged WHERE end_ms - start_ms >= 5000")
-def coverage_gaps(spark, sf_dir):
+def _orphans_sql(gap: int, where: str) -> str:
+    return SEGMENTS + f""",
+orphans AS (SELECT media_id, event_id, event_type, r_start AS start_ms, r_end AS end_ms FROM others o WHERE NOT EXISTS (
+  SELECT 1 FROM segments s WHERE s.media_id = o.media_id AND o.r_start < s.l_end AND o.r_end > s.l_start)){merged_sql(gap, "orphans")},
+k AS (SELECT *, row_number() OVER (PARTITION BY media_id, island ORDER BY start_ms, end_ms, event_id) AS k FROM numbered)
+SELECT media_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n, list(left(event_type, 40) ORDER BY k) FILTER (k <= 3) AS samples FROM k GROUP BY media_id, island HAVING {where}"""
+
+
+def _orphans(spark, sf_dir):
     right = others(spark, sf_dir)
     covered = joins.overlap_join(segments(spark, sf_dir), right, ["media_id"], BIN).select("event_id").distinct()
-    orphans = right.join(covered, "event_id", "left_anti").withColumnsRenamed({"r_start": "start_ms", "r_end": "end_ms"})
-    return intervals.merge(orphans, ["media_id"], 1000, order=["event_id"]).where("end_ms - start_ms >= 5000")
+    return right.join(covered, "event_id", "left_anti").withColumnsRenamed({"r_start": "start_ms", "r_end": "end_ms"})
+
+
+@register("F5_coverage_gaps", _orphans_sql(1000, "max(end_ms) - min(start_ms) >= 5000"))
+def coverage_gaps(spark, sf_dir):
+    return intervals.gaps_with_samples(_orphans(spark, sf_dir), ["media_id"], 1000, "event_type", ["event_id"]).where("end_ms - start_ms >= 5000")
+
+
+@register("F5b_simple_coverage_gaps", _orphans_sql(2000, "max(end_ms) - min(start_ms) >= 10000"))
+def simple_coverage_gaps(spark, sf_dir):
+    return intervals.gaps_with_samples(_orphans(spark, sf_dir), ["media_id"], 2000, "event_type", ["event_id"]).where("end_ms - start_ms >= 10000")
 
 
 @register("F6_complement", CAPTIONS + """,
@@ -152,21 +172,28 @@ def gap_phrases(spark, sf_dir):
     return c.withColumn("rk", F.row_number().over(Window.partitionBy("media_id").orderBy(F.desc("n"), "phrase"))).where("rk <= 3")
 
 
-@register("F20_pause_points", CAPTIONS + """
-SELECT media_id, event_id, pause_ms FROM (SELECT *, lead(start_ms) OVER (PARTITION BY media_id ORDER BY start_ms, event_id) - end_ms AS pause_ms FROM captions) WHERE pause_ms >= 3600000""")
+@register("F20_pause_points", """
+WITH c AS (SELECT conv_id, turn, text, turn * 10000 AS start_ms, turn * 10000 + length(text) * 7 AS end_ms FROM conversations),
+n AS (SELECT *, lead(start_ms) OVER w - end_ms AS pause_ms, lead(text) OVER w AS nt FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, pause_ms, right(text, 50) AS text_before, left(nt, 50) AS text_after FROM n WHERE pause_ms >= 8000""")
 def pause_points(spark, sf_dir):
-    w = Window.partitionBy("media_id").orderBy("start_ms", "event_id")
-    return from_events(spark, sf_dir).select("media_id", "event_id", (F.lead("start_ms").over(w) - F.col("end_ms")).alias("pause_ms")).where("pause_ms >= 3600000")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text", (F.col("turn") * 10_000).alias("start_ms"))
+    c = c.withColumn("pause_ms", F.lead("start_ms").over(w) - F.col("start_ms") - F.length("text") * 7).withColumn("next", F.lead("text").over(w))
+    return c.where("pause_ms >= 8000").select("conv_id", "turn", "pause_ms", F.right("text", F.lit(50)).alias("text_before"), F.left("next", F.lit(50)).alias("text_after"))
 
 
 @register("F21_semantic_boundaries", CAPTIONS + """,
-n AS (SELECT *, lead(start_ms) OVER w - end_ms AS pause_ms, lead(event_type) OVER w AS next_type FROM captions WINDOW w AS (PARTITION BY media_id ORDER BY start_ms, event_id))
-SELECT media_id, event_id, CASE WHEN pause_ms > 7200000 THEN 'pause' ELSE 'change' END AS kind FROM n WHERE pause_ms > 7200000 OR (pause_ms > 1800000 AND event_type <> next_type)""")
+n AS (SELECT *, lead(start_ms) OVER w - end_ms AS pause_ms, lead(event_type) OVER w AS next_type FROM captions WINDOW w AS (PARTITION BY media_id ORDER BY start_ms, event_id)),
+s AS (SELECT *, len(list_intersect(list_distinct(string_split(event_type, '')), list_distinct(string_split(next_type, '')))) / CAST(len(list_distinct(string_split(event_type || next_type, ''))) AS DOUBLE) AS sim FROM n)
+SELECT media_id, event_id, CASE WHEN pause_ms > 18000000 THEN 'pause' ELSE 'change' END AS kind FROM s WHERE pause_ms > 18000000 OR (pause_ms > 7200000 AND sim < 0.4)""")
 def semantic_boundaries(spark, sf_dir):
+    """A pause, or a shorter one with little in common between the texts (shared characters over all) on both sides."""
     w = Window.partitionBy("media_id").orderBy("start_ms", "event_id")
-    n = from_events(spark, sf_dir).withColumn("pause_ms", F.lead("start_ms").over(w) - F.col("end_ms")).withColumn("next_type", F.lead("event_type").over(w))
-    n = n.where("pause_ms > 7200000 or (pause_ms > 1800000 and event_type <> next_type)")
-    return n.select("media_id", "event_id", F.when(F.col("pause_ms") > 7_200_000, "pause").otherwise("change").alias("kind"))
+    n = from_events(spark, sf_dir).withColumn("pause_ms", F.lead("start_ms").over(w) - F.col("end_ms")).withColumn("next", F.lead("event_type").over(w))
+    sim = tx.jaccard(F.array_distinct(F.split("event_type", "")), F.array_distinct(F.split("next", "")))
+    n = n.where((F.col("pause_ms") > 18_000_000) | ((F.col("pause_ms") > 7_200_000) & (sim < 0.4)))
+    return n.select("media_id", "event_id", F.when(F.col("pause_ms") > 18_000_000, "pause").otherwise("change").alias("kind"))
 
 
 @register("F25_sliding_windows", """

@@ -12,7 +12,7 @@ from spanlake.plans.catalogue import register
 from spanlake.plans.interval_queries import BIN, SEGMENTS, others, segments, silences
 from spanlake.plans.interval_queries import CAPTIONS as EVENTS
 from spanlake.plans.relational_queries import table
-from spanlake.plans.text_queries import CAPTIONS, CLUSTERS, WORDS, _clusters, captions
+from spanlake.plans.text_queries import CAPTIONS, CLUSTERS, KEYWORDS, STOP, TITLE, WORDS, _clusters, captions
 from spanlake.sources import srt
 from spanlake.sources.captions import from_events
 from spanlake.storage import checkpoints, shared_folder
@@ -104,16 +104,24 @@ def stage_checkpoint(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-@register("F12_merge_neighbour_pairs", EVENTS + """,
-n AS (SELECT *, start_ms - lag(end_ms) OVER w < 3600000 AND event_type = lag(event_type) OVER w AS f, row_number() OVER w AS pos FROM captions WINDOW w AS (PARTITION BY media_id ORDER BY start_ms, event_id)),
-m AS (SELECT *, coalesce(f, false) AND (pos - max(CASE WHEN NOT coalesce(f, false) THEN pos END) OVER (PARTITION BY media_id ORDER BY pos)) % 2 = 1 AS takes FROM n),
+@register("F12_merge_neighbour_pairs", EVENTS + f""",
+n AS (SELECT media_id, event_id, start_ms, end_ms, start_ms // 86400000 AS chunk, event_type AS b, lag(event_type) OVER w AS a, lag(end_ms) OVER w AS pe, lag(start_ms // 86400000) OVER w AS pc, row_number() OVER w AS pos FROM captions WINDOW w AS (PARTITION BY media_id ORDER BY start_ms, event_id)),
+s AS (SELECT *, start_ms - pe AS gap, {TITLE} AS sim, {KEYWORDS} AS shared FROM n),
+f AS (SELECT *, coalesce(chunk <> pc AND gap >= -2000 AND gap < 28800000 AND (sim > 0.45 OR (sim > 0.3 AND gap < 10800000) OR contains(a, b) OR contains(b, a) OR gap < 3600000 OR shared > 0.25), false) AS f FROM s),
+m AS (SELECT *, f AND (pos - max(CASE WHEN NOT f THEN pos END) OVER (PARTITION BY media_id ORDER BY pos)) % 2 = 1 AS takes FROM f),
 p AS (SELECT *, sum(CASE WHEN takes THEN 0 ELSE 1 END) OVER (PARTITION BY media_id ORDER BY pos) AS pair FROM m)
-SELECT media_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n FROM p GROUP BY media_id, pair""")
+SELECT media_id, arg_min(event_id, pos) AS topic_id, min(start_ms) AS start_ms, arg_max(end_ms, pos) AS end_ms, arg_max(b, (length(b), -pos)) AS outline, count(*) AS n FROM p GROUP BY media_id, pair""")
 def merge_neighbour_pairs(spark, sf_dir):
+    """Topics on both sides of a chunk's end (days here) that belong together become one, in pairs."""
+    e = from_events(spark, sf_dir).withColumn("chunk", F.floor(F.col("start_ms") / 86_400_000)).withColumnRenamed("event_type", "outline")
     w = Window.partitionBy("media_id").orderBy("start_ms", "event_id")
-    near = (F.col("start_ms") - F.lag("end_ms").over(w) < 3_600_000) & (F.col("event_type") == F.lag("event_type").over(w))
-    p = topics.merge_flagged_pairs(from_events(spark, sf_dir).withColumn("near", near), ["media_id"], ["start_ms", "event_id"], F.col("near"))
-    return p.groupBy("media_id", "pair").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n")).drop("pair")
+    prev = F.lag(F.struct("outline", "chunk", "end_ms")).over(w)
+    e = e.withColumn("prev", prev)
+    flag = topics.belongs_to_previous(F.col("prev.outline"), F.col("outline"), F.col("chunk") != F.col("prev.chunk"), F.col("start_ms") - F.col("prev.end_ms"), STOP, 28_800_000, 10_800_000, 3_600_000)
+    p = topics.merge_flagged_pairs(e.withColumn("near", flag), ["media_id"], ["start_ms", "event_id"], F.col("near"))
+    order = F.struct("start_ms", "event_id")
+    longest = F.max_by("outline", F.struct(F.length("outline"), -F.col("start_ms"), -F.col("event_id")))
+    return p.groupBy("media_id", "pair").agg(F.min_by("event_id", order).alias("topic_id"), F.min("start_ms").alias("start_ms"), F.max_by("end_ms", order).alias("end_ms"), longest.alias("outline"), F.count("*").alias("n")).drop("pair")
 
 
 @register("F16_suppress_overlaps")
@@ -126,24 +134,42 @@ def suppress_overlaps(spark, sf_dir):
 
 
 @register("F17_align_neighbours", EVENTS + """,
-n AS (SELECT *, lag(end_ms) OVER w + 5000 AS pe, lead(start_ms) OVER w - 5000 AS ns FROM captions WINDOW w AS (PARTITION BY media_id ORDER BY start_ms, event_id))
-SELECT media_id, event_id, CASE WHEN pe > start_ms - 5000 THEN start_ms ELSE start_ms - 5000 END AS a, CASE WHEN ns < end_ms + 5000 THEN end_ms ELSE end_ms + 5000 END AS b FROM n""")
+c AS (SELECT media_id, event_id, start_ms AS os, end_ms + (event_id % 4) * 400000 AS oe, (event_id % 5) * 300000 AS m FROM captions),
+a AS (SELECT media_id, event_id, os, oe, os - m AS s, oe + m AS e FROM c),
+n AS (SELECT *, lag(e) OVER w AS pe, lag(oe) OVER w AS poe, lead(s) OVER w AS ns, lead(os) OVER w AS nos FROM a WINDOW w AS (PARTITION BY media_id ORDER BY os, event_id)),
+g AS (SELECT *, CASE WHEN poe < os AND s < os THEN os ELSE s END AS s1, CASE WHEN poe < os AND pe > poe THEN poe ELSE pe END AS pe1,
+  CASE WHEN oe < nos AND e > oe THEN oe ELSE e END AS e1, CASE WHEN oe < nos AND ns < nos THEN nos ELSE ns END AS ns1 FROM n)
+SELECT media_id, event_id,
+  CASE WHEN pe1 IS NOT NULL AND s1 < pe1 THEN CASE WHEN least(pe1, poe) <= greatest(s1, os) THEN greatest(s1, os) ELSE (pe1 + s1) // 2 END + 50 WHEN poe < os AND s < os THEN os + 50 ELSE s END AS a,
+  CASE WHEN ns1 IS NOT NULL AND ns1 < e1 THEN CASE WHEN least(e1, oe) <= greatest(ns1, nos) THEN greatest(least(e1, oe) - 50, 0) ELSE (e1 + ns1) // 2 - 50 END WHEN oe < nos AND e > oe THEN greatest(oe - 50, 0) ELSE e END AS b FROM g""")
 def align_neighbours(spark, sf_dir):
-    w = Window.partitionBy("media_id").orderBy("start_ms", "event_id")
-    pe, ns = F.lag("end_ms").over(w) + 5000, F.lead("start_ms").over(w) - 5000
-    a = F.when(pe > F.col("start_ms") - 5000, F.col("start_ms")).otherwise(F.col("start_ms") - 5000)
-    b = F.when(ns < F.col("end_ms") + 5000, F.col("end_ms")).otherwise(F.col("end_ms") + 5000)
-    return from_events(spark, sf_dir).select("media_id", "event_id", a.alias("a"), b.alias("b"))
+    c = from_events(spark, sf_dir).select("media_id", "event_id", F.col("start_ms").alias("original_start"), (F.col("end_ms") + F.col("event_id") % 4 * 400_000).alias("original_end"), (F.col("event_id") % 5 * 300_000).alias("m"))
+    c = c.withColumn("start_ms", F.col("original_start") - F.col("m")).withColumn("end_ms", F.col("original_end") + F.col("m"))
+    out = intervals.separate_aligned(c, ["media_id"], ["original_start", "event_id"])
+    return out.select("media_id", "event_id", F.col("fixed_start").alias("a"), F.col("fixed_end").alias("b"))
 
 
 @register("F35_clip_completeness", SEGMENTS + """,
-p AS (SELECT segment_id, arg_min(event_type, (r_start, event_id)) AS intro, arg_max(event_type, (r_start, event_id)) AS outro, count(*) AS n FROM segments JOIN others USING (media_id) WHERE r_start < l_end AND r_end > l_start GROUP BY segment_id)
-SELECT s.segment_id, coalesce(intro = 'view', false) AS has_intro, coalesce(outro = 'error', false) AS has_outro, coalesce(n, 0) AS n FROM segments s LEFT JOIN p USING (segment_id)""")
+g AS (SELECT media_id, segment_id, l_start, l_end + 7200000 AS l_end FROM segments),
+p AS (SELECT segment_id, event_type, r_start, r_end, event_id, r_start >= l_start AND r_end <= l_end AS inside, l_start, l_end FROM g JOIN others USING (media_id) WHERE r_start < l_end AND r_end > l_start),
+f AS (SELECT segment_id, arg_min(event_type, (CASE WHEN inside THEN 0 ELSE 1 END, r_start, event_id)) AS intro, arg_max(event_type, (CASE WHEN inside THEN 1 ELSE 0 END, r_start, event_id)) AS outro,
+  count(*) AS n, count(*) FILTER (inside) AS n_inside FROM p GROUP BY segment_id),
+c AS (SELECT segment_id, coalesce(intro <> 'click', false) AS intro_complete, coalesce(outro = 'error', false) AS outro_complete, segment_id % 9 = 0 AS filled, coalesce(round(n_inside / n, 4), 0.0) AS coverage FROM g LEFT JOIN f USING (segment_id))
+SELECT segment_id, coverage, intro_complete, outro_complete, list_filter([CASE WHEN NOT intro_complete THEN 'intro_incomplete' END, CASE WHEN NOT outro_complete THEN 'outro_incomplete' END, CASE WHEN filled THEN 'has_gap_fill' END], lambda x: x IS NOT NULL) AS warnings,
+  NOT (intro_complete AND outro_complete AND NOT filled) AS needs_review FROM c""")
 def clip_completeness(spark, sf_dir):
-    left, by = segments(spark, sf_dir), F.struct("r_start", "event_id")
-    p = joins.overlap_join(left, others(spark, sf_dir), ["media_id"], BIN).groupBy("segment_id").agg(F.min_by("event_type", by).alias("intro"), F.max_by("event_type", by).alias("outro"), F.count("*").alias("n"))
-    no = F.lit(False)
-    return left.join(p, "segment_id", "left").select("segment_id", F.coalesce(F.col("intro") == "view", no).alias("has_intro"), F.coalesce(F.col("outro") == "error", no).alias("has_outro"), F.coalesce("n", F.lit(0)).alias("n"))
+    """Whether a clip's first caption depends on nothing before and its last ends a sentence; the share of its captions
+    that lie wholly inside, and what is to be reviewed."""
+    left = segments(spark, sf_dir).withColumn("l_end", F.col("l_end") + 7_200_000)
+    pairs = joins.overlap_join(left, others(spark, sf_dir), ["media_id"], BIN).withColumn("inside", (F.col("r_start") >= F.col("l_start")) & (F.col("r_end") <= F.col("l_end")))
+    order, inside = [F.col("r_start"), F.col("event_id")], F.col("inside")
+    first, last = (joins.first_or_last(pairs, ["segment_id"], F.col("event_type"), order, inside, last=x).withColumnRenamed("value", n) for x, n in ((False, "intro"), (True, "outro")))
+    share = pairs.groupBy("segment_id").agg(F.round(F.count_if("inside") / F.count("*"), 4).alias("coverage"))
+    out = left.select("segment_id").join(first, "segment_id", "left").join(last, "segment_id", "left").join(share, "segment_id", "left")
+    out = out.select("segment_id", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce(F.col("intro") != "click", F.lit(False)).alias("intro_complete"), F.coalesce(F.col("outro") == "error", F.lit(False)).alias("outro_complete"))
+    warn = lambda bad, name: F.when(bad, F.lit(name))
+    warnings = F.array_compact(F.array(warn(~F.col("intro_complete"), "intro_incomplete"), warn(~F.col("outro_complete"), "outro_incomplete"), warn(F.col("segment_id") % 9 == 0, "has_gap_fill")))
+    return out.withColumn("warnings", warnings).withColumn("needs_review", F.size("warnings") > 0)
 
 
 @register("J18_captions_in_range", SEGMENTS + " SELECT segment_id, count(event_id) AS n FROM segments LEFT JOIN others ON others.media_id = segments.media_id AND r_start < l_end + 1800000 AND r_end > l_start - 1800000 GROUP BY segment_id")
@@ -171,13 +197,18 @@ def voice_in_clip(spark, sf_dir):
     return intervals.merge(p.select("segment_id", F.greatest("l_start", "r_start").alias("start_ms"), F.least("l_end", "r_end").alias("end_ms")), ["segment_id"], 800)
 
 
-@register("J28_chunk_hotwords", f"""
-WITH h AS (SELECT unnest({WORDS.format('text')}) AS term, conv_id, turn FROM conversations), c AS (SELECT term FROM h GROUP BY term HAVING count(*) >= 50)
-SELECT DISTINCT conv_id, term FROM h JOIN c USING (term)""")
+@register("J28_chunk_hotwords", CAPTIONS + f""",
+h AS (SELECT unnest({WORDS.format('text')}) AS term, conv_id, start_ms FROM captions), c AS (SELECT term FROM h GROUP BY term HAVING count(*) >= 20),
+k AS (SELECT conv_id, range AS chunk, range * 5000 AS lo, range * 5000 + 6000 AS hi FROM range(0, 40), (SELECT conv_id, max(start_ms) AS m FROM captions GROUP BY conv_id) WHERE range * 5000 <= m)
+SELECT DISTINCT conv_id, chunk, term FROM h JOIN c USING (term) JOIN k USING (conv_id) WHERE start_ms BETWEEN lo AND hi""")
 def chunk_hotwords(spark, sf_dir):
-    h = table(spark, sf_dir, "conversations").select("conv_id", F.explode(tx.words(F.col("text"))).alias("term")).groupBy("conv_id", "term").agg(F.count("*").alias("n"))
-    hot = h.groupBy("term").agg(F.sum("n").alias("n")).where("n >= 50").select("term")
-    return h.join(hot, "term").select("conv_id", "term")
+    """Hotwords with a position within a chunk: chunks of 6 s that begin every 5 s, both ends counting."""
+    words = captions(spark, sf_dir).select("conv_id", "start_ms", F.explode(tx.words(F.col("text"))).alias("term")).distinct()
+    count = captions(spark, sf_dir).select(F.explode(tx.words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).where("n >= 20").select("term")
+    first = F.greatest(F.lit(0), F.ceil((F.col("start_ms") - 6000) / 5000))
+    at = words.join(count, "term").withColumn("chunk", F.explode(F.sequence(first, F.floor(F.col("start_ms") / 5000))))
+    last = captions(spark, sf_dir).groupBy("conv_id").agg(F.least(F.lit(39), F.floor(F.max("start_ms") / 5000)).alias("last"))
+    return at.join(last, "conv_id").where("chunk <= last").select("conv_id", "chunk", "term").distinct()
 
 
 @register("J34_id_consistency", "SELECT event_id, 'new-' || event_id AS new_id FROM events WHERE event_id NOT IN (SELECT o_orderkey FROM orders)")
@@ -321,11 +352,36 @@ def append_if_absent(spark, sf_dir):
     return e.where("event_type = 'view'").unionByName(e).dropDuplicates(["user_id", "event_type"])
 
 
-@register("X4_surrogate_keys", "SELECT event_type, user_id, event_type || '_' || user_id AS natural_key FROM (SELECT DISTINCT event_type, user_id FROM events)")
+_KEY = "'clip_' || left(sha256(event_type || chr(31) || user_id), 16)"
+
+
+def _surrogate(source, ident):
+    return F.concat(F.lit("clip_"), F.left(F.sha2(F.concat_ws("\x1f", source, ident.cast("string")), 256), F.lit(16)))
+
+
+@register("X4_surrogate_keys", f"SELECT event_type, user_id, {_KEY} AS global_id FROM (SELECT DISTINCT event_type, user_id FROM events)")
 def surrogate_keys(spark, sf_dir):
-    """A stable key for each pair; the natural key stands beside it."""
-    e = table(spark, sf_dir, "events").select("event_type", "user_id").distinct()
-    return e.select("event_type", "user_id", F.concat_ws("_", "event_type", F.col("user_id").cast("string")).alias("natural_key"))
+    """A key table in two runs: the second adds only pairs that the first has not, so a pair keeps its key for ever."""
+    e = table(spark, sf_dir, "events").select("event_type", "user_id")
+    keyed = lambda df: df.distinct().withColumn("global_id", _surrogate(F.col("event_type"), F.col("user_id")))
+    out = folder(spark)
+    keyed(e.where("user_id % 2 = 0")).write.parquet(out)
+    old = spark.read.parquet(out)
+    keyed(e.join(old, ["event_type", "user_id"], "left_anti")).write.mode("append").parquet(out)
+    return spark.read.schema(old.schema).parquet(out)
+
+
+@register("X5_validated_ids", """
+WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_orderkey % 1000 || '-' || l_linenumber END AS id FROM lineitem),
+f AS (SELECT *, coalesce(id, 'clip_' || left(sha256('step2' || chr(31) || l_orderkey), 16)) AS filled FROM t)
+SELECT l_orderkey, l_linenumber, filled AS id, id IS NULL AS was_missing, count(*) OVER (PARTITION BY filled) > 1 AND id IS NOT NULL AS repeated FROM f""")
+def validated_ids(spark, sf_dir):
+    """Rows without an id get a stable one; ids that several rows have are flagged."""
+    ident = F.when(F.col("l_linenumber") != 3, F.concat_ws("-", (F.col("l_orderkey") % 1000).cast("string"), F.col("l_linenumber").cast("string")))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ident.alias("id"))
+    rows = rows.withColumn("was_missing", F.col("id").isNull()).withColumn("id", F.coalesce("id", _surrogate(F.lit("step2"), F.col("l_orderkey"))))
+    often = rows.where("not was_missing").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("repeated"))
+    return rows.join(often, "id", "left").select("l_orderkey", "l_linenumber", "id", "was_missing", (F.coalesce("repeated", F.lit(False)) & ~F.col("was_missing")).alias("repeated"))
 
 
 @register("X5_duplicate_ids", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")

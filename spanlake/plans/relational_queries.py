@@ -135,22 +135,39 @@ def positional_zip(spark, sf_dir):
 
 
 @register("J5_validate_collections", """
-WITH m AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer WHERE c_acctbal > 5000)
-SELECT c_nationkey, c_custkey, k FROM m WHERE n >= 2 AND k <= 5""")
+WITH t AS (SELECT o_orderkey AS cid, o_custkey % 100 AS pid, row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderkey) AS pos, CASE WHEN o_orderkey % 5 = 0 THEN 'no title ' || o_orderkey WHEN o_orderkey % 2 = 0 THEN left(p_name, 9) ELSE p_name END AS title
+  FROM orders JOIN part ON p_partkey = o_orderkey % 150 + 1),
+c AS (SELECT p_partkey AS clip, p_name AS outline, left(p_name, 9) AS generated FROM part),
+h AS (SELECT pid, pos, min(clip) AS clip FROM t JOIN c ON generated = title OR outline = title GROUP BY pid, pos),
+k AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY pos) AS k, count(*) OVER (PARTITION BY pid) AS n FROM h)
+SELECT pid, k, clip FROM k WHERE n >= 2 AND k <= 5""")
 def validate_collections(spark, sf_dir):
-    m = table(spark, sf_dir, "customer").where("c_acctbal > 5000").select("c_nationkey", "c_custkey")
-    w = Window.partitionBy("c_nationkey")
-    m = m.withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy("c_custkey")))
-    return m.where("n >= 2 and k <= 5").select("c_nationkey", "c_custkey", "k")
+    """Titles of a collection looked up among the clips, by generated title or outline, the first clip counting;
+    collections with two or more keep five. Two equi-joins stand for the either-or."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("clip"), F.col("p_name").alias("outline"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 100).alias("pid"), (F.col("o_orderkey") % 150 + 1).alias("clip"))
+    title = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("no title "), F.col("o_orderkey").cast("string"))).when(F.col("o_orderkey") % 2 == 0, F.left("outline", F.lit(9))).otherwise(F.col("outline"))
+    wanted = rel.ranked(o.join(part, "clip").select("pid", "o_orderkey", title.alias("title")), ["pid"], [F.col("o_orderkey")], "pos").drop("o_orderkey")
+    names = part.select("clip", F.explode(F.array_distinct(F.array("outline", F.left("outline", F.lit(9))))).alias("title"))
+    found = wanted.join(names.groupBy("title").agg(F.min("clip").alias("clip")), "title").select("pid", "pos", "clip")
+    kept = rel.ranked(found, ["pid"], [F.col("pos")], "k").withColumn("n", F.count("*").over(Window.partitionBy("pid")))
+    return kept.where("n >= 2 and k <= 5").select("pid", "k", "clip")
 
 
 @register("J6_ordered_lookup", """
-WITH l AS (SELECT c_nationkey AS collection_id, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS pos FROM customer)
-SELECT collection_id, pos, o_orderkey FROM l JOIN orders ON o_custkey = c_custkey WHERE pos <= 10""")
+WITH l AS (SELECT l_suppkey AS collection_id, l_orderkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS pos FROM lineitem), m AS (SELECT * FROM l WHERE pos <= 10),
+j AS (SELECT collection_id, pos, l_orderkey, o_orderkey FROM m LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON o_orderkey = l_orderkey)
+SELECT collection_id, count(o_orderkey) = count(*) AS complete, list(l_orderkey ORDER BY pos) FILTER (o_orderkey IS NULL) AS missing, list(o_orderkey ORDER BY pos) FILTER (o_orderkey IS NOT NULL) AS clips FROM j GROUP BY collection_id""")
 def ordered_lookup(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "collection_id")
-    l = rel.ranked(c, ["collection_id"], [F.desc("c_acctbal"), F.col("c_custkey")], "pos").where("pos <= 10").select("collection_id", "pos", "c_custkey")  # noqa: E741
-    return l.join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey"), "c_custkey").select("collection_id", "pos", "o_orderkey")
+    """Clips of a collection in its order (ten at most), and the ids that were not found."""
+    order = [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")]
+    m = rel.top(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("collection_id"), "l_orderkey", "l_linenumber", "l_extendedprice"), ["collection_id"], order, 10)
+    m = rel.ranked(m, ["collection_id"], order, "pos")
+    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(True).alias("hit"))
+    ids = lambda keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("pos", "l_orderkey")))), lambda x: x["l_orderkey"])
+    g = m.join(o, "l_orderkey", "left").groupBy("collection_id").agg((F.count("hit") == F.count("*")).alias("complete"), ids(F.col("hit").isNull()).alias("missing"), ids(F.col("hit")).alias("clips"))
+    some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
+    return g.select("collection_id", "complete", some("missing"), some("clips"))
 
 
 @register("J7_collection_totals", "SELECT c_nationkey, count(*) AS n_clips, round(sum(o_totalprice), 2) AS total FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_nationkey")
@@ -199,9 +216,15 @@ def project_counts(spark, sf_dir):
     return rel.child_counts(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", children)
 
 
-@register("J32_pipeline_overview", "SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY o_custkey")
+@register("J32_pipeline_overview", """
+WITH t AS (SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY o_custkey)
+SELECT c_custkey, coalesce(f, 0) AS f, coalesce(o, 0) AS o, coalesce(p, 0) AS p, (SELECT n FROM t WHERE s = 'F') AS all_f, (SELECT n FROM t WHERE s = 'O') AS all_o, (SELECT n FROM t WHERE s = 'P') AS all_p FROM customer LEFT JOIN p ON o_custkey = c_custkey""")
 def pipeline_overview(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(*[F.count_if(F.col("o_orderstatus") == s).alias(s.lower()) for s in "FOP"])
+    """Every project with its tasks by status, and the totals of each status."""
+    by = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(*[F.count_if(F.col("o_orderstatus") == s).alias(s.lower()) for s in "FOP"])
+    total = lambda s: by.agg(F.sum(s)).scalar().alias(f"all_{s}")
+    out = table(spark, sf_dir, "customer").select("c_custkey").join(by, "c_custkey", "left")
+    return out.select("c_custkey", *[F.coalesce(s, F.lit(0)).alias(s) for s in "fop"], *[total(s) for s in "fop"])
 
 
 @register("J33_write_back", "SELECT o_orderkey, coalesce(q, o_totalprice) AS price FROM orders LEFT JOIN (SELECT l_orderkey, arg_min(l_extendedprice, (l_linenumber, l_partkey, l_extendedprice)) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey")
@@ -254,11 +277,12 @@ def account_kpis(spark, sf_dir):
     return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") < 0).alias("n_negative"), F.round(F.avg("c_acctbal"), 1).alias("mean"))
 
 
-@register("K1_paginated", "SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS total FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
+@register("K1_paginated", "SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS total, CAST(ceil((SELECT count(*) FROM orders WHERE o_orderstatus = 'F') / 20.0) AS BIGINT) AS pages FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
 def paginated(spark, sf_dir):
     o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
     got = rel.page(o, [F.desc("o_orderdate"), F.col("o_orderkey")], 3, 20)
-    return got.select("o_orderkey", "o_totalprice", o.agg(F.count("*").alias("total")).scalar().alias("total"))
+    total = o.agg(F.count("*").alias("total")).scalar()
+    return got.select("o_orderkey", "o_totalprice", total.alias("total"), F.ceil(total / 20).alias("pages"))
 
 
 @register("K2_rank_and_truncate", """
@@ -345,3 +369,12 @@ def cascade_delete(spark, sf_dir):
 @register("B12_update", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'O' ELSE o_orderstatus END AS o_orderstatus FROM orders")
 def update(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "O").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))
+
+
+@register("K10_clip_sorts", CLIPS + """
+SELECT project_id, clip_id, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, clip_id) AS by_score, row_number() OVER (PARTITION BY project_id ORDER BY created, clip_id) AS by_time,
+  row_number() OVER (PARTITION BY project_id ORDER BY created DESC, clip_id) AS newest FROM clips""")
+def clip_sorts(spark, sf_dir):
+    """The places of a project's clips in each order that they can be shown in."""
+    place = lambda *by: F.row_number().over(Window.partitionBy("project_id").orderBy(*by, "clip_id"))
+    return clips(spark, sf_dir).select("project_id", "clip_id", place(F.desc("score")).alias("by_score"), place("created").alias("by_time"), place(F.desc("created")).alias("newest"))

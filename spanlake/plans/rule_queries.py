@@ -14,19 +14,19 @@ from spanlake.plans.interval_queries import BIN, SEGMENTS, others, segments, sil
 from spanlake.plans.interval_queries import CAPTIONS as EVENTS
 from spanlake.plans.more_queries import INNER, ONE_LINE, folder, one_line
 from spanlake.plans.relational_queries import table
-from spanlake.plans.text_queries import CAPTIONS, CLUSTERS, DIVERSITY, ENERGY, KEYWORD, LENGTH, WORDS, _clusters, captions
+from spanlake.plans.text_queries import CAPTIONS, CLUSTERS, DIVERSITY, ENERGY, KEYWORD, KEYWORDS, LENGTH, STOP, TITLE, WORDS, _clusters, captions
 from spanlake.sources import files
 from spanlake.sources.captions import from_events
 from spanlake.storage import checkpoints
 
 
-@register("A9_numbered_chunks", "SELECT conv_id % 12 AS chunk, row_number() OVER (PARTITION BY conv_id % 12 ORDER BY conv_id, turn) AS pos, conv_id, turn FROM conversations")
+@register("A9_numbered_chunks", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn % 12, turn) AS pos FROM conversations")
 def numbered_chunks(spark, sf_dir):
     """Chunk files written under numbered folders and read back in the order of the numbers, not of the names."""
     out = folder(spark)
-    table(spark, sf_dir, "conversations").select(F.concat(F.lit("chunk_"), (F.col("conv_id") % 12).cast("string")).alias("name"), "conv_id", "turn").write.partitionBy("name").json(out)
+    table(spark, sf_dir, "conversations").select(F.concat(F.lit("chunk_"), (F.col("turn") % 12).cast("string")).alias("name"), "conv_id", "turn").write.partitionBy("name").json(out)
     rows = spark.read.schema("conv_id long, turn long, name string").json(out).withColumn("chunk", F.regexp_extract("name", r"(\d+)$", 1).cast("long"))
-    return rel.ranked(rows, ["chunk"], [F.col("conv_id"), F.col("turn")], "pos").select("chunk", "pos", "conv_id", "turn")
+    return rel.ranked(rows, ["conv_id"], [F.col("chunk"), F.col("turn")], "pos").select("conv_id", "turn", "pos")
 
 
 @register("B2_corrected_text", f"SELECT conv_id, turn, replace({ONE_LINE}, 'the', 'THE') AS text, contains(text, 'the') AS changed FROM conversations")
@@ -80,9 +80,18 @@ def merge_adjacent(spark, sf_dir):
     return s.groupBy("media_id", "grp").agg(F.min("l_start").alias("start_ms"), F.max("l_end").alias("end_ms"), F.count("*").alias("n")).drop("grp")
 
 
-@register("F13_absorb_short")
+@register("F13_absorb_short", EVENTS.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+o AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, event_id) AS rn FROM captions),
+f(media_id, rn, id, start_ms, end_ms, title) AS (SELECT media_id, rn, event_id, start_ms, end_ms, event_type FROM o WHERE rn = 1
+  UNION ALL SELECT media_id, rn, CASE WHEN taken THEN id ELSE event_id END, start_ms, CASE WHEN taken THEN greatest(pe, end_ms) ELSE end_ms END, CASE WHEN taken THEN a ELSE b END
+  FROM (SELECT *, b IN ('click', 'view', 'error') AND end_ms - start_ms <= 240000 AND start_ms - pe BETWEEN -1000 AND 36000000 AND (start_ms - pe < 7200000 OR {TITLE} > 0.35 OR {KEYWORDS} > 0.25) AS taken
+    FROM (SELECT o.media_id, o.rn, o.event_id, o.start_ms, o.end_ms, o.event_type AS b, f.title AS a, f.id, f.end_ms AS pe FROM f JOIN o ON o.media_id = f.media_id AND o.rn = f.rn + 1)))
+SELECT media_id, id AS event_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n FROM f GROUP BY media_id, id""")
 def absorb_short(spark, sf_dir):
-    return topics.absorb_short(from_events(spark, sf_dir), ["media_id"], "event_id", 60_000, 7_200_000)
+    """Short topics of a kind (product-like in the source) go into the kept topic before them."""
+    e = from_events(spark, sf_dir)
+    candidate = F.col("event_type").isin("click", "view", "error") & (F.col("end_ms") - F.col("start_ms") <= 240_000)
+    return topics.absorb_short(e, ["media_id"], "event_id", "event_type", candidate, 36_000_000, 7_200_000, STOP)
 
 
 @register("F24_pack_paragraphs")
@@ -236,18 +245,29 @@ def editor_slice(spark, sf_dir):
     return p.select("segment_id", "event_id", (F.col("r_start") - F.col("l_start")).alias("local_start"), (F.col("r_end") - F.col("l_start")).alias("local_end"))
 
 
-@register("J35_edit_validation", "SELECT user_id, count(*) FILTER (event_id % 3 = 0) AS n_deleted, count(*) FILTER (event_id % 3 <> 0) > 0 AS valid FROM events GROUP BY user_id")
+@register("J35_edit_validation", """
+WITH d AS (SELECT o_custkey AS user_id, o_orderkey AS event_id FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT user_id, event_id FROM events WHERE event_id % 2 = 0 OR user_id % 10 = 0),
+k AS (SELECT user_id FROM d UNION SELECT user_id FROM events)
+SELECT user_id, (SELECT count(*) FROM (SELECT DISTINCT event_id FROM d WHERE d.user_id = k.user_id EXCEPT SELECT event_id FROM events e WHERE e.user_id = k.user_id)) AS n_unknown,
+  (SELECT count(*) FROM events e WHERE e.user_id = k.user_id AND event_id NOT IN (SELECT event_id FROM d WHERE d.user_id = k.user_id)) AS n_left FROM k""")
 def edit_validation(spark, sf_dir):
+    """Ids to delete that no segment has (the edit is then invalid), and segments that would be left (one at least must be)."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id")
-    gone = e.where("event_id % 3 = 0").select("event_id", F.lit(True).alias("gone"))
-    g = e.join(gone, "event_id", "left").groupBy("user_id")
-    return g.agg(F.count("gone").alias("n_deleted"), (F.count("*") > F.count("gone")).alias("valid"))
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("event_id"))
+    deleted = o.unionByName(e.where("event_id % 2 = 0 or user_id % 10 = 0")).distinct()
+    by = ["user_id", "event_id"]
+    unknown = deleted.join(e, by, "left_anti").groupBy("user_id").agg(F.count("*").alias("n_unknown"))
+    rest = e.join(deleted, by, "left_anti").groupBy("user_id").agg(F.count("*").alias("n_left"))
+    every = deleted.select("user_id").union(e.select("user_id")).distinct()
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return every.join(unknown, "user_id", "left").join(rest, "user_id", "left").select("user_id", zero("n_unknown"), zero("n_left"))
 
 
-@register("K5_order_by_number", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY CAST(json_extract_string(props, '$.k') AS INTEGER), event_id) AS pos FROM events")
+@register("K5_order_by_number", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, CAST(json_extract_string(props, '$.k') AS INTEGER), event_id) AS pos FROM events")
 def order_by_number(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
-    return rel.ranked(e, ["event_type"], [F.col("k"), F.col("event_id")], "pos").select("event_id", "pos")
+    """Clips by score, those of equal score by the number in their id."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return rel.ranked(e, ["user_id"], [F.desc("value"), F.col("k"), F.col("event_id")], "pos").select("user_id", "event_id", "pos")
 
 
 @register("K8_top_clusters", "SELECT c_nationkey, round(sum(c_acctbal), 2) AS weight FROM customer GROUP BY c_nationkey ORDER BY weight DESC, c_nationkey LIMIT 8")
@@ -301,14 +321,20 @@ def bracketed_ranges(spark, sf_dir):
 
 
 @register("U7_merge_topics", EVENTS + """,
-a AS (SELECT *, CASE event_id % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'merge' ELSE 'ignore' END AS act FROM captions WHERE event_type = 'view'),
-t AS (SELECT media_id, event_id, start_ms FROM captions WHERE event_type = 'purchase' UNION ALL SELECT media_id, event_id, start_ms FROM a WHERE act = 'create')
-SELECT media_id, event_id, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, event_id) AS id FROM t""")
+a AS (SELECT *, CASE event_id % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'merge_to' ELSE 'ignore' END AS act FROM captions WHERE event_type = 'view'),
+t AS (SELECT media_id, event_id AS topic, start_ms, end_ms FROM captions WHERE event_type = 'purchase'), l AS (SELECT media_id, max(topic) AS topic FROM t GROUP BY media_id),
+s AS (SELECT media_id, topic, start_ms, end_ms FROM t UNION ALL SELECT media_id, event_id, start_ms, end_ms FROM a WHERE act = 'create' AND end_ms > start_ms
+  UNION ALL SELECT media_id, topic, start_ms, end_ms FROM a JOIN l USING (media_id) WHERE act = 'merge_to')
+SELECT media_id, topic, row_number() OVER (PARTITION BY media_id ORDER BY min(start_ms), topic) AS id, min(start_ms) AS first_start, list(end_ms - start_ms ORDER BY start_ms, end_ms) AS lengths FROM s GROUP BY media_id, topic""")
 def merge_topics(spark, sf_dir):
-    e = from_events(spark, sf_dir).select("media_id", "event_id", "start_ms", "event_type")
-    act = F.element_at(F.array(F.lit("create"), F.lit("merge"), F.lit("ignore")), (F.col("event_id") % 3 + 1).cast("int"))
-    new = e.where("event_type = 'view'").where(act == "create")
-    return rel.ranked(e.where("event_type = 'purchase'").unionByName(new), ["media_id"], [F.col("start_ms"), F.col("event_id")], "id").select("media_id", "event_id", "id")
+    """Actions on gaps: a new topic, a segment more for a target topic (the last of a medium here), or none; then the
+    topics are numbered anew by their first segment."""
+    e = from_events(spark, sf_dir)
+    act = F.element_at(F.array(F.lit("create"), F.lit("merge_to"), F.lit("ignore")), (F.col("event_id") % 3 + 1).cast("int"))
+    actions = e.where("event_type = 'view'").select("media_id", "event_id", "start_ms", "end_ms", act.alias("action"))
+    have = e.where("event_type = 'purchase'").select("media_id", F.col("event_id").alias("topic"), "start_ms", "end_ms")
+    target = have.groupBy("media_id").agg(F.max("topic").alias("target"))
+    return topics.apply_actions(have, actions.join(target, "media_id", "left").withColumnRenamed("event_id", "new"), ["media_id"])
 
 
 @register("U8_ordered_union", f"SELECT conv_id, turn, len(list_filter(list_distinct(list_concat([role], {WORDS.format('text')})), lambda w: length(w) >= 2)) AS n FROM conversations")

@@ -140,9 +140,12 @@ _JACCARD = f"(len(list_intersect({_KA}, {_KB})) / CAST(len(list_distinct(list_co
 _OVERLAP = f"(CASE WHEN len(list_intersect({_grams('a', 3)}, {_grams('b', 3)})) > 0 THEN 1.0 WHEN len(list_intersect({_grams('a', 2)}, {_grams('b', 2)})) > 0 THEN 2 / 3.0 WHEN len(list_intersect({_grams('a', 1)}, {_grams('b', 1)})) > 0 THEN 1 / 3.0 ELSE 0.0 END)"
 
 
-@register("H4_title_similarity", PAIRS + f"""
-SELECT p_partkey, round(CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.85 WHEN len({_KA}) = 0 OR len({_KB}) = 0 THEN 0.0
-  ELSE 0.5 * {_JACCARD} + 0.2 * (least(length(a), length(b)) / CAST(greatest(length(a), length(b)) AS DOUBLE)) + 0.3 * {_OVERLAP} END, 4) AS similarity FROM q""")
+TITLE = f"""(CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.85 WHEN len({_KA}) = 0 OR len({_KB}) = 0 THEN 0.0
+  ELSE 0.5 * {_JACCARD} + 0.2 * (least(length(a), length(b)) / CAST(greatest(length(a), length(b)) AS DOUBLE)) + 0.3 * {_OVERLAP} END)"""
+KEYWORDS = f"(CASE WHEN len(list_concat({_KA}, {_KB})) = 0 THEN 0.0 ELSE {_JACCARD} END)"
+
+
+@register("H4_title_similarity", PAIRS + f" SELECT p_partkey, round({TITLE}, 4) AS similarity FROM q")
 def title_similarity(spark, sf_dir):
     return _pairs(spark, sf_dir).select("p_partkey", F.round(tx.title_similarity(F.col("a"), F.col("b"), STOP), 4).alias("similarity"))
 

@@ -143,16 +143,22 @@ def test_sequence_matcher(spark):
 def test_absorbing_and_packing(spark):
     r = random.Random(5)
     rows = [(k, i, a, a + r.randint(1, 30)) for i in range(60) for k, a in [(r.randint(0, 3), r.randint(0, 400))]]
-    found = topics.absorb_short(spark.createDataFrame(rows, "k long, id long, start_ms long, end_ms long"), ["k"], "id", 8, 5)
+    titles = ["red shoes", "red shoes here", "a blue coat", "tea"]
+    df = spark.createDataFrame([(*x, titles[x[1] % 4]) for x in rows], "k long, id long, start_ms long, end_ms long, title string")
+    found = topics.absorb_short(df, ["k"], "id", "title", F.col("end_ms") - F.col("start_ms") <= 12, 20, 4, [])
+    alike = {(a, b): a == b or {a[:3], b[:3]} == {"red"} for a in titles for b in titles}
+    assert all(v == (spark.range(1).select(tx.title_similarity(F.lit(a), F.lit(b), [])).first()[0] > 0.35) for (a, b), v in alike.items())
     expected = []
     for k in range(4):
         done = []
         for a, b, i in sorted((x[2], x[3], x[1]) for x in rows if x[0] == k):
-            if done and b - a <= 8 and a - done[-1][1] <= 5:
-                done[-1] = (done[-1][0], max(done[-1][1], b), done[-1][2], done[-1][3] + 1)
+            t = titles[i % 4]
+            gap = a - done[-1][1] if done else None
+            if done and b - a <= 12 and -1000 <= gap <= 20 and (gap < 4 or alike[done[-1][4], t]):
+                done[-1] = (done[-1][0], max(done[-1][1], b), done[-1][2], done[-1][3] + 1, done[-1][4])
             else:
-                done.append((a, b, i, 1))
-        expected += [(k, i, a, b, n) for a, b, i, n in done]
+                done.append((a, b, i, 1, t))
+        expected += [(k, i, a, b, n) for a, b, i, n, _ in done]
     assert rows_of(found, "k", "id", "start_ms", "end_ms", "n") == sorted(expected)
     text = "\n".join("w" * r.randint(0, 40) for _ in range(50))
     got = spark.createDataFrame([(text,)], "t string").select(topics.pack(F.split("t", "\n"), 60)).first()[0]
