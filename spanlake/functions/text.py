@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,16 +26,24 @@ def char_ngrams(text: Column, n: int) -> Column:
     return F.when(F.length(text) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 
+def clean_ngrams(text: Column, n: int, stop: str) -> Column:
+    """``char_ngrams`` of a text without zero-width characters, blanks and punctuation; n-grams of characters in ``stop`` alone
+    are left out. Texts that need it should be in Unicode form NFKC."""
+    clean = F.regexp_replace(text, r"[\x{200b}-\x{200f}\x{2060}-\x{2064}\x{feff}]", "")
+    clean = F.regexp_replace(clean, r"[\s,\x{ff0c}\x{3002}\x{ff01}\x{ff1f}\x{3001}\x{ff1b}\x{ff1a}\x{201c}\x{201d}\x{2018}\x{2019}()\[\]\x{3010}\x{3011}-]", "")
+    return F.filter(char_ngrams(clean, n), lambda g: F.length(F.translate(g, stop, "")) > 0)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared share of two sets; zero if both are empty."""
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-def set_cosine(a: Column, b: Column) -> Column:
-    """Shared elements over the geometric mean of the sizes; zero if one is empty."""
-    size = F.sqrt(F.size(a).cast("double") * F.size(b))
-    return F.when(size > 0, F.size(F.array_intersect(a, b)) / size).otherwise(0.0)
+def set_cosine(a: Column, b: Column, least: int = 1) -> Column:
+    """Shared elements over the geometric mean of the sizes; zero if fewer than ``least`` are shared."""
+    size, shared = F.sqrt(F.size(a).cast("double") * F.size(b)), F.size(F.array_intersect(a, b))
+    return F.when((shared >= least) & (size > 0), shared / size).otherwise(0.0)
 
 
 def keywords(text: Column, stop: Sequence[str], least: int = 2) -> Column:
@@ -127,11 +135,56 @@ def squeeze_repeats(text: Column) -> Column:
     return F.regexp_replace(text, r"(.)\1{2,}", "$1")
 
 
-def windowed_words(text: Column, keep: int, sizes: Sequence[int]) -> Column:
-    """Words of up to ``keep`` characters, and of longer ones all windows of the given sizes; distinct, in order."""
-    windows = lambda w, n: F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substr(w, i, F.lit(n)))
-    parts = F.transform(words(text), lambda w: F.when(F.length(w) <= keep, F.array(w)).otherwise(F.concat(*[windows(w, n) for n in sizes])))
-    return F.array_distinct(F.flatten(parts))
+def corrected(text: Column, replaced: Mapping[str, str], least: float = 0.55) -> Column:
+    """``text``, ``confidence`` of a line after literal replacements and squeezed repeats.
+
+    If less than ``least`` of the longer text is left in length the line stays as it was. Confidence: 1 for a line that no
+    rule changes, .9 if replacements alone do, .75 if repeats do, .8 for a correction that was taken back.
+    """
+    new = text
+    for wrong, right in replaced.items():
+        new = F.replace(new, F.lit(wrong), F.lit(right))
+    squeezed = squeeze_repeats(new)
+    like = F.least(F.length(text), F.length(squeezed)) / F.greatest(F.length(text), F.length(squeezed), F.lit(1))
+    back = like < least
+    confidence = F.when(squeezed == text, 1.0).when(back, 0.8).when(squeezed != new, 0.75).otherwise(0.9)
+    return F.struct(F.when(back, text).otherwise(squeezed).alias("text"), confidence.alias("confidence"))
+
+
+def windowed_words(text: Column, keep: int, sizes: Sequence[int], stop: Sequence[str] = (), most: int | None = None) -> Column:
+    """Words of up to ``keep`` characters, and of longer ones all windows of the given sizes, by place and then size;
+    distinct, in order, without stop words, at most ``most``."""
+
+    def windows(w: Column) -> Column:
+        at = lambda i: F.filter(F.array(*[F.when(i + n - 1 <= F.length(w), F.substr(w, i, F.lit(n))) for n in sizes]), lambda x: x.isNotNull())
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.length(w) - min(sizes) + 1), at))
+
+    parts = F.transform(words(text), lambda w: F.when(F.length(w) <= keep, F.array(w)).otherwise(windows(w)))
+    out = F.array_distinct(F.flatten(parts))
+    if stop:
+        out = F.array_except(out, F.array(*[F.lit(x) for x in stop]))
+    return out if most is None else F.slice(out, 1, most)
+
+
+def keywords_or_pairs(text: Column, stop: Sequence[str], least: int = 2) -> Column:
+    """``keywords``, or the bigrams of the text without blanks if it has none."""
+    found = keywords(text, stop, least)
+    return F.when(F.size(found) > 0, found).otherwise(char_ngrams(F.regexp_replace(F.lower(text), r"\s", ""), 2))
+
+
+def candidate_words(text: Column, signatures: Sequence[str]) -> Column:
+    """Signatures that the text holds, once each, words of two or more characters, and the bigrams of those of four or more."""
+    hits = F.filter(F.array(*[F.lit(x) for x in signatures]).cast("array<string>"), lambda x: F.contains(text, x))
+    long = F.filter(words(text), lambda w: F.length(w) >= 2)
+    pairs = F.flatten(F.transform(F.filter(long, lambda w: F.length(w) >= 4), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substr(w, i, F.lit(2)))))
+    return F.concat(hits, long, pairs)
+
+
+def contains_any(text: Column, markers: Sequence[str]) -> Column:
+    out = F.lit(False)
+    for m in markers:
+        out = out | F.contains(text, F.lit(m))
+    return out
 
 
 def energy_score(energy: Column) -> Column:
@@ -153,10 +206,15 @@ def two_places(score: Column, places: int = 2) -> Column:
     return F.round(score.cast("decimal(18,6)"), places).cast("double")
 
 
-def finish_title(title: Column, pad: Column, least: int, most: int) -> Column:
-    """A title padded by ``pad`` if shorter than ``least`` characters and cut at ``most``."""
+def finish_title(title: Column, pad: Column, least: int, most: int, replaced: Mapping[str, str] | None = None, marks: str = ",.;!?") -> Column:
+    """A title with some words ``replaced``, padded by ``pad`` if shorter than ``least`` characters; a longer one than ``most``
+    is cut at its last punctuation mark before that, or there."""
+    for word, other in (replaced or {}).items():
+        title = F.replace(title, F.lit(word), F.lit(other))
     full = F.when(F.length(title) < least, F.concat(title, F.lit(" "), pad)).otherwise(title)
-    return F.trim(F.left(full, F.lit(most)))
+    head = F.left(full, F.lit(most))
+    at_mark = F.regexp_extract(head, rf"(?s)^(.*)[{marks}][^{marks}]*$", 1)
+    return F.trim(F.when(F.length(full) <= most, full).when(F.length(at_mark) > 0, at_mark).otherwise(head))
 
 
 def head_and_tail(lines: Column, head: int, tail: int, mark: str = "[...]") -> Column:

@@ -12,7 +12,7 @@ from spanlake.plans.catalogue import register
 from spanlake.plans.interval_queries import BIN, SEGMENTS, others, segments, silences
 from spanlake.plans.interval_queries import CAPTIONS as EVENTS
 from spanlake.plans.relational_queries import table
-from spanlake.plans.text_queries import CAPTIONS, CLUSTERS, KEYWORDS, STOP, TITLE, WORDS, _clusters, captions
+from spanlake.plans.text_queries import CAPTIONS, CLUSTERS, KEYWORDS, STOP, STOP_SQL, TITLE, WORDS, _clusters, captions
 from spanlake.sources import srt
 from spanlake.sources.captions import from_events
 from spanlake.storage import checkpoints, shared_folder
@@ -41,10 +41,15 @@ def parse_srt_timeline(spark, sf_dir):
     return srt.parse(_srt(spark, sf_dir), ["conv_id"]).select("conv_id", "pos", "start_ms", "end_ms", "text")
 
 
-@register("A2_parse_srt_cleaned", PARSED.replace("AS text FROM", "AS raw, trim(regexp_replace(replace(" + ONE_LINE + ", 'tion', ''), '[ ]+', ' ', 'g'), ' ') AS text FROM").replace("end_ms, " + ONE_LINE + " AS raw,", "end_ms,"))
+@register("A2_parse_srt_cleaned", CAPTIONS + f""",
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS index, CASE WHEN turn % 3 = 0 THEN start_ms + 40000 ELSE start_ms END AS start_ms, end_ms + 40000 AS end_ms, {ONE_LINE} AS raw_text FROM captions WHERE length({ONE_LINE}) > 0)
+SELECT conv_id, index, row_number() OVER (PARTITION BY conv_id ORDER BY start_ms, index) AS pos, start_ms, end_ms, raw_text, trim(regexp_replace(replace(raw_text, 'tion', ''), '[ ]+', ' ', 'g'), ' ') AS text FROM t""")
 def parse_srt_cleaned(spark, sf_dir):
-    p = srt.parse(_srt(spark, sf_dir), ["conv_id"])
-    return p.select("conv_id", "pos", "start_ms", "end_ms", tx.strip_fillers(F.col("text"), ["tion"]).alias("text"))
+    """Captions numbered as they stand and sorted by start, with the raw text and one without fillers."""
+    c = captions(spark, sf_dir).withColumn("text", one_line("text")).where(F.length("text") > 0)
+    c = c.withColumn("start_ms", F.col("start_ms") + F.when(F.col("turn") % 3 == 0, 40_000).otherwise(0)).withColumn("end_ms", F.col("end_ms") + 40_000)
+    p = srt.parse(srt.render(c, ["conv_id"], "turn"), ["conv_id"])
+    return p.select("conv_id", F.col("seq_num").alias("index"), "pos", "start_ms", "end_ms", F.col("text").alias("raw_text"), tx.strip_fillers(F.col("text"), ["tion"]).alias("text"))
 
 
 @register("A3_srt_files", PARSED.replace("SELECT conv_id, row_number()", "SELECT row_number()").replace(f", {ONE_LINE} AS text", ""))
@@ -92,9 +97,14 @@ def json_writer(spark, sf_dir):
     return spark.read.schema("c_custkey long, c_name string").json(out)
 
 
-@register("B3_render_srt", "SELECT conv_id, count(*) AS n FROM conversations WHERE length(" + ONE_LINE + ") > 0 GROUP BY conv_id")
+_STAMP = "lpad(CAST({0} // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} // 1000 % 60 AS VARCHAR), 2, '0') || ',' || lpad(CAST({0} % 1000 AS VARCHAR), 3, '0')"
+
+
+@register("B3_render_srt", CAPTIONS + f""",
+k AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, {_STAMP.format('start_ms')} || ' --> ' || {_STAMP.format('end_ms')} AS stamp, {ONE_LINE} AS line FROM captions WHERE length({ONE_LINE}) > 0)
+SELECT conv_id, string_agg(k || chr(10) || stamp || chr(10) || line, chr(10) || chr(10) ORDER BY k) AS srt FROM k GROUP BY conv_id""")
 def render_srt(spark, sf_dir):
-    return _srt(spark, sf_dir).select("conv_id", F.regexp_count("srt", F.lit(" --> ")).cast("long").alias("n"))
+    return _srt(spark, sf_dir)
 
 
 @register("B4_stage_checkpoint", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
@@ -218,13 +228,16 @@ def id_consistency(spark, sf_dir):
 
 
 @register("G12_hotword_union", f"""
-WITH a AS (SELECT term, count(*) AS n FROM (SELECT unnest({WORDS.format('text')}) AS term FROM conversations) WHERE length(term) >= 2 GROUP BY term HAVING count(*) >= 3),
+WITH a AS (SELECT term, count(*) AS n FROM (SELECT unnest({WORDS.format('text')}) AS term FROM conversations) WHERE length(term) >= 2 AND NOT list_contains({STOP_SQL}, term) GROUP BY term HAVING count(*) >= 3),
 t AS (SELECT term FROM (SELECT term, row_number() OVER (ORDER BY n DESC, term) AS k FROM a) WHERE k <= 50)
-SELECT term FROM t UNION SELECT lower(r_name) FROM region""")
+SELECT term FROM (SELECT term, row_number() OVER (ORDER BY stored DESC, term) AS k FROM (SELECT term, max(stored) AS stored FROM (SELECT term, 0 AS stored FROM t UNION ALL SELECT DISTINCT lower(p_type), 1 FROM part) GROUP BY term)) WHERE k <= 200""")
 def hotword_union(spark, sf_dir):
-    words = F.filter(tx.words(F.col("text")), lambda w: F.length(w) >= 2)
-    a = mining.term_counts(table(spark, sf_dir, "conversations"), [], words, 3).orderBy(F.desc("n"), "term").limit(50).select("term")
-    return a.union(table(spark, sf_dir, "region").select(F.lower("r_name").alias("term"))).distinct()
+    """The 50 most frequent words, joined with the stored list; that goes first, and 200 stay in all."""
+    words = F.array_except(F.array_distinct(tx.words(F.col("text"))), F.array(*[F.lit(x) for x in STOP]))
+    every = F.filter(tx.words(F.col("text")), lambda w: (F.length(w) >= 2) & F.array_contains(words, w))
+    a = mining.term_counts(table(spark, sf_dir, "conversations"), [], every, 3).orderBy(F.desc("n"), "term").limit(50).select("term", F.lit(0).alias("stored"))
+    both = a.union(table(spark, sf_dir, "part").select(F.lower("p_type").alias("term"), F.lit(1).alias("stored"))).groupBy("term").agg(F.max("stored").alias("stored"))
+    return both.orderBy(F.desc("stored"), "term").limit(200).select("term")
 
 
 INNER = CLUSTERS + """,
@@ -293,14 +306,21 @@ def topic_score(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(score, 6).alias("score"))
 
 
-@register("H24_truncate_lines", "SELECT doc_id, CAST(least(len(string_split(text, chr(10))), 3) + greatest(0, least(len(string_split(text, chr(10))) - 3, 2)) AS BIGINT) AS n_kept FROM documents")
+@register("H24_truncate_lines", """
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), p AS (SELECT doc_id, len(l) AS n, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM l),
+k AS (SELECT *, i <= 3 OR i > n - 2 OR abs(i - (doc_id % 50)) <= 1 OR abs(i - (doc_id % 80 + 10)) <= 1 AS keep FROM p),
+g AS (SELECT *, i - lag(i, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) > 1 AS jump FROM k WHERE keep)
+SELECT doc_id, string_agg(CASE WHEN jump THEN '[...]' || chr(10) ELSE '' END || line, chr(10) ORDER BY i) AS kept FROM g GROUP BY doc_id""")
 def truncate_lines(spark, sf_dir):
-    """The first three and the last two lines of each text, with a mark where lines are left out."""
-    lines = F.split("text", "\n")
-    d = table(spark, sf_dir, "documents").select("doc_id", lines.alias("l"))
-    tail = F.slice("l", F.greatest(F.size("l") - 1, F.lit(4)), 2)
-    kept = F.concat(F.slice("l", 1, 3), F.when(F.size("l") > 5, F.array(F.lit("[...]"))).otherwise(F.array().cast("array<string>")), F.when(F.size("l") > 3, tail).otherwise(F.array().cast("array<string>")))
-    return d.withColumn("kept", kept).select("doc_id", F.size(F.filter("kept", lambda x: x != "[...]")).cast("long").alias("n_kept"))
+    """The first three and the last two lines of a text and those next to each boundary, with a mark where lines are left out."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l")).withColumn("n", F.size("l"))
+    near = F.array(F.col("doc_id") % 50, F.col("doc_id") % 80 + 10)
+    d = d.withColumn("near", near).select("doc_id", "n", "near", F.posexplode("l").alias("i", "line")).withColumn("i", F.col("i") + 1)
+    d = d.where((F.col("i") <= 3) | (F.col("i") > F.col("n") - 2) | F.exists("near", lambda b: F.abs(F.col("i") - b) <= 1))
+    jump = F.col("i") - F.lag("i", 1, 0).over(Window.partitionBy("doc_id").orderBy("i")) > 1
+    d = d.withColumn("line", F.when(jump, F.concat(F.lit("[...]\n"), "line")).otherwise(F.col("line")))
+    rows = F.array_sort(F.collect_list(F.struct("i", "line")))  # the lines of one text
+    return d.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("kept"))
 
 
 @register("H30_word_positions", "SELECT p_brand, list(p_partkey ORDER BY p_partkey) AS positions FROM part WHERE contains(p_name, 'a') GROUP BY p_brand")
@@ -341,15 +361,21 @@ def sync_sets(spark, sf_dir):
     return a.select("user_id", n(F.array_except("now", old)).alias("n_add"), n(F.array_except(old, "now")).alias("n_remove"), n(F.array_intersect("now", old)).alias("n_same"))
 
 
-@register("U3_distinct_in_order", f"SELECT item_id, len(list_distinct({WORDS.format('text')})) AS n FROM benchmark")
+@register("U3_distinct_in_order", f"WITH g AS (SELECT item_id, {WORDS.format('text')} AS l FROM benchmark) SELECT item_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS words FROM g")
 def distinct_in_order(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.size(F.array_distinct(tx.words(F.col("text")))).cast("long").alias("n"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(tx.words(F.col("text"))).alias("words"))
 
 
-@register("U5_append_if_absent", "SELECT DISTINCT user_id, event_type FROM events")
+@register("U5_append_if_absent", """
+WITH s AS (SELECT user_id, event_type AS a, event_id % 4 AS b, event_id FROM events WHERE event_type = 'view'), n AS (SELECT user_id, event_type AS a, event_id % 4 AS b, event_id FROM events WHERE event_type IN ('view', 'click')),
+m AS (SELECT user_id, a, b, min(event_id) AS event_id FROM n GROUP BY ALL)
+SELECT user_id, a, b, event_id FROM s UNION ALL SELECT user_id, a, b, event_id FROM m WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = m.user_id AND s.a = m.a AND s.b = m.b)""")
 def append_if_absent(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "event_type")
-    return e.where("event_type = 'view'").unionByName(e).dropDuplicates(["user_id", "event_type"])
+    """Stored sections as they are, and of the new ones those whose key (two bounds) isn't stored, each once."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("a"), (F.col("event_id") % 4).alias("b"), "event_id")
+    stored, by = e.where("a = 'view'"), ["user_id", "a", "b"]
+    new = e.where("a in ('view', 'click')").groupBy(*by).agg(F.min("event_id").alias("event_id"))
+    return stored.unionByName(new.join(stored, by, "left_anti"))
 
 
 _KEY = "'clip_' || left(sha256(event_type || chr(31) || user_id), 16)"
@@ -395,26 +421,41 @@ def mode_by_size(spark, sf_dir):
     return g.select("media_id", F.when((F.col("n") > 60) | (F.col("span") > 2_500_000_000), "three_step").otherwise("merged").alias("mode"))
 
 
-@register("X12_short_segment_policy", EVENTS + " SELECT event_id, CASE WHEN end_ms - start_ms >= 30000 OR event_id % 100 >= 60 THEN 'keep' WHEN event_id % 100 >= 40 THEN 'ask' ELSE 'review' END AS verdict FROM captions")
+@register("X12_short_segment_policy", EVENTS + """
+SELECT event_id, CASE WHEN end_ms - start_ms >= 30000 OR c >= 60 OR s >= 65 THEN 'keep' WHEN c >= 40 OR (c IS NULL AND s >= 40) THEN 'ask' ELSE 'review' END AS verdict
+FROM (SELECT *, CASE WHEN event_id % 3 > 0 THEN event_id % 100 END AS c, event_id * 7 % 90 AS s FROM captions)""")
 def short_segment_policy(spark, sf_dir):
-    c = F.col("event_id") % 100
-    v = F.when((F.col("end_ms") - F.col("start_ms") >= 30_000) | (c >= 60), "keep").when(c >= 40, "ask").otherwise("review")
+    """Long segments stay; short ones by their confidence or the topic's score, those in between are asked about."""
+    c, s = F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 100), F.col("event_id") * 7 % 90
+    v = F.when((F.col("end_ms") - F.col("start_ms") >= 30_000) | (c >= 60) | (s >= 65), "keep").when((c >= 40) | (c.isNull() & (s >= 40)), "ask").otherwise("review")
     return from_events(spark, sf_dir).select("event_id", v.alias("verdict"))
 
 
-@register("X13_duration_flags", EVENTS + " SELECT event_id, CASE WHEN end_ms - start_ms < 10000 THEN 'too_short' WHEN end_ms - start_ms > 200000 THEN 'too_long' ELSE 'ok' END AS flag FROM captions")
+@register("X13_duration_flags", EVENTS + """,
+f AS (SELECT media_id, event_id, start_ms, CASE WHEN end_ms - start_ms < 10000 THEN 'too_short' WHEN end_ms - start_ms > 200000 THEN 'too_long' ELSE 'ok' END AS flag,
+  CASE WHEN event_type = 'click' AND end_ms - start_ms > 100000 THEN 'daily' ELSE event_type END AS kind, event_id % 17 AS score FROM captions),
+r AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY score DESC, event_id) AS k FROM f)
+SELECT media_id, event_id, flag, kind, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, event_id) AS pos FROM r WHERE k <= 8""")
 def duration_flags(spark, sf_dir):
-    return topics.duration_flags(from_events(spark, sf_dir), 10_000, 200_000).select("event_id", "flag")
+    """Flags by duration, a product type (click here) cleared from long topics, and the best eight of a medium in order."""
+    f = topics.duration_flags(from_events(spark, sf_dir), 10_000, 200_000)
+    kind = F.when((F.col("event_type") == "click") & (F.col("end_ms") - F.col("start_ms") > 100_000), "daily").otherwise(F.col("event_type"))
+    best = rel.top(f.withColumn("kind", kind).withColumn("score", F.col("event_id") % 17), ["media_id"], [F.desc("score"), F.col("event_id")], 8)
+    return rel.ranked(best, ["media_id"], [F.col("start_ms"), F.col("event_id")], "pos").select("media_id", "event_id", "flag", "kind", "pos")
 
 
-@register("Y6_outline_lines", "SELECT conv_id, count(*) FILTER (role = 'user') AS n_heads, count(*) FILTER (role <> 'user') AS n_items FROM conversations GROUP BY conv_id")
+@register("Y6_outline_lines", f"""
+WITH t AS (SELECT conv_id, turn, {ONE_LINE} AS line, role = 'user' AS head FROM conversations), g AS (SELECT *, sum(head::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS grp FROM t)
+SELECT conv_id, grp::BIGINT AS pos, max(line) FILTER (head) AS title, coalesce(list(line ORDER BY turn) FILTER (NOT head), []) AS items FROM g WHERE grp > 0 GROUP BY conv_id, grp""")
 def outline_lines(spark, sf_dir):
-    """Turns rendered as a numbered outline, and parsed into heads and their items."""
-    line = F.when(F.col("role") == "user", F.concat(F.col("turn").cast("string"), F.lit(". **"), one_line("text"), F.lit("**"))).otherwise(F.concat(F.lit("- "), one_line("text")))
+    """Turns rendered as a numbered outline, and parsed into heads with the items that follow each."""
+    line = F.when(F.col("role") == "user", F.concat((F.col("turn") + 1).cast("string"), F.lit(". **"), one_line("text"), F.lit("**"))).otherwise(F.concat(F.lit("- "), one_line("text")))
     doc = table(spark, sf_dir, "conversations").select("conv_id", "turn", line.alias("line")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("l"))
-    lines = doc.select("conv_id", F.posexplode(F.transform("l", lambda x: x["line"])).alias("pos", "line"))
-    head = F.col("line").rlike(r"^\d+\. \*\*.*\*\*$")
-    return lines.groupBy("conv_id").agg(F.count_if(head).alias("n_heads"), F.count_if(~head & F.startswith("line", F.lit("- "))).alias("n_items"))
+    lines = doc.select("conv_id", F.posexplode(F.transform("l", lambda x: x["line"])).alias("at", "line"))
+    title = F.nullif(F.regexp_extract("line", r"^\d+\. \*\*(.*)\*\*$", 1), F.lit(""))
+    lines = lines.withColumn("title", title).withColumn("pos", F.count("title").over(Window.partitionBy("conv_id").orderBy("at")))
+    item = F.when(F.col("title").isNull() & F.startswith("line", F.lit("- ")), F.struct("at", F.substr("line", F.lit(3)).alias("t")))
+    return lines.where("pos > 0").groupBy("conv_id", "pos").agg(F.max("title").alias("title"), F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]).alias("items"))
 
 
 @register("Y9_map_merge", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '9' ELSE json_extract_string(props, '$.k') END AS k FROM events""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from spanlake.functions import text as tx
 from spanlake.operators import relational as rel
 from spanlake.plans.catalogue import register
 
@@ -157,7 +158,7 @@ def validate_collections(spark, sf_dir):
 @register("J6_ordered_lookup", """
 WITH l AS (SELECT l_suppkey AS collection_id, l_orderkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS pos FROM lineitem), m AS (SELECT * FROM l WHERE pos <= 10),
 j AS (SELECT collection_id, pos, l_orderkey, o_orderkey FROM m LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON o_orderkey = l_orderkey)
-SELECT collection_id, count(o_orderkey) = count(*) AS complete, list(l_orderkey ORDER BY pos) FILTER (o_orderkey IS NULL) AS missing, list(o_orderkey ORDER BY pos) FILTER (o_orderkey IS NOT NULL) AS clips FROM j GROUP BY collection_id""")
+SELECT collection_id, count(o_orderkey) = count(*) AS complete, coalesce(list(l_orderkey ORDER BY pos) FILTER (o_orderkey IS NULL), []) AS missing, coalesce(list(o_orderkey ORDER BY pos) FILTER (o_orderkey IS NOT NULL), []) AS clips FROM j GROUP BY collection_id""")
 def ordered_lookup(spark, sf_dir):
     """Clips of a collection in its order (ten at most), and the ids that were not found."""
     order = [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")]
@@ -165,9 +166,7 @@ def ordered_lookup(spark, sf_dir):
     m = rel.ranked(m, ["collection_id"], order, "pos")
     o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(True).alias("hit"))
     ids = lambda keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("pos", "l_orderkey")))), lambda x: x["l_orderkey"])
-    g = m.join(o, "l_orderkey", "left").groupBy("collection_id").agg((F.count("hit") == F.count("*")).alias("complete"), ids(F.col("hit").isNull()).alias("missing"), ids(F.col("hit")).alias("clips"))
-    some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
-    return g.select("collection_id", "complete", some("missing"), some("clips"))
+    return m.join(o, "l_orderkey", "left").groupBy("collection_id").agg((F.count("hit") == F.count("*")).alias("complete"), ids(F.col("hit").isNull()).alias("missing"), ids(F.col("hit")).alias("clips"))
 
 
 @register("J7_collection_totals", "SELECT c_nationkey, count(*) AS n_clips, round(sum(o_totalprice), 2) AS total FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_nationkey")
@@ -318,9 +317,13 @@ def default_collections(spark, sf_dir):
     return b.where("n >= 2 and k <= 5").select("project_id", "bucket", "clip_id")
 
 
-@register("K13_split_by_priority", "SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'high' ELSE 'low' END AS part FROM orders")
+@register("K13_split_by_priority", """
+SELECT o_custkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'high' ELSE 'low' END AS part, count(*) AS n, sum(length(o_orderpriority) * 3 // 10 + 300)::BIGINT AS tokens, sum(length(o_orderpriority) * 3 // 10 + 300) > 1500 AS batched FROM orders GROUP BY ALL""")
 def split_by_priority(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "high").otherwise("low").alias("part"))
+    """A project's topics in two parts by priority, and whether a part's tokens call for batches."""
+    part = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "high").otherwise("low")
+    tokens = F.sum(tx.estimate_tokens(F.col("o_orderpriority")) + 300)
+    return table(spark, sf_dir, "orders").groupBy("o_custkey", part.alias("part")).agg(F.count("*").alias("n"), tokens.alias("tokens"), (tokens > 1500).alias("batched"))
 
 
 @register("U1_set_differences", """

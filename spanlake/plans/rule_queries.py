@@ -14,7 +14,7 @@ from spanlake.plans.interval_queries import BIN, SEGMENTS, others, segments, sil
 from spanlake.plans.interval_queries import CAPTIONS as EVENTS
 from spanlake.plans.more_queries import INNER, ONE_LINE, folder, one_line
 from spanlake.plans.relational_queries import table
-from spanlake.plans.text_queries import CAPTIONS, CLUSTERS, DIVERSITY, ENERGY, KEYWORD, KEYWORDS, LENGTH, STOP, TITLE, WORDS, _clusters, captions
+from spanlake.plans.text_queries import CAPTIONS, CLUSTERS, DIVERSITY, ENERGY, KEYWORD, KEYWORDS, LENGTH, STOP, STOP_SQL, TITLE, WORDS, _clusters, captions
 from spanlake.sources import files
 from spanlake.sources.captions import from_events
 from spanlake.storage import checkpoints
@@ -56,11 +56,17 @@ def narrow_projection(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
 
 
-@register("C16_degradation_chain", "SELECT r_regionkey, r_name FROM region WHERE r_regionkey >= (SELECT r_regionkey FROM region WHERE r_name = 'ASIA') AND r_name <> 'EUROPE'")
+@register("C16_degradation_chain", """
+WITH s AS (SELECT user_id, event_type AS strategy, CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END AS rank, max(value) AS best FROM events GROUP BY ALL),
+a AS (SELECT * FROM s WHERE best >= 150), f AS (SELECT user_id, min(rank) AS chosen FROM a WHERE rank >= 2 GROUP BY user_id)
+SELECT user_id, list(strategy ORDER BY rank) FILTER (rank >= chosen) AS chain FROM a JOIN f USING (user_id) GROUP BY user_id""")
 def degradation_chain(spark, sf_dir):
-    r = table(spark, sf_dir, "region")
-    first = r.where("r_name = 'ASIA'").select("r_regionkey").scalar()
-    return r.where((F.col("r_regionkey") >= first) & (F.col("r_name") != "EUROPE")).select("r_regionkey", "r_name")
+    """The strategies that are available, from the first at or after the wanted one on, best first (five at most)."""
+    order = F.array(*[F.lit(x) for x in ("purchase", "click", "view", "signup", "error")])
+    s = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("strategy")).agg(F.max("value").alias("best"))
+    s = s.where("best >= 150").withColumn("rank", F.array_position(order, F.col("strategy"))).where("rank >= 2")
+    rows = F.array_sort(F.collect_list(F.struct("rank", "strategy")))
+    return s.groupBy("user_id").agg(F.transform(rows, lambda x: x["strategy"]).alias("chain"))
 
 
 @register("F10_merge_adjacent", SEGMENTS + """,
@@ -166,23 +172,32 @@ def counts_by_project(spark, sf_dir):
 
 
 def _windows(keep: int, sizes: tuple[int, ...]) -> str:
-    parts = ", ".join(f"list_transform(range(1, length(w) - {n - 2}), lambda i: substr(w, i, {n}))" for n in sizes)
-    return f"list_distinct(flatten(list_transform({WORDS.format('text')}, lambda w: CASE WHEN length(w) <= {keep} THEN [w] ELSE flatten([{parts}]) END)))"
+    at = ", ".join(f"CASE WHEN i + {n} - 1 <= length(w) THEN substr(w, i, {n}) END" for n in sizes)
+    parts = f"flatten(list_transform(range(1, length(w) - {min(sizes) - 2}), lambda i: list_filter([{at}], lambda x: x IS NOT NULL)))"
+    return f"(flatten(list_transform({WORDS.format('text')}, lambda w: CASE WHEN length(w) <= {keep} THEN [w] ELSE {parts} END)))"
 
 
-@register("H9_keyword_windows", f"SELECT item_id, list_sort({_windows(4, (3, 4))}) AS grams FROM benchmark")
+def _in_order(items: str) -> str:
+    """Distinct elements of a list in order of first appearance."""
+    return f"list_filter({items}, lambda x, i: list_position({items}, x) = i)"
+
+
+@register("H9_keyword_windows", f"SELECT item_id, list_sort(list_filter(list_distinct({_windows(4, (3, 4))}), lambda w: NOT list_contains({STOP_SQL}, w))) AS grams FROM benchmark")
 def keyword_windows(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_sort(tx.windowed_words(F.col("text"), 4, (3, 4))).alias("grams"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_sort(tx.windowed_words(F.col("text"), 4, (3, 4), STOP)).alias("grams"))
 
 
-@register("H10_keyword_grams", f"SELECT item_id, len({_windows(6, (2, 3))}) AS n FROM benchmark")
+@register("H10_keyword_grams", f"WITH g AS (SELECT item_id, {_windows(6, (2, 3))} AS l FROM benchmark) SELECT item_id, {_in_order('l')}[1:20] AS grams FROM g")
 def keyword_grams(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.size(tx.windowed_words(F.col("text"), 6, (2, 3))).cast("long").alias("n"))
+    return table(spark, sf_dir, "benchmark").select("item_id", tx.windowed_words(F.col("text"), 6, (2, 3), most=20).alias("grams"))
 
 
-@register("H11_candidate_words", f"SELECT term, count(*) AS n FROM (SELECT unnest(list_filter({WORDS.format('text')}, lambda w: length(w) >= 2)) AS term FROM conversations) GROUP BY term")
+@register("H11_candidate_words", f"""
+WITH t AS (SELECT text, list_filter({WORDS.format('text')}, lambda w: length(w) >= 2) AS ws FROM conversations),
+w AS (SELECT unnest(list_concat(list_filter(['the end', 'tion'], lambda x: contains(text, x)), ws, flatten(list_transform(list_filter(ws, lambda w: length(w) >= 4), lambda w: list_transform(range(1, length(w)), lambda i: substr(w, i, 2)))))) AS term FROM t)
+SELECT term, count(*) AS n FROM w GROUP BY term""")
 def candidate_words(spark, sf_dir):
-    return mining.term_counts(table(spark, sf_dir, "conversations"), [], F.filter(tx.words(F.col("text")), lambda w: F.length(w) >= 2))
+    return mining.term_counts(table(spark, sf_dir, "conversations"), [], tx.candidate_words(F.col("text"), ["the end", "tion"]))
 
 
 @register("H17_energy_score", f"SELECT event_id, round({ENERGY.format('(value / 500)')}, 6) AS score FROM events")
@@ -215,14 +230,18 @@ def speakers(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.speaker_of(line).alias("speaker"))
 
 
-@register("H25_head_and_tail", "SELECT doc_id, CASE WHEN len(l) <= 4 THEN len(l) ELSE 5 END AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
+@register("H25_head_and_tail", "SELECT doc_id, array_to_string(CASE WHEN len(l) <= 4 THEN l ELSE list_concat(l[1:3], ['[...]'], l[-1:]) END, chr(10)) AS kept FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
 def head_and_tail(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(tx.head_and_tail(F.split("text", "\n"), 3, 1)).cast("long").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.head_and_tail(F.split("text", "\n"), 3, 1), "\n").alias("kept"))
 
 
-@register("H26_finished_title", "SELECT p_partkey, trim(left(CASE WHEN length(p_name) < 12 THEN p_name || ' ' || p_type ELSE p_name END, 20), ' ') AS title FROM part")
+@register("H26_finished_title", """
+WITH t AS (SELECT doc_id, replace(left(text, doc_id % 60), 'tion', 'xx') AS r, lang FROM documents), u AS (SELECT doc_id, CASE WHEN length(r) < 8 THEN r || ' ' || lang ELSE r END AS f FROM t),
+h AS (SELECT *, left(f, 20) AS h, regexp_extract(left(f, 20), '^(.*)[,.;!?][^,.;!?]*$', 1, 's') AS m FROM u)
+SELECT doc_id, trim(CASE WHEN length(f) <= 20 THEN f WHEN length(m) > 0 THEN m ELSE h END, ' ') AS title FROM h""")
 def finished_title(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", tx.finish_title(F.col("p_name"), F.col("p_type"), 12, 20).alias("title"))
+    title = F.left("text", (F.col("doc_id") % 60).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.finish_title(title, F.col("lang"), 8, 20, {"tion": "xx"}).alias("title"))
 
 
 @register("H27_signature_title", "SELECT p_partkey, CASE WHEN contains(p_type, 'BRASS') THEN 'BRASS: ' WHEN contains(p_type, 'STEEL') THEN 'STEEL: ' ELSE '' END || p_name AS title FROM part")
@@ -337,10 +356,11 @@ def merge_topics(spark, sf_dir):
     return topics.apply_actions(have, actions.join(target, "media_id", "left").withColumnRenamed("event_id", "new"), ["media_id"])
 
 
-@register("U8_ordered_union", f"SELECT conv_id, turn, len(list_filter(list_distinct(list_concat([role], {WORDS.format('text')})), lambda w: length(w) >= 2)) AS n FROM conversations")
+@register("U8_ordered_union", f"WITH g AS (SELECT conv_id, turn, list_concat(['asr', 'a'], [role], {WORDS.format('text')}) AS l FROM conversations) SELECT conv_id, turn, list_filter({_in_order('l')}, lambda w: length(w) >= 2) AS words FROM g")
 def ordered_union(spark, sf_dir):
-    every = F.array_distinct(F.concat(F.array("role"), tx.words(F.col("text"))))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(F.filter(every, lambda w: F.length(w) >= 2)).cast("long").alias("n"))
+    """Three sources in order, each word where it first appears, from two characters on."""
+    every = F.array_distinct(F.concat(F.array(F.lit("asr"), F.lit("a")), F.array("role"), tx.words(F.col("text"))))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.filter(every, lambda w: F.length(w) >= 2).alias("words"))
 
 
 @register("U9_missing_folders", "SELECT user_id, list_sort(list_filter(['click', 'error', 'view'], lambda x: NOT list_contains(have, x))) AS missing FROM (SELECT user_id, list(DISTINCT event_type) AS have FROM events WHERE value > 100 GROUP BY user_id) WHERE len(list_filter(['click', 'error', 'view'], lambda x: NOT list_contains(have, x))) > 0")
@@ -383,21 +403,29 @@ def timeline_composition(spark, sf_dir):
     return topics.duration_flags(fixed, 10_000, 200_000).select("event_id", "flag")
 
 
-@register("X15_cluster_report", "SELECT conv_id, string_agg(left(" + ONE_LINE + ", 60), ' | ' ORDER BY turn) AS report FROM conversations WHERE turn < 4 GROUP BY conv_id")
+@register("X15_cluster_report", f"""
+WITH c AS (SELECT conv_id, role, turn, left({ONE_LINE}, 60) AS t, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id, role) AS n FROM conversations),
+g AS (SELECT conv_id, role, any_value(n) AS n, string_agg(t, ' | ' ORDER BY turn) FILTER (k <= 4) AS preview FROM c GROUP BY conv_id, role)
+SELECT conv_id, string_agg(role || ' (' || n || '): ' || preview, chr(10) ORDER BY n DESC, role) AS report FROM g GROUP BY conv_id""")
 def cluster_report(spark, sf_dir):
-    rows = F.array_sort(F.collect_list(F.struct("turn", F.left(one_line("text"), F.lit(60)).alias("t"))))
-    c = table(spark, sf_dir, "conversations").where("turn < 4")
-    return c.groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda x: x["t"]), " | ").alias("report"))
-
-
-@register("Y3_broken_json", "SELECT user_id, count(*) - 1 AS n FROM events GROUP BY user_id")
+    """A line for each cluster (a speaker's turns here), the largest first, with the first four captions in short."""
+    w = Window.partitionBy("conv_id", "role")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "role", "turn", F.left(one_line("text"), F.lit(60)).alias("t"))
+    c = c.withColumn("k", F.row_number().over(w.orderBy("turn"))).withColumn("n", F.count("*").over(w)).where("k <= 4")
+    shown = lambda rows: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["t"]), " | ")
+    g = c.groupBy("conv_id", "role", "n").agg(shown(F.struct("turn", "t")).alias("preview"))
+    line = F.concat("role", F.lit(" ("), F.col("n").cast("string"), F.lit("): "), "preview")
+    lines = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "role", line.alias("t"))))
+    return g.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["t"]), "\n").alias("report"))
+
+
+@register("Y3_broken_json", "SELECT o_orderkey, coalesce(list(l_partkey ORDER BY k) FILTER (k < n), []) AS parts FROM (SELECT l_orderkey AS o_orderkey, l_partkey, row_number() OVER w AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)) GROUP BY o_orderkey")
 def broken_json(spark, sf_dir):
-    """A list of objects cut off within its last object."""
-    rows = F.array_sort(F.collect_list(F.struct("event_id", "event_type")))
-    text = F.to_json(rows)
-    g = table(spark, sf_dir, "events").groupBy("user_id").agg(text.alias("t"))
-    parsed = F.from_json(js.close_brackets(F.substr("t", F.lit(1), F.length("t") - 4)), "array<struct<event_id:bigint,event_type:string>>")
-    return g.select("user_id", F.size(parsed).cast("long").alias("n"))
+    """A list of objects (the lines of an order) cut off within its last object."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), lambda x: F.struct(x["l_partkey"].alias("p"), x["l_linenumber"].alias("n")))
+    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.to_json(rows).alias("t"))
+    parsed = F.from_json(js.close_brackets(F.substr("t", F.lit(1), F.length("t") - 4)), "array<struct<p:bigint,n:int>>")
+    return g.select("o_orderkey", F.transform(parsed, lambda x: x["p"]).alias("parts"))
 
 
 @register("Y4_clips_from_text", CAPTIONS + " SELECT conv_id, turn, start_ms, round(0.7 + 0.05 * (turn % 6), 2) AS score FROM captions")
@@ -409,13 +437,19 @@ def clips_from_text(spark, sf_dir):
     return captions(spark, sf_dir).select("conv_id", "turn", first.alias("start_ms"), F.round(0.7 + 0.05 * (F.col("turn") % 6), 2).alias("score"))
 
 
-@register("Y5_markdown_table", "SELECT o_custkey, count(*) AS n, min(o_orderkey) AS first_key FROM orders GROUP BY o_custkey")
+@register("Y5_markdown_table", "SELECT o_custkey, o_orderkey, epoch_ms(o_orderdate) % 86400000 // 1000 * 1000 AS start_ms, epoch_ms(o_orderdate) % 86400000 // 1000 * 1000 + 90000 AS end_ms FROM orders")
 def markdown_table(spark, sf_dir):
-    rows = F.array_sort(F.collect_list("o_orderkey"))
-    line = lambda x: F.concat(F.lit("| "), x.cast("string"), F.lit(" | x |"))
-    text = F.concat(F.lit("intro\n| key | note |\n|---|:-:|\n"), F.array_join(F.transform(rows, line), "\n"))
-    cells = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(text.alias("t")).select("o_custkey", js.table_cells(F.col("t")).alias("c"))
-    return cells.select("o_custkey", F.size("c").cast("long").alias("n"), F.get(F.get("c", F.lit(0)), F.lit(0)).cast("long").alias("first_key"))
+    """Tables of a key and a span of time, as text and read back."""
+    from spanlake.functions import times
+
+    ms = F.floor(F.unix_millis(F.col("o_orderdate").cast("timestamp")) % 86_400_000 / 1000) * 1000
+    span = F.concat_ws(" - ", times.format_ms(ms), times.format_ms(ms + 90_000))
+    rows = F.array_sort(F.collect_list(F.struct("o_orderkey", span.alias("span"))))
+    line = lambda x: F.concat(F.lit("| "), x["o_orderkey"].cast("string"), F.lit(" | "), x["span"], F.lit(" |"))
+    text = F.concat(F.lit("intro\n| key | time |\n|---|:-:|\n"), F.array_join(F.transform(rows, line), "\n"))
+    cells = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(text.alias("t")).select("o_custkey", F.explode(js.table_cells(F.col("t"))).alias("c"))
+    at = lambda k: times.parse_ms(F.get(F.regexp_extract_all(F.get("c", F.lit(1)), F.lit(r"(\d{2}:\d{2}:\d{2},\d{3})"), 1), F.lit(k)))
+    return cells.select("o_custkey", F.get("c", F.lit(0)).cast("long").alias("o_orderkey"), at(0).alias("start_ms"), at(1).alias("end_ms"))
 
 
 @register("A11_first_existing", "SELECT r_regionkey, r_name FROM region")

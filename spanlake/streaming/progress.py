@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from spanlake.storage import shared_folder
 
 
-def percent(stage: Column, sub: Column, weights: Mapping[str, int]) -> Column:
-    """Share done: weights of earlier stages plus the part of this one, at most 99."""
+def percent(stage: Column, sub: Column, weights: Mapping[str, int], done: str | None = None) -> Column:
+    """Share done: weights of earlier stages plus the part ``sub`` (percent) of this one, at most 99; without a part (null)
+    the earlier stages alone, and for the stage ``done`` all with it."""
     out, before = F.lit(None).cast("double"), 0
     for name, weight in weights.items():
-        out = F.when(stage == name, before + weight * sub / 100.0).otherwise(out)
+        whole = F.lit(float(min(100, before + weight))) if name == done else F.lit(float(min(99, before)))
+        out = F.when(stage == name, F.when(sub.isNull(), whole).otherwise(F.least(F.lit(99.0), before + weight * sub / 100.0))).otherwise(out)
         before += weight
-    return F.least(F.lit(99), F.floor(out))
+    return F.floor(out)
 
 
 def latest(events: DataFrame, key: str, by: Sequence[str], *columns: str) -> DataFrame:
