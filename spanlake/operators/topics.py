@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.functions.text import jaccard, keywords, title_similarity
-from spanlake.operators.joins import overlap_join
+from spanlake.operators.folds import fold
+from spanlake.operators.joins import asof, first_or_last, overlap_join
 
 
 def merge_flagged_pairs(df: DataFrame, keys: list[str], order: list[str], flag: Column) -> DataFrame:
@@ -94,15 +96,100 @@ def absorb_short(df: DataFrame, keys: list[str], ident: str, title: str, candida
     return single.select(*keys, F.explode("r").alias("t")).select(*keys, F.col("t.id").alias(ident), "t.start_ms", "t.end_ms", "t.n")
 
 
-def pack(parts, limit: int):
-    """Consecutive strings joined by a line feed into chunks of at most ``limit`` characters; longer ones stand alone."""
+def packed(text: str | None, limit: int, marks: str = ".!?") -> list[str]:
+    """Paragraphs packed into chunks of at most ``limit`` characters, trimmed; a longer paragraph is packed by its sentences.
 
-    def step(done, x):
-        last = F.try_element_at(done, F.lit(-1))
-        fits = (F.size(done) > 0) & (F.length(last) + 1 + F.length(x) <= limit)
-        return F.when(fits, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(last, F.lit("\n"), x)))).otherwise(F.concat(done, F.array(x)))
+    Texts up to the limit stay whole. A sentence that is longer than the limit stands alone.
+    """
+    if text is None or len(text) <= limit:
+        return [] if text is None else [text]
+    out, part = [], []
+    room = limit
+
+    def close() -> None:
+        nonlocal room
+        chunk = "".join(part).strip()
+        if chunk:
+            out.append(chunk)
+        part.clear()
+        room = limit
+
+    for paragraph in text.split("\n"):
+        units = [paragraph + "\n"] if len(paragraph) <= limit else [s + marks[0] for s in re.split(f"[{marks}]", paragraph)]
+        if len(units) > 1:
+            close()
+        for unit in units:
+            if len(unit) > room:
+                close()
+            part.append(unit)
+            room -= len(unit)
+    close()
+    return out
+
+
+def chunks(df: DataFrame, keys: list[str], ident: str, interval: int, pause: int, semantic: int) -> DataFrame:
+    """``keys``, ``ident``, ``chunk``: captions (``start_ms``, ``end_ms``) cut about every ``interval``.
+
+    Counted from the end of the chunk before, a cut falls after a caption that starts at 90 to 110 % of the aim and is
+    followed by a pause, the first that has a pause of ``semantic`` within two captions if there is one, else the first;
+    without any before the first caption that starts at the aim or later; if that leaves nothing, all the rest is one chunk.
+    """
+    w = Window.partitionBy(*keys).orderBy("start_ms", ident)
+    gap = F.lead("start_ms").over(w) - F.col("end_ms")
+    rows = df.select(*keys, ident, "start_ms", "end_ms").withColumn("gap", gap)
+    rows = rows.withColumn("near", F.max(F.coalesce((F.col("gap") >= semantic).cast("int"), F.lit(0))).over(w.rowsBetween(-2, 2)))
+
+    def step(part: Iterator[dict]) -> Iterator[dict]:
+        held: list[dict] = []  # captions from the last cut on
+        last = number = 0
+        ended = False
+        while True:
+            aim = last + interval
+            while not ended and (not held or held[-1]["start_ms"] <= 1.1 * aim):
+                row = next(part, None)
+                ended = row is None
+                if not ended:
+                    held.append(row)
+            if not held:
+                return
+            fit = [k for k, x in enumerate(held) if 0.9 * aim <= x["start_ms"] <= 1.1 * aim and x["gap"] is not None and x["gap"] >= pause]
+            near = [k for k in fit if held[k]["near"]]
+            cut = (near or fit or [next((k for k, x in enumerate(held) if x["start_ms"] >= aim), len(held)) - 1])[0] + 1
+            if cut <= 0:  # nothing before the aim: all the rest
+                yield from ({**{k: x[k] for k in (*keys, ident)}, "chunk": number} for x in held)
+                yield from ({**{k: x[k] for k in (*keys, ident)}, "chunk": number} for x in part)
+                return
+            yield from ({**{k: x[k] for k in (*keys, ident)}, "chunk": number} for x in held[:cut])
+            last, number, held = held[cut - 1]["end_ms"], number + 1, held[cut:]
+
+    kinds = dict(df.dtypes)
+    return fold(rows, keys, ["start_ms", ident], step, ", ".join(f"{k} {kinds[k]}" for k in (*keys, ident)) + ", chunk long")
+
+
+def merge_outlines(df: DataFrame, keys: list[str], ident: str, title: str, coverage: str, stop: Sequence[str]) -> DataFrame:
+    """The outlines of a key that stay, taken in order of start: one that is like a kept one (the first of these) goes, or
+    takes its place if its coverage is higher.
+
+    Alike are equal titles, titles of similarity .6, times that share half of the shorter one, and times that follow each
+    other within 5,000 with titles of similarity .3. A key's outlines (a medium's few topics) are folded in one expression.
+    """
+    kind = "array<struct<start_ms:bigint,id:bigint,end_ms:bigint,title:string,coverage:double>>"
+    rows = F.array_sort(F.collect_list(F.struct("start_ms", F.col(ident).cast("long").alias("id"), "end_ms", F.lower(title).alias("title"), F.col(coverage).cast("double").alias("coverage"))))
 
-    return F.aggregate(parts, F.array().cast("array<string>"), step)
+    def alike(x, y):
+        similar = title_similarity(x["title"], y["title"], stop)
+        overlap = F.least(x["end_ms"], y["end_ms"]) - F.greatest(x["start_ms"], y["start_ms"])
+        shorter = F.least(x["end_ms"] - x["start_ms"], y["end_ms"] - y["start_ms"])
+        return (similar >= 0.6) | ((shorter > 0) & (F.greatest(overlap, F.lit(0)) >= 0.5 * shorter)) | ((-overlap).between(0, 5000) & (similar >= 0.3))
+
+    def step(kept, x):
+        at = F.array_position(F.transform(kept, lambda k: alike(k, x)), F.lit(True)).cast("int")
+        old = F.try_element_at(kept, F.when(at > 0, at))
+        without = F.concat(F.slice(kept, 1, F.greatest(at - 1, F.lit(0))), F.slice(kept, at + 1, F.size(kept)))
+        return F.when(at == 0, F.concat(kept, F.array(x))).when(x["coverage"] > old["coverage"], F.concat(without, F.array(x))).otherwise(kept)
+
+    kept = df.groupBy(*keys).agg(rows.alias("r")).select(*keys, F.explode(F.aggregate("r", F.array().cast(kind), step)).alias("t"))
+    return kept.select(*keys, F.col("t.id").alias(ident), "t.start_ms", "t.end_ms")
 
 
 def outline_score(title: Column, subtopics: Column, signature: Column, generic: Sequence[str]) -> Column:
@@ -133,42 +220,68 @@ def duration_flags(df: DataFrame, least: int, most: int) -> DataFrame:
     return df.withColumn("flag", F.when(length < least, "too_short").when(length > most, "too_long").otherwise("ok"))
 
 
-def cut_points(pauses, interval: int):
-    """Cuts along ascending ``pauses``: the first pause between 90 and 110 % of an interval after the last cut, and a
-    forced cut after each whole interval that has none."""
-    start = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<bigint>").alias("cuts"))
-
-    def step(s, t):
-        forced = F.greatest(F.lit(0), F.ceil((10 * (t - s["last"]) - 11 * interval) / (10 * interval))).cast("long")
-        ends = F.when(forced > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(forced, F.lit(1))), lambda i: s["last"] + i * interval)).otherwise(F.array().cast("array<bigint>"))
-        last = s["last"] + forced * interval
-        cuts = F.concat(s["cuts"], ends)
-        here = 10 * (t - last) >= 9 * interval
-        return F.struct(F.when(here, t).otherwise(last).alias("last"), F.when(here, F.concat(cuts, F.array(t))).otherwise(cuts).alias("cuts"))
-
-    return F.aggregate(pauses, start, step)["cuts"]
-
-
-def extend_back(segments: DataFrame, captions: DataFrame, keys: list[str], ident: str, reach: int, holds: Column, width: int) -> DataFrame:
-    """``ident``, ``start_ms``: segments (``l_start``) begun earlier, over the unbroken row of captions (``r_start``,
-    ``r_end``) before them for which ``holds``, at most ``reach`` back."""
-    before = segments.select(*keys, ident, F.col("l_start").alias("begin"), (F.col("l_start") - reach).alias("l_start"), F.col("l_start").alias("l_end"))
-    near = overlap_join(before, captions, keys, width, how="within")
-    w = Window.partitionBy(ident).orderBy(F.desc("r_start"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0)
-    ok = near.withColumn("_ok", F.bool_and(holds).over(w)).where("_ok")
-    moved = ok.groupBy(ident).agg(F.min("r_start").alias("_new"))
-    return segments.join(moved, ident, "left").select(ident, F.coalesce("_new", "l_start").alias("start_ms"))
-
-
-def edited(start: Column, end: Column, advice: Column, most: int) -> Column:
-    """Bounds after an advice such as ``extend end by 12 s``, ``shrink start by 3 s`` or ``remove``; moves are limited."""
-    side, verb = F.regexp_extract(advice, r"(start|end)", 1), F.regexp_extract(advice, r"^(extend|shrink|remove)", 1)
-    by = F.least(F.regexp_extract(advice, r"by (\d+) s", 1).try_cast("long") * 1000, F.lit(most))
-    out = F.when(verb == "extend", by).otherwise(-by)
-    a = F.when(side == "start", start - out).otherwise(start)
-    b = F.when(side == "end", end + out).otherwise(end)
-    kept = F.struct(F.greatest(F.lit(0), a).alias("start_ms"), b.alias("end_ms"))
-    return F.when(verb == "remove", F.lit(None)).when(verb == "", F.struct(start.alias("start_ms"), end.alias("end_ms"))).when(a < b, kept)
+def backfill(segments: DataFrame, captions: DataFrame, keys: list[str], ident: str, width: int, back: int, forward: int, margin: int) -> DataFrame:
+    """``ident``, ``start_ms``, ``end_ms``: segments (``l_start``, ``l_end``) extended over the captions around them.
+
+    ``captions`` have ``r_start``, ``r_end``, ``event_id`` and the flags ``depends``, ``switches``, ``ends``, ``continues``.
+    A segment whose first caption depends on what came before begins earlier, by at most ``back``, as long as no caption
+    on the way back switches the topic, and none that depends on nothing follows the end of a sentence. It ends up to
+    ``forward`` captions later, until a sentence ends and the next caption doesn't continue it, or switches the topic.
+    Neither reaches more than ``margin`` into another segment. Segments are judged by their bounds as they were.
+    """
+    w = Window.partitionBy(*keys).orderBy("r_start", "event_id")
+    caps = captions.withColumn("pos", F.row_number().over(w))
+    before = F.lag("ends").over(w)
+    stop_back = F.col("switches") | (F.coalesce(before, F.lit(True)) & ~F.col("depends"))
+    stop_on = (F.coalesce(before, F.lit(True)) & ~F.col("continues")) | F.col("switches")
+    caps = caps.withColumn("way", F.sum(stop_back.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("goes", ~stop_on)
+    pairs = overlap_join(segments, caps, keys, width).withColumn("inside", (F.col("r_start") >= F.col("l_start")) & (F.col("r_end") <= F.col("l_end")))
+    what, order = F.struct("pos", "way", "depends"), [F.col("pos")]
+    first = first_or_last(pairs, [ident], what, order, F.col("inside")).select(ident, F.col("value").alias("first"))
+    last = first_or_last(pairs, [ident], F.col("pos"), order, F.col("inside"), last=True).select(ident, F.col("value").alias("last"))
+    blocked = segments.select(*keys, F.col(ident).alias("_other"), (F.col("l_start") + margin).alias("r_start"), (F.col("l_end") - margin).alias("r_end"))
+
+    def free(moves: DataFrame) -> DataFrame:
+        """Moves (``l_start`` to ``l_end``) that reach into no other segment."""
+        hit = overlap_join(moves, blocked, keys, width).where(F.col(ident) != F.col("_other")).select("_move").distinct()
+        return moves.join(hit, "_move", "left_anti")
+
+    points = caps.select(*keys, "pos", "way", "r_start", F.col("r_start").alias("r_end"))
+    reach = segments.join(first.where("first.depends"), ident).select(*keys, ident, "first", F.col("l_start").alias("was"), (F.col("l_start") - back).alias("l_start"), F.col("l_start").alias("l_end"))
+    to = overlap_join(reach, points, keys, width, how="within").where("pos < first.pos and way = first.way").groupBy(*keys, ident, "was").agg(F.min("r_start").alias("l_start"))
+    starts = free(to.where("l_start < was").withColumn("l_end", F.col("was")).withColumn("_move", F.col(ident))).select(ident, F.col("l_start").alias("_start"))
+    steps = segments.join(last, ident).select(*keys, ident, F.col("l_end").alias("from"), F.explode(F.sequence(F.lit(1), F.lit(forward))).alias("k"), "last").withColumn("pos", F.col("last") + F.col("k"))
+    steps = steps.join(caps.select(*keys, "pos", "goes", F.col("r_end").alias("to")), [*keys, "pos"]).withColumn("_move", F.concat_ws(":", F.col(ident).cast("string"), F.col("k").cast("string")))
+    open_ = free(steps.where("goes").withColumn("l_start", F.col("from")).withColumn("l_end", F.col("to"))).select("_move", F.lit(True).alias("open"))
+    steps = steps.join(open_, "_move", "left")
+    on = F.bool_and(F.coalesce("open", F.lit(False))).over(Window.partitionBy(ident).orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    ends = steps.withColumn("on", on).where("on").groupBy(ident).agg(F.max_by("to", "k").alias("_end"))
+    out = segments.join(starts, ident, "left").join(ends, ident, "left")
+    return out.select(ident, F.coalesce("_start", "l_start").alias("start_ms"), F.coalesce("_end", "l_end").alias("end_ms"))
+
+
+def advised(segments: DataFrame, captions: DataFrame, keys: list[str], ident: str, advice: Column, most: int = 180_000, other: int = 60_000) -> DataFrame:
+    """``ident``, ``start_ms``, ``end_ms`` after an advice such as ``extend start by 12 s`` or ``shrink end by 3 s`` (10 s if it
+    names none).
+
+    A new start is the last caption start at or before it, a new end the first caption end at or after it; it is taken
+    only if it moves the bound the way that was asked. ``extend start`` may move by ``most``, the others by ``other``; larger
+    moves, ``remove`` (a topic keeps one segment at least) and anything else leave the segment as it is.
+    """
+    verb, side = (F.regexp_extract(advice, r"^(extend|shrink) (start|end)", k) for k in (1, 2))
+    by = F.coalesce(F.regexp_extract(advice, r"by (\d+) s", 1).try_cast("long"), F.lit(10)) * 1000
+    rows = segments.withColumn("_side", side).withColumn("_verb", verb).withColumn("_by", by)
+    outwards = F.col("_verb") == "extend"
+    allowed = (F.col("_verb") != "") & (F.col("_by") <= F.when(outwards & (F.col("_side") == "start"), most).otherwise(other))
+    rows = rows.withColumn("_at", F.when(allowed & (F.col("_side") == "start"), F.greatest(F.lit(0), F.col("l_start") + F.when(outwards, -F.col("_by")).otherwise(F.col("_by")))))
+    rows = rows.withColumn("_to", F.when(allowed & (F.col("_side") == "end"), F.col("l_end") + F.when(outwards, F.col("_by")).otherwise(-F.col("_by"))))
+    begin, finish = captions.withColumn("_a", F.col("r_start")), captions.withColumn("_b", F.col("r_end"))
+    starts = asof(rows.where("_at is not null"), begin, keys, "_at", "r_start", "_a").select(ident, "_a")
+    ends = asof(rows.where("_to is not null"), finish, keys, "_to", "r_end", "_b", "forward").select(ident, "_b")
+    rows = rows.join(starts, ident, "left").join(ends, ident, "left")
+    a = F.when(F.when(outwards, F.col("_a") < F.col("l_start")).otherwise(F.col("_a") > F.col("l_start")), F.col("_a")).otherwise(F.col("l_start"))
+    b = F.when(F.when(outwards, F.col("_b") > F.col("l_end")).otherwise(F.col("_b") < F.col("l_end")), F.col("_b")).otherwise(F.col("l_end"))
+    return rows.select(ident, a.alias("start_ms"), b.alias("end_ms"))
 
 
 def apply_actions(segments: DataFrame, actions: DataFrame, keys: list[str]) -> DataFrame:

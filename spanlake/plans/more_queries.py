@@ -134,7 +134,12 @@ def merge_neighbour_pairs(spark, sf_dir):
     return p.groupBy("media_id", "pair").agg(F.min_by("event_id", order).alias("topic_id"), F.min("start_ms").alias("start_ms"), F.max_by("end_ms", order).alias("end_ms"), longest.alias("outline"), F.count("*").alias("n")).drop("pair")
 
 
-@register("F16_suppress_overlaps")
+@register("F16_suppress_overlaps", EVENTS.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+o AS (SELECT media_id, event_id, event_id % 7 AS score, start_ms AS s, end_ms + 3600000 AS e, row_number() OVER (PARTITION BY media_id ORDER BY event_id % 7 DESC, end_ms - start_ms, event_id) AS rn FROM captions),
+r(media_id, rn, kept) AS (SELECT media_id, rn, [{'id': event_id, 's': s, 'e': e}] FROM o WHERE rn = 1
+  UNION ALL SELECT o.media_id, o.rn, CASE WHEN len(list_filter(kept, lambda k: least(k.e, o.e) > greatest(k.s, o.s) AND least(k.e, o.e) - greatest(k.s, o.s) > 0.3 * (k.e - k.s + o.e - o.s - (least(k.e, o.e) - greatest(k.s, o.s))))) = 0
+    THEN list_append(kept, {'id': o.event_id, 's': o.s, 'e': o.e}) ELSE kept END FROM r JOIN o ON o.media_id = r.media_id AND o.rn = r.rn + 1)
+SELECT media_id, k.id AS event_id, k.id % 7 AS score FROM (SELECT media_id, unnest(arg_max(kept, rn)) AS k FROM r GROUP BY media_id)""")
 def suppress_overlaps(spark, sf_dir):
     checkpoints(spark)
     e = from_events(spark, sf_dir).withColumn("score", F.col("event_id") % 7)

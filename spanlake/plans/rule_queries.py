@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from spanlake.plans.interval_queries import BIN, SEGMENTS, others, segments, sil
 from spanlake.plans.interval_queries import CAPTIONS as EVENTS
 from spanlake.plans.more_queries import INNER, ONE_LINE, folder, one_line
 from spanlake.plans.relational_queries import table
-from spanlake.plans.text_queries import CAPTIONS, CLUSTERS, DIVERSITY, ENERGY, KEYWORD, KEYWORDS, LENGTH, STOP, STOP_SQL, TITLE, WORDS, _clusters, captions
+from spanlake.plans.text_queries import CAPTIONS, CLUSTERS, DIVERSITY, ENERGY, KEYWORD, KEYWORDS, LENGTH, STOP, STOP_SQL, TITLE, WORDS, _clusters, captions, title_sql
 from spanlake.sources import files
 from spanlake.sources.captions import from_events
 from spanlake.storage import checkpoints
@@ -102,27 +103,46 @@ def absorb_short(spark, sf_dir):
 
 @register("F24_pack_paragraphs")
 def pack_paragraphs(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", topics.pack(F.split("text", "\n"), 2000).alias("chunks"))
-    return d.select("doc_id", F.posexplode("chunks").alias("pos", "chunk")).select("doc_id", "pos", F.length("chunk").alias("n"))
+    """Chunks of each text; without SQL, since a long paragraph is packed by sentences within the packing of paragraphs."""
+    limit = 500
 
+    @F.pandas_udf("array<string>")
+    def chunks(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: topics.packed(t, limit))
 
-@register("F28_trim_silence", SEGMENTS + """
-SELECT s.segment_id, coalesce(greatest(l_start, max(r_end) FILTER (r_start <= l_start + 600000) - 200), l_start) AS start_ms FROM segments s
-LEFT JOIN silences q ON q.media_id = s.media_id AND q.r_start < s.l_start + 600001 AND q.r_end > s.l_start - 600000 GROUP BY s.segment_id, l_start""")
-def trim_silence(spark, sf_dir):
-    left = segments(spark, sf_dir)
-    edge = left.select("media_id", "segment_id", (F.col("l_start") - 600_000).alias("l_start"), (F.col("l_start") + 600_001).alias("l_end"))
-    cut = joins.overlap_join(edge, silences(spark, sf_dir), ["media_id"], 2 * BIN).groupBy("segment_id").agg(F.max("r_end").alias("quiet"))
-    return left.join(cut, "segment_id", "left").select("segment_id", F.coalesce(F.greatest("l_start", F.col("quiet") - 200), "l_start").alias("start_ms"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks("text")).alias("pos", "chunk"))
+    return d.select("doc_id", "pos", F.length("chunk").alias("n"), F.md5("chunk").alias("digest"))
 
 
-@register("F32_merge_outlines")
+@register("F28_trim_silence", SEGMENTS + """,
+w AS (SELECT media_id, segment_id, l_start, l_end + 7200000 AS l_end FROM segments),
+q AS (SELECT segment_id, greatest(r_start, l_start) AS s, least(r_end, l_end) AS e, l_start, l_end FROM w JOIN silences USING (media_id) WHERE r_start < l_end AND r_end > l_start AND least(r_end, l_end) - greatest(r_start, l_start) >= 1000),
+a AS (SELECT segment_id, arg_max(e + 200, s) FILTER (s - l_start < 3600000) AS a, arg_max(s - 200, s) FILTER (l_end - e < 3600000) AS b FROM q GROUP BY segment_id),
+m AS (SELECT segment_id, l_start, l_end, greatest(l_start, coalesce(a, l_start)) AS a, least(l_end, coalesce(b, l_end)) AS b FROM w LEFT JOIN a USING (segment_id))
+SELECT segment_id, CASE WHEN a >= b THEN l_start ELSE a END AS start_ms, CASE WHEN a >= b THEN l_end ELSE b END AS end_ms FROM m""")
+def trim_silence(spark, sf_dir):
+    """A long silence near the head or the tail of a clip is cut off but for a buffer, unless nothing would be left."""
+    left = segments(spark, sf_dir).withColumn("l_end", F.col("l_end") + 7_200_000)
+    q = joins.overlap_join(left, silences(spark, sf_dir), ["media_id"], BIN)
+    q = q.withColumn("s", F.greatest("r_start", "l_start")).withColumn("e", F.least("r_end", "l_end")).where("e - s >= 1000")
+    head, tail = F.col("s") - F.col("l_start") < 3_600_000, F.col("l_end") - F.col("e") < 3_600_000
+    cut = q.groupBy("segment_id").agg(F.max_by(F.when(head, F.col("e") + 200), F.when(head, F.col("s"))).alias("a"), F.max_by(F.when(tail, F.col("s") - 200), F.when(tail, F.col("s"))).alias("b"))
+    m = left.join(cut, "segment_id", "left").withColumn("a", F.greatest("l_start", "a")).withColumn("b", F.least("l_end", "b"))
+    bad = F.col("a") >= F.col("b")
+    return m.select("segment_id", F.when(bad, F.col("l_start")).otherwise(F.col("a")).alias("start_ms"), F.when(bad, F.col("l_end")).otherwise(F.col("b")).alias("end_ms"))
+
+
+@register("F32_merge_outlines", EVENTS.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+o AS (SELECT media_id, event_id, start_ms, end_ms, event_type AS b, event_id % 13 AS cov, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, event_id) AS rn FROM captions),
+r(media_id, rn, kept) AS (SELECT media_id, rn, [{{'id': event_id, 's': start_ms, 'e': end_ms, 't': b, 'c': cov}}] FROM o WHERE rn = 1
+  UNION ALL SELECT media_id, rn, CASE WHEN coalesce(pl, 0) = 0 THEN list_append(kept, x) WHEN x.c > kept[pl].c THEN list_append(list_filter(kept, lambda k: k.id <> kept[pl].id), x) ELSE kept END
+  FROM (SELECT o.media_id, o.rn, kept, {{'id': event_id, 's': start_ms, 'e': end_ms, 't': b, 'c': cov}} AS x, list_position(list_transform(kept, lambda k: {title_sql("k.t", "o.b")} >= 0.6
+      OR (least(k.e - k.s, end_ms - start_ms) > 0 AND greatest(least(k.e, end_ms) - greatest(k.s, start_ms), 0) >= 0.5 * least(k.e - k.s, end_ms - start_ms))
+      OR (greatest(k.s, start_ms) - least(k.e, end_ms) BETWEEN 0 AND 5000 AND {title_sql("k.t", "o.b")} >= 0.3)), true) AS pl FROM r JOIN o ON o.media_id = r.media_id AND o.rn = r.rn + 1))
+SELECT media_id, k.id AS event_id, k.s AS start_ms, k.e AS end_ms FROM (SELECT media_id, unnest(arg_max(kept, rn)) AS k FROM r GROUP BY media_id)""")
 def merge_outlines(spark, sf_dir):
-    """Turns that resemble no kept earlier turn."""
-    checkpoints(spark)
-    rivals = _clusters(spark, sf_dir)[0].select(F.col("b").alias("id"), F.col("a").alias("rival")).checkpoint()
-    ids = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
-    return topics.undefeated(ids, rivals)
+    e = from_events(spark, sf_dir).withColumn("coverage", F.col("event_id") % 13)
+    return topics.merge_outlines(e, ["media_id"], "event_id", "event_type", "coverage", STOP)
 
 
 @register("F33_k_means")
@@ -302,18 +322,21 @@ def reordered(spark, sf_dir):
     return g.select("o_custkey", F.posexplode("clip_ids").alias("order_index", "o_orderkey"))
 
 
-@register("S5_subscriptions", "SELECT c_custkey, event_id FROM events JOIN customer ON c_nationkey = user_id % 25 WHERE c_custkey % 10 = 0 AND event_type = 'error'")
+@register("S5_subscriptions", "SELECT c_custkey, event_id FROM events JOIN customer ON c_custkey IN (user_id, user_id + 1) WHERE event_type = 'error'")
 def subscriptions(spark, sf_dir):
-    subs = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.col("c_nationkey").cast("long").alias("topic"), "c_custkey")
-    e = table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", (F.col("user_id") % 25).alias("topic"))
-    return e.join(subs, "topic").select("c_custkey", "event_id")
+    """Events sent to the subscribers of their topic: a customer follows two topics, so the fan-out is bounded."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array("c_custkey", F.col("c_custkey") - 1)).alias("user_id"))
+    return table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "user_id").join(c, "user_id").select("c_custkey", "event_id")
 
 
-@register("S6_ttl_state", "SELECT user_id, event_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events) WHERE nx IS NULL OR nx > ts + INTERVAL 1 HOUR")
+@register("S6_ttl_state", """
+WITH n AS (SELECT user_id, event_id, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events)
+SELECT user_id, event_id FROM n WHERE nx > us + 3600000000 OR (nx IS NULL AND (us + 3600000000) // 1000 < (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM events))""")
 def ttl_state(spark, sf_dir):
-    """Values that reach their time to live of an hour before another replaces them."""
-    nx = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, sf_dir, "events").withColumn("nx", nx).where(F.col("nx").isNull() | (F.col("nx") > F.col("ts") + F.expr("INTERVAL 1 HOUR"))).select("user_id", "event_id")
+    """Values that reach their time to live of an hour before another replaces them, by the state of a stream."""
+    from spanlake.streaming.progress import drained, expired
+
+    return drained(spark, f"{sf_dir}/events.parquet", lambda e: expired(e, "user_id", "event_id", "ts", 3_600_000_000))
 
 
 @register("T7_local_time", "SELECT event_id, epoch_us(ts + INTERVAL 8 HOURS) AS micros FROM events")
@@ -457,14 +480,25 @@ def first_existing(spark, sf_dir):
     return files.first_existing(spark, [f"{sf_dir}/regions.parquet", f"{sf_dir}/region.parquet"])
 
 
-@register("A18_list_files")
+@register("A18_list_files", "SELECT DISTINCT event_type AS folder, true AS filled FROM events")
 def list_files(spark, sf_dir):
-    return files.listing(spark, sf_dir, "*.parquet").select("name", "length")
+    """The folders of a table written by event type, from a listing of its files."""
+    return _written_by_type(spark, sf_dir).groupBy("folder").agg((F.sum("length") > 0).alias("filled"))
 
 
-@register("C15_retention_filter")
+def _written_by_type(spark, sf_dir):
+    out = folder(spark)
+    table(spark, sf_dir, "events").write.partitionBy("event_type").parquet(out)
+    return files.listing(spark, out, "*.parquet").withColumn("folder", F.regexp_extract("path", "event_type=([^/]*)/", 1))
+
+
+@register("C15_retention_filter", "SELECT event_type AS folder FROM events GROUP BY event_type HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES")
 def retention_filter(spark, sf_dir):
-    return files.listing(spark, sf_dir, "*.parquet").where(F.col("modified") >= F.current_timestamp() - F.expr("INTERVAL 3650 DAYS")).select("name", "length")
+    """Files of a table that are young enough by their time of change (all, just written), of types last seen long ago."""
+    young = _written_by_type(spark, sf_dir).where(F.col("modified") >= F.current_timestamp() - F.expr("INTERVAL 30 DAYS")).select("folder").distinct()
+    e = table(spark, sf_dir, "events")
+    old = e.groupBy(F.col("event_type").alias("folder")).agg(F.max("ts").alias("last")).where(F.col("last") < e.agg(F.max("ts")).scalar() - F.expr("INTERVAL 10 MINUTES"))
+    return young.join(old, "folder", "left_semi")
 
 
 @register("B10_upserted_progress", "SELECT user_id, max(ts) AS ts, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
@@ -474,10 +508,19 @@ def upserted_progress(spark, sf_dir):
     return upserted(spark, f"{sf_dir}/events.parquet", "user_id", ["ts", "event_id"], "event_type").select("user_id", "ts", "event_type")
 
 
-@register("F22_smart_chunks")
+@register("F22_smart_chunks", """
+WITH RECURSIVE c AS (SELECT conv_id, turn, turn * 10000 AS s, turn * 10000 + length(text) * 7 AS e, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+g AS (SELECT *, lead(s) OVER (PARTITION BY conv_id ORDER BY i) - e AS gap FROM c), f AS (SELECT *, max(coalesce((gap >= 9000)::INT, 0)) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM g),
+r(conv_id, chunk, a, last) AS (SELECT DISTINCT conv_id, 0::BIGINT, 1::BIGINT, 0::BIGINT FROM c
+  UNION ALL SELECT t.conv_id, t.chunk + 1, t.cut, f.e FROM (
+    SELECT r.conv_id, r.chunk, r.a, CASE WHEN cut0 <= r.a THEN n + 1 ELSE cut0 END AS cut FROM (
+      SELECT r.conv_id, r.chunk, r.a, any_value(n) AS n, coalesce(min(i) FILTER (s BETWEEN 0.9 * (last + 40000) AND 1.1 * (last + 40000) AND gap >= 7500 AND near = 1) + 1,
+        min(i) FILTER (s BETWEEN 0.9 * (last + 40000) AND 1.1 * (last + 40000) AND gap >= 7500) + 1, min(i) FILTER (s >= last + 40000), any_value(n) + 1) AS cut0
+      FROM r JOIN f ON f.conv_id = r.conv_id AND f.i >= r.a GROUP BY r.conv_id, r.chunk, r.a) r) t JOIN f ON f.conv_id = t.conv_id AND f.i = t.cut - 1)
+SELECT f.conv_id, f.turn, max(r.chunk) AS chunk FROM f JOIN r ON r.conv_id = f.conv_id AND r.a <= f.i GROUP BY f.conv_id, f.turn""")
 def smart_chunks(spark, sf_dir):
-    c = captions(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list("end_ms")).alias("p"))
-    return c.select("conv_id", F.posexplode(topics.cut_points(F.col("p"), 5_000)).alias("pos", "cut_ms"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") * 10_000).alias("start_ms"), (F.col("turn") * 10_000 + F.length("text") * 7).alias("end_ms"))
+    return topics.chunks(c, ["conv_id"], "turn", 40_000, 7_500, 9_000)
 
 
 @register("X7_step_dependencies", """
@@ -521,22 +564,32 @@ def cross_clip_boundary(spark, sf_dir):
     return c.join(k, ["conv_id", "clip"]).where(F.contains("text", F.col("next_word"))).groupBy("conv_id", "clip").agg(F.max("turn").alias("cut_at"))
 
 
-@register("F15_extend_back", SEGMENTS + """,
-p AS (SELECT segment_id, r_start, bool_and(event_type <> 'error') OVER (PARTITION BY segment_id ORDER BY r_start DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS ok
-  FROM segments JOIN others USING (media_id) WHERE r_end <= l_start AND r_start >= l_start - 86400000),
-m AS (SELECT segment_id, min(r_start) AS a FROM p WHERE ok GROUP BY segment_id)
-SELECT segment_id, coalesce(a, l_start) AS start_ms FROM segments LEFT JOIN m USING (segment_id)""")
-def extend_back(spark, sf_dir):
-    return topics.extend_back(segments(spark, sf_dir), others(spark, sf_dir), ["media_id"], "segment_id", 86_400_000, F.col("event_type") != "error", 144 * BIN)
+@register("F15_backfill", SEGMENTS + """,
+c AS (SELECT *, event_type = 'click' AS depends, event_type = 'error' AS switches, event_type IN ('view', 'error') AS ends, event_type = 'signup' AS continues, row_number() OVER (PARTITION BY media_id ORDER BY r_start, event_id) AS pos FROM others),
+f AS (SELECT *, lag(ends) OVER (PARTITION BY media_id ORDER BY pos) AS pe FROM c),
+w AS (SELECT *, sum((switches OR (coalesce(pe, true) AND NOT depends))::INT) OVER (PARTITION BY media_id ORDER BY pos) AS way, NOT ((coalesce(pe, true) AND NOT continues) OR switches) AS goes FROM f),
+g AS (SELECT media_id, segment_id, l_start, l_end + 7200000 AS l_end FROM segments),
+p AS (SELECT g.*, pos, way, depends, r_start >= l_start AND r_end <= l_end AS inside FROM g JOIN w USING (media_id) WHERE r_start < l_end AND r_end > l_start),
+b AS (SELECT media_id, segment_id, any_value(l_start) AS l_start, any_value(l_end) AS l_end, arg_min({'pos': pos, 'way': way, 'depends': depends}, (NOT inside, pos)) AS first, arg_max(pos, (inside, pos)) AS last FROM p GROUP BY media_id, segment_id),
+m AS (SELECT b.segment_id, b.media_id, b.l_start AS was, min(w.r_start) AS a FROM b JOIN w ON w.media_id = b.media_id AND w.pos < first.pos AND w.way = first.way AND w.r_start >= b.l_start - 86400000 WHERE first.depends GROUP BY ALL),
+s AS (SELECT m.segment_id, a FROM m WHERE a < was AND NOT EXISTS (SELECT 1 FROM g x WHERE x.media_id = m.media_id AND x.segment_id <> m.segment_id AND a < x.l_end - 500 AND was > x.l_start + 500)),
+n AS (SELECT b.segment_id, k, r_end, goes AND NOT EXISTS (SELECT 1 FROM g x WHERE x.media_id = b.media_id AND x.segment_id <> b.segment_id AND b.l_end < x.l_end - 500 AND w.r_end > x.l_start + 500) AS open FROM b, range(1, 6) t(k), w WHERE w.media_id = b.media_id AND w.pos = b.last + k),
+o AS (SELECT *, bool_and(open) OVER (PARTITION BY segment_id ORDER BY k) AS yes FROM n), e AS (SELECT segment_id, arg_max(r_end, k) AS e FROM o WHERE yes GROUP BY segment_id)
+SELECT segment_id, coalesce(a, l_start) AS start_ms, coalesce(e, l_end) AS end_ms FROM g LEFT JOIN s USING (segment_id) LEFT JOIN e USING (segment_id)""")
+def backfill(spark, sf_dir):
+    """Segments extended back and on over the captions that belong to them, not into other segments."""
+    kind = F.col("event_type")
+    caps = others(spark, sf_dir).select("media_id", "event_id", "r_start", "r_end", (kind == "click").alias("depends"), (kind == "error").alias("switches"), kind.isin("view", "error").alias("ends"), (kind == "signup").alias("continues"))
+    left = segments(spark, sf_dir).withColumn("l_end", F.col("l_end") + 7_200_000)
+    return topics.backfill(left, caps, ["media_id"], "segment_id", 12 * BIN, 86_400_000, 5, 500)
 
 
 @register("X11_boundary_advice", SEGMENTS + """,
-a AS (SELECT *, segment_id % 3 AS k, least((segment_id % 300) * 1000, 180000) AS d FROM segments),
-b AS (SELECT segment_id, k, CASE WHEN k = 1 THEN l_start + d ELSE l_start END AS s, CASE WHEN k = 0 THEN l_end + d ELSE l_end END AS e FROM a)
-SELECT segment_id, greatest(0, s) AS start_ms, e AS end_ms FROM b WHERE k <> 2 AND s < e""")
+a AS (SELECT *, segment_id % 6 AS k, (segment_id % 200) * 1000 AS d FROM segments),
+t AS (SELECT *, CASE WHEN k = 0 AND d <= 180000 THEN greatest(0, l_start - d) WHEN k = 1 AND d <= 60000 THEN l_start + d END AS ts, CASE WHEN k = 2 AND d <= 60000 THEN l_end + d WHEN k = 3 AND d <= 60000 THEN l_end - d WHEN k = 4 THEN l_end + 10000 END AS te FROM a),
+m AS (SELECT t.*, (SELECT max(r_start) FROM others o WHERE o.media_id = t.media_id AND o.r_start <= ts) AS na, (SELECT min(r_end) FROM others o WHERE o.media_id = t.media_id AND o.r_end >= te) AS nb FROM t)
+SELECT segment_id, CASE WHEN k = 0 AND na < l_start OR k = 1 AND na > l_start THEN na ELSE l_start END AS start_ms, CASE WHEN k IN (2, 4) AND nb > l_end OR k = 3 AND nb < l_end THEN nb ELSE l_end END AS end_ms FROM m""")
 def boundary_advice(spark, sf_dir):
-    by = F.concat(F.lit(" by "), (F.col("segment_id") % 300).cast("string"), F.lit(" s"))
-    k = F.col("segment_id") % 3
-    advice = F.when(k == 0, F.concat(F.lit("extend end"), by)).when(k == 1, F.concat(F.lit("shrink start"), by)).otherwise("remove")
-    new = topics.edited(F.col("l_start"), F.col("l_end"), advice, 180_000)
-    return segments(spark, sf_dir).select("segment_id", new.alias("n")).where("n is not null").select("segment_id", "n.start_ms", "n.end_ms")
+    by = F.concat(F.lit(" by "), (F.col("segment_id") % 200).cast("string"), F.lit(" s"))
+    kinds = F.array(*[F.concat(F.lit(x), by) for x in ("extend start", "shrink start", "extend end", "shrink end")], F.lit("extend end a little"), F.lit("remove segment 1"))
+    return topics.advised(segments(spark, sf_dir), others(spark, sf_dir), ["media_id"], "segment_id", F.get(kinds, (F.col("segment_id") % 6).cast("int")))

@@ -146,15 +146,27 @@ def set_cosine(spark, sf_dir):
     return _pairs(spark, sf_dir).select("p_partkey", F.round(tx.set_cosine(tx.char_ngrams(F.col("a"), 2), tx.char_ngrams(F.col("b"), 2), 2), 6).alias("cosine"))
 
 
-_KA, _KB = (f"list_filter(list_distinct({WORDS.format(c)}), lambda w: length(w) >= 2 AND NOT list_contains({STOP_SQL}, w))" for c in "ab")
-_CO = "CASE WHEN len(list_intersect({0}, {1})) > 0 THEN {2} ".format
-_JACCARD = f"(len(list_intersect({_KA}, {_KB})) / CAST(len(list_distinct(list_concat({_KA}, {_KB}))) AS DOUBLE))"
-_OVERLAP = f"(CASE WHEN len(list_intersect({_grams('a', 3)}, {_grams('b', 3)})) > 0 THEN 1.0 WHEN len(list_intersect({_grams('a', 2)}, {_grams('b', 2)})) > 0 THEN 2 / 3.0 WHEN len(list_intersect({_grams('a', 1)}, {_grams('b', 1)})) > 0 THEN 1 / 3.0 ELSE 0.0 END)"
+def _words_of(c: str) -> str:
+    return f"list_filter(list_distinct({WORDS.format(c)}), lambda w: length(w) >= 2 AND NOT list_contains({STOP_SQL}, w))"
 
 
-TITLE = f"""(CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.85 WHEN len({_KA}) = 0 OR len({_KB}) = 0 THEN 0.0
-  ELSE 0.5 * {_JACCARD} + 0.2 * (least(length(a), length(b)) / CAST(greatest(length(a), length(b)) AS DOUBLE)) + 0.3 * {_OVERLAP} END)"""
-KEYWORDS = f"(CASE WHEN len(list_concat({_KA}, {_KB})) = 0 THEN 0.0 ELSE {_JACCARD} END)"
+def _jaccard(a: str, b: str) -> str:
+    return f"(len(list_intersect({_words_of(a)}, {_words_of(b)})) / CAST(len(list_distinct(list_concat({_words_of(a)}, {_words_of(b)}))) AS DOUBLE))"
+
+
+def _overlap(a: str, b: str) -> str:
+    shared = lambda n: f"len(list_intersect({_grams(a, n)}, {_grams(b, n)})) > 0"
+    return f"(CASE WHEN {shared(3)} THEN 1.0 WHEN {shared(2)} THEN 2 / 3.0 WHEN {shared(1)} THEN 1 / 3.0 ELSE 0.0 END)"
+
+
+def title_sql(a: str, b: str) -> str:
+    """Similarity of two titles."""
+    return f"""(CASE WHEN {a} = {b} THEN 1.0 WHEN contains({a}, {b}) OR contains({b}, {a}) THEN 0.85 WHEN len({_words_of(a)}) = 0 OR len({_words_of(b)}) = 0 THEN 0.0
+  ELSE 0.5 * {_jaccard(a, b)} + 0.2 * (least(length({a}), length({b})) / CAST(greatest(length({a}), length({b})) AS DOUBLE)) + 0.3 * {_overlap(a, b)} END)"""
+
+
+TITLE = title_sql("a", "b")
+KEYWORDS = f"(CASE WHEN len(list_concat({_words_of('a')}, {_words_of('b')})) = 0 THEN 0.0 ELSE {_jaccard('a', 'b')} END)"
 
 
 @register("H4_title_similarity", PAIRS + f" SELECT p_partkey, round({TITLE}, 4) AS similarity FROM q")
@@ -162,7 +174,7 @@ def title_similarity(spark, sf_dir):
     return _pairs(spark, sf_dir).select("p_partkey", F.round(tx.title_similarity(F.col("a"), F.col("b"), STOP), 4).alias("similarity"))
 
 
-@register("H5_char_overlap", PAIRS + f" SELECT p_partkey, round({_OVERLAP}, 4) AS overlap FROM q")
+@register("H5_char_overlap", PAIRS + f" SELECT p_partkey, round({_overlap('a', 'b')}, 4) AS overlap FROM q")
 def char_overlap(spark, sf_dir):
     return _pairs(spark, sf_dir).select("p_partkey", F.round(tx.char_overlap(F.col("a"), F.col("b")), 4).alias("overlap"))
 
@@ -349,24 +361,27 @@ def compute_percent(spark, sf_dir):
 
 @register("S2_latest_progress", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS stage, max(ts) AS ts FROM events GROUP BY user_id")
 def latest_progress(spark, sf_dir):
-    from spanlake.streaming.progress import latest
+    from spanlake.streaming.progress import streamed_latest
 
-    return latest(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type").select("user_id", F.col("event_type").alias("stage"), "ts")
+    return streamed_latest(spark, f"{sf_dir}/events.parquet", "user_id", ["ts", "event_id"], "event_type").select("user_id", F.col("event_type").alias("stage"), "ts")
 
 
 @register("S3_snapshots", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS stage FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5) GROUP BY user_id")
 def snapshots(spark, sf_dir):
-    from spanlake.streaming.progress import latest
+    """Some keys read from the latest state that a stream keeps."""
+    from spanlake.streaming.progress import streamed_latest
 
     ids = table(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("user_id"))
-    wanted = table(spark, sf_dir, "events").join(ids, "user_id", "left_semi")
-    return latest(wanted, "user_id", ["ts", "event_id"], "event_type").select("user_id", F.col("event_type").alias("stage"))
+    state = streamed_latest(spark, f"{sf_dir}/events.parquet", "user_id", ["ts", "event_id"], "event_type")
+    return state.join(ids, "user_id", "left_semi").select("user_id", F.col("event_type").alias("stage"))
 
 
-@register("S7_streamed_windows", "SELECT CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+@register("S7_streamed_windows", """
+SELECT * FROM (SELECT CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS day, event_type, count(*) AS n FROM events GROUP BY ALL)
+WHERE (day + 1) * 86400000 <= (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM events)""")
 def streamed_windows(spark, sf_dir):
-    """The events table read as a stream to its end; counts by day."""
+    """Counts by day on a stream: the days that the watermark, ten minutes behind the last event, has closed."""
     from spanlake.streaming.progress import drained, windowed
 
-    counts = windowed(drained(spark, f"{sf_dir}/events.parquet"), "ts", "1 day", ["event_type"])
+    counts = drained(spark, f"{sf_dir}/events.parquet", lambda e: windowed(e, "ts", "1 day", ["event_type"]))
     return counts.select(F.floor(F.unix_micros("start") / 86_400_000_000).alias("day"), "event_type", "n")

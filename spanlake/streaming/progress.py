@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,34 +37,79 @@ def windowed(events: DataFrame, ts: str, width: str, keys: Sequence[str], late:
     return counted.select(F.col("_w.start").alias("start"), *keys, "n")
 
 
-def drained(spark: SparkSession, path: str, through: Callable[[DataFrame], DataFrame] = lambda df: df, mode: str = "append") -> DataFrame:
-    """A Parquet table read as a stream to its end, passed ``through`` a transformation and read back.
+def expired(stream: DataFrame, key: str, ident: str, ts: str, ttl: int, late: str = "10 minutes") -> DataFrame:
+    """``key``, ``ident`` of values that reach their time to live of ``ttl`` microseconds before another of their key comes.
 
-    Output and state lie in the shared folder of ``spark.checkpoint.dir``.
+    State holds the one valid value of a key. It is given out when a later value comes after its time, or by a timer of
+    event time once the watermark has passed that; late rows are left out. A key's rows of one micro-batch are sorted in
+    memory: ``maxFilesPerTrigger`` bounds them.
     """
-    folder = shared_folder(spark, "stream")
+    kinds = dict(stream.dtypes)
+
+    def update(name: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        out = []
+        if state.hasTimedOut:
+            out.append(state.get[0])
+            state.remove()
+        else:
+            held = state.get if state.exists else None
+            for row in pd.concat(frames).rename(columns={"_us": "us_"}).sort_values(["us_", ident]).itertuples(index=False):
+                value, us = getattr(row, ident), row.us_
+                if held is not None and us > held[1] + ttl:
+                    out.append(held[0])
+                if held is None or (us, value) >= (held[1], held[0]):
+                    held = (int(value), int(us))
+            state.update(held)
+            state.setTimeoutTimestamp(max((held[1] + ttl) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [name[0]] * len(out), ident: out})
+
+    rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    rows = rows.select(key, ident, ts, F.unix_micros(ts).alias("_us"))
+    return rows.groupBy(key).applyInPandasWithState(update, f"{key} {kinds[key]}, {ident} {kinds[ident]}", f"{ident} long, us long", "append", "EventTimeTimeout")
+
+
+def _reader(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """A Parquet table, a folder or a single file, as a stream of ``files`` a micro-batch."""
     table = spark.read.parquet(path)
     parent, name = path.rsplit("/", 1)
     reader = spark.readStream.schema(table.schema)
+    if files is not None:
+        reader = reader.option("maxFilesPerTrigger", files)
     if any(f.rsplit("/", 1)[1] == name for f in table.inputFiles()):  # a single file is streamed by way of its folder
         reader, path = reader.option("pathGlobFilter", name), parent
-    stream = through(reader.parquet(path))
+    return reader.parquet(path)
+
+
+def drained(spark: SparkSession, path: str, through: Callable[[DataFrame], DataFrame] = lambda df: df, mode: str = "append", files: int | None = None) -> DataFrame:
+    """A Parquet table read as a stream to its end, passed ``through`` a transformation, written and read back.
+
+    Output and state lie in the shared folder of ``spark.checkpoint.dir``.
+    """
+    folder = shared_folder(spark, "stream")
+    stream = through(_reader(spark, path, files))
     query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def streamed_latest(spark: SparkSession, path: str, key: str, by: Sequence[str], *columns: str, files: int | None = None) -> DataFrame:
+    """``latest`` kept by a stream in update mode: each micro-batch writes the keys that it changed, readers take the newest."""
+    folder = shared_folder(spark, "latest")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    stream = latest(_reader(spark, path, files), key, by, *columns)
+    stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return latest(spark.read.parquet(f"{folder}/out"), key, by, *columns)
+
+
 def upserted(spark: SparkSession, path: str, key: str, by: Sequence[str], *columns: str, files: int = 1) -> DataFrame:
     """Latest values per key of a table read as a stream; each micro-batch is merged into a new version of the snapshot.
 
     A version is written beside the last one and only then named, so a batch that is tried again does no harm.
     """
     folder = shared_folder(spark, "upsert")
-    table = spark.read.parquet(path)
-    parent, name = path.rsplit("/", 1)
-    reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files)
-    if any(f.rsplit("/", 1)[1] == name for f in table.inputFiles()):
-        reader, path = reader.option("pathGlobFilter", name), parent
     last: list[str] = []
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -73,5 +119,5 @@ def upserted(spark: SparkSession, path: str, key: str, by: Sequence[str], *colum
         latest(rows, key, by, *columns).select(key, *by, *columns).write.mode("overwrite").parquet(f"{folder}/v{number}")
         last.append(f"{folder}/v{number}")
 
-    reader.parquet(path).writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(last[-1]) if last else latest(table, key, by, *columns)
+    _reader(spark, path, files).writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(last[-1]) if last else latest(spark.read.parquet(path), key, by, *columns)

@@ -1,12 +1,13 @@
 """Operators on hand-written rows, algebra laws on random intervals, and streams against tables."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
 
 from spanlake.functions import text as tx
 from spanlake.functions import times
-from spanlake.operators import intervals, joins, mining, relational, topics
+from spanlake.operators import folds, intervals, joins, mining, relational, topics
 from spanlake.sources import srt
 from spanlake.streaming import progress
 
@@ -103,8 +104,7 @@ def test_stream_equals_table(spark, sf_dir, tmp_path):
     for path in (f"{sf_dir}/events.parquet", str(tmp_path / "events.parquet")):
         if path.startswith(str(tmp_path)):
             events.repartition(3).write.parquet(path)
-        streamed = progress.windowed(progress.drained(spark, path), "ts", "1 day", ["event_type"])
-        assert sorted(streamed.collect()) == sorted(progress.windowed(events, "ts", "1 day", ["event_type"]).collect())
+        assert sorted(progress.drained(spark, path).collect()) == sorted(events.collect())
 
 
 def test_suppression_is_greedy(spark):
@@ -151,7 +151,7 @@ def test_absorbing_and_packing(spark):
     expected = []
     for k in range(4):
         done = []
-        for a, b, i in sorted((x[2], x[3], x[1]) for x in rows if x[0] == k):
+        for a, i, b in sorted((x[2], x[1], x[3]) for x in rows if x[0] == k):
             t = titles[i % 4]
             gap = a - done[-1][1] if done else None
             if done and b - a <= 12 and -1000 <= gap <= 20 and (gap < 4 or alike[done[-1][4], t]):
@@ -160,30 +160,54 @@ def test_absorbing_and_packing(spark):
                 done.append((a, b, i, 1, t))
         expected += [(k, i, a, b, n) for a, b, i, n, _ in done]
     assert rows_of(found, "k", "id", "start_ms", "end_ms", "n") == sorted(expected)
-    text = "\n".join("w" * r.randint(0, 40) for _ in range(50))
-    got = spark.createDataFrame([(text,)], "t string").select(topics.pack(F.split("t", "\n"), 60)).first()[0]
-    chunks = []
-    for part in text.split("\n"):
-        if chunks and len(chunks[-1]) + 1 + len(part) <= 60:
-            chunks[-1] += "\n" + part
-        else:
-            chunks.append(part)
-    assert got == chunks
-
-
-def test_cut_points(spark):
-    r = random.Random(6)
-    for _ in range(5):
-        pauses = sorted(r.sample(range(1, 4000), 25))
-        last, cuts = 0, []
-        for t in pauses:
-            while t > last + 110:
-                last += 100
-                cuts.append(last)
-            if t >= last + 90:
-                last = t
-                cuts.append(t)
-        assert spark.createDataFrame([(pauses,)], "p array<bigint>").select(topics.cut_points(F.col("p"), 100)).first()[0] == cuts
+
+
+def test_packing():
+    r = random.Random(5)
+    for _ in range(50):
+        text = "\n".join("".join(r.choice("abc .") for _ in range(r.choice([0, 10, 40, 200]))) for _ in range(12))
+        got = topics.packed(text, 60)
+        squeezed = lambda t: "".join(t.split()).replace(".", "")
+        assert squeezed("".join(got)) == squeezed(text)  # nothing is lost but blanks and marks
+        assert all(len(c) <= 60 or c.count(".") <= 1 for c in got)
+    assert topics.packed("short\ntext", 60) == ["short\ntext"] and topics.packed(None, 60) == [] and topics.packed("", 60) == [""]
+    assert topics.packed("aaaa\nbbbb\ncccc", 10) == ["aaaa\nbbbb", "cccc"]
+    assert topics.packed("x\naaaa.bbbb.cc\nd", 10) == ["x", "aaaa.bbbb.", "cc.d"]
+
+
+def test_folds_are_streamed(spark):
+    rows = [(k, i) for k in range(5) for i in range(3000)]
+    r = random.Random(1)
+    r.shuffle(rows)
+
+    def step(part):
+        seen = 0
+        for x in part:
+            seen += x["i"] == seen
+            yield {"k": x["k"], "seen": seen}
+
+    found = folds.fold(spark.createDataFrame(rows, "k long, i long"), ["k"], ["i"], step, "k long, seen long")
+    assert rows_of(found, "k", "seen") == sorted((k, i + 1) for k, i in rows)
+
+
+def test_late_rows_and_time_to_live(spark, tmp_path):
+    """Three micro-batches: rows behind the watermark of the first are late in the third, open windows and values wait."""
+    hour = 3_600_000_000
+    stamp = lambda df: df.withColumn("ts", F.timestamp_micros("ts"))
+    batches = [[(1, 0, 0, "a"), (2, 1, hour // 2, "a"), (3, 2, 30 * hour, "b")], [(5, 0, 31 * hour, "a")], [(4, 0, 5 * hour, "a"), (6, 3, 80 * hour, "b")]]
+    path = str(tmp_path / "events")
+    for k, rows in enumerate(batches):
+        df = stamp(spark.createDataFrame(rows, "event_id long, user_id long, ts long, event_type string"))
+        df.coalesce(1).write.mode("append").parquet(path)
+        for f in (tmp_path / "events").glob("*.parquet"):
+            if f.stat().st_mtime > 2_000_000:  # the older file comes first
+                os.utime(f, (1_000_000 + k, 1_000_000 + k))
+    counted = progress.drained(spark, path, lambda e: progress.windowed(e, "ts", "1 day", ["event_type"]), files=1)
+    assert sorted((x.start.day, x.event_type, x.n) for x in counted.collect()) == [(1, "a", 2), (2, "a", 1), (2, "b", 1)]
+    found = progress.drained(spark, path, lambda e: progress.expired(e, "user_id", "event_id", "ts", hour), files=1)
+    assert rows_of(found, "event_id") == [(1,), (2,), (3,), (5,)]  # 4 came late, 6 is still valid
+    latest = progress.streamed_latest(spark, path, "user_id", ["ts", "event_id"], "event_type", files=1)
+    assert rows_of(latest, "user_id", "event_id") == [(0, 5), (1, 2), (2, 3), (3, 6)]
 
 
 def test_upserts_by_batch(spark, sf_dir, tmp_path):
