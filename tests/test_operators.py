@@ -193,7 +193,7 @@ def test_folds_are_streamed(spark):
 def test_late_rows_and_time_to_live(spark, tmp_path):
     """Three micro-batches: rows behind the watermark of the first are late in the third, open windows and values wait."""
     hour = 3_600_000_000
-    stamp = lambda df: df.withColumn("ts", F.timestamp_micros("ts"))
+    stamp = lambda df: df.withColumn("ts", F.timestamp_micros(F.col("ts") + 240 * hour))
     batches = [[(1, 0, 0, "a"), (2, 1, hour // 2, "a"), (3, 2, 30 * hour, "b")], [(5, 0, 31 * hour, "a")], [(4, 0, 5 * hour, "a"), (6, 3, 80 * hour, "b")]]
     path = str(tmp_path / "events")
     for k, rows in enumerate(batches):
@@ -203,7 +203,7 @@ def test_late_rows_and_time_to_live(spark, tmp_path):
             if f.stat().st_mtime > 2_000_000:  # the older file comes first
                 os.utime(f, (1_000_000 + k, 1_000_000 + k))
     counted = progress.drained(spark, path, lambda e: progress.windowed(e, "ts", "1 day", ["event_type"]), files=1)
-    assert sorted((x.start.day, x.event_type, x.n) for x in counted.collect()) == [(1, "a", 2), (2, "a", 1), (2, "b", 1)]
+    assert sorted((x.start.day, x.event_type, x.n) for x in counted.collect()) == [(11, "a", 2), (12, "a", 1), (12, "b", 1)]
     found = progress.drained(spark, path, lambda e: progress.expired(e, "user_id", "event_id", "ts", hour), files=1)
     assert rows_of(found, "event_id") == [(1,), (2,), (3,), (5,)]  # 4 came late, 6 is still valid
     latest = progress.streamed_latest(spark, path, "user_id", ["ts", "event_id"], "event_type", files=1)
