@@ -60,8 +60,9 @@ def _counts(languages: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in slices(batches, 1, CHUNK):
-            label = np.array([languages.index(x) if x in languages else -1 for x in batch.column(0).to_pylist()], np.int64)
-            for lo, hi, found, starts in _pieces(batch.column(1).to_pylist()):
+            texts = batch.column(1).to_pylist()
+            label = np.array([languages.index(x) if x in languages and t else -1 for x, t in zip(batch.column(0).to_pylist(), texts, strict=True)], np.int64)
+            for lo, hi, found, starts in _pieces(texts):
                 of = np.repeat(label[lo:hi], np.diff(starts))
                 for k in range(len(languages)):
                     total[k] += np.bincount(found[: len(of)][of == k], minlength=BUCKETS)
