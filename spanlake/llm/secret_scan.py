@@ -176,8 +176,10 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", allo
     A null text stays null. A text without secrets stays as it is; of one with secrets, bytes that are no UTF-8 become
     replacement characters.
     """
-    schema = docs.schema
-    at = docs.columns.index(text_col)
+    names = docs.columns
+    rows = docs.toDF(*[f"c{k}" for k in range(len(names))])  # whatever the columns are called
+    schema = rows.schema
+    at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, at):
@@ -195,4 +197,4 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", allo
             texts = pa.array(out, pa.large_binary() if pa.types.is_large_string(kind) else pa.binary())
             yield batch.set_column(at, batch.schema.field(at), pa.Array.from_buffers(kind, len(texts), texts.buffers()))
 
-    return small_batches(docs).mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema).toDF(*names)
