@@ -149,6 +149,25 @@ def test_pieces_equal_the_library(spark):
         assert (found[i].ids, found[i].n_tokens, found[i].decoded) == (ids, len(ids), model.decode(ids) if ids else "")
 
 
+def test_long_unbroken_pieces(spark, monkeypatch):
+    """Words without spaces are cut or queued; ids stay those of the library."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    r = random.Random(3)
+    names = [model.id_to_piece(i).strip("▁") for i in range(300, 31_000)]
+    texts = ["a" * 20_000, "ab" * 9000, "=-" * 6000, "".join(r.choice("acgt") for _ in range(9000)), "".join(r.choice(names) for _ in range(8000)), " " * 9000, "今天天气" * 3000, "😀" * 5000, "x▁▁" * 3000]
+    for encoder, some in ((pieces.Encoder(pieces.default_model()), texts), (None, [t[:700] for t in texts])):
+        if encoder is None:
+            monkeypatch.setattr(pieces, "LONG", 8)
+            monkeypatch.setattr(pieces, "QUEUE", 40)
+            encoder = pieces.Encoder(pieces.default_model())
+        ids, counts = encoder.encode(some)
+        assert ids.tolist() == [i for t in some for i in model.encode(t)] and counts.tolist() == [len(model.encode(t)) for t in some]
+    found = pieces.encode_decode(docs_of(spark, texts[:1] + ["b" * 10])).collect()
+    assert {x.doc_id: x.decoded for x in found} == {0: texts[0], 1: "b" * 10}
+
+
 def test_piece_store_is_bounded(monkeypatch):
     monkeypatch.setattr(pieces, "KEPT", 3)
     encoder = pieces.Encoder(pieces.default_model())
@@ -194,6 +213,55 @@ def test_secrets_beside_allowed_strings():
     assert _spans(clean) == [[] for _ in clean]
 
 
+def test_entropy_spans_by_brute_force():
+    """The method's spans from each window's own counts: maximal runs, classes, allow-list, unions of windows."""
+    r = random.Random(8)
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-", "abcd", "aaaaab"]
+    texts = []
+    for _ in range(60):
+        parts = ["".join(r.choice(r.choice(alphabets)) for _ in range(r.choice([5, 19, 20, 21, 40, 90]))) for _ in range(4)]
+        parts += ["".join(r.choice(alphabets[r.randrange(3)]) for _ in range(r.choice([20, 30, 700]))), "EXAMPLE" + "".join(r.choice(alphabets[2]) for _ in range(30))]
+        r.shuffle(parts)
+        texts.append(r.choice([" ", ". ", "\n"]).join(parts))
+    allowed = [re.compile(x) for x in secret_scan.ALLOWED]
+    for text, found in zip(texts, secret_scan.entropy_spans(texts, allowed), strict=True):
+        expected = []
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text):
+            run = m.group()
+            kind = "entropy_hex" if re.fullmatch("[0-9a-fA-F]+", run) else "entropy_base32" if re.fullmatch("[A-Z0-9]+=*", run) else "entropy_base64"
+            width, bound = secret_scan.CLASSES[kind]
+            open_ = {i for i, c in enumerate(run) if c not in "+/_=-"}
+            for start, part in [(0, run), *((p.start(), p.group()) for p in re.finditer("[^+/_=-]+", run))]:
+                for pattern in allowed:
+                    for p in pattern.finditer(part):
+                        open_ -= set(range(start + p.start(), start + p.end()))
+            hits = []
+            for i in range(len(run) - width + 1):
+                window = run[i : i + width]
+                h = -sum(window.count(c) / width * math.log2(window.count(c) / width) for c in set(window))
+                if h >= bound - 1e-9 and open_ & set(range(i, i + width)):
+                    hits.append(i)
+            for i in hits:
+                if expected and expected[-1][3] == m.start() and m.start() + i - expected[-1][4] <= width:
+                    expected[-1][1:5:3] = [m.start() + i + width, m.start() + i]
+                else:
+                    expected.append([m.start() + i, m.start() + i + width, kind, m.start(), m.start() + i])
+        assert sorted(found) == sorted((a, b, k) for a, b, k, *_ in expected)
+
+
+def test_long_candidates_and_odd_bytes(spark, monkeypatch):
+    r = random.Random(9)
+    run = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(20_000))
+    found = _spans([f"data:{run};", run[:300], run[5000:5257]])
+    assert sum(e - s for s, e, _ in found[0]) > 19_000
+    monkeypatch.setattr(secret_scan, "STRETCH", 1 << 20)
+    assert _spans([f"data:{run};", run[:300], run[5000:5257]]) == found
+    docs = docs_of(spark, ["q7Zx81LmP0vTr4Wn9KsYb2HdEa6UcGf3", "ok", None]).withColumn("text", F.when(F.col("doc_id") == 1, F.unhex(F.lit("ff2070617373776f72643d61626364656667")).cast("string")).otherwise(F.col("text")))
+    assert {x.doc_id: x.text for x in secret_scan.redact(docs).collect()} == {0: "[secret]", 1: "\ufffd [secret]", 2: None}
+    assert {x.doc_id: len(x.base) for x in secret_scan.scan(docs).collect()}[1] == 1
+    assert setsketch.near_duplicates(docs).where("kept").count() == 3
+
+
 def test_secrets_of_few_digits_and_short_ones():
     """Entropy and the allow-list alone decide, from the window's width on."""
     one, none, short = "qZxULmPavTrcWnEKsYbD7HdJeaUc", "qZxULmPavTrcWnEKsYbDkHdJeaUc", "q7Zx81LmP0vTr4Wn9KsY"
@@ -378,6 +446,90 @@ def test_mixing(spark, monkeypatch):
     assert mixed.columns == df.columns and mixed.count() == len(used)
 
 
+def test_word_counts_and_repeated_rows(spark):
+    """Tokens are runs of non-blanks; equal rows are used equally often, ties and odd columns do no harm."""
+    texts = ["\nfoo", "\n\n", "\tx y\n", "", None, " a  b ", "a\r\nb"]
+    assert [x.n for x in docs_of(spark, texts).select(mixing.word_count(F.col("text")).alias("n"), "doc_id").orderBy("doc_id").collect()] == [1, 0, 2, 0, 0, 2, 2]
+    rows = [(i, "w " * 10, "en", "large", 0) for i in range(400)] + [(1000 + i % 20, "v " * 10, "en", "small", 0) for i in range(40)] + [(None, "u", "en", "small", 0)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, `n.chars` long").withColumn("epoch", F.lit(7)).withColumn("_k1", F.lit("x")).withColumn("row", F.lit(1))
+    found = mixing.mix(df, 3.0)
+    assert found.columns == df.columns
+    counts = {}
+    for x in found.collect():
+        assert (x["epoch"], x["_k1"], x["row"]) == (7, "x", 1)
+        counts[x.doc_id] = counts.get(x.doc_id, 0) + 1
+    planned = {}
+    for x in mixing.plan(df, 3.0).collect():
+        planned[x.doc_id] = planned.get(x.doc_id, 0) + 1
+    assert counts == planned and all(counts[i] == 1 for i in range(400))
+    assert 1.9 * 40 <= sum(n for i, n in counts.items() if i is not None and i >= 1000)
+    order = [x.doc_id for x in found.collect()]
+    assert order != sorted(order, key=lambda i: -1 if i is None else i) and order == [x.doc_id for x in mixing.mix(df, 3.0).collect()]
+
+
+def _trigrams(text):
+    """Buckets of the byte trigrams of a text between two blanks."""
+    fold = lambda b: 32 if b < 65 else b + 32 if b < 91 else b
+    x = [fold(b) for b in b"  " + text.encode() + b"  "]
+    return [((x[i] * 961 + x[i + 1] * 31 + x[i + 2]) * 2654435761 % 2**32) >> 18 for i in range(len(x) - 2)]
+
+
+def test_fusion_by_brute_force(spark):
+    """Posteriors from the text model, markup, suffix and smoothed host priors, each computed again from its definition."""
+    docs = [x for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if len(x.text) < 3000][:70]
+    r = random.Random(10)
+    hosts = ["a.one.org", "b.one.org", "two.de", "www.two.de", "three.fr", None, "news"]
+    rows = [(x.doc_id, x.text, r.choice([x.lang, x.lang.upper(), None, "zz"]), r.choice(hosts)) for x in docs] + [(9001, "", "en", "two.de"), (9002, None, None, None), (9003, "12 34", "fr", "three.fr"), (9004, "ok", "fr", "two.de")]
+    captures = {docs[0].doc_id: ("FR", "three.fr"), docs[1].doc_id: (None, "b.one.org"), docs[2].doc_id: ("de", "x.y.two.de"), 77_777: ("en", "q.org")}
+    df = spark.createDataFrame([(i, i, t, d, h) for i, t, d, h in rows], "id long, number long, text string, declared string, host string")
+    caps = spark.createDataFrame([(k, m, h) for k, (m, h) in captures.items()], "number long, markup string, host_ string")
+    found = {x.id: x for x in langid.identify(df, captures=caps).collect()}
+    languages, n = langid.LANGUAGES, len(langid.LANGUAGES)
+    table = np.full((n, langid.BUCKETS), langid.ADD)
+    for _, t, d, _ in rows:
+        if (d or "").lower() in languages and t:
+            np.add.at(table[languages.index(d.lower())], _trigrams(t), 1)
+    model = np.log(table / table.sum(1, keepdims=True))
+    ll, squares = {}, {}
+    for i, t, _, _ in rows:
+        grams = _trigrams(t or "")
+        ll[i] = langid.WEIGHT * model[:, grams].sum(1) if t else np.zeros(n)
+        squares[i] = (model[int(ll[i].argmax()), grams] ** 2).sum()
+    size = {i: len((t or "").encode()) + 2 for i, t, _, _ in rows}
+    own = [i for i, t, d, _ in rows if (d or "").lower() in languages and t]
+    mean = np.mean([ll[i].max() / size[i] / langid.WEIGHT for i in own])
+    sd = max(np.mean([squares[i] / size[i] for i in own]) - mean**2, 0) ** 0.5
+    other = {i: langid.WEIGHT * (size[i] * (mean - langid.FAR * sd) - langid.SURE * sd * size[i] ** 0.5) for i, *_ in rows}
+    seen = {}
+    for i, t, d, h in rows:
+        markup, host = captures.get(i, (None, None))
+        seen[i] = ((markup or d or "").lower(), (host or h or "").lower())
+    counted = [(*seen[i], int(ll[i].argmax())) for i, t, _, _ in rows if t and ll[i].max() >= other[i]]
+    vector = lambda test: np.array([sum(1.0 for d, h, k in counted if k == j and test(d, h)) for j in range(n)])
+    total = vector(lambda d, h: True)
+    level = {"suffix": lambda h: h.split(".")[-1], "site": lambda h: ".".join(h.split(".")[-2:]), "host": lambda h: h}
+    for i, t, _, _ in rows:
+        declared, host = seen[i]
+        score = ll[i].copy()
+        rest = other[i] + math.log(langid.OTHER / (1 - langid.OTHER))
+        if any(h == host for _, h, _ in counted):
+            prior = (total + 1) / (total.sum() + n)
+            for name in ("suffix", "site", "host"):
+                c = vector(lambda d, h, name=name: level[name](h) == level[name](host))
+                prior = (c + langid.STRENGTH * prior) / (c.sum() + langid.STRENGTH)
+            suffix = np.log((vector(lambda d, h: level["suffix"](h) == level["suffix"](host)) + 1) / (total + 100))
+            score += np.log(prior) + suffix
+            rest += math.log(np.exp(suffix).mean())
+        if any(d == declared for d, _, _ in counted):
+            given = np.log((vector(lambda d, h: d == declared) + 1) / (total + 100))
+            score += given
+            rest += math.log(np.exp(given).mean())
+        top = max(score.max(), rest)
+        confidence = math.exp(score.max() - top) / (np.exp(score - top).sum() + math.exp(rest - top))
+        assert found[i].language == languages[int(score.argmax())] and abs(found[i].confidence - confidence) < 1e-6, i
+        assert found[i].accepted == (confidence >= langid.LEAST and any(c.isalpha() for c in t or ""))
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     found = langid.identify(langid.evidence_of_documents(docs)).join(docs, F.col("id") == F.col("doc_id"))
@@ -392,6 +544,18 @@ def test_language_id(spark):
     assert langid.identify(langid.evidence_of_documents(odd.limit(0))).count() == 0
 
 
+def test_stages_keep_any_columns(spark):
+    """Columns whose names clash with working ones or hold dots come through the stages unchanged."""
+    text = "the house and the garden of the man and the woman in the town"
+    docs = docs_of(spark, [text, text + " again", None], [1, 2, 3]).drop("rep", "label", "bucket")
+    docs = docs.withColumn("_rejected", F.lit("mine")).withColumn("a.b", F.lit(5)).withColumn("place", F.lit("p")).withColumn("Epoch", F.lit(3))
+    for stage in (langid.keep_identified, setsketch.keep_one, secret_scan.redact, lambda d: mixing.mix(d, 2.0)):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        for x in out.collect():
+            assert (x["_rejected"], x["a.b"], x["place"], x["Epoch"]) == ("mine", 5, "p", 3)
+
+
 FOREIGN = {
     "it": "Quando arrivò la sera tutti i ragazzi tornarono a casa con le loro biciclette e la nonna preparò una cena molto buona per la famiglia. Il gatto dormiva sul tetto mentre la pioggia cadeva piano sulla città vecchia e sulle sue strade strette, e nessuno parlava più del lungo viaggio verso il mare.",
     "pl": "Wieczorem wszystkie dzieci wróciły do domu na swoich rowerach, a babcia przygotowała bardzo dobrą kolację dla całej rodziny. Kot spał na dachu, podczas gdy deszcz powoli padał na stare miasto i jego wąskie ulice, i nikt już nie mówił o długiej podróży nad morze.",
@@ -482,6 +646,21 @@ def test_pipeline(spark):
     assert {x.doc_id for x in found} == {ids[k] for k in set(roots)}
     clean = secret_scan.redact(docs)
     after = {x.doc_id: x.text for x in clean.collect()}
+    kept = {ids[k] for k in set(roots)}
+    tokens, of = {i: len(re.findall(r"[^ \t\n\x0b\f\r]+", after[i])) for i in kept}, {x.doc_id: x.source for x in docs.collect()}
+    sizes = {q: sum(tokens[i] for i in kept if of[i] == q) for q in {of[i] for i in kept}}
+    top, low = max(sizes.values()), min(v for v in sizes.values() if v)
+    exponent = max(0.0, 1 - math.log(corpus_pipeline.MAX_EPOCHS) / math.log(top / low)) if top > low else 1.0
+    uses = {}
+    for x in found:
+        uses[x.doc_id] = uses.get(x.doc_id, 0) + 1
+    for q, tokens_of in sizes.items():
+        quota = tokens_of**exponent * top ** (1 - exponent)
+        whole = math.floor(quota / tokens_of + 1e-9) if tokens_of else 1
+        assert {uses[i] for i in kept if of[i] == q} <= {whole, whole + 1}
+        taken = sum(uses[i] * tokens[i] for i in kept if of[i] == q)
+        assert quota - 1 <= taken <= quota + max(tokens[i] for i in kept if of[i] == q) or taken == whole * tokens_of
+    assert max(uses.values()) > 1
     for x in found:
         expected = model.encode(after[x.doc_id])
         assert x.ids == expected and x.decoded_sha256 == hashlib.sha256(model.decode(expected).encode()).hexdigest()
