@@ -23,3 +23,9 @@ def table_cells(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n"), lambda x: x.startswith("|") & ~x.rlike(r"^\|[\s|:-]+\|?$"))
     rows = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
     return F.transform(rows, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\||\|\s*$", ""), r"\|"), lambda c: F.trim(c)))
+
+
+def listed(text: Column, wrapper: str, item: str) -> Column:
+    """The list of ``item``s in a reply, whether it stands alone or under the key ``wrapper``; null without either."""
+    inner = body(text)
+    return F.coalesce(F.from_json(inner, f"struct<{wrapper}: array<{item}>>")[wrapper], F.from_json(inner, f"array<{item}>"))

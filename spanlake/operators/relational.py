@@ -70,3 +70,30 @@ def child_counts(parent: DataFrame, key: str, children: dict[str, DataFrame]) ->
     for name, child in children.items():
         parent = parent.join(child.groupBy(key).agg(F.count("*").alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
     return parent
+
+
+def sync_collections(source: DataFrame, deleted: DataFrame, stored: DataFrame, clips: DataFrame, bridge: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Collections (``project``, ``title``, ``what``) and links (``project``, ``title``, ``clip``, ``order_index``) after a sync.
+
+    ``source`` has ``project``, ``id``, ``title`` and ``clip_ids``; those whose ``id`` is in ``deleted`` are passed over. A
+    collection is one of a project and title: it is updated if ``stored`` has it, else created. Clip ids are translated by
+    ``clips`` (``original``, ``clip``), unknown ones left out; links that ``bridge`` has stay as they are.
+    """
+    by = ["project", "title"]
+    live = source.join(deleted.select("id"), "id", "left_anti")
+    first = live.groupBy(*by).agg(F.min_by("clip_ids", "id").alias("clip_ids"))
+    both = stored.select(*by, F.lit(True).alias("_old")).join(first.withColumn("_new", F.lit(True)), by, "full")
+    what = F.when(F.col("_new").isNull(), "kept").when(F.col("_old"), "updated").otherwise("created")
+    wanted = first.select(*by, F.posexplode("clip_ids").alias("_at", "original")).join(clips.select("original", "clip"), "original")
+    wanted = wanted.withColumn("order_index", F.row_number().over(Window.partitionBy(*by).orderBy("_at")) - 1)
+    fresh = wanted.groupBy(*by, "clip").agg(F.min("order_index").alias("order_index")).join(bridge, [*by, "clip"], "left_anti")
+    return both.select(*by, what.alias("what")), bridge.select(*by, "clip", "order_index").unionByName(fresh)
+
+
+def delete_projects(projects: DataFrame, asked: DataFrame, tasks: DataFrame, children: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What is left of ``project`` (``projects``: ``project``, ``status``), ``task`` (``tasks``: ``project``, ``state``) and each of
+    ``children`` when the ``asked`` projects go. One with a processing task is refused unless it is completed or failed."""
+    busy = tasks.where("state = 'processing'").select("project").distinct()
+    open_ = projects.where("status not in ('completed', 'failed')").select("project")
+    gone = asked.select("project").distinct().join(busy.join(open_, "project", "left_semi"), "project", "left_anti")
+    return {name: df.join(gone, "project", "left_anti") for name, df in {"project": projects, "task": tasks, **children}.items()}

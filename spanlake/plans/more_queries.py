@@ -13,7 +13,7 @@ from spanlake.plans.interval_queries import BIN, SEGMENTS, others, segments, sil
 from spanlake.plans.interval_queries import CAPTIONS as EVENTS
 from spanlake.plans.relational_queries import table
 from spanlake.plans.text_queries import CAPTIONS, CLUSTERS, KEYWORDS, STOP, STOP_SQL, TITLE, WORDS, _clusters, captions
-from spanlake.sources import srt
+from spanlake.sources import files, srt, stages
 from spanlake.sources.captions import from_events
 from spanlake.storage import checkpoints, shared_folder
 
@@ -70,16 +70,23 @@ def json_steps(spark, sf_dir):
 
 @register("A10_vad_silences", """
 WITH s AS (SELECT user_id AS media_id, event_id, (epoch_us(ts) // 1000) AS start_ms, (epoch_us(ts) // 1000) + CAST(floor(value * 1000) AS BIGINT) AS end_ms FROM events WHERE event_type = 'click'),
-g AS (SELECT media_id, coalesce(max(end_ms) OVER (PARTITION BY media_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_ms, start_ms AS end_ms FROM s)
+g AS (SELECT media_id, coalesce(max(end_ms) OVER (PARTITION BY media_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_ms, start_ms AS end_ms FROM s
+  UNION ALL SELECT media_id, max(end_ms), max(end_ms) + 90000 FROM s WHERE media_id % 3 > 0 GROUP BY media_id)
 SELECT * FROM g WHERE end_ms - start_ms > 500""")
 def vad_silences(spark, sf_dir):
-    """Speech segments from JSON with either name of a bound; the silences between them."""
+    """Speech segments of a medium from JSON under either name of the list and of a bound, at the first of three places
+    that exists; the silences between them, and after the last where the total is known."""
     out = folder(spark)
     e = from_events(spark, sf_dir).where("event_type = 'click'")
-    e.select("media_id", F.when(F.col("event_id") % 2 == 0, F.col("start_ms")).alias("start"), F.when(F.col("event_id") % 2 == 1, F.col("start_ms")).alias("start_sec"), F.col("end_ms").alias("end")).write.json(out)
-    s = spark.read.schema("media_id long, start long, start_sec long, end long").json(out)
-    s = s.select("media_id", F.coalesce("start", "start_sec").alias("start_ms"), F.col("end").alias("end_ms"))
-    return intervals.complement(s.withColumn("total", F.lit(0).cast("long")), ["media_id"], "total", least=500)
+    part = F.struct(F.when(F.col("event_id") % 2 == 0, F.col("start_ms")).alias("start"), F.when(F.col("event_id") % 2 == 1, F.col("start_ms")).alias("start_sec"), F.col("end_ms").alias("end"))
+    g = e.groupBy("media_id").agg(F.collect_list(part).alias("s"), F.when(F.col("media_id") % 3 > 0, F.max("end_ms") + 90_000).alias("total"))  # what one file holds
+    odd = F.col("media_id") % 2 == 1
+    g.select("media_id", "total", F.when(odd, F.col("s")).alias("speech_segments"), F.when(~odd, F.col("s")).alias("segments")).write.json(f"{out}/second")
+    kind = "array<struct<start: bigint, start_sec: bigint, end: bigint>>"
+    found = files.first_existing(spark, [f"{out}/{k}" for k in ("first", "second", "third")], "json", f"media_id long, total long, speech_segments {kind}, segments {kind}")
+    s = found.select("media_id", F.coalesce("total", F.lit(0)).alias("total"), F.explode(F.coalesce("speech_segments", "segments")).alias("s"))
+    s = s.select("media_id", "total", F.coalesce("s.start", "s.start_sec").alias("start_ms"), F.col("s.end").alias("end_ms"))
+    return intervals.complement(s, ["media_id"], "total", least=500)
 
 
 @register("A14_silence_log", SEGMENTS + " SELECT media_id, r_start AS start_ms, r_end AS end_ms FROM silences")
@@ -107,11 +114,25 @@ def render_srt(spark, sf_dir):
     return _srt(spark, sf_dir)
 
 
-@register("B4_stage_checkpoint", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+@register("B4_stage_checkpoint", "SELECT event_type, count(*) AS n, 'success' AS status, 1 AS failures, 2 AS built FROM events GROUP BY event_type")
 def stage_checkpoint(spark, sf_dir):
-    out = folder(spark)
-    table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")).write.parquet(out)
-    return spark.read.parquet(out)
+    """A stage that fails once, succeeds when tried again and is only read the third time."""
+    out, built = folder(spark), []
+
+    def build():
+        built.append(1)
+        if len(built) == 1:
+            raise ValueError("not yet")
+        return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+
+    for _ in range(3):
+        try:
+            found = stages.run(spark, out, build)
+        except ValueError:
+            if not stages.should_retry(spark, out):
+                raise
+    status, failures = stages.state(spark, out)
+    return found.select("event_type", "n", F.lit(status).alias("status"), F.lit(failures).alias("failures"), F.lit(len(built)).alias("built"))
 
 
 @register("F12_merge_neighbour_pairs", EVENTS + f""",

@@ -362,11 +362,21 @@ def insert_if_absent(spark, sf_dir):
     return t.unionByName(s.join(t, "k", "left_anti"))
 
 
-@register("B9_cascade_delete", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0))")
+@register("B9_cascade_delete", """
+WITH p AS (SELECT c_custkey AS project, CASE WHEN c_nationkey < 8 THEN 'completed' ELSE 'active' END AS status FROM customer), asked AS (SELECT c_custkey AS project FROM customer WHERE c_acctbal < 2000),
+t AS (SELECT user_id AS project, event_id AS id, CASE WHEN event_type = 'error' AND value > 300 THEN 'processing' ELSE 'done' END AS state FROM events),
+gone AS (SELECT project FROM asked WHERE NOT (project IN (SELECT project FROM t WHERE state = 'processing') AND project IN (SELECT project FROM p WHERE status NOT IN ('completed', 'failed'))))
+SELECT 'project' AS name, project AS id FROM p WHERE project NOT IN (SELECT project FROM gone) UNION ALL SELECT 'task', id FROM t WHERE project NOT IN (SELECT project FROM gone)
+UNION ALL SELECT 'clip', o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT project FROM gone) UNION ALL SELECT 'collection', s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT project FROM gone)""")
 def cascade_delete(spark, sf_dir):
-    gone = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
-    keys = table(spark, sf_dir, "orders").join(gone, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(keys, "l_orderkey", "left_anti")
+    c = table(spark, sf_dir, "customer")
+    projects = c.select(F.col("c_custkey").alias("project"), F.col("c_custkey").alias("id"), F.when(F.col("c_nationkey") < 8, "completed").otherwise("active").alias("status"))
+    busy = (F.col("event_type") == "error") & (F.col("value") > 300)
+    tasks = table(spark, sf_dir, "events").select(F.col("user_id").alias("project"), F.col("event_id").alias("id"), F.when(busy, "processing").otherwise("done").alias("state"))
+    children = {"clip": table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("id")), "collection": table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("project"), F.col("s_suppkey").alias("id"))}
+    left = rel.delete_projects(projects, c.where("c_acctbal < 2000").select(F.col("c_custkey").alias("project")), tasks, children)
+    parts = [df.select(F.lit(name).alias("name"), "id") for name, df in left.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
 
 
 @register("B12_update", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'O' ELSE o_orderstatus END AS o_orderstatus FROM orders")

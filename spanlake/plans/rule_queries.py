@@ -37,12 +37,23 @@ def corrected_text(spark, sf_dir):
 
 
 @register("B6_sync_collections", """
-WITH target AS (SELECT c_nationkey AS n, c_custkey AS k FROM customer WHERE c_custkey % 2 = 0), source AS (SELECT c_nationkey AS n, c_custkey AS k FROM customer WHERE c_custkey % 3 = 0)
-SELECT n, k, 'deleted' AS what FROM target WHERE k NOT IN (SELECT k FROM source) UNION ALL SELECT n, k, 'kept' FROM target WHERE k IN (SELECT k FROM source) UNION ALL SELECT n, k, 'added' FROM source WHERE k NOT IN (SELECT k FROM target)""")
+WITH src AS (SELECT c_nationkey AS project, c_custkey AS id, c_mktsegment || c_custkey % 3 AS title, [c_custkey, c_custkey + 7, c_custkey + 1000000, c_custkey + 3] AS ids FROM customer WHERE c_custkey % 4 > 0),
+f AS (SELECT project, title, arg_min(ids, id) AS ids FROM src WHERE id NOT IN (SELECT s_suppkey FROM supplier) GROUP BY ALL),
+st AS (SELECT DISTINCT c_nationkey AS project, c_mktsegment || c_custkey % 3 AS title FROM customer WHERE c_custkey % 5 = 0), cl AS (SELECT c_custkey AS clip, c_custkey AS original FROM customer),
+br AS (SELECT project, title, min(id) AS clip, 100 AS order_index FROM src GROUP BY ALL),
+w AS (SELECT project, title, clip, row_number() OVER (PARTITION BY project, title ORDER BY place) - 1 AS order_index FROM (SELECT project, title, unnest(ids) AS original, generate_subscripts(ids, 1) AS place FROM f) JOIN cl USING (original)),
+l AS (SELECT project, title, clip, order_index FROM br UNION ALL SELECT project, title, clip, order_index FROM w WHERE NOT EXISTS (SELECT 1 FROM br WHERE br.project = w.project AND br.title = w.title AND br.clip = w.clip))
+SELECT project, title, CASE WHEN f.ids IS NULL THEN 'kept' WHEN st.project IS NULL THEN 'created' ELSE 'updated' END AS what, NULL::BIGINT AS clip, NULL::INT AS order_index FROM st FULL JOIN f USING (project, title)
+UNION ALL SELECT project, title, 'link', clip, order_index FROM l""")
 def sync_collections(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n"), F.col("c_custkey").alias("k"))
-    both = c.where("k % 2 = 0").withColumn("t", F.lit(True)).join(c.where("k % 3 = 0").withColumn("s", F.lit(True)), ["n", "k"], "full")
-    return both.select("n", "k", F.when(F.col("s").isNull(), "deleted").when(F.col("t").isNull(), "added").otherwise("kept").alias("what"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("project"), F.col("c_custkey").alias("id"), F.concat("c_mktsegment", (F.col("c_custkey") % 3).cast("string")).alias("title"))
+    source = c.where("id % 4 > 0").withColumn("clip_ids", F.array(*[F.col("id") + k for k in (0, 7, 1_000_000, 3)]))
+    stored = c.where("id % 5 = 0").select("project", "title").distinct()
+    clips = c.select(F.col("id").alias("original"), F.col("id").alias("clip"))
+    bridge = source.groupBy("project", "title").agg(F.min("id").alias("clip")).withColumn("order_index", F.lit(100))
+    made, links = rel.sync_collections(source, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), stored, clips, bridge)
+    none = [F.lit(None).cast("long").alias("clip"), F.lit(None).cast("int").alias("order_index")]
+    return made.select("project", "title", "what", *none).unionByName(links.select("project", "title", F.lit("link").alias("what"), "clip", "order_index"))
 
 
 @register("B8_row_changes", """
@@ -71,19 +82,22 @@ def degradation_chain(spark, sf_dir):
 
 
 @register("F10_merge_adjacent", SEGMENTS + """,
-g AS (SELECT media_id, segment_id, l_start, l_end, lag(l_end) OVER w AS pe, lag(segment_id) OVER w AS prev FROM segments WINDOW w AS (PARTITION BY media_id ORDER BY l_start, segment_id)),
-i AS (SELECT g.segment_id, count(*) AS n, bool_and(r_end - r_start <= 60000) AS all_short FROM g JOIN others o ON o.media_id = g.media_id AND o.r_start >= g.pe AND o.r_end <= g.l_start GROUP BY g.segment_id),
-f AS (SELECT g.*, CASE WHEN pe IS NULL THEN 1 WHEN l_start - pe <= 0 THEN 0 WHEN n IS NULL AND l_start - pe <= 86400000 THEN 0 WHEN n IS NOT NULL AND l_start - pe <= 432000000 AND all_short THEN 0 ELSE 1 END AS fresh FROM g LEFT JOIN i USING (segment_id)),
+g AS (SELECT media_id, segment_id, l_start, l_end, lag(l_end) OVER w AS pe FROM segments WINDOW w AS (PARTITION BY media_id ORDER BY l_start, segment_id)),
+i AS (SELECT g.segment_id, bool_or(o.event_type = 'click') AS hit, bool_and(o.event_type = 'signup' OR r_end - r_start <= 60000) AS all_on FROM g JOIN others o ON o.media_id = g.media_id AND o.r_start >= g.pe AND o.r_end <= g.l_start GROUP BY g.segment_id),
+f AS (SELECT g.*, CASE WHEN l_start - pe <= 0 OR (hit IS NULL AND l_start - pe <= 86400000) OR (hit IS NOT NULL AND l_start - pe > 86400000 AND l_start - pe <= 432000000 AND hit) OR (l_start - pe <= 86400000 AND all_on) THEN 0 ELSE 1 END AS fresh FROM g LEFT JOIN i USING (segment_id)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY media_id ORDER BY l_start, segment_id) AS grp FROM f)
 SELECT media_id, min(l_start) AS start_ms, max(l_end) AS end_ms, count(*) AS n FROM s GROUP BY media_id, grp""")
 def merge_adjacent(spark, sf_dir):
+    """Neighbours become one if they touch; without captions between them if they are near; with captions, if these hold a
+    keyword (click here) and they aren't far, or if they are near and all captions continue (signup) or are short."""
     w = Window.partitionBy("media_id").orderBy("l_start", "segment_id")
     g = segments(spark, sf_dir).withColumn("pe", F.lag("l_end").over(w))
     gaps = g.where("pe <= l_start").select("media_id", "segment_id", F.col("l_start").alias("to"), F.col("pe").alias("l_start")).withColumnRenamed("to", "l_end")
-    inside = joins.overlap_join(gaps, others(spark, sf_dir), ["media_id"], 144 * BIN, how="within").groupBy("segment_id").agg(F.count("*").alias("n"), F.bool_and(F.col("r_end") - F.col("r_start") <= 60_000).alias("all_short"))
-    gap = F.col("l_start") - F.col("pe")
-    joined = F.coalesce((gap <= 0) | (F.col("n").isNull() & (gap <= 86_400_000)) | (F.col("n").isNotNull() & (gap <= 432_000_000) & F.col("all_short")), F.lit(False))
-    s = g.join(inside, "segment_id", "left").withColumn("fresh", F.when(joined, 0).otherwise(1)).withColumn("grp", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    on = (F.col("event_type") == "signup") | (F.col("r_end") - F.col("r_start") <= 60_000)
+    inside = joins.overlap_join(gaps, others(spark, sf_dir), ["media_id"], 144 * BIN, how="within").groupBy("segment_id").agg(F.bool_or(F.col("event_type") == "click").alias("hit"), F.bool_and(on).alias("all_on"))
+    gap, near, far = F.col("l_start") - F.col("pe"), 86_400_000, 432_000_000
+    joined = (gap <= 0) | (F.col("hit").isNull() & (gap <= near)) | ((gap > near) & (gap <= far) & F.col("hit")) | ((gap <= near) & F.col("all_on"))
+    s = g.join(inside, "segment_id", "left").withColumn("fresh", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).withColumn("grp", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return s.groupBy("media_id", "grp").agg(F.min("l_start").alias("start_ms"), F.max("l_end").alias("end_ms"), F.count("*").alias("n")).drop("grp")
 
 
@@ -386,11 +400,15 @@ def ordered_union(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.filter(every, lambda w: F.length(w) >= 2).alias("words"))
 
 
-@register("U9_missing_folders", "SELECT user_id, list_sort(list_filter(['click', 'error', 'view'], lambda x: NOT list_contains(have, x))) AS missing FROM (SELECT user_id, list(DISTINCT event_type) AS have FROM events WHERE value > 100 GROUP BY user_id) WHERE len(list_filter(['click', 'error', 'view'], lambda x: NOT list_contains(have, x))) > 0")
+@register("U9_missing_folders", """
+WITH g AS (SELECT user_id, list(DISTINCT event_type) AS have, list_sort(list(DISTINCT event_type) FILTER (n > 1)) AS twice FROM (SELECT user_id, event_type, count(*) AS n FROM events WHERE value > 100 GROUP BY ALL) GROUP BY user_id)
+SELECT user_id, list_sort(list_filter(['click', 'error', 'view'], lambda x: NOT list_contains(have, x))) AS missing, coalesce(twice, []) AS twice FROM g""")
 def missing_folders(spark, sf_dir):
+    """Required entries that a project hasn't, and those that it has more than once."""
     need = F.array(F.lit("click"), F.lit("error"), F.lit("view"))
-    g = table(spark, sf_dir, "events").where("value > 100").groupBy("user_id").agg(F.collect_set("event_type").alias("have"))
-    return g.select("user_id", F.array_sort(F.array_except(need, "have")).alias("missing")).where(F.size("missing") > 0)
+    n = table(spark, sf_dir, "events").where("value > 100").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    g = n.groupBy("user_id").agg(F.collect_set("event_type").alias("have"), F.collect_set(F.when(F.col("n") > 1, F.col("event_type"))).alias("twice"))
+    return g.select("user_id", F.array_sort(F.array_except(need, "have")).alias("missing"), F.array_sort("twice").alias("twice"))
 
 
 @register("X1_custom_score", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value * (event_id % 5) DESC, event_id) AS k FROM events) WHERE k <= 3")
@@ -451,13 +469,18 @@ def broken_json(spark, sf_dir):
     return g.select("o_orderkey", F.transform(parsed, lambda x: x["p"]).alias("parts"))
 
 
-@register("Y4_clips_from_text", CAPTIONS + " SELECT conv_id, turn, start_ms, round(0.7 + 0.05 * (turn % 6), 2) AS score FROM captions")
+@register("Y4_clips_from_text", CAPTIONS + " SELECT conv_id, turn, start_ms, CASE WHEN turn % 3 < 2 THEN 0.5 ELSE round(0.7 + 0.05 * (turn % 6), 2) END AS score FROM captions")
 def clips_from_text(spark, sf_dir):
+    """A clip from a reply that is JSON, fenced JSON or text; clips from text have made-up scores."""
     from spanlake.functions import times
 
-    line = F.concat_ws(" ", F.lit("clip from"), times.format_ms(F.col("start_ms")), F.lit("to"), times.format_ms(F.col("end_ms")))
-    first = times.parse_ms(F.get(F.regexp_extract_all(line, F.lit(r"(\d{2}:\d{2}:\d{2},\d{3})"), 1), F.lit(0)))
-    return captions(spark, sf_dir).select("conv_id", "turn", first.alias("start_ms"), F.round(0.7 + 0.05 * (F.col("turn") % 6), 2).alias("score"))
+    start, end, kind = times.format_ms(F.col("start_ms")), times.format_ms(F.col("end_ms")), F.col("turn") % 3
+    rows = F.to_json(F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(0.5).alias("score"))))
+    reply = F.when(kind == 0, rows).when(kind == 1, F.concat(F.lit("```json\n"), rows, F.lit("\n```"))).otherwise(F.concat_ws(" ", F.lit("clip from"), start, F.lit("to"), end))
+    parsed = F.get(js.listed(reply, "clips", "struct<start:string,end:string,score:double>"), F.lit(0))
+    first = F.coalesce(parsed["start"], F.get(F.regexp_extract_all(reply, F.lit(r"(\d{2}:\d{2}:\d{2},\d{3})"), 1), F.lit(0)))
+    made_up = F.round(0.7 + 0.05 * (F.col("turn") % 6), 2)
+    return captions(spark, sf_dir).select("conv_id", "turn", times.parse_ms(first).alias("start_ms"), F.coalesce(parsed["score"], made_up).alias("score"))
 
 
 @register("Y5_markdown_table", "SELECT o_custkey, o_orderkey, epoch_ms(o_orderdate) % 86400000 // 1000 * 1000 AS start_ms, epoch_ms(o_orderdate) % 86400000 // 1000 * 1000 + 90000 AS end_ms FROM orders")
@@ -475,9 +498,16 @@ def markdown_table(spark, sf_dir):
     return cells.select("o_custkey", F.get("c", F.lit(0)).cast("long").alias("o_orderkey"), at(0).alias("start_ms"), at(1).alias("end_ms"))
 
 
-@register("A11_first_existing", "SELECT r_regionkey, r_name FROM region")
+@register("A11_first_existing", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem")
 def first_existing(spark, sf_dir):
-    return files.first_existing(spark, [f"{sf_dir}/regions.parquet", f"{sf_dir}/region.parquet"])
+    """Records as single objects or in a wrapper (an order's lines), at the second of three places."""
+    out, columns = folder(spark), ["l_orderkey", "l_linenumber", "l_partkey"]
+    lines = table(spark, sf_dir, "lineitem").select(*columns)
+    wrapped = lines.where("l_orderkey % 2 = 0").groupBy("l_orderkey").agg(F.collect_list(F.struct(*columns)).alias("collections")).select("collections")
+    lines.where("l_orderkey % 2 = 1").unionByName(wrapped, allowMissingColumns=True).write.json(f"{out}/second")
+    kind = "l_orderkey: bigint, l_linenumber: int, l_partkey: bigint"
+    found = files.first_existing(spark, [f"{out}/{k}" for k in ("first", "second", "third")], "json", f"collections array<struct<{kind}>>, {kind.replace(':', '')}")
+    return found.select(F.explode(F.coalesce("collections", F.array(F.struct(*columns)))).alias("r")).select("r.*")
 
 
 @register("A18_list_files", "SELECT DISTINCT event_type AS folder, true AS filled FROM events")
@@ -553,15 +583,15 @@ def internal_gaps(spark, sf_dir):
 
 
 @register("F14_cross_clip_boundary", """
-WITH c AS (SELECT conv_id, turn, text, (turn // 3) AS clip, regexp_extract(text, '[A-Za-z]{2,}') AS word FROM conversations),
-k AS (SELECT conv_id, clip, lead(w) OVER (PARTITION BY conv_id ORDER BY clip) AS next_word FROM (SELECT conv_id, clip, arg_min(word, turn) AS w FROM c GROUP BY ALL))
-SELECT conv_id, clip, max(turn) AS cut_at FROM c JOIN k USING (conv_id, clip) WHERE next_word <> '' AND contains(text, next_word) GROUP BY conv_id, clip""")
+WITH c AS (SELECT conv_id, turn, text, (turn // 12) AS clip, row_number() OVER (PARTITION BY conv_id, turn // 12 ORDER BY turn DESC) AS k FROM conversations),
+t AS (SELECT conv_id, clip - 1 AS clip, arg_min(regexp_extract_all(text, '[A-Za-z]{2,}'), turn)[1:8] AS words FROM c WHERE clip > 0 GROUP BY conv_id, clip)
+SELECT conv_id, clip, max(turn) AS cut_before FROM c JOIN t USING (conv_id, clip) WHERE k <= 10 AND len(list_filter(words, lambda w: contains(text, w))) > 0 GROUP BY conv_id, clip""")
 def cross_clip_boundary(spark, sf_dir):
-    """Of three turns each, the last turn of a clip that holds the first word of the next clip."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.floor(F.col("turn") / 3).alias("clip"), F.regexp_extract("text", r"[A-Za-z]{2,}", 0).alias("word"))
-    k = c.groupBy("conv_id", "clip").agg(F.min_by("word", "turn").alias("w"))
-    k = k.select("conv_id", "clip", F.lead("w").over(Window.partitionBy("conv_id").orderBy("clip")).alias("next_word")).where("next_word <> ''")
-    return c.join(k, ["conv_id", "clip"]).where(F.contains("text", F.col("next_word"))).groupBy("conv_id", "clip").agg(F.max("turn").alias("cut_at"))
+    """Of the last ten captions of a clip (twelve turns here), from the end, the first that holds a keyword of the next."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.floor(F.col("turn") / 12).alias("clip"))
+    title = c.where("clip > 0").groupBy("conv_id", "clip").agg(F.slice(F.min_by(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), 0), "turn"), 1, 8).alias("words"))
+    last = rel.top(c, ["conv_id", "clip"], [F.desc("turn")], 10).join(title.withColumn("clip", F.col("clip") - 1), ["conv_id", "clip"])
+    return last.where(F.exists("words", lambda w: F.contains(F.col("text"), w))).groupBy("conv_id", "clip").agg(F.max("turn").alias("cut_before"))
 
 
 @register("F15_backfill", SEGMENTS + """,

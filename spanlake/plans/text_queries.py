@@ -92,6 +92,18 @@ def groups_of_three(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", F.floor((k - 1) / 3).alias("grp")).groupBy("conv_id", "grp").agg(F.count("*").alias("n"))
 
 
+@register("F31_best_in_order", """
+WITH b AS (SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events) WHERE k <= 20)
+SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 3 AS grp FROM b""")
+def best_in_order(spark, sf_dir):
+    """The other variant: the 20 of the highest score, in order of time, by threes."""
+    from spanlake.operators import relational as rel
+
+    best = rel.top(table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value"), ["user_id"], [F.desc("value"), F.col("event_id")], 20)
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return best.select("user_id", "event_id", F.floor((k - 1) / 3).alias("grp"))
+
+
 @register("F36_align_sentences", """
 WITH s AS (SELECT doc_id, length(text) AS total, string_split_regex(text, '[.!?;]') AS l FROM documents), p AS (SELECT doc_id, total, unnest(l) AS sentence, generate_subscripts(l, 1) AS i FROM s),
 u AS (SELECT doc_id, i, total, length(sentence) AS n, sum(length(sentence) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(sentence) - 1 AS before FROM p),
@@ -312,16 +324,28 @@ def components(spark, sf_dir):
     return _clusters(spark, sf_dir)[2]
 
 
-@register("Y1_safe_parse", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@register("Y1_safe_parse", "SELECT event_id, CASE WHEN event_id % 5 = 4 THEN -1 ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events")
 def safe_parse(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
-
-
-@register("Y2_fenced_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def fenced_json(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Answer:\n```json\n["), "props", F.lit(",]\n```")).alias("reply"))
-    body = F.regexp_replace(F.regexp_extract("reply", r"(?s)```(?:json)?\s*(.*?)```", 1), r",\s*([\]}])", "$1")
-    return e.select("event_id", F.get(F.from_json(body, "array<struct<k:bigint>>"), F.lit(0))["k"].alias("k"))
+    """Replies that are JSON, hold it between other words, as an object or in a list, or hold none."""
+    from spanlake.functions import json as js
+
+    p, kind = F.col("props"), F.col("event_id") % 5
+    reply = F.when(kind == 0, p).when(kind == 1, F.concat(F.lit("It is "), p, F.lit(" as asked."))).when(kind == 2, F.concat(F.lit("[ "), p, F.lit(",] is it"))).when(kind == 3, F.concat(F.lit(" \n"), p)).otherwise("no {json here")
+    body = js.body(reply)
+    one = F.coalesce(F.from_json(body, "k bigint")["k"], F.get(F.from_json(body, "array<struct<k:bigint>>"), F.lit(0))["k"])
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(one, F.lit(-1)).alias("k"))
+
+
+@register("Y2_step_replies", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def step_replies(spark, sf_dir):
+    """Replies as a raw list, fenced, or within words; the list itself, or under a wrapper key; with trailing commas."""
+    from spanlake.functions import json as js
+
+    kind = F.col("event_id") % 6
+    rows = F.concat(F.lit("["), "props", F.lit(",]"))
+    rows = F.when(kind % 2 == 0, rows).otherwise(F.concat(F.lit('{"topics": '), rows, F.lit("}")))
+    reply = F.when(kind < 2, rows).when(kind < 4, F.concat(F.lit("Answer:\n```json\n"), rows, F.lit("\n```"))).otherwise(F.concat(F.lit("Here you are: "), rows, F.lit(" - done")))
+    return table(spark, sf_dir, "events").select("event_id", F.get(js.listed(reply, "topics", "struct<k:bigint>"), F.lit(0))["k"].alias("k"))
 
 
 @register("Y7_nested_path", "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def first_existing(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """The Parquet table at the first of ``paths`` that exists; raises if none does."""
+def first_existing(spark: SparkSession, paths: Sequence[str], kind: str = "parquet", schema: str | None = None) -> DataFrame:
+    """The table at the first of ``paths`` that exists; raises if none does."""
     for path in paths:
         try:
-            return spark.read.parquet(path)
+            reader = spark.read.format(kind) if schema is None else spark.read.format(kind).schema(schema)
+            return reader.load(path)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
