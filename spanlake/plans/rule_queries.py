@@ -43,7 +43,7 @@ st AS (SELECT DISTINCT c_nationkey AS project, c_mktsegment || c_custkey % 3 AS
 br AS (SELECT project, title, min(id) AS clip, 100 AS order_index FROM src GROUP BY ALL),
 w AS (SELECT project, title, clip, row_number() OVER (PARTITION BY project, title ORDER BY place) - 1 AS order_index FROM (SELECT project, title, unnest(ids) AS original, generate_subscripts(ids, 1) AS place FROM f) JOIN cl USING (original)),
 l AS (SELECT project, title, clip, order_index FROM br UNION ALL SELECT project, title, clip, order_index FROM w WHERE NOT EXISTS (SELECT 1 FROM br WHERE br.project = w.project AND br.title = w.title AND br.clip = w.clip))
-SELECT project, title, CASE WHEN f.ids IS NULL THEN 'kept' WHEN st.project IS NULL THEN 'created' ELSE 'updated' END AS what, NULL::BIGINT AS clip, NULL::INT AS order_index FROM st FULL JOIN f USING (project, title)
+SELECT project, title, CASE WHEN f.ids IS NULL THEN 'kept' WHEN st.project IS NULL THEN 'created' ELSE 'updated' END AS what, -1 AS clip, -1 AS order_index FROM st FULL JOIN f USING (project, title)
 UNION ALL SELECT project, title, 'link', clip, order_index FROM l""")
 def sync_collections(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("project"), F.col("c_custkey").alias("id"), F.concat("c_mktsegment", (F.col("c_custkey") % 3).cast("string")).alias("title"))
@@ -52,7 +52,7 @@ def sync_collections(spark, sf_dir):
     clips = c.select(F.col("id").alias("original"), F.col("id").alias("clip"))
     bridge = source.groupBy("project", "title").agg(F.min("id").alias("clip")).withColumn("order_index", F.lit(100))
     made, links = rel.sync_collections(source, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), stored, clips, bridge)
-    none = [F.lit(None).cast("long").alias("clip"), F.lit(None).cast("int").alias("order_index")]
+    none = [F.lit(-1).cast("long").alias("clip"), F.lit(-1).alias("order_index")]
     return made.select("project", "title", "what", *none).unionByName(links.select("project", "title", F.lit("link").alias("what"), "clip", "order_index"))
 
 
@@ -583,12 +583,12 @@ def internal_gaps(spark, sf_dir):
 
 
 @register("F14_cross_clip_boundary", """
-WITH c AS (SELECT conv_id, turn, text, (turn // 12) AS clip, row_number() OVER (PARTITION BY conv_id, turn // 12 ORDER BY turn DESC) AS k FROM conversations),
+WITH c AS (SELECT conv_id, turn, text, (turn // 3) AS clip, row_number() OVER (PARTITION BY conv_id, turn // 3 ORDER BY turn DESC) AS k FROM conversations),
 t AS (SELECT conv_id, clip - 1 AS clip, arg_min(regexp_extract_all(text, '[A-Za-z]{2,}'), turn)[1:8] AS words FROM c WHERE clip > 0 GROUP BY conv_id, clip)
 SELECT conv_id, clip, max(turn) AS cut_before FROM c JOIN t USING (conv_id, clip) WHERE k <= 10 AND len(list_filter(words, lambda w: contains(text, w))) > 0 GROUP BY conv_id, clip""")
 def cross_clip_boundary(spark, sf_dir):
-    """Of the last ten captions of a clip (twelve turns here), from the end, the first that holds a keyword of the next."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.floor(F.col("turn") / 12).alias("clip"))
+    """Of the last ten captions of a clip (three turns here), from the end, the first that holds a keyword of the next."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.floor(F.col("turn") / 3).alias("clip"))
     title = c.where("clip > 0").groupBy("conv_id", "clip").agg(F.slice(F.min_by(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), 0), "turn"), 1, 8).alias("words"))
     last = rel.top(c, ["conv_id", "clip"], [F.desc("turn")], 10).join(title.withColumn("clip", F.col("clip") - 1), ["conv_id", "clip"])
     return last.where(F.exists("words", lambda w: F.contains(F.col("text"), w))).groupBy("conv_id", "clip").agg(F.max("turn").alias("cut_before"))
