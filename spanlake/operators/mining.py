@@ -49,7 +49,8 @@ def similar_pairs(df: DataFrame, key: str, grams: Column, threshold: float) -> D
 
     Rows with equal sets are one class, named by its smallest key and with ``n`` rows; ``set_classes`` tells who is in it,
     so that copies are never paired with each other. Elements are ordered by rarity and only a prefix of each set is
-    indexed: sets that reach the threshold share an element of their prefixes.
+    indexed: sets that reach the threshold share an element of their prefixes, and enough of them with what the rests may
+    add.
     """
     sets = _sets(df, key, grams).groupBy("h1", "h2").agg(F.min("k").alias("k"), F.count("*").alias("n"), F.any_value("g").alias("g")).drop("h1", "h2")
     items = sets.select("k", F.size("g").alias("size"), F.explode("g").alias("item"))
@@ -58,10 +59,13 @@ def similar_pairs(df: DataFrame, key: str, grams: Column, threshold: float) -> D
     # a partner shares at least threshold**2 * n of n elements; elements that nobody shares only shorten the prefix
     known = F.count("*").over(Window.partitionBy("k"))
     length = known - F.ceil(F.lit(threshold * threshold) * F.col("size") - 1e-9) + 1
-    prefix = ordered.withColumn("length", length).where("pos <= length").select("k", "item", "size")
-    right = prefix.select(F.col("k").alias("b"), "item", F.col("size").alias("size_b"))
-    close = (F.least("size", "size_b") >= F.lit(threshold * threshold) * F.greatest("size", "size_b") - 1e-9) & (F.col("k") < F.col("b"))
-    pairs = prefix.join(right, "item").where(close).select(F.col("k").alias("a"), "b").distinct()
+    prefix = ordered.withColumn("known", known).withColumn("length", length).where("pos <= length").select(F.col("k").alias("a"), "item", "size", (F.col("known") - F.col("length")).alias("rest"))
+    right = prefix.select(F.col("a").alias("b"), "item", F.col("size").alias("size_b"), F.col("rest").alias("rest_b"))
+    close = (F.least("size", "size_b") >= F.lit(threshold * threshold) * F.greatest("size", "size_b") - 1e-9) & (F.col("a") < F.col("b"))
+    # whatever else is shared lies in the rest of the set whose prefix ends first; few pairs are left to be compared
+    counted = prefix.join(right, "item").where(close).groupBy("a", "b", "size", "size_b", "rest", "rest_b").agg(F.count("*").alias("shared"))
+    enough = F.col("shared") + F.greatest("rest", "rest_b") >= F.lit(threshold) * F.sqrt(F.col("size").cast("double") * F.col("size_b")) - 1e-6
+    pairs = counted.where(enough).select("a", "b")
     side = lambda k: sets.select(F.col("k").alias(k), F.col("g").alias(f"g_{k}"), F.col("n").alias(f"n_{k}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b")
     cosine = F.size(F.array_intersect("g_a", "g_b")) / F.sqrt(F.size("g_a").cast("double") * F.size("g_b"))

@@ -288,7 +288,7 @@ WITH RECURSIVE t AS (SELECT conv_id * 1000 + turn AS k, list_sort(list_distinct(
 m AS (SELECT k, min(k) OVER (PARTITION BY g) AS rep, g FROM t WHERE len(g) > 0), reps AS (SELECT rep, count(*) AS n, any_value(g) AS g FROM m GROUP BY rep),
 w AS (SELECT rep AS k, n, len(g) AS size, unnest(g) AS term FROM reps),
 c AS (SELECT x.k AS a, y.k AS b, any_value(x.n) AS n_a, any_value(y.n) AS n_b, round(count(*) / sqrt(CAST(any_value(x.size) AS DOUBLE) * any_value(y.size)), 6) AS similarity FROM w x JOIN w y ON x.term = y.term AND x.k < y.k GROUP BY x.k, y.k),
-e AS (SELECT * FROM c WHERE similarity >= 0.6)"""
+e AS (SELECT * FROM c WHERE similarity >= 0.35)"""
 CLUSTERS = SIMILAR + """,
 v AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT rep, rep FROM reps UNION SELECT v.b, r.root FROM r JOIN v ON v.a = r.node),
 rr AS (SELECT node AS rep, min(root) AS root FROM r GROUP BY node), cl AS (SELECT k AS node, root, count(*) OVER (PARTITION BY root) AS n FROM m JOIN rr USING (rep))"""
@@ -299,7 +299,7 @@ def _turns(spark, sf_dir):
 
 
 def _similar(spark, sf_dir):
-    return mining.similar_pairs(_turns(spark, sf_dir), "k", tx.words(F.col("text")), 0.6)
+    return mining.similar_pairs(_turns(spark, sf_dir), "k", tx.words(F.col("text")), 0.35)
 
 
 def _clusters(spark, sf_dir):
