@@ -22,7 +22,7 @@ from spanlake.llm.common import cut, small
 from spanlake.llm.components import connected_components
 
 #: Different vectors that a cell should have, the most cells of a label, rows of one side of a block, and of a slice whose homes are sought at once.
-CELL, CELLS, BLOCK, SLICE = 2048, 256, 2048, 8192
+CELL, CELLS, BLOCK, SLICE = 8192, 256, 8192, 8192
 #: What is added to the range for rounding: angles travel as 32-bit numbers.
 SLACK = 4e-6
 
