@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import cut
+from spanlake.llm.common import cut, small
+
+#: Rows (two numbers each) of a table that may be broadcast.
+FEW = 100_000
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,7 +17,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Priorities are hashes that change with the round, so a path halves each time whatever its numbering. A round is
     one map-side combined minimum and joins whose hot keys AQE can split; no node's neighbours are ever gathered.
     Loops and edges with a null end are ignored; no edges give no rows. ``edges`` is read more than once: cut its lineage
-    before. Joins are merge joins even where a side is small: tables built for broadcasts would crowd the driver.
+    before. While edges are left, joins are merge joins; when nodes are given their roots, tables of at most ``FEW`` rows are
+    broadcast, so that a component with most of the nodes is no hot key, and larger ones are left to AQE's skew handling.
     """
     pairs = edges.select(F.least(a, b).cast("long").alias("a"), F.greatest(a, b).cast("long").alias("b")).where("a <> b")
     moved = []
@@ -31,6 +35,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
     nodes = moved[0]
     for moves in moved[1:]:
-        nodes = nodes.toDF("node", "at").join(moves.toDF("at", "next").hint("merge"), "at", "left").select("node", F.coalesce("next", "at").alias("to"))
-    least = nodes.groupBy("to").agg(F.min("node").alias("root"))
-    return nodes.join(least.hint("merge"), "to").select("node", "root")
+        nodes = nodes.toDF("node", "at").join(small(moves.toDF("at", "next"), FEW), "at", "left").select("node", F.coalesce("next", "at").alias("to"))
+    nodes = cut(nodes)
+    least = cut(nodes.groupBy("to").agg(F.min("node").alias("root")))
+    return nodes.join(small(least, FEW), "to").select("node", "root")
