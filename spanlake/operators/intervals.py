@@ -6,26 +6,60 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def islands(df: DataFrame, keys: list[str], max_gap: int = 0, start: str = "start_ms", end: str = "end_ms", order: list[str] | None = None) -> DataFrame:
-    """``df`` with ``island``: a new one begins where a row starts more than ``max_gap`` after all earlier ends."""
+def _sliced(df: DataFrame, start: str, slice_ms: int | None) -> DataFrame:
+    return df if slice_ms is None else df.withColumn("_slice", F.floor(F.col(start) / slice_ms))
+
+
+def _earlier(df: DataFrame, keys: list[str], order: list[str], value: Column, last: bool, slice_ms: int | None, name: str) -> DataFrame:
+    """``df`` with the largest (``last``: the latest) ``value`` of the earlier rows of a key.
+
+    With slices a window sees one slice of a key; what the slices before it come to is handed to it, one row a slice.
+    """
+    pick = (lambda w: F.last(value).over(w)) if last else (lambda w: F.max(value).over(w))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    if slice_ms is None:
+        return df.withColumn(name, pick(before(Window.partitionBy(*keys).orderBy(*order))))
+    whole = F.max_by(value, F.struct(*order)) if last else F.max(value)
+    tops = df.groupBy(*keys, "_slice").agg(whole.alias("_top"))
+    of = F.last("_top") if last else F.max("_top")
+    carried = tops.withColumn("_carry", of.over(before(Window.partitionBy(*keys).orderBy("_slice")))).drop("_top")
+    near = pick(before(Window.partitionBy(*keys, "_slice").orderBy(*order)))
+    joined = df.join(carried, [*keys, "_slice"])
+    return joined.withColumn(name, F.coalesce(near, "_carry") if last else F.greatest(near, "_carry")).drop("_carry")
+
+
+def _numbered(df: DataFrame, keys: list[str], order: list[str], flag: str, slice_ms: int | None, name: str) -> DataFrame:
+    """``df`` with the running sum of ``flag`` within a key."""
+    upto = lambda w, k: w.rowsBetween(Window.unboundedPreceding, k)
+    if slice_ms is None:
+        return df.withColumn(name, F.sum(flag).over(upto(Window.partitionBy(*keys).orderBy(*order), 0)))
+    sums = df.groupBy(*keys, "_slice").agg(F.sum(flag).alias("_sum"))
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(upto(Window.partitionBy(*keys).orderBy("_slice"), -1)), F.lit(0))).drop("_sum")
+    run = F.sum(flag).over(upto(Window.partitionBy(*keys, "_slice").orderBy(*order), 0))
+    return df.join(sums, [*keys, "_slice"]).withColumn(name, F.col("_base") + run).drop("_base")
+
+
+def islands(df: DataFrame, keys: list[str], max_gap: int = 0, start: str = "start_ms", end: str = "end_ms", order: list[str] | None = None, slice_ms: int | None = None) -> DataFrame:
+    """``df`` with ``island``: a new one begins where a row starts more than ``max_gap`` after all earlier ends.
+
+    ``slice_ms`` cuts keys into slices of time, for tables in which one key may hold a large share of the rows.
+    """
     by = [start, end, *(order or [])]
-    past = Window.partitionBy(*keys).orderBy(*by)
-    reach = F.max(end).over(past.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(F.col(start) <= reach + F.lit(max_gap), 0).otherwise(1)
-    return df.withColumn("_fresh", fresh).withColumn("island", F.sum("_fresh").over(past.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
+    found = _earlier(_sliced(df, start, slice_ms), keys, by, F.col(end), False, slice_ms, "_reach")
+    found = found.withColumn("_fresh", F.when(F.col(start) <= F.col("_reach") + F.lit(max_gap), 0).otherwise(1))
+    return _numbered(found, keys, by, "_fresh", slice_ms, "island").drop("_fresh", "_reach", "_slice")
 
 
-def merge(df: DataFrame, keys: list[str], max_gap: int = 0, start: str = "start_ms", end: str = "end_ms", order: list[str] | None = None) -> DataFrame:
+def merge(df: DataFrame, keys: list[str], max_gap: int = 0, start: str = "start_ms", end: str = "end_ms", order: list[str] | None = None, slice_ms: int | None = None) -> DataFrame:
     """Union of intervals of a key; neighbours at most ``max_gap`` apart become one."""
-    found = islands(df, keys, max_gap, start, end, order)
+    found = islands(df, keys, max_gap, start, end, order, slice_ms)
     return found.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_segments")).drop("island")
 
 
-def complement(df: DataFrame, keys: list[str], total: str, start: str = "start_ms", end: str = "end_ms", least: int = 0) -> DataFrame:
+def complement(df: DataFrame, keys: list[str], total: str, start: str = "start_ms", end: str = "end_ms", least: int = 0, slice_ms: int | None = None) -> DataFrame:
     """What the merged intervals of a key leave of [0, ``total``): gaps longer than ``least``, head and tail included."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    before = F.coalesce(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    gaps = df.select(*keys, before.alias("gap_start"), F.col(start).alias("gap_end"))
+    found = _earlier(_sliced(df, start, slice_ms), keys, [start, end], F.col(end), False, slice_ms, "_reach")
+    gaps = found.select(*keys, F.coalesce("_reach", F.lit(0)).alias("gap_start"), F.col(start).alias("gap_end"))
     tail = df.groupBy(*keys).agg(F.max(end).alias("gap_start"), F.max(total).alias("gap_end"))
     return gaps.unionByName(tail).where(F.col("gap_end") - F.col("gap_start") > least).select(*keys, F.col("gap_start").alias(start), F.col("gap_end").alias(end))
 
@@ -123,8 +157,9 @@ def runs(df: DataFrame, keys: list[str], flag: str, order: list[str]) -> DataFra
     return at.groupBy(*keys, "_run").agg(F.min("_pos").alias("first_pos"), F.max("_pos").alias("last_pos"), F.count("*").alias("n")).drop("_run")
 
 
-def sessions(df: DataFrame, keys: list[str], gap: int, order: list[str], start: str = "start_ms", end: str = "end_ms") -> DataFrame:
+def sessions(df: DataFrame, keys: list[str], gap: int, order: list[str], start: str = "start_ms", end: str = "end_ms", slice_ms: int | None = None) -> DataFrame:
     """``df`` with ``session``: a new one begins where a row starts at least ``gap`` after the row before it ended."""
-    w = Window.partitionBy(*keys).orderBy(start, *order)
-    fresh = F.when(F.col(start) - F.lag(end).over(w) < gap, 0).otherwise(1)
-    return df.withColumn("_fresh", fresh).withColumn("session", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
+    by = [start, *order]
+    found = _earlier(_sliced(df, start, slice_ms), keys, by, F.col(end), True, slice_ms, "_before")
+    found = found.withColumn("_fresh", F.when(F.col(start) - F.col("_before") < gap, 0).otherwise(1))
+    return _numbered(found, keys, by, "_fresh", slice_ms, "session").drop("_fresh", "_before", "_slice")

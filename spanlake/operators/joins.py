@@ -49,25 +49,34 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width:
     return met.where(test & (F.col("_bin") == first)).drop("_level", "_bin", "_roles")
 
 
-def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, ts: str, value: str, direction: str = "backward") -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, ts: str, value: str, direction: str = "backward", slice_ms: int | None = None) -> DataFrame:
     """``left`` with ``value`` of the last ``right`` row at or before ``at`` (``forward``: the first at or after).
 
     One shuffle: both sides are unioned and a window carries the last (next) right value over; ties go to the largest
-    (smallest) value.
+    (smallest) value. ``slice_ms`` cuts keys into slices of time, for tables in which one key may hold a large share of
+    the rows: each slice is handed the last (next) value of the slices before (after) it.
     """
     columns = left.columns
     kept = F.struct(*columns).alias("_row")
-    order = F.col("_ts").asc(), F.col("_side").asc()
     right_first = direction == "backward"
     a = left.select(*keys, F.col(at).alias("_ts"), F.lit(1 if right_first else 0).alias("_side"), kept, F.lit(None).cast(right.schema[value].dataType).alias("_value"))
     b = right.groupBy(*keys, F.col(ts).alias("_ts")).agg((F.max if right_first else F.min)(value).alias("_value"))
     b = b.select(*keys, "_ts", F.lit(0 if right_first else 1).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), "_value")
-    w = Window.partitionBy(*keys).orderBy(*order)
+    both, by = a.unionByName(b), list(keys)
+    if slice_ms is not None:
+        both, by = both.withColumn("_slice", F.floor(F.col("_ts") / slice_ms)), [*keys, "_slice"]
+        ends = both.groupBy(*by).agg((F.max_by if right_first else F.min_by)("_value", F.when(F.col("_value").isNotNull(), F.col("_ts"))).alias("_end"))
+        over = Window.partitionBy(*keys).orderBy("_slice")
+        carry = F.last("_end", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)) if right_first else F.first("_end", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing))
+        both = both.join(ends.withColumn("_carry", carry).drop("_end"), by)
+    w = Window.partitionBy(*by).orderBy("_ts", "_side")
     if right_first:
         found = F.last("_value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     else:
         found = F.first("_value", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return a.unionByName(b).withColumn("_found", found).where("_row is not null").select("_row.*", F.col("_found").alias(value))
+    if slice_ms is not None:
+        found = F.coalesce(found, "_carry")
+    return both.withColumn("_found", found).where("_row is not null").select("_row.*", F.col("_found").alias(value))
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, ts: str) -> DataFrame:

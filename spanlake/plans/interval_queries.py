@@ -23,6 +23,8 @@ silences AS (SELECT media_id, event_id AS silence_id, start_ms AS r_start, end_m
 keyframes AS (SELECT DISTINCT media_id, start_ms AS t FROM captions WHERE event_type = 'view')"""
 #: Width of the time bins of overlap joins: about the longest event.
 BIN = 600_000
+#: Time slices of a medium (ten days), so that one with most of all events is no single task.
+SLICE = 864_000_000
 
 
 def segments(spark, sf_dir):
@@ -58,7 +60,7 @@ def merge_overlapping(spark, sf_dir):
 
 @register("F2_merge_segments", CAPTIONS + merged_sql(600_000) + " SELECT * FROM merged")
 def merge_segments(spark, sf_dir):
-    return intervals.merge(from_events(spark, sf_dir), ["media_id"], 600_000, order=["event_id"])
+    return intervals.merge(from_events(spark, sf_dir), ["media_id"], 600_000, order=["event_id"], slice_ms=SLICE)
 
 
 @register("F3_merge_removed", CAPTIONS + ", s AS (SELECT * FROM captions WHERE event_type = 'error')" + merged_sql(300, "s") + " SELECT * FROM merged")
@@ -115,8 +117,8 @@ g AS (
 SELECT * FROM g WHERE end_ms - start_ms > 500""")
 def complement(spark, sf_dir):
     rows = from_events(spark, sf_dir)
-    total = F.max("end_ms").over(Window.partitionBy("media_id")) + 60_000
-    return intervals.complement(rows.withColumn("total", total), ["media_id"], "total", least=500)
+    total = rows.groupBy("media_id").agg((F.max("end_ms") + 60_000).alias("total"))
+    return intervals.complement(rows.join(total, "media_id"), ["media_id"], "total", least=500, slice_ms=SLICE)
 
 
 @register("F7_pad_without_overlap", CAPTIONS + """,
@@ -156,7 +158,7 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY media_id ORDER BY start_ms, event_
 
 @register("F18_time_ranges", CAPTIONS + _sessions_sql(30_000) + " SELECT media_id, CAST(session AS BIGINT) AS session, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n FROM s GROUP BY media_id, session")
 def time_ranges(spark, sf_dir):
-    s = intervals.sessions(from_events(spark, sf_dir), ["media_id"], 30_000, ["event_id"])
+    s = intervals.sessions(from_events(spark, sf_dir), ["media_id"], 30_000, ["event_id"], slice_ms=SLICE)
     return s.groupBy("media_id", "session").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n"))
 
 
@@ -284,7 +286,7 @@ def gap_entries(spark, sf_dir):
 SELECT s.segment_id, coalesce(max(o.r_start), any_value(l_start)) AS aligned FROM segments s LEFT JOIN others o ON o.media_id = s.media_id AND o.r_start <= s.l_start GROUP BY s.segment_id""")
 def align_start(spark, sf_dir):
     right = others(spark, sf_dir).withColumn("aligned", F.col("r_start"))
-    return joins.asof(segments(spark, sf_dir), right, ["media_id"], "l_start", "r_start", "aligned").select("segment_id", F.coalesce("aligned", "l_start").alias("aligned"))
+    return joins.asof(segments(spark, sf_dir), right, ["media_id"], "l_start", "r_start", "aligned", slice_ms=SLICE).select("segment_id", F.coalesce("aligned", "l_start").alias("aligned"))
 
 
 @register("J21_align_end", SEGMENTS + """

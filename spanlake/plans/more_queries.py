@@ -135,18 +135,21 @@ def stage_checkpoint(spark, sf_dir):
     return found.select("event_type", "n", F.lit(status).alias("status"), F.lit(failures).alias("failures"), F.lit(len(built)).alias("built"))
 
 
-@register("F12_merge_neighbour_pairs", EVENTS + f""",
-n AS (SELECT media_id, event_id, start_ms, end_ms, start_ms // 86400000 AS chunk, event_type AS b, lag(event_type) OVER w AS a, lag(end_ms) OVER w AS pe, lag(start_ms // 86400000) OVER w AS pc, row_number() OVER w AS pos FROM captions WINDOW w AS (PARTITION BY media_id ORDER BY start_ms, event_id)),
+def merged_topics_sql(source: str) -> str:
+    """CTEs up to ``topics`` over the captions of a CTE."""
+    return f""",
+n AS (SELECT media_id, event_id, start_ms, end_ms, start_ms // 86400000 AS chunk, event_type AS b, lag(event_type) OVER w AS a, lag(end_ms) OVER w AS pe, lag(start_ms // 86400000) OVER w AS pc, row_number() OVER w AS pos FROM {source} WINDOW w AS (PARTITION BY media_id ORDER BY start_ms, event_id)),
 s AS (SELECT *, start_ms - pe AS gap, {TITLE} AS sim, {KEYWORDS} AS shared FROM n),
 f AS (SELECT *, coalesce(chunk <> pc AND gap >= -2000 AND gap < 28800000 AND (sim > 0.45 OR (sim > 0.3 AND gap < 10800000) OR contains(a, b) OR contains(b, a) OR gap < 3600000 OR shared > 0.25), false) AS f FROM s),
 m AS (SELECT *, f AND (pos - max(CASE WHEN NOT f THEN pos END) OVER (PARTITION BY media_id ORDER BY pos)) % 2 = 1 AS takes FROM f),
-p AS (SELECT *, sum(CASE WHEN takes THEN 0 ELSE 1 END) OVER (PARTITION BY media_id ORDER BY pos) AS pair FROM m)
-SELECT media_id, arg_min(event_id, pos) AS topic_id, min(start_ms) AS start_ms, arg_max(end_ms, pos) AS end_ms, arg_max(b, (length(b), -pos)) AS outline, count(*) AS n FROM p GROUP BY media_id, pair""")
-def merge_neighbour_pairs(spark, sf_dir):
+p AS (SELECT *, sum(CASE WHEN takes THEN 0 ELSE 1 END) OVER (PARTITION BY media_id ORDER BY pos) AS pair FROM m),
+topics AS (SELECT media_id, arg_min(event_id, pos) AS topic_id, min(start_ms) AS start_ms, arg_max(end_ms, pos) AS end_ms, arg_max(b, (length(b), -pos)) AS outline, count(*) AS n FROM p GROUP BY media_id, pair)"""
+
+
+def merged_topics(e):
     """Topics on both sides of a chunk's end (days here) that belong together become one, in pairs."""
-    e = from_events(spark, sf_dir).withColumn("chunk", F.floor(F.col("start_ms") / 86_400_000)).withColumnRenamed("event_type", "outline")
-    w = Window.partitionBy("media_id").orderBy("start_ms", "event_id")
-    prev = F.lag(F.struct("outline", "chunk", "end_ms")).over(w)
+    e = e.withColumn("chunk", F.floor(F.col("start_ms") / 86_400_000)).withColumnRenamed("event_type", "outline")
+    prev = F.lag(F.struct("outline", "chunk", "end_ms")).over(Window.partitionBy("media_id").orderBy("start_ms", "event_id"))
     e = e.withColumn("prev", prev)
     flag = topics.belongs_to_previous(F.col("prev.outline"), F.col("outline"), F.col("chunk") != F.col("prev.chunk"), F.col("start_ms") - F.col("prev.end_ms"), STOP, 28_800_000, 10_800_000, 3_600_000)
     p = topics.merge_flagged_pairs(e.withColumn("near", flag), ["media_id"], ["start_ms", "event_id"], F.col("near"))
@@ -155,6 +158,11 @@ def merge_neighbour_pairs(spark, sf_dir):
     return p.groupBy("media_id", "pair").agg(F.min_by("event_id", order).alias("topic_id"), F.min("start_ms").alias("start_ms"), F.max_by("end_ms", order).alias("end_ms"), longest.alias("outline"), F.count("*").alias("n")).drop("pair")
 
 
+@register("F12_merge_neighbour_pairs", EVENTS + merged_topics_sql("captions") + " SELECT * FROM topics")
+def merge_neighbour_pairs(spark, sf_dir):
+    return merged_topics(from_events(spark, sf_dir))
+
+
 @register("F16_suppress_overlaps", EVENTS.replace("WITH ", "WITH RECURSIVE ", 1) + """,
 o AS (SELECT media_id, event_id, event_id % 7 AS score, start_ms AS s, end_ms + 3600000 AS e, row_number() OVER (PARTITION BY media_id ORDER BY event_id % 7 DESC, end_ms - start_ms, event_id) AS rn FROM captions),
 r(media_id, rn, kept) AS (SELECT media_id, rn, [{'id': event_id, 's': s, 'e': e}] FROM o WHERE rn = 1

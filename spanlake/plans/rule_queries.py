@@ -13,7 +13,7 @@ from spanlake.operators import relational as rel
 from spanlake.plans.catalogue import register
 from spanlake.plans.interval_queries import BIN, SEGMENTS, others, segments, silences
 from spanlake.plans.interval_queries import CAPTIONS as EVENTS
-from spanlake.plans.more_queries import INNER, ONE_LINE, folder, one_line
+from spanlake.plans.more_queries import INNER, ONE_LINE, folder, merged_topics, merged_topics_sql, one_line
 from spanlake.plans.relational_queries import table
 from spanlake.plans.text_queries import CAPTIONS, CLUSTERS, DIVERSITY, ENERGY, KEYWORD, KEYWORDS, LENGTH, STOP, STOP_SQL, TITLE, WORDS, _clusters, captions, title_sql
 from spanlake.sources import files
@@ -422,26 +422,48 @@ def stable_bucket(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id").distinct().select("user_id", (F.conv(F.left(F.md5(F.col("user_id").cast("string").cast("binary")), F.lit(7)), 16, 10).cast("long") % 100).alias("bucket"))
 
 
-@register("X8_schema_check", "SELECT event_id, event_id % 4 <> 0 AS valid FROM events")
-def schema_check(spark, sf_dir):
-    row = F.when(F.col("event_id") % 4 == 0, F.lit('{"id": 1}')).otherwise(F.concat(F.lit('{"id": 1, "props": '), "props", F.lit("}")))
-    parsed = F.from_json(row, "id int, props struct<k:int>")
-    return table(spark, sf_dir, "events").select("event_id", (parsed["id"].isNotNull() & parsed["props"].isNotNull()).alias("valid"))
+_CHECKS = {"chunk": "index int, text string, k int", "timeline": "outline string, start string, end string", "scored": "outline string, final_score double"}
 
 
-@register("X9_retry_strategy", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'none' WHEN o_totalprice > 200000 THEN 'full' WHEN o_orderstatus = 'P' THEN 'resume' ELSE 'restart' END AS strategy FROM orders")
+@register("X8_schema_check", "SELECT event_id, ['chunk', 'timeline', 'scored'][event_id % 3 + 1] AS kind, event_id % 4 <> 0 AS valid FROM events")
+def schema_check(spark, sf_dir):
+    """Rows of three kinds of files against their schemas: JSON of another shape, or without a required field, fails."""
+    kind, bad = F.col("event_id") % 3, F.col("event_id") % 4 == 0
+    whole = F.when(kind == 0, F.to_json(F.struct(F.col("event_id").cast("int").alias("index"), F.col("event_type").alias("text"), F.lit(1).alias("k"))))
+    whole = whole.when(kind == 1, F.to_json(F.struct(F.col("event_type").alias("outline"), F.lit("0").alias("start"), F.lit("1").alias("end"))))
+    whole = whole.otherwise(F.to_json(F.struct(F.col("event_type").alias("outline"), F.col("value").alias("final_score"))))
+    row = F.when(bad & (F.col("event_id") % 8 == 0), F.replace(whole, F.lit('"'), F.lit("'")).substr(F.lit(3), F.lit(99))).when(bad, F.regexp_replace(whole, r'"(index|outline)":', '"other":')).otherwise(whole)
+    ok = F.lit(False)
+    for i, schema in enumerate(_CHECKS.values()):
+        parsed = F.from_json(row, schema)
+        fields = [parsed[f.split()[0]].isNotNull() for f in schema.split(", ")]
+        ok = F.when(kind == i, fields[0] & fields[1] & fields[-1]).otherwise(ok)
+    names = F.array(*[F.lit(k) for k in _CHECKS])
+    return table(spark, sf_dir, "events").select("event_id", F.get(names, kind.cast("int")).alias("kind"), ok.alias("valid"))
+
+
+@register("X9_retry_strategy", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag <> 'R') THEN 'full_retry' WHEN o_orderstatus IN ('F', 'P') THEN 'processing_only' ELSE 'smart_retry' END AS strategy FROM orders""")
 def retry_strategy(spark, sf_dir):
-    s = F.col("o_orderstatus")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(s == "F", "none").when(F.col("o_totalprice") > 200_000, "full").when(s == "P", "resume").otherwise("restart").alias("strategy"))
+    """Everything again if that is forced or the file is missing, the processing alone if it failed or never ran, else by choice."""
+    have = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.lit(True).alias("there")).distinct()
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").join(have, "o_orderkey", "left")
+    full = (F.col("o_orderkey") % 50 == 0) | F.col("there").isNull()
+    return o.select("o_orderkey", F.when(full, "full_retry").when(F.col("o_orderstatus").isin("F", "P"), "processing_only").otherwise("smart_retry").alias("strategy"))
 
 
 @register("X14_timeline_composition", EVENTS + """,
-n AS (SELECT *, lag(end_ms) OVER w AS pe, lead(start_ms) OVER w AS ns FROM captions WINDOW w AS (PARTITION BY media_id ORDER BY start_ms, event_id)),
-f AS (SELECT event_id, CASE WHEN pe > start_ms THEN (pe + start_ms) // 2 + 100 ELSE start_ms END AS a, CASE WHEN ns < end_ms THEN (end_ms + ns) // 2 - 100 ELSE end_ms END AS b FROM n)
-SELECT event_id, CASE WHEN b - a < 10000 THEN 'too_short' WHEN b - a > 200000 THEN 'too_long' ELSE 'ok' END AS flag FROM f""")
+o AS (SELECT *, lag(end_ms) OVER w AS pe, lead(start_ms) OVER w AS ns FROM captions WINDOW w AS (PARTITION BY media_id ORDER BY start_ms, event_id)),
+fixed AS (SELECT media_id, event_id, event_type, CASE WHEN pe > start_ms THEN (pe + start_ms) // 2 + 100 ELSE start_ms END AS start_ms, CASE WHEN ns < end_ms THEN (end_ms + ns) // 2 - 100 ELSE end_ms END AS end_ms FROM o)""" + merged_topics_sql("fixed") + """,
+k AS (SELECT *, CASE WHEN end_ms - start_ms < 10000 THEN 'too_short' WHEN end_ms - start_ms > 200000 THEN 'too_long' ELSE 'ok' END AS flag, row_number() OVER (PARTITION BY media_id ORDER BY n DESC, end_ms - start_ms DESC, topic_id) AS k FROM topics)
+SELECT media_id, topic_id, outline, flag, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, topic_id) AS pos FROM k WHERE k <= 8""")
 def timeline_composition(spark, sf_dir):
-    fixed = intervals.fix_overlaps(from_events(spark, sf_dir), ["media_id"], ["start_ms", "event_id"]).select("event_id", F.col("fixed_start").alias("start_ms"), F.col("fixed_end").alias("end_ms"))
-    return topics.duration_flags(fixed, 10_000, 200_000).select("event_id", "flag")
+    """A timeline's steps in a row: overlaps mended, topics merged across chunks, durations flagged, the best eight kept."""
+    fixed = intervals.fix_overlaps(from_events(spark, sf_dir), ["media_id"], ["start_ms", "event_id"])
+    fixed = fixed.select("media_id", "event_id", "event_type", F.col("fixed_start").alias("start_ms"), F.col("fixed_end").alias("end_ms"))
+    flagged = topics.duration_flags(merged_topics(fixed), 10_000, 200_000)
+    best = rel.top(flagged, ["media_id"], [F.desc("n"), F.desc(F.col("end_ms") - F.col("start_ms")), F.col("topic_id")], 8)
+    return rel.ranked(best, ["media_id"], [F.col("start_ms"), F.col("topic_id")], "pos").select("media_id", "topic_id", "outline", "flag", "pos")
 
 
 @register("X15_cluster_report", f"""
@@ -562,12 +584,17 @@ def step_dependencies(spark, sf_dir):
     return g.select("user_id", F.coalesce(F.get(F.filter(need, lambda x: ~F.array_contains("have", x)), F.lit(0)), F.lit("none")).alias("first_missing"))
 
 
-@register("X16_titled_collections", "SELECT c_mktsegment || ' ' || c_nationkey AS title, list(c_custkey ORDER BY c_custkey)[1:5] AS clip_ids, count(*) AS n FROM customer GROUP BY c_mktsegment, c_nationkey HAVING count(*) >= 2")
+@register("X16_titled_collections", """
+WITH c AS (SELECT c_mktsegment, c_nationkey, c_custkey, c_name, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) AS k, count(*) OVER (PARTITION BY c_mktsegment, c_nationkey) AS n FROM customer)
+SELECT CASE WHEN n >= 4 THEN c_mktsegment || ' ' || c_nationkey ELSE max(c_name) FILTER (k = 1) || ' and more' END AS title, list(c_custkey ORDER BY c_custkey) FILTER (k <= 5) AS clip_ids, any_value(n) AS n FROM c WHERE n >= 2 GROUP BY c_mktsegment, c_nationkey, n""")
 def titled_collections(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.concat_ws(" ", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("title"), "c_custkey")
-    n = c.groupBy("title").agg(F.count("*").alias("n")).where("n >= 2")
-    first = rel.top(c, ["title"], [F.col("c_custkey")], 5).groupBy("title").agg(F.array_sort(F.collect_list("c_custkey")).alias("clip_ids"))
-    return first.join(n, "title").select("title", "clip_ids", "n")
+    """A collection of each group of two or more: named by its keywords if it is large, else by its first clip; five clips."""
+    by = ["c_mktsegment", "c_nationkey"]
+    c = table(spark, sf_dir, "customer").select(*by, "c_custkey", "c_name")
+    n = c.groupBy(*by).agg(F.count("*").alias("n"), F.min_by("c_name", "c_custkey").alias("first")).where("n >= 2")
+    ids = rel.top(c, by, [F.col("c_custkey")], 5).groupBy(*by).agg(F.array_sort(F.collect_list("c_custkey")).alias("clip_ids"))
+    title = F.when(F.col("n") >= 4, F.concat_ws(" ", "c_mktsegment", F.col("c_nationkey").cast("string"))).otherwise(F.concat("first", F.lit(" and more")))
+    return ids.join(n, by).select(title.alias("title"), "clip_ids", "n")
 
 
 @register("F9_internal_gaps", SEGMENTS + """,

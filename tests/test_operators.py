@@ -40,6 +40,23 @@ def test_interval_laws(spark):
     assert points(intervals.subtract(segments, spans(spark, rows), ["media_id"], "sid", 64)) == {(k, t) for k in range(4) for t in range(50, 300)} - cover
 
 
+def test_slices_change_nothing(spark):
+    """Keys cut into slices of time give what whole keys give."""
+    r = random.Random(7)
+    rows = [(k, i, a, a + r.choice([1, 5, 30, 400])) for i in range(300) for k, a in [(r.choice([1, 1, 1, 2, 3]), r.randint(0, 2000))]]
+    df = spark.createDataFrame(rows, "media_id long, event_id long, start_ms long, end_ms long")
+    other = spark.createDataFrame([(k, t, f"v{t % 7}") for k in (1, 2) for t in r.sample(range(-50, 2100), 40)], "media_id long, t long, v string")
+    for width in (7, 100, 10_000):
+        for gap in (0, 12):
+            for f in (lambda s: intervals.merge(df, ["media_id"], gap, order=["event_id"], slice_ms=s), lambda s: intervals.sessions(df, ["media_id"], gap + 1, ["event_id"], slice_ms=s)):  # noqa: B023
+                assert sorted(f(width).collect(), key=str) == sorted(f(None).select(f(width).columns).collect(), key=str)
+        for f in (
+            lambda s: intervals.complement(df.withColumn("total", F.lit(2500)), ["media_id"], "total", slice_ms=s), lambda s: joins.asof(df, other, ["media_id"], "start_ms", "t", "v", slice_ms=s),
+            lambda s: joins.asof(df, other, ["media_id"], "start_ms", "t", "v", "forward", slice_ms=s),
+        ):
+            assert sorted(f(width).collect(), key=str) == sorted(f(None).collect(), key=str)
+
+
 def test_overlap_join_bins(spark):
     r = random.Random(2)
     left = [(k, i, a, a + r.randint(0, 90)) for i in range(60) for k, a in [(r.randint(0, 2), r.randint(0, 500))]]
