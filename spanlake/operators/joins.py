@@ -26,16 +26,20 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width:
     level = lambda a, b: sum(((b - a > w).cast("int") for w in widths[1:-1]), (b - a > widths[0]).cast("int"))
     wide = lambda k: F.element_at(F.array(*[F.lit(w).cast("long") for w in widths]), k + 1)
     bounds = {"l": (F.least(lo, hi), F.greatest(lo, hi)), "r": (F.least("r_start", "r_end"), F.greatest("r_start", "r_end"))}
-    used = left.select(level(*bounds["l"]).alias("k")).unionAll(right.select(level(*bounds["r"]).alias("k"))).agg(F.collect_set("k").alias("levels")).scalar()
+    found = left.select(level(*bounds["l"]).alias("k")).unionAll(right.select(level(*bounds["r"]).alias("k"))).distinct()
+    used = sorted(r.k for r in found.where("k is not null").collect())  # at most one row for each level
+    single = len(used) < 2
+    size = F.lit(widths[used[0] if used else 0]) if single else wide(F.col("_level"))
+    extra = [] if single else ["_level", "_roles"]
 
     def dealt(df: DataFrame, side: str, own: str, other: str) -> DataFrame:
         """Rows by level and bin; of two rows at a level one at least is there in its own right (``roles``)."""
         a, b = bounds[side]
-        df = df.withColumn("_own", level(a, b))
-        df = df.withColumn("_level", F.explode(used)).where("_level >= _own")
-        df = df.withColumn("_bin", F.explode(F.sequence(F.floor(a / wide(F.col("_level"))), F.floor(b / wide(F.col("_level"))))))
-        roles = F.when(F.col("_own") == F.col("_level"), F.array(F.lit("both"), F.lit(own))).otherwise(F.array(F.lit(other)))
-        return df.withColumn("_roles", F.explode(roles)).drop("_own")
+        if not single:
+            df = df.withColumn("_own", level(a, b)).withColumn("_level", F.explode(F.array(*map(F.lit, used)))).where("_level >= _own")
+            roles = F.when(F.col("_own") == F.col("_level"), F.array(F.lit("both"), F.lit(own))).otherwise(F.array(F.lit(other)))
+            df = df.withColumn("_roles", F.explode(roles)).drop("_own")
+        return df.withColumn("_bin", F.explode(F.sequence(F.floor(a / size), F.floor(b / size))))
 
     if how == "within":
         test: Column = (F.col("r_start") >= F.col("l_start")) & (F.col("r_end") <= F.col("l_end"))
@@ -43,10 +47,9 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width:
         test = (F.col("r_start") <= hi) & (F.col("r_end") >= lo)
     else:
         test = (F.col("r_start") < hi) & (F.col("r_end") > lo)
-    size = wide(F.col("_level"))
     first = F.greatest(F.floor(bounds["l"][0] / size), F.floor(bounds["r"][0] / size))
-    met = dealt(left, "l", "left", "right").join(dealt(right, "r", "right", "left"), [*keys, "_level", "_bin", "_roles"])
-    return met.where(test & (F.col("_bin") == first)).drop("_level", "_bin", "_roles")
+    met = dealt(left, "l", "left", "right").join(dealt(right, "r", "right", "left"), [*keys, "_bin", *extra])
+    return met.where(test & (F.col("_bin") == first)).drop("_bin", *extra)
 
 
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, ts: str, value: str, direction: str = "backward", slice_ms: int | None = None) -> DataFrame:
