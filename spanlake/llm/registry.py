@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import edit_counts, embed_dedup, langid, mixing, oracles, pieces, secret_scan, setsketch, topk, url_cascade, warc_revisits
+from spanlake.llm import edit_counts, embed_dedup, langid, lexical, mixing, oracles, pieces, secret_scan, setsketch, topk, url_cascade, warc_revisits
 from spanlake.llm.common import read
 
 
@@ -67,6 +67,10 @@ def op10_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.count_after_edits(docs, trees, edit_counts.written(edit_counts.redactions(docs), "edits"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_revisits": op1_warc_revisits,
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_cascade": op8_url_cascade,
         "op9_exact_top_k": op9_exact_top_k,
         "op10_edit_aware_counts": op10_edit_aware_counts,
+        "op11_lexical_search": op11_lexical_search,
     }
 
 
@@ -89,4 +94,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_setsketch_near_duplicates": oracles.OP7,
         "op8_url_cascade": oracles.op8(URL_RULES, ADVERTISING),
         "op9_exact_top_k": oracles.OP9,
+        "op11_lexical_search": oracles.OP11,
     }
