@@ -63,6 +63,23 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""
 
 
+OP12 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, k, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k, length(text)) AS pos FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS leader, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda r, i: xor(r >> 1, 3988292384::BIGINT * (r & 1)))), 4294967295::BIGINT) % 6 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+b AS (SELECT c.conv_id, o.pos, 0 AS own, k, size FROM c JOIN o ON o.conv_id = c.leader AND o.pos <= c.h UNION ALL SELECT c.conv_id, o.pos, 1, k, size FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos > c.h),
+r AS (SELECT conv_id, k, size, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS d FROM b),
+p AS (SELECT conv_id, d, size, md5(array_to_string(array_agg(k) OVER (PARTITION BY conv_id ORDER BY d), ',')) AS key FROM r UNION ALL SELECT conv_id, 0, 0, 'root' FROM c),
+q AS (SELECT conv_id, d, size, key, lag(key) OVER (PARTITION BY conv_id ORDER BY d) AS up, d = max(d) OVER (PARTITION BY conv_id) AS last FROM p),
+n AS (SELECT d, key, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n, any_value(size) AS size,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends FROM q GROUP BY d, key),
+kids AS (SELECT up AS key, count(*) AS kids FROM n WHERE up IS NOT NULL GROUP BY up),
+s AS (SELECT q.key, sum((n.n - 1) * n.size)::BIGINT AS saved, count(*) FILTER (WHERE kids IS NULL) AS leaves FROM n LEFT JOIN kids USING (key) JOIN q ON q.conv_id = n.conv_id AND q.d <= n.d GROUP BY q.key)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(kids, 0) AS n_children, leaves AS n_leaves, saved AS saved_tokens, n.ends AS ends_sha256
+FROM n LEFT JOIN n u ON u.key = n.up LEFT JOIN kids ON kids.key = n.key JOIN s ON s.key = n.key"""
+
+
 def op8(rules: Sequence[tuple[str, str, str]], advertising: str) -> str:
     fits = " UNION ALL ".join(
         f"SELECT page_id, '{h}{p}' AS rule, '{a}' AS verdict FROM u WHERE (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for a, h, p in rules

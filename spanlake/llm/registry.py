@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import edit_counts, embed_dedup, langid, lexical, mixing, oracles, pieces, secret_scan, setsketch, topk, url_cascade, warc_revisits
+from spanlake.llm import edit_counts, embed_dedup, langid, lexical, mixing, oracles, pieces, prefix_trie, secret_scan, setsketch, topk, url_cascade, warc_revisits
 from spanlake.llm.common import read
 
 
@@ -71,6 +71,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build(prefix_trie.share_openings(prefix_trie.conversations_of(read(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_revisits": op1_warc_revisits,
@@ -84,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact_top_k": op9_exact_top_k,
         "op10_edit_aware_counts": op10_edit_aware_counts,
         "op11_lexical_search": op11_lexical_search,
+        "op12_prefix_trie": op12_prefix_trie,
     }
 
 
@@ -95,4 +100,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_url_cascade": oracles.op8(URL_RULES, ADVERTISING),
         "op9_exact_top_k": oracles.OP9,
         "op11_lexical_search": oracles.OP11,
+        "op12_prefix_trie": oracles.OP12,
     }
