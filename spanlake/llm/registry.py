@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import edit_counts, embed_dedup, langid, lexical, mixing, oracles, pieces, prefix_trie, secret_scan, setsketch, topk, url_cascade, warc_revisits
+from spanlake.llm import edit_counts, embed_dedup, langid, lexical, mixing, oracles, pieces, prefix_trie, secret_scan, setsketch, topk, toxicity, url_cascade, warc_revisits
 from spanlake.llm.common import read
 
 
@@ -75,6 +75,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.build(prefix_trie.share_openings(prefix_trie.conversations_of(read(spark, sf_dir, "conversations"))))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_revisits": op1_warc_revisits,
@@ -89,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_edit_aware_counts": op10_edit_aware_counts,
         "op11_lexical_search": op11_lexical_search,
         "op12_prefix_trie": op12_prefix_trie,
+        "op13_toxicity": op13_toxicity,
     }
 
 
