@@ -124,7 +124,7 @@ class Automaton:
         return self._number(self._closed(reached))
 
     def match(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(term, edits) of the words ``codes[starts[i]:ends[i]]``, term -1 where none fits: fewest edits, words before stems, long terms first."""
+        """(term, edits) of the words ``codes[starts[i]:ends[i]]``, term -1 where none fits; a term within the fewest edits is given."""
         n, none = max(len(self.terms), 1), np.iinfo(np.int64).max
         best = np.full(len(starts), none)
         live, at = np.arange(len(starts)), starts.astype(np.int64)
