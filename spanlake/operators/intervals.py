@@ -90,7 +90,8 @@ def separate_aligned(df: DataFrame, keys: list[str], order: list[str], step: int
     """Neighbours whose bounds were moved from ``original_start`` and ``original_end``: ``fixed_start``, ``fixed_end``.
 
     Where the originals leave a gap, no bound moves into it. Neighbours that overlap go back to their originals if that
-    parts them, else both end at the middle; bounds that are set anew keep ``step`` off. Bounds are read as they were.
+    parts them, else both end at the middle; bounds that are set anew keep ``step`` off. Done pair after pair this comes to
+    the same as at once: a pair moves the end of one and the start of the next, which no other pair reads.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     df = df.withColumn("_n", F.struct(F.lag("end_ms").over(w).alias("pe"), F.lag("original_end").over(w).alias("poe"), F.lead("start_ms").over(w).alias("ns"), F.lead("original_start").over(w).alias("nos")))

@@ -8,35 +8,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Bins of a level are so many times wider than those of the level below, and levels above the lowest.
-_FACTOR, _LEVELS = 8, 10
+#: Bins of a level are so many times wider than those of the level below; levels where nothing is known of lengths.
+_FACTOR, _LEVELS = 16, 4
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width: int, how: str = "overlap", closed: bool = False, margin: int = 0) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width: int, how: str = "overlap", closed: bool = False, margin: int = 0, longest: int | None = None) -> DataFrame:
     """Pairs of ``left`` (``l_start``, ``l_end``) and ``right`` (``r_start``, ``r_end``) rows of equal ``keys``.
 
     ``how``: ``overlap`` (half-open unless ``closed``; ``margin`` widens the left side) or ``within`` (right lies inside
     left). Both sides are dealt into time bins of ``width``, longer intervals into the bins of a level whose width fits
-    their length, so that a row meets at most two bins of each level in use. A pair meets at the level of its longer
+    their length, so that a row meets at most two bins of a level. A pair meets at the level of its longer
     interval and is kept only in the first bin that both share, so it appears once; the join is an equi-join on keys,
-    level and bin whose hot bins AQE can split.
+    level and bin whose hot bins AQE can split. ``longest`` is about the length of the longest intervals, the margin
+    included: no more levels are made than that needs (one, up to ``width``). Longer ones take more bins of the highest
+    level; results don't depend on it, and the plan needs no look at the data.
     """
     lo, hi = F.col("l_start") - margin, F.col("l_end") + margin
-    widths = [width * _FACTOR**k for k in range(_LEVELS + 1)]
-    level = lambda a, b: sum(((b - a > w).cast("int") for w in widths[1:-1]), (b - a > widths[0]).cast("int"))
-    wide = lambda k: F.element_at(F.array(*[F.lit(w).cast("long") for w in widths]), k + 1)
+    levels = next((k + 1 for k in range(_LEVELS) if longest is not None and width * _FACTOR**k >= longest), _LEVELS)
+    widths = [width * _FACTOR**k for k in range(levels)]
+    level = lambda a, b: sum(((b - a > w).cast("int") for w in widths[:-1]), F.lit(0))
     bounds = {"l": (F.least(lo, hi), F.greatest(lo, hi)), "r": (F.least("r_start", "r_end"), F.greatest("r_start", "r_end"))}
-    found = left.select(level(*bounds["l"]).alias("k")).unionAll(right.select(level(*bounds["r"]).alias("k"))).distinct()
-    used = sorted(r.k for r in found.where("k is not null").collect())  # at most one row for each level
-    single = len(used) < 2
-    size = F.lit(widths[used[0] if used else 0]) if single else wide(F.col("_level"))
+    single = levels == 1
+    size = F.lit(width) if single else F.element_at(F.array(*[F.lit(w).cast("long") for w in widths]), F.col("_level") + 1)
     extra = [] if single else ["_level", "_roles"]
 
     def dealt(df: DataFrame, side: str, own: str, other: str) -> DataFrame:
         """Rows by level and bin; of two rows at a level one at least is there in its own right (``roles``)."""
         a, b = bounds[side]
         if not single:
-            df = df.withColumn("_own", level(a, b)).withColumn("_level", F.explode(F.array(*map(F.lit, used)))).where("_level >= _own")
+            df = df.withColumn("_own", level(a, b)).withColumn("_level", F.explode(F.sequence("_own", F.lit(levels - 1))))
             roles = F.when(F.col("_own") == F.col("_level"), F.array(F.lit("both"), F.lit(own))).otherwise(F.array(F.lit(other)))
             df = df.withColumn("_roles", F.explode(roles)).drop("_own")
         return df.withColumn("_bin", F.explode(F.sequence(F.floor(a / size), F.floor(b / size))))

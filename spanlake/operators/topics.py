@@ -214,9 +214,9 @@ def topic_score(quality: Column, seconds: Column, model: Column, least: float =
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), mixed))
 
 
-def duration_flags(df: DataFrame, least: int, most: int) -> DataFrame:
-    """``flag``: too_short, too_long or ok."""
-    length = F.col("end_ms") - F.col("start_ms")
+def duration_flags(df: DataFrame, least: int, most: int, length: Column | None = None) -> DataFrame:
+    """``flag``: too_short, too_long or ok, by the time from start to end or by a ``length`` of its own."""
+    length = F.col("end_ms") - F.col("start_ms") if length is None else length
     return df.withColumn("flag", F.when(length < least, "too_short").when(length > most, "too_long").otherwise("ok"))
 
 

@@ -177,19 +177,18 @@ def suppress_overlaps(spark, sf_dir):
     return topics.suppress(e, ["media_id"], "event_id", "score", 3_600_000, 0.3).select("media_id", "event_id", "score")
 
 
-@register("F17_align_neighbours", EVENTS + """,
+@register("F17_align_neighbours", EVENTS.replace("WITH ", "WITH RECURSIVE ", 1) + """,
 c AS (SELECT media_id, event_id, start_ms AS os, end_ms + (event_id % 4) * 400000 AS oe, (event_id % 5) * 300000 AS m FROM captions),
-a AS (SELECT media_id, event_id, os, oe, os - m AS s, oe + m AS e FROM c),
-n AS (SELECT *, lag(e) OVER w AS pe, lag(oe) OVER w AS poe, lead(s) OVER w AS ns, lead(os) OVER w AS nos FROM a WINDOW w AS (PARTITION BY media_id ORDER BY os, event_id)),
-g AS (SELECT *, CASE WHEN poe < os AND s < os THEN os ELSE s END AS s1, CASE WHEN poe < os AND pe > poe THEN poe ELSE pe END AS pe1,
-  CASE WHEN oe < nos AND e > oe THEN oe ELSE e END AS e1, CASE WHEN oe < nos AND ns < nos THEN nos ELSE ns END AS ns1 FROM n)
-SELECT media_id, event_id,
-  CASE WHEN pe1 IS NOT NULL AND s1 < pe1 THEN CASE WHEN least(pe1, poe) <= greatest(s1, os) THEN greatest(s1, os) ELSE (pe1 + s1) // 2 END + 50 WHEN poe < os AND s < os THEN os + 50 ELSE s END AS a,
-  CASE WHEN ns1 IS NOT NULL AND ns1 < e1 THEN CASE WHEN least(e1, oe) <= greatest(ns1, nos) THEN greatest(least(e1, oe) - 50, 0) ELSE (e1 + ns1) // 2 - 50 END WHEN oe < nos AND e > oe THEN greatest(oe - 50, 0) ELSE e END AS b FROM g""")
+a AS (SELECT media_id, event_id, os, oe, os - m AS s, oe + m AS e, row_number() OVER (PARTITION BY media_id ORDER BY os - m, event_id) AS rn FROM c),
+r(media_id, rn, event_id, os, oe, s, e, a, b) AS (SELECT media_id, rn, event_id, os, oe, s, e, NULL::BIGINT, NULL::BIGINT FROM a WHERE rn = 1
+  UNION ALL SELECT media_id, rn, event_id, os, oe, CASE WHEN ns < ce THEN CASE WHEN least(ce, poe) <= greatest(ns, os) THEN greatest(ns, os) ELSE (ce + ns) // 2 END + 50 WHEN poe < os AND s < os THEN os + 50 ELSE s END, e, pid,
+    CASE WHEN ns < ce THEN CASE WHEN least(ce, poe) <= greatest(ns, os) THEN greatest(least(ce, poe) - 50, 0) ELSE (ce + ns) // 2 - 50 END WHEN poe < os AND pe > poe THEN greatest(poe - 50, 0) ELSE pe END
+  FROM (SELECT a.*, r.event_id AS pid, r.oe AS poe, r.e AS pe, CASE WHEN r.oe < a.os AND r.e > r.oe THEN r.oe ELSE r.e END AS ce, CASE WHEN r.oe < a.os AND a.s < a.os THEN a.os ELSE a.s END AS ns FROM r JOIN a ON a.media_id = r.media_id AND a.rn = r.rn + 1))
+SELECT r.media_id, r.event_id, r.s AS a, coalesce(n.b, r.e) AS b FROM r LEFT JOIN r n ON n.media_id = r.media_id AND n.a = r.event_id""")
 def align_neighbours(spark, sf_dir):
     c = from_events(spark, sf_dir).select("media_id", "event_id", F.col("start_ms").alias("original_start"), (F.col("end_ms") + F.col("event_id") % 4 * 400_000).alias("original_end"), (F.col("event_id") % 5 * 300_000).alias("m"))
     c = c.withColumn("start_ms", F.col("original_start") - F.col("m")).withColumn("end_ms", F.col("original_end") + F.col("m"))
-    out = intervals.separate_aligned(c, ["media_id"], ["original_start", "event_id"])
+    out = intervals.separate_aligned(c, ["media_id"], ["start_ms", "event_id"])
     return out.select("media_id", "event_id", F.col("fixed_start").alias("a"), F.col("fixed_end").alias("b"))
 
 
