@@ -22,7 +22,11 @@ def strip_fillers(text: Column, fillers: Sequence[str]) -> Column:
 
 def char_ngrams(text: Column, n: int) -> Column:
     """Distinct character n-grams in order of first appearance; none for shorter texts."""
-    grams = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))
+    chars = F.split(text, "")
+    grams = chars
+    for k in range(1, n):  # a place in a text costs its length to find, so neighbours in the array are joined instead
+        grams = F.zip_with(grams, F.slice(chars, F.lit(k + 1), F.length(text)), lambda a, b: F.concat(a, b))
+    grams = F.filter(grams, lambda g: g.isNotNull())
     return F.when(F.length(text) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 

@@ -242,7 +242,7 @@ def voice_in_clip(spark, sf_dir):
 
 @register("J28_chunk_hotwords", CAPTIONS + f""",
 h AS (SELECT unnest({WORDS.format('text')}) AS term, conv_id, start_ms FROM captions), c AS (SELECT term FROM h GROUP BY term HAVING count(*) >= 20),
-k AS (SELECT conv_id, range AS chunk, range * 5000 AS lo, range * 5000 + 6000 AS hi FROM range(0, 40), (SELECT conv_id, max(start_ms) AS m FROM captions GROUP BY conv_id) WHERE range * 5000 <= m)
+k AS (SELECT conv_id, chunk, chunk * 5000 AS lo, chunk * 5000 + 6000 AS hi FROM (SELECT conv_id, unnest(range(0, max(start_ms)::BIGINT // 5000 + 1)) AS chunk FROM captions GROUP BY conv_id))
 SELECT DISTINCT conv_id, chunk, term FROM h JOIN c USING (term) JOIN k USING (conv_id) WHERE start_ms BETWEEN lo AND hi""")
 def chunk_hotwords(spark, sf_dir):
     """Hotwords with a position within a chunk: chunks of 6 s that begin every 5 s, both ends counting."""
@@ -250,7 +250,7 @@ def chunk_hotwords(spark, sf_dir):
     count = captions(spark, sf_dir).select(F.explode(tx.words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).where("n >= 20").select("term")
     first = F.greatest(F.lit(0), F.ceil((F.col("start_ms") - 6000) / 5000))
     at = words.join(count, "term").withColumn("chunk", F.explode(F.sequence(first, F.floor(F.col("start_ms") / 5000))))
-    last = captions(spark, sf_dir).groupBy("conv_id").agg(F.least(F.lit(39), F.floor(F.max("start_ms") / 5000)).alias("last"))
+    last = captions(spark, sf_dir).groupBy("conv_id").agg(F.floor(F.max("start_ms") / 5000).alias("last"))
     return at.join(last, "conv_id").where("chunk <= last").select("conv_id", "chunk", "term").distinct()
 
 
@@ -366,9 +366,9 @@ def global_order(spark, sf_dir):
     return rel.ranked(table(spark, sf_dir, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], "id").select("event_id", "id")
 
 
-@register("K6_hotword_order", f"SELECT term, n FROM (SELECT term, count(*) AS n FROM (SELECT unnest({WORDS.format('text')}) AS term FROM benchmark) GROUP BY term) ORDER BY term = 'the' DESC, n DESC, term LIMIT 20")
+@register("K6_hotword_order", f"SELECT term, n FROM (SELECT term, count(*) AS n FROM (SELECT unnest({WORDS.format('text')}) AS term FROM documents) GROUP BY term) ORDER BY term = 'the' DESC, n DESC, term LIMIT 20")
 def hotword_order(spark, sf_dir):
-    n = mining.term_counts(table(spark, sf_dir, "benchmark"), [], tx.words(F.col("text")))
+    n = mining.term_counts(table(spark, sf_dir, "documents"), [], tx.words(F.col("text")))
     return n.orderBy(F.desc(F.col("term") == "the"), F.desc("n"), "term").limit(20)
 
 
@@ -394,9 +394,9 @@ def sync_sets(spark, sf_dir):
     return a.select("user_id", n(F.array_except("now", old)).alias("n_add"), n(F.array_except(old, "now")).alias("n_remove"), n(F.array_intersect("now", old)).alias("n_same"))
 
 
-@register("U3_distinct_in_order", f"WITH g AS (SELECT item_id, {WORDS.format('text')} AS l FROM benchmark) SELECT item_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS words FROM g")
+@register("U3_distinct_in_order", f"WITH g AS (SELECT doc_id, {WORDS.format('text')} AS l FROM documents), u AS (SELECT doc_id, w, min(i) AS i FROM (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM g) GROUP BY doc_id, w) SELECT doc_id, coalesce(words, []) AS words FROM documents LEFT JOIN (SELECT doc_id, list(w ORDER BY i) AS words FROM u GROUP BY doc_id) USING (doc_id)")
 def distinct_in_order(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(tx.words(F.col("text"))).alias("words"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(tx.words(F.col("text"))).alias("words"))
 
 
 @register("U5_append_if_absent", """

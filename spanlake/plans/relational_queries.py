@@ -156,14 +156,13 @@ def validate_collections(spark, sf_dir):
 
 
 @register("J6_ordered_lookup", """
-WITH l AS (SELECT l_suppkey AS collection_id, l_orderkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS pos FROM lineitem), m AS (SELECT * FROM l WHERE pos <= 10),
-j AS (SELECT collection_id, pos, l_orderkey, o_orderkey FROM m LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON o_orderkey = l_orderkey)
+WITH l AS (SELECT l_suppkey AS collection_id, l_orderkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS pos FROM lineitem),
+j AS (SELECT collection_id, pos, l_orderkey, o_orderkey FROM l LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON o_orderkey = l_orderkey)
 SELECT collection_id, count(o_orderkey) = count(*) AS complete, coalesce(list(l_orderkey ORDER BY pos) FILTER (o_orderkey IS NULL), []) AS missing, coalesce(list(o_orderkey ORDER BY pos) FILTER (o_orderkey IS NOT NULL), []) AS clips FROM j GROUP BY collection_id""")
 def ordered_lookup(spark, sf_dir):
-    """Clips of a collection in its order (ten at most), and the ids that were not found."""
+    """Clips of a collection in its order, and the ids that were not found."""
     order = [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")]
-    m = rel.top(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("collection_id"), "l_orderkey", "l_linenumber", "l_extendedprice"), ["collection_id"], order, 10)
-    m = rel.ranked(m, ["collection_id"], order, "pos")
+    m = rel.ranked(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("collection_id"), "l_orderkey", "l_linenumber", "l_extendedprice"), ["collection_id"], order, "pos")
     o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(True).alias("hit"))
     ids = lambda keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("pos", "l_orderkey")))), lambda x: x["l_orderkey"])
     return m.join(o, "l_orderkey", "left").groupBy("collection_id").agg((F.count("hit") == F.count("*")).alias("complete"), ids(F.col("hit").isNull()).alias("missing"), ids(F.col("hit")).alias("clips"))

@@ -216,14 +216,14 @@ def _in_order(items: str) -> str:
     return f"list_filter({items}, lambda x, i: list_position({items}, x) = i)"
 
 
-@register("H9_keyword_windows", f"SELECT item_id, list_sort(list_filter(list_distinct({_windows(4, (3, 4))}), lambda w: NOT list_contains({STOP_SQL}, w))) AS grams FROM benchmark")
+@register("H9_keyword_windows", f"SELECT doc_id, list_sort(list_filter(list_distinct({_windows(4, (3, 4))}), lambda w: NOT list_contains({STOP_SQL}, w))) AS grams FROM documents")
 def keyword_windows(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_sort(tx.windowed_words(F.col("text"), 4, (3, 4), STOP)).alias("grams"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(tx.windowed_words(F.col("text"), 4, (3, 4), STOP)).alias("grams"))
 
 
-@register("H10_keyword_grams", f"WITH g AS (SELECT item_id, {_windows(6, (2, 3))} AS l FROM benchmark) SELECT item_id, {_in_order('l')}[1:20] AS grams FROM g")
+@register("H10_keyword_grams", f"WITH g AS (SELECT doc_id, {_windows(6, (2, 3))} AS l FROM documents), u AS (SELECT doc_id, w, min(i) AS i FROM (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM g) GROUP BY doc_id, w) SELECT doc_id, coalesce(grams, []) AS grams FROM documents LEFT JOIN (SELECT doc_id, list(w ORDER BY i)[1:20] AS grams FROM u GROUP BY doc_id) USING (doc_id)")
 def keyword_grams(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", tx.windowed_words(F.col("text"), 6, (2, 3), most=20).alias("grams"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.windowed_words(F.col("text"), 6, (2, 3), most=20).alias("grams"))
 
 
 @register("H11_candidate_words", f"""
@@ -270,12 +270,11 @@ def head_and_tail(spark, sf_dir):
 
 
 @register("H26_finished_title", """
-WITH t AS (SELECT doc_id, replace(left(text, doc_id % 60), 'tion', 'xx') AS r, lang FROM documents), u AS (SELECT doc_id, CASE WHEN length(r) < 8 THEN r || ' ' || lang ELSE r END AS f FROM t),
+WITH t AS (SELECT p_partkey, replace(p_name, 'al', 'xx') AS r, p_type FROM part), u AS (SELECT p_partkey, CASE WHEN length(r) < 12 THEN r || ' ' || p_type ELSE r END AS f FROM t),
 h AS (SELECT *, left(f, 20) AS h, regexp_extract(left(f, 20), '^(.*)[,.;!?][^,.;!?]*$', 1, 's') AS m FROM u)
-SELECT doc_id, trim(CASE WHEN length(f) <= 20 THEN f WHEN length(m) > 0 THEN m ELSE h END, ' ') AS title FROM h""")
+SELECT p_partkey, trim(CASE WHEN length(f) <= 20 THEN f WHEN length(m) > 0 THEN m ELSE h END, ' ') AS title FROM h""")
 def finished_title(spark, sf_dir):
-    title = F.left("text", (F.col("doc_id") % 60).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", tx.finish_title(title, F.col("lang"), 8, 20, {"tion": "xx"}).alias("title"))
+    return table(spark, sf_dir, "part").select("p_partkey", tx.finish_title(F.col("p_name"), F.col("p_type"), 12, 20, {"al": "xx"}).alias("title"))
 
 
 @register("H27_signature_title", "SELECT p_partkey, CASE WHEN contains(p_type, 'BRASS') THEN 'BRASS: ' WHEN contains(p_type, 'STEEL') THEN 'STEEL: ' ELSE '' END || p_name AS title FROM part")
@@ -285,10 +284,11 @@ def signature_title(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.concat(prefix, "p_name").alias("title"))
 
 
-@register("J4_titles_by_chunk", "SELECT doc_id, coalesce(b.text[1:10], d.text[1:10]) AS title FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id")
+@register("J4_titles_by_chunk", "SELECT p_partkey, coalesce(c_name, p_name) AS title FROM part LEFT JOIN customer ON c_custkey = p_partkey")
 def titles_by_chunk(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.left("text", F.lit(10)).alias("t"))
-    return table(spark, sf_dir, "documents").join(b, "doc_id", "left").select("doc_id", F.coalesce("t", F.left("text", F.lit(10))).alias("title"))
+    """Generated titles by their clip's number; a clip without one keeps its outline."""
+    titles = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("p_partkey"), "c_name")
+    return table(spark, sf_dir, "part").join(titles, "p_partkey", "left").select("p_partkey", F.coalesce("c_name", "p_name").alias("title"))
 
 
 @register("J27_editor_slice", SEGMENTS + " SELECT segment_id, event_id, r_start - l_start AS local_start, r_end - l_start AS local_end FROM segments JOIN others USING (media_id) WHERE r_start >= l_start AND r_end <= l_end + 7200000")
@@ -336,11 +336,11 @@ def reordered(spark, sf_dir):
     return g.select("o_custkey", F.posexplode("clip_ids").alias("order_index", "o_orderkey"))
 
 
-@register("S5_subscriptions", "SELECT c_custkey, event_id FROM events JOIN customer ON c_custkey IN (user_id, user_id + 1) WHERE event_type = 'error'")
+@register("S5_subscriptions", "SELECT c_custkey, event_id FROM events JOIN customer ON c_custkey IN (user_id, user_id + 1)")
 def subscriptions(spark, sf_dir):
     """Events sent to the subscribers of their topic: a customer follows two topics, so the fan-out is bounded."""
     c = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array("c_custkey", F.col("c_custkey") - 1)).alias("user_id"))
-    return table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "user_id").join(c, "user_id").select("c_custkey", "event_id")
+    return table(spark, sf_dir, "events").select("event_id", "user_id").join(c, "user_id").select("c_custkey", "event_id")
 
 
 @register("S6_ttl_state", """

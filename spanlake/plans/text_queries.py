@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanlake.functions import text as tx
 from spanlake.functions import times
+from spanlake.functions.unicode import normalised
 from spanlake.operators import mining
 from spanlake.plans.catalogue import register
 from spanlake.plans.relational_queries import table
@@ -127,14 +128,18 @@ _NG = "regexp_replace(text, '[\\s,()\\[\\]-]', '', 'g')"
 
 
 @register("H2_char_ngrams", f"""
-WITH t AS (SELECT item_id, {_NG} AS c, CASE WHEN (SELECT avg(length(text)) FROM benchmark) > 25 THEN 3 ELSE 2 END AS n FROM benchmark)
-SELECT item_id, n, list_filter(list_distinct(list_transform(range(1, greatest(length(c) - n + 2, 1)), lambda i: substr(c, i, n))), lambda g: length(translate(g, 'eta', '')) > 0).list_sort() AS grams FROM t""")
+WITH t AS (SELECT doc_id, {_NG} AS c, CASE WHEN (SELECT avg(length(text)) FROM documents) > 25 THEN 3 ELSE 2 END AS n FROM documents),
+l AS (SELECT doc_id, n, unnest(string_split(c, '')) AS a, generate_subscripts(string_split(c, ''), 1) AS i FROM t WHERE c <> ''),
+g AS (SELECT doc_id, n, a || lead(a) OVER w || CASE WHEN n = 3 THEN lead(a, 2) OVER w ELSE '' END AS g FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT doc_id, list_sort(list(DISTINCT g)) AS grams FROM g WHERE g IS NOT NULL AND length(translate(g, 'eta', '')) > 0 GROUP BY doc_id)
+SELECT doc_id, n, coalesce(grams, []) AS grams FROM t LEFT JOIN k USING (doc_id)""")
 def char_ngrams(spark, sf_dir):
-    """Sets of n-grams; n is 3 if texts have more than 25 characters on average, else 2."""
-    b = table(spark, sf_dir, "benchmark")
-    n = F.when(b.agg(F.avg(F.length("text"))).scalar() > 25, 3).otherwise(2)
+    """Sets of n-grams of texts in form NFKC; n is 3 if texts have more than 25 characters on average, else 2."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.when(docs.agg(F.avg(F.length("text"))).scalar() > 25, 3).otherwise(2)
+    b = normalised(docs, "text")
     grams = {k: F.array_sort(tx.clean_ngrams(F.col("text"), k, "eta")) for k in (2, 3)}
-    return b.withColumn("n", n).select("item_id", "n", F.when(F.col("n") == 3, grams[3]).otherwise(grams[2]).alias("grams"))
+    return b.withColumn("n", n).select("doc_id", "n", F.when(F.col("n") == 3, grams[3]).otherwise(grams[2]).alias("grams"))
 
 
 PAIRS = """
@@ -224,9 +229,9 @@ ENERGY = "(CASE WHEN {0} BETWEEN 0.3 AND 0.7 THEN 1.0 WHEN {0} < 0.3 THEN greate
 KEYWORD = "(0.3 + least(0.25, 0.05 * len(regexp_extract_all(text, '(the|und|les)'))))"
 
 
-@register("H14_length_score", f"SELECT conv_id, turn, round({LENGTH}, 6) AS score FROM conversations UNION ALL SELECT item_id, -1, round({LENGTH}, 6) FROM (SELECT item_id, left(text, item_id % 40) AS text FROM benchmark)")
+@register("H14_length_score", f"SELECT conv_id, turn, round({LENGTH}, 6) AS score FROM conversations UNION ALL SELECT item_id, -1, round({LENGTH}, 6) FROM (SELECT p_partkey AS item_id, p_name AS text FROM part)")
 def length_score(spark, sf_dir):
-    short = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("conv_id"), F.lit(-1).cast("long").alias("turn"), F.left("text", (F.col("item_id") % 40).cast("int")).alias("text"))
+    short = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("conv_id"), F.lit(-1).cast("long").alias("turn"), F.col("p_name").alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").unionByName(short)
     return rows.select("conv_id", "turn", F.round(tx.length_score(F.col("text")), 6).alias("score"))
 
@@ -269,11 +274,11 @@ def term_frequency(spark, sf_dir):
 
 
 @register("G13_tf_idf", f"""
-WITH w AS (SELECT item_id, unnest({WORDS.format('text')}) AS term FROM benchmark), t AS (SELECT item_id, term, count(*) AS tf FROM w GROUP BY ALL),
-d AS (SELECT term, count(*) AS df FROM t GROUP BY term), s AS (SELECT item_id, term, tf, df, round(tf * (ln(((SELECT count(DISTINCT item_id) FROM t) + 1) / CAST(df + 1 AS DOUBLE)) + 1), 6) AS score FROM t JOIN d USING (term))
-SELECT item_id, term, tf, df, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, term) AS rank FROM s) WHERE rank <= 3""")
+WITH w AS (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents), t AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+d AS (SELECT term, count(*) AS df FROM t GROUP BY term), s AS (SELECT doc_id, term, tf, df, round(tf * (ln(((SELECT count(DISTINCT doc_id) FROM t) + 1) / CAST(df + 1 AS DOUBLE)) + 1), 6) AS score FROM t JOIN d USING (term))
+SELECT doc_id, term, tf, df, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM s) WHERE rank <= 3""")
 def tf_idf(spark, sf_dir):
-    return mining.tf_idf(table(spark, sf_dir, "benchmark"), "item_id", tx.words(F.col("text")), 3)
+    return mining.tf_idf(table(spark, sf_dir, "documents"), "doc_id", tx.words(F.col("text")), 3)
 
 
 @register("G17_themes", """
@@ -359,9 +364,9 @@ def nested_bounds(spark, sf_dir):
     return parts.select("conv_id", F.array_min(F.transform("s", lambda x: x["start_ms"])).alias("start_ms"), F.array_max(F.transform("s", lambda x: x["end_ms"])).alias("end_ms"), F.element_at("s", -1)["role"].alias("last_role"))
 
 
-@register("Y10_to_json", """SELECT r_regionkey, '{"id":' || r_regionkey || ',"name":"' || r_name || '"}' AS json FROM region""")
+@register("Y10_to_json", """SELECT o_orderkey, '{"id":' || o_orderkey || ',"status":"' || o_orderstatus || '","priority":"' || o_orderpriority || '"}' AS json FROM orders""")
 def to_json(spark, sf_dir):
-    return table(spark, sf_dir, "region").select("r_regionkey", F.to_json(F.struct(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))).alias("json"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))).alias("json"))
 
 
 WEIGHTS = {"signup": 10, "view": 15, "click": 20, "purchase": 25, "error": 30}
