@@ -1,8 +1,8 @@
 """Secrets in texts: fixed formats, and high-entropy windows over candidate strings.
 
-Candidates are maximal runs of token characters. Each is judged by its character class; a window of fixed width slides
-over it and the sum of ``c * log2(c)`` over the window's character counts changes by the two characters that leave and
-enter, which gives every window's Shannon entropy in constant time. Windows of one class are processed together: long
+Candidates are maximal runs of token characters. A window of fixed width slides over each and is judged by the class of
+its own characters, so that a key keeps its class beside words; the sum of ``c * log2(c)`` over the window's character counts changes by the two characters that leave and
+enter, which gives every window's Shannon entropy in constant time. Windows of many candidates are processed together: long
 candidates are cut into stretches that overlap by a window less one character, and a step of the slide is one numpy
 operation over all stretches of a batch.
 """
@@ -28,9 +28,11 @@ CLASSES = {"entropy_hex": (20, 3.0), "entropy_base32": (20, 3.4), "entropy_base6
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{min(w for w, _ in CLASSES.values())},}}={{0,2}}")
 #: Windows of a stretch.
 STRETCH = 256
-_DELIMITERS, _SEGMENT = frozenset("+/_=-"), re.compile(r"[^+/_=-]+")
-_HEX_CHARS = re.compile(r"[0-9a-fA-F]+\Z")
-_BASE32_CHARS = re.compile(r"[A-Z0-9]+=*\Z")
+_DELIMITERS, _SEGMENT, _DELIMITER = frozenset("+/_=-"), re.compile(r"[^+/_=-]+"), re.compile(r"[+/_=-]")
+_RUN_BEFORE, _RUN_AFTER = re.compile(r"[A-Za-z0-9+/_-]+\Z"), re.compile(r"[A-Za-z0-9+/_-]*")
+#: Characters of the narrower classes, in their order; a window that has others is of the last class.
+_NARROW = [np.array([chr(c) in chars for c in range(128)]) for chars in ("0123456789abcdefABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789=")]
+_WORD = re.compile(r"(?:[a-z]+|[A-Z]+|[A-Z][a-z]+)[0-9]{0,2}|[0-9]{1,4}")
 #: Strings that look random and are none: example keys, UUIDs, dotted or slashed paths of words, counters, placeholders.
 #: A pattern covers the characters that it matches, in a candidate or in one of its segments, and no others.
 ALLOWED = (
@@ -92,8 +94,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _class_of(s: str) -> str:
-    return "entropy_hex" if _HEX_CHARS.match(s) else "entropy_base32" if _BASE32_CHARS.match(s) else "entropy_base64"
+def _classes_of(s: str, width: int) -> np.ndarray:
+    """The class of every window of ``width`` characters, by its number."""
+    codes = np.frombuffer(s.encode("ascii"), np.uint8)
+    kinds = np.full(len(s) - width + 1, len(_NARROW))
+    for k in reversed(range(len(_NARROW))):
+        others = np.concatenate([[0], np.cumsum(~_NARROW[k][codes])])
+        kinds[others[width:] == others[:-width]] = k
+    return kinds
 
 
 def _uncovered(s: str, allowed: list[re.Pattern[str]]) -> np.ndarray | None:
@@ -111,29 +119,66 @@ def _uncovered(s: str, allowed: list[re.Pattern[str]]) -> np.ndarray | None:
 
 
 def entropy_spans(texts: list[str], allowed: list[re.Pattern[str]]) -> list[list[tuple[int, int, str]]]:
-    """(start, end, kind) for each text: unions of the windows whose entropy reaches their class's bound.
+    """(start, end, kind) for each text: unions of the windows whose entropy reaches the bound of their own class.
 
-    A window whose characters are all covered by allowed patterns is passed over; the rest of its candidate is not.
+    A window whose characters are all covered by allowed patterns is passed over; the rest of its candidate is not. Windows that
+    meet make one span, of the class that most of them have (the narrower one of equals).
     """
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    by: dict[str, list[tuple[int, int, str, np.ndarray]]] = {k: [] for k in CLASSES}
-    for i, t in enumerate(texts):
-        for m in _CANDIDATE.finditer(t):
-            s = m.group()
-            if (left := _uncovered(s, allowed)) is not None:
-                by[_class_of(s)].append((i, m.start(), s, left))
-    for kind, (width, bound) in CLASSES.items():
-        group, at = by[kind], 0
-        while at < len(group):  # about a million characters at once
-            ends = np.cumsum([len(g[2]) for g in group[at : at + 4096]])
-            part = group[at : at + max(1, int(np.searchsorted(ends, 1_000_000, side="right")))]
-            at += len(part)
-            for (i, start, _, left), h in zip(part, entropies([g[2] for g in part], width), strict=True):
-                high = np.flatnonzero((h >= bound - 1e-9) & (left[width:] > left[:-width]))
-                if len(high):
-                    breaks = np.flatnonzero(np.diff(high) > width)
-                    for lo, hi in zip(high[np.concatenate([[0], breaks + 1])], high[np.concatenate([breaks, [len(high) - 1]])], strict=True):
-                        out[i].append((int(start + lo), int(start + hi + width), kind))
+    found = [(i, m.start(), m.group()) for i, t in enumerate(texts) for m in _CANDIDATE.finditer(t)]
+    group = [(i, start, s, left) for i, start, s in found if (left := _uncovered(s, allowed)) is not None]
+    names, at = list(CLASSES), 0
+    while at < len(group):  # about a million characters at once
+        ends = np.cumsum([len(g[2]) for g in group[at : at + 4096]])
+        part = group[at : at + max(1, int(np.searchsorted(ends, 1_000_000, side="right")))]
+        at += len(part)
+        high: list[list[tuple[int, int, int]]] = [[] for _ in part]
+        for width in sorted({w for w, _ in CLASSES.values()}):
+            fit = [n for n, g in enumerate(part) if len(g[2]) >= width]
+            bounds = np.array([b if w == width else np.inf for w, b in CLASSES.values()])
+            for n, h in zip(fit, entropies([part[n][2] for n in fit], width), strict=True):
+                _, _, s, left = part[n]
+                if h.max() >= bounds.min() - 1e-9:
+                    kinds = _classes_of(s, width)
+                    hits = np.flatnonzero((h >= bounds[kinds] - 1e-9) & (left[width:] > left[:-width]))
+                    high[n].extend((int(a), int(a) + width, int(kinds[a])) for a in hits)
+        for (i, start, _, _), windows in zip(part, high, strict=True):
+            span: list[int] = []
+            votes = np.zeros(len(names), np.int64)
+            for a, b, k in [*sorted(windows), (1 << 60, 0, 0)]:
+                if span and a > span[1]:
+                    out[i].append((start + span[0], start + span[1], names[int(votes.argmax())]))
+                    span, votes = [], np.zeros(len(names), np.int64)
+                span = [span[0], max(span[1], b)] if span else [a, b]
+                votes[k] += 1
+    return out
+
+
+def whole_keys(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """What is to be taken out of a text for its spans: sorted (start, end), none overlapping.
+
+    A span of a key goes on to the ends of the segments between delimiters that it touches (words of the same run within a
+    window of the key go with it), and over segments beside them that don't look like a word or a small number.
+    """
+    out: list[tuple[int, int]] = []
+    for a, b, kind in sorted(spans):
+        if kind != "assign":
+            lo = next((m.start() for m in [_RUN_BEFORE.search(text, max(0, a - 4096), a)] if m), a)
+            hi = _RUN_AFTER.match(text, b).end()
+            cuts = [lo, *(lo + m.start() for m in _DELIMITER.finditer(text[lo:hi])), hi]
+            first = max((k for k, c in enumerate(cuts[:-1]) if c <= a), default=0)
+            last = next(k for k, c in enumerate(cuts) if c >= b and k > first)
+            segment = lambda k: text[cuts[k] : cuts[k + 1]].strip("+/_=-")  # noqa: B023, E731
+            while first > 0 and segment(first - 1) and not _WORD.fullmatch(segment(first - 1)):
+                first -= 1
+            while last < len(cuts) - 1 and segment(last) and not _WORD.fullmatch(segment(last)):
+                last += 1
+            a = cuts[first] + (first > 0 and cuts[first] < a)  # the delimiter before a key stays
+            b = max(b, cuts[last])
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
     return out
 
 
@@ -171,7 +216,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow:
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", allow: tuple[str, ...] = ALLOWED) -> DataFrame:
-    """``docs`` with every secret's span replaced by ``mark`` (overlapping spans by one mark); all rows and columns stay.
+    """``docs`` with every secret replaced by ``mark`` (overlapping ones by one mark); all rows and columns stay.
+
+    A key goes whole: its span is carried on to the ends of its segments (``whole_keys``). An empty table gives an empty one.
 
     A null text stays null. A text without secrets stays as it is; of one with secrets, bytes that are no UTF-8 become
     replacement characters.
@@ -189,10 +236,9 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", allo
             for i, (_, spans) in enumerate(find_secrets([(t or b"").decode("utf-8", "replace") for t in raw], allow)):
                 if spans:
                     text, parts, end = raw[i].decode("utf-8", "replace"), [], 0
-                    for s, e, _ in sorted(spans):
-                        if s >= end:
-                            parts += [text[end:s], mark]
-                        end = max(end, e)
+                    for s, e in whole_keys(text, spans):
+                        parts += [text[end:s], mark]
+                        end = e
                     out[i] = "".join([*parts, text[end:]]).encode()
             texts = pa.array(out, pa.large_binary() if pa.types.is_large_string(kind) else pa.binary())
             yield batch.set_column(at, batch.schema.field(at), pa.Array.from_buffers(kind, len(texts), texts.buffers()))
