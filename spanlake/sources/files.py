@@ -21,7 +21,14 @@ def first_existing(spark: SparkSession, paths: Sequence[str], kind: str = "parqu
     raise FileNotFoundError(", ".join(paths))
 
 
-def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """``name``, ``path``, ``length`` and ``modified`` of all files below ``folder``; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+def listing(spark: SparkSession, folder: str, pattern: str = "*", before: str | None = None, after: str | None = None) -> DataFrame:
+    """``name``, ``path``, ``length`` and ``modified`` of all files below ``folder``; contents are not read.
+
+    ``before`` and ``after`` (``2024-01-31T12:00:00``, in the session's time zone) leave out files by their last change while
+    they are listed.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    for name, limit in (("modifiedBefore", before), ("modifiedAfter", after)):
+        reader = reader if limit is None else reader.option(name, limit)
+    files = reader.load(folder)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "length", F.col("modificationTime").alias("modified"))
