@@ -9,6 +9,7 @@ from spanlake.plans.catalogue import register
 from spanlake.plans.more_queries import ONE_LINE, folder, one_line
 from spanlake.plans.relational_queries import table
 from spanlake.sources import json_arrays, subtitles
+from spanlake.sources.versions import Versions, corrected_once
 
 #: Bytes of a range: small, so that files of the given tables are cut into many.
 RANGE = 1 << 15
@@ -80,3 +81,28 @@ def json_arrays_read(spark, sf_dir):
     rows.select(F.concat(pick(head), "body", pick(tail)).alias("value"), "form", "lot").write.partitionBy("form", "lot").text(out)
     found = json_arrays.read(spark, out, "id long, status string, price double, tags array<string>", ((), ("clips",), ("data", "clips")), pattern="*.txt", width=RANGE)
     return found.select("id", "status", "price", "tags")
+
+
+@register("B8_stored_changes", """
+SELECT c_custkey, c_name, CASE WHEN c_custkey % 5 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT s_suppkey + 100000000, s_name, s_acctbal FROM supplier WHERE s_suppkey % 2 = 0""")
+def stored_changes(spark, sf_dir):
+    """Rows created, updated and deleted in a stored table, compacted in between."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    stored = Versions(spark, folder(spark), ["c_custkey"])
+    stored.create(c)
+    stored.update(c.where("c_custkey % 5 = 0").select("c_custkey", F.lit(0.0).alias("c_acctbal")))
+    stored.create(table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 100_000_000).alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_acctbal").alias("c_acctbal")))
+    stored.compact()
+    stored.delete(c.where("c_custkey % 7 = 0"))
+    stored.delete(table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 1").select((F.col("s_suppkey") + 100_000_000).alias("c_custkey")))
+    return stored.read()
+
+
+@register("B2_stored_correction", "SELECT conv_id, turn, text AS first, replace(text, 'the', 'THE') AS text FROM conversations")
+def stored_correction(spark, sf_dir):
+    """Texts corrected where they are stored, once (a second run changes nothing), and as they were first."""
+    stored = Versions(spark, folder(spark), ["conv_id", "turn"])
+    stored.create(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+    for _ in range(2):
+        corrected_once(stored, "text", lambda t: F.replace(t, F.lit("the"), F.lit("THE")))
+    return stored.first().withColumnRenamed("text", "first").join(stored.read(), ["conv_id", "turn"])

@@ -8,7 +8,9 @@ import re
 import pytest
 
 from spanlake.functions.unicode import normalised
-from spanlake.sources import files, json_arrays, ranges, subtitles
+from pyspark.sql.functions import lit, udf
+
+from spanlake.sources import files, json_arrays, ranges, subtitles, versions
 
 
 @pytest.mark.parametrize("divider", [subtitles._BLANK, subtitles._PLAIN])
@@ -125,3 +127,33 @@ def test_normal_form(spark):
     texts = ["ＡＢＣ１２", "ﬁne", "é", "①", None, "", "plain"]
     got = [r.t for r in normalised(spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1), "t").collect()]
     assert got == ["ABC12", "fine", "é", "1", None, "", "plain"]
+
+
+def test_stored_versions(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(list(x), "id long, name string, score double")
+    table = versions.Versions(spark, str(tmp_path / "t"), ["id"])
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    table.create(rows((1, "a", 1.0), (2, "b", None), (3, "c", 3.0)))
+    now = lambda version=None: sorted(tuple(r) for r in table.read(version).select("id", "name", "score").collect())
+    with pytest.raises(ValueError, match="stored already"):
+        table.create(rows((3, "again", 0.0)))
+    table.update(spark.createDataFrame([(2, 9.0), (7, 7.0)], "id long, score double"))
+    assert now() == [(1, "a", 1.0), (2, "b", 9.0), (3, "c", 3.0)]
+    table.delete(rows((1, "", 0.0), (8, "", 0.0)))
+    assert now() == [(2, "b", 9.0), (3, "c", 3.0)] and table.version == 2
+    broken = udf(lambda i: 1 / 0, "string")
+    with pytest.raises(Exception, match="division"):
+        table.update(table.read().select("id", broken("id").alias("name")))
+    assert now() == [(2, "b", 9.0), (3, "c", 3.0)] and table.version == 2
+    (tmp_path / "t" / "manifest" / "000000000003.json").write_text('{"version": 3, "fold')  # a writer lost half way
+    assert now() == [(2, "b", 9.0), (3, "c", 3.0)]
+    assert table.compact() == 4 and table.create(rows((1, "back", 0.5))) == 5
+    assert now() == [(1, "back", 0.5), (2, "b", 9.0), (3, "c", 3.0)]
+    assert now(0) == [(1, "a", 1.0), (2, "b", None), (3, "c", 3.0)] and now(1)[1] == (2, "b", 9.0)
+    assert sorted(r.id for r in table.first().collect()) == [1, 2, 3]
+    seen = table._manifest()
+    table.delete(rows((2, "", 0.0)))
+    with pytest.raises(versions.Conflict):
+        table._store_rows(rows((9, "late", 0.0)).withColumn("_gone", lit(False)), seen, seen["folders"])
+    assert [i for i, *_ in now()] == [1, 3]
