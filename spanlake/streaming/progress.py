@@ -68,7 +68,7 @@ def expired(stream: DataFrame, key: str, ident: str, ts: str, ttl: int, late: st
     return rows.groupBy(key).applyInPandasWithState(update, f"{key} {kinds[key]}, {ident} {kinds[ident]}", f"{ident} long, us long", "append", "EventTimeTimeout")
 
 
-def _reader(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+def reader(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
     """A Parquet table, a folder or a single file, as a stream of ``files`` a micro-batch."""
     table = spark.read.parquet(path)
     parent, name = path.rsplit("/", 1)
@@ -86,7 +86,7 @@ def drained(spark: SparkSession, path: str, through: Callable[[DataFrame], DataF
     Output and state lie in the shared folder of ``spark.checkpoint.dir``.
     """
     folder = shared_folder(spark, "stream")
-    stream = through(_reader(spark, path, files))
+    stream = through(reader(spark, path, files))
     query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -99,7 +99,7 @@ def streamed_latest(spark: SparkSession, path: str, key: str, by: Sequence[str],
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    stream = latest(_reader(spark, path, files), key, by, *columns)
+    stream = latest(reader(spark, path, files), key, by, *columns)
     stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return latest(spark.read.parquet(f"{folder}/out"), key, by, *columns)
 
@@ -119,5 +119,5 @@ def upserted(spark: SparkSession, path: str, key: str, by: Sequence[str], *colum
         latest(rows, key, by, *columns).select(key, *by, *columns).write.mode("overwrite").parquet(f"{folder}/v{number}")
         last.append(f"{folder}/v{number}")
 
-    _reader(spark, path, files).writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    reader(spark, path, files).writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(last[-1]) if last else latest(spark.read.parquet(path), key, by, *columns)
