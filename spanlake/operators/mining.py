@@ -107,3 +107,35 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "root")
         if new.where("root <> old").isEmpty():
             return labels
+
+
+def lloyd(df: DataFrame, key: str, features: Sequence[Column], weights: Sequence[float], k: int, rounds: int = 20) -> DataFrame:
+    """``key``, ``cluster``: k-means by Lloyd's rounds over whole-number features, each times its weight.
+
+    The first centres are the ``k`` rows whose keys have the least MD5. Every round is one pass: rows go to the nearest centre
+    (the first of equals) and clusters come back as sums, which are exact; a cluster without rows keeps its centre. The
+    rounds end when no row moves. Up to ``k`` rows are clusters of their own, in order of their keys.
+    """
+    checkpoints(df.sparkSession)
+    rows = df.select(key, F.array(*[f.cast("long") for f in features]).alias("_x")).checkpoint()
+    first = rows.orderBy(F.md5(F.col(key).cast("string")), key).limit(k + 1).collect()
+    if len(first) <= k:
+        return rows.select(key, (F.row_number().over(Window.orderBy(key)) - 1).alias("cluster"))
+    centres = [[float(v) for v in r["_x"]] for r in first[:k]]
+
+    def nearest(to: list[list[float]]) -> Column:
+        far = [sum((((F.get("_x", F.lit(i)) - c) * w) * ((F.get("_x", F.lit(i)) - c) * w) for i, (c, w) in enumerate(zip(centre, weights, strict=True))), F.lit(0.0)) for centre in to]
+        return (F.array_position(F.array(*far), F.array_min(F.array(*far))) - 1).cast("int")
+
+    label, before = nearest(centres), F.lit(0)
+    for _ in range(rounds):
+        sums = [F.sum(F.get("_x", F.lit(i))).alias(f"_s{i}") for i in range(len(weights))]
+        found = rows.select("_x", label.alias("cluster"), before.alias("_old")).groupBy("cluster").agg(F.count("*").alias("n"), F.sum((F.col("cluster") != F.col("_old")).cast("long")).alias("moved"), *sums).collect()  # a row a cluster
+        if not any(r.moved for r in found):
+            break
+        for r in found:
+            centres[r.cluster] = [r[f"_s{i}"] / r.n for i in range(len(weights))]
+        label, before = nearest(centres), label
+    else:
+        label = before
+    return rows.select(key, label.alias("cluster"))

@@ -168,6 +168,19 @@ def k_means(spark, sf_dir):
     return KMeans(k=8, seed=42, maxIter=20).fit(v).transform(v).select("vec_id", F.col("prediction").alias("cluster"))
 
 
+@register("F33_lloyd_rounds")
+def lloyd_rounds(spark, sf_dir):
+    """Captions by length, punctuation, digits, blanks and exclamations into four groups (speakers in the source)."""
+    count = lambda pattern: F.size(F.split("text", pattern)) - 1
+    c = table(spark, sf_dir, "conversations").where("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text")
+    features = [F.length("text"), count("[,.?!]"), count("[0-9]"), count(r"\s"), count(r"\b(?:oh|ah|the)\b")]
+    return mining.lloyd(c, "k", features, SPEECH_WEIGHTS, 4)
+
+
+#: Weights of a caption's length, punctuation, digits, blanks and exclamations.
+SPEECH_WEIGHTS = (0.1, 0.5, 0.3, 0.2, 0.8)
+
+
 @register("G3_group_by_chunk", CAPTIONS + " SELECT conv_id, start_ms // 5000 AS chunk, count(*) AS n, sum(length(text))::BIGINT AS chars FROM captions GROUP BY ALL")
 def group_by_chunk(spark, sf_dir):
     return captions(spark, sf_dir).groupBy("conv_id", F.floor(F.col("start_ms") / 5000).alias("chunk")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))

@@ -232,3 +232,30 @@ def test_upserts_by_batch(spark, sf_dir, tmp_path):
     events.repartition(4).write.parquet(str(tmp_path / "events.parquet"))
     got = progress.upserted(spark, str(tmp_path / "events.parquet"), "user_id", ["ts", "event_id"], "event_type")
     assert sorted(got.collect()) == sorted(progress.latest(events, "user_id", ["ts", "event_id"], "event_type").collect())
+
+
+def test_lloyd_rounds(spark):
+    import hashlib
+
+    r = random.Random(2)
+    rows = [(i * 7, r.randint(0, 40) + 100 * (i % 3), r.randint(0, 9)) for i in range(120)] + [(1001, 5, 5), (1002, 5, 5)]
+    weights, k = (0.5, 2.0), 4
+    centres = [[float(a), float(b)] for _, a, b in sorted(rows, key=lambda x: (hashlib.md5(str(x[0]).encode()).hexdigest(), x[0]))[:k]]
+    labels = [0] * len(rows)
+    for _ in range(20):
+        far = [[sum(((v - c) * w) * ((v - c) * w) for v, c, w in zip(x[1:], centre, weights)) for centre in centres] for x in rows]
+        new = [d.index(min(d)) for d in far]
+        if new == labels:
+            break
+        labels = new
+        for j in range(k):
+            if own := [x for x, n in zip(rows, labels) if n == j]:
+                centres[j] = [sum(x[i] for x in own) / len(own) for i in (1, 2)]
+    df = spark.createDataFrame(rows, "id long, a long, b long").repartition(3)
+    for most in (20, 1):
+        found = {x.id: x.cluster for x in mining.lloyd(df, "id", [F.col("a"), F.col("b")], weights, k, most).collect()}
+        if most == 20:
+            assert found == {x[0]: n for x, n in zip(rows, labels)} and len(set(labels)) == k
+    few = mining.lloyd(df.where("id > 1000"), "id", [F.col("a"), F.col("b")], weights, k).collect()
+    assert sorted((x.id, x.cluster) for x in few) == [(1001, 0), (1002, 1)]
+    assert mining.lloyd(df.limit(0), "id", [F.col("a"), F.col("b")], weights, k).count() == 0
