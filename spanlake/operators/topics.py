@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.functions.text import jaccard, keywords, title_similarity
+from spanlake.functions.times import parse_ms
 from spanlake.operators.folds import fold
+from spanlake.operators.intervals import merge
 from spanlake.operators.joins import asof, first_or_last, overlap_join
+from spanlake.storage import checkpoints
 
 
 def merge_flagged_pairs(df: DataFrame, keys: list[str], order: list[str], flag: Column) -> DataFrame:
@@ -295,3 +298,37 @@ def apply_actions(segments: DataFrame, actions: DataFrame, keys: list[str]) -> D
     parts = F.array_sort(F.collect_list(F.struct(*bounds)))  # the segments of one topic
     out = every.groupBy(*keys, "topic").agg(F.min("start_ms").alias("first_start"), F.transform(parts, lambda x: x["end_ms"] - x["start_ms"]).alias("lengths"))
     return out.withColumn("id", F.row_number().over(Window.partitionBy(*keys).orderBy("first_start", "topic")))
+
+
+def edited(segments: DataFrame, captions: DataFrame, advice: DataFrame, keys: list[str], topic: str, rounds: int, most: int = 180_000, other: int = 60_000) -> DataFrame:
+    """``keys``, ``topic``, ``start_ms``, ``end_ms`` of topics' segments after a script of advices, one after another.
+
+    ``segments`` have a row each (``l_start``, ``l_end``); ``advice`` has ``keys``, ``topic``, ``step`` (from 1; up to ``rounds``) and ``text``.
+    ``extend``/``shrink`` ``start``/``end`` move the first segment's start or the last one's end as in ``advised``. ``remove segment N`` takes
+    out the N-th, if another stays. ``add segment HH:MM:SS,mmm - HH:MM:SS,mmm`` adds one from the last caption start
+    at or before the first stamp to the first caption end at or after the second; overlapping segments then become one. Each step
+    takes the topics with an advice of its number through the same joins; all others pass by.
+    """
+    checkpoints(segments.sparkSession)
+    own = [*keys, topic]
+    now = segments.select(*own, "l_start", "l_end").checkpoint()
+    order = Window.partitionBy(*own).orderBy("l_start", "l_end")
+    stamp = r"(\d{2}:\d{2}:\d{2}[.,]\d{3})"
+    for step in range(1, rounds + 1):
+        said = advice.where(F.col("step") == step).select(*own, F.col("text").alias("_said"))
+        rows = now.join(said, own, "left").withColumn("_k", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy(*own)))
+        gone = F.regexp_extract("_said", r"^remove segment #?(\d+)", 1).try_cast("int")
+        rows = rows.where(~F.coalesce((F.col("_n") > 1) & (F.col("_k") == gone), F.lit(False)))
+        moves = F.regexp_extract("_said", r"^(?:extend|shrink) (start|end)", 1)
+        target = F.coalesce(((moves == "start") & (F.col("_k") == 1)) | ((moves == "end") & (F.col("_k") == F.col("_n"))), F.lit(False))
+        rows = rows.withColumn("_id", F.concat_ws(":", *[F.col(c).cast("string") for c in own], F.col("_k").cast("string"))).withColumn("_target", target).checkpoint()
+        moved = advised(rows.where("_target").select(*keys, "_id", "l_start", "l_end", "_said"), captions, keys, "_id", F.col("_said"), most, other)
+        kept = rows.join(moved, "_id", "left").select(*own, F.coalesce("start_ms", "l_start").alias("l_start"), F.coalesce("end_ms", "l_end").alias("l_end"))
+        new = said.join(now.select(*own).distinct(), own, "left_semi").withColumn("_id", F.concat_ws(":", *[F.col(c).cast("string") for c in own]))
+        new = new.where(F.col("_said").startswith("add segment")).select(*own, "_id", *[parse_ms(F.replace(F.regexp_extract("_said", rf"{stamp}\s*[-~]\s*{stamp}", i), F.lit("."), F.lit(","))).alias(n) for i, n in ((1, "_at"), (2, "_to"))])
+        new = asof(new.where("_at is not null"), captions.withColumn("_a", F.col("r_start")), keys, "_at", "r_start", "_a")
+        new = asof(new, captions.withColumn("_b", F.col("r_end")), keys, "_to", "r_end", "_b", "forward").where("_b > _a")
+        both = kept.unionByName(new.select(*own, F.col("_a").alias("l_start"), F.col("_b").alias("l_end"))).join(new.select(*own).distinct().withColumn("_grown", F.lit(True)), own, "left").checkpoint()
+        united = merge(both.where("_grown").select(*own, "l_start", "l_end"), own, 0, "l_start", "l_end").select(*own, "l_start", "l_end")
+        now = both.where("_grown is null").select(*own, "l_start", "l_end").unionByName(united)
+    return now.select(*own, F.col("l_start").alias("start_ms"), F.col("l_end").alias("end_ms"))

@@ -96,7 +96,7 @@ SELECT media_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n
 
 def _orphans(spark, sf_dir):
     right = others(spark, sf_dir)
-    covered = joins.overlap_join(segments(spark, sf_dir), right, ["media_id"], BIN).select("event_id").distinct()
+    covered = joins.overlap_join(segments(spark, sf_dir), right, ["media_id"], BIN, longest=BIN).select("event_id").distinct()
     return right.join(covered, "event_id", "left_anti").withColumnsRenamed({"r_start": "start_ms", "r_end": "end_ms"})
 
 
@@ -145,7 +145,7 @@ m AS (SELECT *, CASE WHEN start_ms <= max(end_ms) OVER (PARTITION BY media_id, s
 n AS (SELECT *, sum(f) OVER (PARTITION BY media_id, segment_id ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS i FROM m)
 SELECT media_id, segment_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_segments FROM n GROUP BY media_id, segment_id, i""")
 def removed_sections(spark, sf_dir):
-    pairs = joins.overlap_join(segments(spark, sf_dir), silences(spark, sf_dir), ["media_id"], BIN)
+    pairs = joins.overlap_join(segments(spark, sf_dir), silences(spark, sf_dir), ["media_id"], BIN, longest=BIN)
     hit = pairs.select("media_id", "segment_id", F.greatest("l_start", "r_start").alias("start_ms"), F.least("l_end", "r_end").alias("end_ms")).where("end_ms - start_ms >= 500")
     return intervals.merge(hit, ["media_id", "segment_id"], 300)
 
@@ -250,12 +250,12 @@ def completeness_flags(spark, sf_dir):
 
 @register("J13_overlap_join", SEGMENTS + " SELECT media_id, segment_id, event_id FROM segments JOIN others USING (media_id) WHERE r_start < l_end AND r_end > l_start")
 def overlap_join(spark, sf_dir):
-    return joins.overlap_join(segments(spark, sf_dir), others(spark, sf_dir), ["media_id"], BIN).select("media_id", "segment_id", "event_id")
+    return joins.overlap_join(segments(spark, sf_dir), others(spark, sf_dir), ["media_id"], BIN, longest=BIN).select("media_id", "segment_id", "event_id")
 
 
 @register("J14_containment_join", SEGMENTS + " SELECT media_id, segment_id, event_id FROM segments JOIN others USING (media_id) WHERE r_start >= l_start AND r_end <= l_end")
 def containment_join(spark, sf_dir):
-    return joins.overlap_join(segments(spark, sf_dir), others(spark, sf_dir), ["media_id"], BIN, how="within").select("media_id", "segment_id", "event_id")
+    return joins.overlap_join(segments(spark, sf_dir), others(spark, sf_dir), ["media_id"], BIN, longest=BIN, how="within").select("media_id", "segment_id", "event_id")
 
 
 @register("J15_first_contained_else_overlapping", SEGMENTS + """
@@ -263,14 +263,14 @@ SELECT media_id, segment_id, event_type AS value FROM (
   SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY CASE WHEN r_start >= l_start AND r_end <= l_end THEN 0 ELSE 1 END, r_start, event_id) AS k
   FROM segments JOIN others USING (media_id) WHERE r_start < l_end AND r_end > l_start) WHERE k = 1""")
 def first_contained(spark, sf_dir):
-    pairs = joins.overlap_join(segments(spark, sf_dir), others(spark, sf_dir), ["media_id"], BIN)
+    pairs = joins.overlap_join(segments(spark, sf_dir), others(spark, sf_dir), ["media_id"], BIN, longest=BIN)
     inside = (F.col("r_start") >= F.col("l_start")) & (F.col("r_end") <= F.col("l_end"))
     return joins.first_or_last(pairs, ["media_id", "segment_id"], F.col("event_type"), [F.col("r_start"), F.col("event_id")], inside)
 
 
 @register("J16_closed_overlap_join", SEGMENTS + " SELECT media_id, segment_id, event_id FROM segments JOIN others USING (media_id) WHERE r_start <= l_end AND r_end >= l_start")
 def closed_overlap_join(spark, sf_dir):
-    return joins.overlap_join(segments(spark, sf_dir), others(spark, sf_dir), ["media_id"], BIN, closed=True).select("media_id", "segment_id", "event_id")
+    return joins.overlap_join(segments(spark, sf_dir), others(spark, sf_dir), ["media_id"], BIN, longest=BIN, closed=True).select("media_id", "segment_id", "event_id")
 
 
 @register("J17_gap_entries", SEGMENTS + """,
@@ -340,7 +340,7 @@ def align_clips(spark, sf_dir):
 SELECT segment_id, event_id, greatest(r_start, l_start) - l_start AS local_start, least(r_end, l_end) - l_start AS local_end
 FROM segments JOIN others USING (media_id) WHERE r_start < l_end AND r_end > l_start AND least(r_end, l_end) - greatest(r_start, l_start) > 300""")
 def map_to_clip(spark, sf_dir):
-    p = joins.overlap_join(segments(spark, sf_dir), others(spark, sf_dir), ["media_id"], BIN)
+    p = joins.overlap_join(segments(spark, sf_dir), others(spark, sf_dir), ["media_id"], BIN, longest=BIN)
     p = p.select("segment_id", "event_id", (F.greatest("r_start", "l_start") - F.col("l_start")).alias("local_start"), (F.least("r_end", "l_end") - F.col("l_start")).alias("local_end"))
     return p.where("local_end - local_start > 300")
 
@@ -348,14 +348,14 @@ def map_to_clip(spark, sf_dir):
 @register("J30_conflicts", SEGMENTS + """
 SELECT DISTINCT segment_id FROM segments s WHERE EXISTS (SELECT 1 FROM others o WHERE o.media_id = s.media_id AND o.r_start < s.l_end + 500 AND o.r_end > s.l_start - 500)""")
 def conflicts(spark, sf_dir):
-    return joins.overlap_join(segments(spark, sf_dir), others(spark, sf_dir), ["media_id"], BIN, margin=500).select("segment_id").distinct()
+    return joins.overlap_join(segments(spark, sf_dir), others(spark, sf_dir), ["media_id"], BIN, longest=BIN, margin=500).select("segment_id").distinct()
 
 
 @register("C14_silences_in_segments", SEGMENTS + """
 SELECT segment_id, silence_id, greatest(l_start, r_start) AS start_ms, least(l_end, r_end) AS end_ms FROM segments JOIN silences USING (media_id)
 WHERE r_start < l_end AND r_end > l_start AND least(l_end, r_end) - greatest(l_start, r_start) >= 500""")
 def silences_in_segments(spark, sf_dir):
-    p = joins.overlap_join(segments(spark, sf_dir), silences(spark, sf_dir), ["media_id"], BIN)
+    p = joins.overlap_join(segments(spark, sf_dir), silences(spark, sf_dir), ["media_id"], BIN, longest=BIN)
     return p.select("segment_id", "silence_id", F.greatest("l_start", "r_start").alias("start_ms"), F.least("l_end", "r_end").alias("end_ms")).where("end_ms - start_ms >= 500")
 
 
@@ -379,7 +379,7 @@ k AS (SELECT media_id, count(*) AS covered FROM c GROUP BY media_id), t AS (SELE
 @register("G6_coverage_ratio", COVERED + " SELECT media_id, total, coalesce(covered, 0) AS covered, round(coalesce(covered, 0) / total, 4) AS ratio FROM t LEFT JOIN k USING (media_id)")
 def coverage_ratio(spark, sf_dir):
     right = others(spark, sf_dir)
-    covered = joins.overlap_join(segments(spark, sf_dir), right, ["media_id"], BIN).groupBy("media_id").agg(F.count_distinct("event_id").alias("covered"))
+    covered = joins.overlap_join(segments(spark, sf_dir), right, ["media_id"], BIN, longest=BIN).groupBy("media_id").agg(F.count_distinct("event_id").alias("covered"))
     total = right.groupBy("media_id").agg(F.count("*").alias("total")).join(covered, "media_id", "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
     return total.select("media_id", "total", "covered", F.round(F.col("covered") / F.col("total"), 4).alias("ratio"))
 
@@ -390,7 +390,7 @@ k AS (SELECT media_id, segment_id, count(DISTINCT event_id) AS covered FROM segm
 SELECT segment_id, covered, round(covered / total, 4) AS ratio FROM k JOIN t USING (media_id)""")
 def clip_coverage(spark, sf_dir):
     right = others(spark, sf_dir)
-    k = joins.overlap_join(segments(spark, sf_dir), right, ["media_id"], BIN).groupBy("media_id", "segment_id").agg(F.count_distinct("event_id").alias("covered"))
+    k = joins.overlap_join(segments(spark, sf_dir), right, ["media_id"], BIN, longest=BIN).groupBy("media_id", "segment_id").agg(F.count_distinct("event_id").alias("covered"))
     k = k.join(right.groupBy("media_id").agg(F.count("*").alias("total")), "media_id")
     return k.select("segment_id", "covered", F.round(F.col("covered") / F.col("total"), 4).alias("ratio"))
 
@@ -410,7 +410,7 @@ def keyframe_statistics(spark, sf_dir):
 p AS (SELECT segment_id, event_type, count(*) AS n, min(r_start) AS first_at FROM segments JOIN others USING (media_id) WHERE r_start < l_end AND r_end > l_start GROUP BY ALL)
 SELECT segment_id, event_type AS speaker, n FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY n DESC, first_at, event_type DESC) AS k FROM p) WHERE k = 1""")
 def dominant_speaker(spark, sf_dir):
-    p = joins.overlap_join(segments(spark, sf_dir), others(spark, sf_dir), ["media_id"], BIN).groupBy("segment_id", "event_type").agg(F.count("*").alias("n"), F.min("r_start").alias("first_at"))
+    p = joins.overlap_join(segments(spark, sf_dir), others(spark, sf_dir), ["media_id"], BIN, longest=BIN).groupBy("segment_id", "event_type").agg(F.count("*").alias("n"), F.min("r_start").alias("first_at"))
     best = F.max(F.struct("n", -F.col("first_at"), "event_type")).alias("b")
     return p.groupBy("segment_id").agg(best).select("segment_id", F.col("b.event_type").alias("speaker"), "b.n")
 

@@ -236,7 +236,7 @@ m AS (SELECT *, CASE WHEN start_ms <= max(end_ms) OVER (PARTITION BY segment_id
 n AS (SELECT *, sum(f) OVER (PARTITION BY segment_id ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS i FROM m)
 SELECT segment_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n_segments FROM n GROUP BY segment_id, i""")
 def voice_in_clip(spark, sf_dir):
-    p = joins.overlap_join(segments(spark, sf_dir), others(spark, sf_dir), ["media_id"], BIN)
+    p = joins.overlap_join(segments(spark, sf_dir), others(spark, sf_dir), ["media_id"], BIN, longest=BIN)
     return intervals.merge(p.select("segment_id", F.greatest("l_start", "r_start").alias("start_ms"), F.least("l_end", "r_end").alias("end_ms")), ["segment_id"], 800)
 
 

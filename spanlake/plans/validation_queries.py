@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from spanlake.functions.times import format_ms
 from spanlake.operators import joins, topics, validation
 from spanlake.plans.catalogue import register
 from spanlake.plans.interval_queries import BIN, CAPTIONS, SLICE, silences
@@ -146,3 +147,51 @@ def topic_composition(spark, sf_dir):
     seen = joins.overlap_join(part, caps.select("media_id", "pos", "r_start", "r_end"), keys, 12 * BIN).groupBy("media_id").agg(F.count_distinct("pos").alias("seen"))
     share = caps.groupBy("media_id").agg(F.count("*").alias("all")).join(seen, "media_id", "left").select("media_id", (F.coalesce("seen", F.lit(0)) / F.col("all")).alias("coverage"))
     return flagged.join(share, "media_id").select("media_id", "topic", "start_ms", "end_ms", F.col("n").cast("long").alias("n"), "length", "flag", "coverage")
+
+
+#: Advices by the remainder of medium and clip, in two steps; stamps of added segments come from the clip's own times.
+SCRIPT = {0: ("remove segment 2", "remove segment 1"), 1: ("add", "extend end by 40 s"), 2: ("extend start by 170 s", "remove segment 1"), 3: ("shrink end by 20 s", "extend end by 50 s"),
+          4: ("remove segment 9", "shrink start by 30 s"), 5: ("extend start by 200 s", "add"), 6: ("extend end a little", None)}
+#: Times are counted from the first of the year and in hundredths of a second, so that stamps have two digits of hours.
+YEAR = 1_704_067_200_000
+
+
+def _step_sql(n: int) -> str:
+    by, verb = "coalesce(TRY_CAST(regexp_extract(text, 'by (\\d+) s', 1) AS BIGINT), 10) * 1000", lambda x: f"text LIKE '{x}%'"
+    before = lambda x: f"(SELECT max(rs) FROM short c WHERE c.media_id = q.media_id AND rs <= {x})"
+    after = lambda x: f"(SELECT min(re) FROM short c WHERE c.media_id = q.media_id AND re >= {x})"
+    return f""",
+q{n} AS (SELECT s.*, text, row_number() OVER w AS k, count(*) OVER (PARTITION BY s.media_id, s.clip) AS n, {by} AS d FROM s{n - 1} s LEFT JOIN script a ON a.media_id = s.media_id AND a.clip = s.clip AND step = {n} WINDOW w AS (PARTITION BY s.media_id, s.clip ORDER BY ls, le)),
+t{n} AS (SELECT q.*, CASE WHEN k = 1 AND {verb('extend start')} AND d <= 180000 THEN {before('greatest(0, ls - d)')} WHEN k = 1 AND {verb('shrink start')} AND d <= 60000 THEN {before('ls + d')} END AS na,
+  CASE WHEN k = n AND {verb('extend end')} AND d <= 60000 THEN {after('le + d')} WHEN k = n AND {verb('shrink end')} AND d <= 60000 THEN {after('le - d')} END AS nb
+  FROM q{n} q WHERE NOT coalesce(n > 1 AND k = TRY_CAST(regexp_extract(text, '^remove segment #?(\\d+)', 1) AS INT), false)),
+u{n} AS (SELECT media_id, clip, CASE WHEN {verb('extend')} AND na < ls OR {verb('shrink')} AND na > ls THEN na ELSE ls END AS ls, CASE WHEN {verb('extend')} AND nb > le OR {verb('shrink')} AND nb < le THEN nb ELSE le END AS le FROM t{n}),
+x{n} AS (SELECT q.media_id, q.clip, {before('a0')} AS a, {after('b0')} AS b FROM (SELECT DISTINCT s.media_id, s.clip, a0, b0 FROM s{n - 1} s JOIN script a ON a.media_id = s.media_id AND a.clip = s.clip AND step = {n} AND a0 IS NOT NULL) q),
+y{n} AS (SELECT * FROM x{n} WHERE b > a),
+v{n} AS (SELECT *, CASE WHEN ls <= max(le) OVER (PARTITION BY media_id, clip ORDER BY ls, le ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh
+  FROM (SELECT * FROM u{n} WHERE (media_id, clip) IN (SELECT (media_id, clip) FROM y{n}) UNION ALL SELECT * FROM y{n})),
+z{n} AS (SELECT *, sum(fresh) OVER (PARTITION BY media_id, clip ORDER BY ls, le ROWS UNBOUNDED PRECEDING) AS isle FROM v{n}),
+s{n} AS (SELECT * FROM u{n} WHERE (media_id, clip) NOT IN (SELECT (media_id, clip) FROM y{n}) UNION ALL SELECT media_id, clip, min(ls), max(le) FROM z{n} GROUP BY media_id, clip, isle)"""
+
+
+def _script_sql() -> str:
+    said = " ".join(f"WHEN r = {r} AND step = {n} THEN {'NULL' if t is None else chr(39) + t + chr(39)}" for r, both in SCRIPT.items() for n, t in enumerate(both, 1))
+    return BASE + f""",
+short AS (SELECT media_id, (rs - {YEAR}) // 10 AS rs, (re - {YEAR}) // 10 AS re FROM caps),
+s0 AS (SELECT media_id, clip, (ls - {YEAR}) // 10 AS ls, (le - {YEAR}) // 10 AS le FROM segs),
+whole AS (SELECT media_id, clip, max(le) AS z, (media_id + clip) % 7 AS r FROM s0 GROUP BY ALL),
+script AS (SELECT media_id, clip, step, text, CASE WHEN text = 'add' THEN z + 50000 END AS a0, CASE WHEN text = 'add' THEN z + 90000 END AS b0 FROM (SELECT *, CASE {said} END AS text FROM whole, range(1, 3) t(step)) WHERE text IS NOT NULL)""" + _step_sql(1) + _step_sql(2) + """
+SELECT media_id, clip, ls AS start_ms, le AS end_ms FROM s2"""
+
+
+@register("X11_edited_segments", _script_sql())
+def edited_segments(spark, sf_dir):
+    """Clips whose list of segments an advice script changes: segments moved, taken out and added."""
+    scale = lambda c: F.floor((F.col(c) - YEAR) / 10).alias(c)
+    rows = clips(spark, sf_dir).select("media_id", "clip", scale("l_start"), scale("l_end"))
+    caps = captions(spark, sf_dir).select("media_id", scale("r_start"), scale("r_end"))
+    said = [F.struct(F.lit(r).alias("r"), F.lit(n).alias("step"), F.lit(t).alias("said")) for r, both in SCRIPT.items() for n, t in enumerate(both, 1) if t is not None]
+    whole = rows.groupBy("media_id", "clip").agg(F.max("l_end").alias("z")).withColumn("x", F.explode(F.filter(F.array(*said), lambda s: s["r"] == (F.col("media_id") + F.col("clip")) % len(SCRIPT))))
+    add = F.concat(F.lit("add segment "), format_ms(F.col("z") + 50_000), F.lit(" - "), format_ms(F.col("z") + 90_000))
+    script = whole.select("media_id", "clip", F.col("x.step").alias("step"), F.when(F.col("x.said") == "add", add).otherwise(F.col("x.said")).alias("text"))
+    return topics.edited(rows, caps, script, ["media_id"], "clip", 2)
