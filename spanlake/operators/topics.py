@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlake.functions import titles
 from spanlake.functions.text import jaccard, keywords, title_similarity
 from spanlake.functions.times import parse_ms
 from spanlake.operators.folds import fold
@@ -76,27 +77,29 @@ def absorb_short(df: DataFrame, keys: list[str], ident: str, title: str, candida
     """Topics of a key in order of start; a ``candidate`` goes into the kept one before if it begins from 1,000 before that
     one's end to ``gap`` after, and is ``close`` or has a similar title (above .35, or a quarter of the keywords shared).
 
-    A row that is no candidate, or begins more than ``gap`` after all earlier ends, always starts anew, so a key is first
-    cut there; only the short chains between such rows are folded.
+    A row that is no candidate always starts anew. A key's rows are streamed in order with the last kept topic as the state.
     """
-    w = Window.partitionBy(*keys).orderBy("start_ms", ident)
-    reach = F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = df.withColumn("_c", candidate).withColumn("_new", F.when(F.col("_c") & (F.col("start_ms") - reach <= gap), 0).otherwise(1))
-    rows = rows.withColumn("_chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    chain = F.array_sort(F.collect_list(F.struct("start_ms", F.col(ident).alias("id"), "end_ms", F.col(title).alias("title"))))
-    kind = "array<struct<start_ms:bigint,end_ms:bigint,id:bigint,title:string,n:int>>"
-
-    def step(done, x):
-        last = F.try_element_at(done, F.lit(-1))
-        after = x["start_ms"] - last["end_ms"]
-        alike = (title_similarity(last["title"], x["title"], stop) > 0.35) | (jaccard(keywords(last["title"], stop), keywords(x["title"], stop)) > 0.25)
-        taken = (F.size(done) > 0) & (after >= -1000) & (after <= gap) & ((after < close) | alike)
-        grown = F.struct(last["start_ms"].alias("start_ms"), F.greatest(last["end_ms"], x["end_ms"]).alias("end_ms"), last["id"].alias("id"), last["title"].alias("title"), (last["n"] + 1).alias("n"))
-        fresh = F.struct(x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), x["id"].alias("id"), x["title"].alias("title"), F.lit(1).alias("n"))
-        return F.when(taken, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(fresh)))
+    rows = df.select(*keys, "start_ms", "end_ms", F.col(ident).cast("long").alias("_id"), F.col(title).alias("_title"), keywords(F.col(title), stop).alias("_words"), F.coalesce(candidate, F.lit(False)).alias("_c"))
 
-    single = rows.groupBy(*keys, "_chain").agg(chain.alias("r")).withColumn("r", F.aggregate("r", F.array().cast(kind), step))
-    return single.select(*keys, F.explode("r").alias("t")).select(*keys, F.col("t.id").alias(ident), "t.start_ms", "t.end_ms", "t.n")
+    def step(part: Iterator[dict]) -> Iterator[dict]:
+        last: dict = {}
+        for x in part:
+            x["_words"] = x["_words"] and tuple(x["_words"])
+            after = x["start_ms"] - last["end_ms"] if last and x["start_ms"] is not None and last["end_ms"] is not None else None
+            if x["_c"] and after is not None and -1000 <= after <= gap and (
+                after < close or titles.similarity(last["_title"], last["_words"], x["_title"], x["_words"]) > 0.35 or titles.shared(last["_words"], x["_words"]) > 0.25
+            ):
+                last["end_ms"] = last["end_ms"] if x["end_ms"] is None else max(last["end_ms"], x["end_ms"])
+                last["n"] += 1
+                continue
+            if last:
+                yield {k: last[k] for k in names}
+            last = x | {ident: x["_id"], "n": 1}
+        if last:
+            yield {k: last[k] for k in names}
+
+    names, kinds = [*keys, ident, "start_ms", "end_ms", "n"], dict(df.dtypes)
+    return fold(rows, keys, ["start_ms", "_id"], step, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", `{ident}` bigint, start_ms bigint, end_ms bigint, n int")
 
 
 def packed(text: str | None, limit: int, marks: str = ".!?") -> list[str]:
@@ -174,25 +177,35 @@ def merge_outlines(df: DataFrame, keys: list[str], ident: str, title: str, cover
     takes its place if its coverage is higher.
 
     Alike are equal titles, titles of similarity .6, times that share half of the shorter one, and times that follow each
-    other within 5,000 with titles of similarity .3. A key's outlines (a medium's few topics) are folded in one expression.
+    other within 5,000 with titles of similarity .3. A key's rows are streamed in order; the state is the outlines that stay.
     """
-    kind = "array<struct<start_ms:bigint,id:bigint,end_ms:bigint,title:string,coverage:double>>"
-    rows = F.array_sort(F.collect_list(F.struct("start_ms", F.col(ident).cast("long").alias("id"), "end_ms", F.lower(title).alias("title"), F.col(coverage).cast("double").alias("coverage"))))
-
-    def alike(x, y):
-        similar = title_similarity(x["title"], y["title"], stop)
-        overlap = F.least(x["end_ms"], y["end_ms"]) - F.greatest(x["start_ms"], y["start_ms"])
-        shorter = F.least(x["end_ms"] - x["start_ms"], y["end_ms"] - y["start_ms"])
-        return (similar >= 0.6) | ((shorter > 0) & (F.greatest(overlap, F.lit(0)) >= 0.5 * shorter)) | ((-overlap).between(0, 5000) & (similar >= 0.3))
-
-    def step(kept, x):
-        at = F.array_position(F.transform(kept, lambda k: alike(k, x)), F.lit(True)).cast("int")
-        old = F.try_element_at(kept, F.when(at > 0, at))
-        without = F.concat(F.slice(kept, 1, F.greatest(at - 1, F.lit(0))), F.slice(kept, at + 1, F.size(kept)))
-        return F.when(at == 0, F.concat(kept, F.array(x))).when(x["coverage"] > old["coverage"], F.concat(without, F.array(x))).otherwise(kept)
-
-    kept = df.groupBy(*keys).agg(rows.alias("r")).select(*keys, F.explode(F.aggregate("r", F.array().cast(kind), step)).alias("t"))
-    return kept.select(*keys, F.col("t.id").alias(ident), "t.start_ms", "t.end_ms")
+    low = F.lower(title)
+    rows = df.select(*keys, "start_ms", "end_ms", F.col(ident).cast("long").alias("_id"), low.alias("_title"), keywords(low, stop).alias("_words"), F.col(coverage).cast("double").alias("_coverage"))
+
+    def alike(x: dict, y: dict) -> bool:
+        if (similar := titles.similarity(x["_title"], x["_words"], y["_title"], y["_words"])) >= 0.6:
+            return True
+        starts, ends = ([r[c] for r in (x, y) if r[c] is not None] for c in ("start_ms", "end_ms"))
+        if not starts or not ends:
+            return False
+        overlap = min(ends) - max(starts)
+        lengths = [r["end_ms"] - r["start_ms"] for r in (x, y) if r["start_ms"] is not None and r["end_ms"] is not None]
+        return bool(lengths) and min(lengths) > 0 and max(overlap, 0) >= 0.5 * min(lengths) or (0 <= -overlap <= 5000 and similar >= 0.3)
+
+    def step(part: Iterator[dict]) -> Iterator[dict]:
+        kept: list[dict] = []
+        for x in part:
+            x["_words"] = x["_words"] and tuple(x["_words"])
+            at = next((i for i, k in enumerate(kept) if alike(k, x)), None)
+            if at is None:
+                kept.append(x)
+            elif x["_coverage"] is not None and kept[at]["_coverage"] is not None and x["_coverage"] > kept[at]["_coverage"]:
+                del kept[at]
+                kept.append(x)
+        yield from ({**{k: x[k] for k in keys}, ident: x["_id"], "start_ms": x["start_ms"], "end_ms": x["end_ms"]} for x in kept)
+
+    kinds = dict(df.dtypes)
+    return fold(rows, keys, ["start_ms", "_id"], step, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", `{ident}` bigint, start_ms bigint, end_ms bigint")
 
 
 def outline_score(title: Column, subtopics: Column, signature: Column, generic: Sequence[str]) -> Column:

@@ -259,3 +259,24 @@ def test_lloyd_rounds(spark):
     few = mining.lloyd(df.where("id > 1000"), "id", [F.col("a"), F.col("b")], weights, k).collect()
     assert sorted((x.id, x.cluster) for x in few) == [(1001, 0), (1002, 1)]
     assert mining.lloyd(df.limit(0), "id", [F.col("a"), F.col("b")], weights, k).count() == 0
+
+
+def test_titles_compared_one_by_one(spark):
+    from spanlake.functions import text as tx
+    from spanlake.functions import titles
+
+    names = ["", "the end", "The End", "click view", "view", "ends of days", "day ends", "die Tür", "tür", None, "xy"]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    stop = ["the", "die"]
+    found = pairs.select("a", "b", tx.keywords(F.col("a"), stop).alias("ka"), tx.keywords(F.col("b"), stop).alias("kb"), tx.title_similarity(F.col("a"), F.col("b"), stop).alias("s"), tx.jaccard(tx.keywords(F.col("a"), stop), tx.keywords(F.col("b"), stop)).alias("j")).collect()
+    for r in found:
+        ka, kb = (None if k is None else tuple(k) for k in (r.ka, r.kb))
+        assert (titles.similarity(r.a, ka, r.b, kb), titles.shared(ka, kb)) == (r.s or 0.0, r.j), r
+
+
+def test_outlines_of_one_large_key(spark):
+    # a key of 4,000 outlines of a few titles: titles are compared once, not for each pair of rows in one expression
+    rows = spark.range(4000).select(F.lit(1).alias("k"), "id", F.concat(F.lit("title "), F.col("id") % 7).alias("title"), (F.col("id") % 13).alias("c"), (F.col("id") * 10).alias("start_ms"), (F.col("id") * 10 + 5).alias("end_ms"))
+    kept = topics.merge_outlines(rows, ["k"], "id", "title", "c", ["the"])
+    assert "zip_with" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id % 13 for r in kept.collect()} == {12}
