@@ -280,3 +280,24 @@ def test_outlines_of_one_large_key(spark):
     kept = topics.merge_outlines(rows, ["k"], "id", "title", "c", ["the"])
     assert "zip_with" not in kept._jdf.queryExecution().optimizedPlan().toString()
     assert {r.id % 13 for r in kept.collect()} == {12}
+
+
+def test_similar_pairs_list_no_pair_before_it_is_bounded(spark, monkeypatch):
+    r = random.Random(5)
+    # every set holds one of two frequent elements, so that nearly all pairs share something; few are similar
+    sets = [sorted({r.choice(["x", "y"]), *(f"w{r.randint(0, 400)}" for _ in range(r.randint(3, 30)))}) for _ in range(300)]
+    sets += [[*s, "z"] for s in sets[:20]] + [sets[0]]
+    df = spark.createDataFrame(list(enumerate(sets)), "k long, g array<string>")
+    by = {}
+    for k, s in enumerate(sets):
+        by.setdefault(frozenset(s), []).append(k)
+    reps = sorted((min(ks), len(ks), s) for s, ks in by.items())
+    wanted = {(a, b, round(c, 6), n, m) for i, (a, n, s) in enumerate(reps) for b, m, t in reps[i + 1 :] if (c := len(s & t) / (len(s) * len(t)) ** 0.5) >= 0.35}
+    for group, block in ((16_384, 1024), (50, 7)):
+        monkeypatch.setattr(mining, "_GROUP", group)
+        monkeypatch.setattr(mining, "_BLOCK", block)
+        monkeypatch.setattr(mining, "_OWN", 20)
+        found = mining.similar_pairs(df, "k", F.col("g"), 0.35)
+        assert {tuple(x) for x in found.collect()} == wanted and len(wanted) > 20
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "MapInArrow" in plan
