@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from spanlake.sources.ranges import CHUNK, Window, files_below, ranges_of
 
 _QUOTE, _SLASH = ord('"'), ord("\\")
+#: Bytes that are read at least at a time, and that a task reads at least if there are many.
+_LEAST, _TASK = 4096, 16 << 20
 _STEP = np.zeros(256, np.int8)
 _STEP[[ord("{"), ord("[")]], _STEP[[ord("}"), ord("]")]] = 1, -1
 
@@ -88,7 +90,7 @@ def objects(path: str, lo: int, hi: int, depth: int, inside: bool, at: int, chun
     escaped = inside and _escapes(Window(path, lo, chunk), lo) % 2 == 1
     parts: list[bytes] = []  # of an object whose end has not come yet
     begin = None
-    for base, data in _chunks(path, lo, 1 << 62, chunk):
+    for base, data in _chunks(path, lo, 1 << 62, min(chunk, max(hi - lo, _LEAST))):  # what lies behind the range is read only as far as needed
         _, step, after, tail = structure(data, inside, escaped)
         level = depth + np.cumsum(step)
         raw = np.frombuffer(data, np.uint8)
@@ -129,8 +131,8 @@ def read(spark: SparkSession, path: str, schema: str, keys: Sequence[Sequence[st
     listed = [(p, *r) for p, size, _ in files_below(path, pattern) for r in ranges_of(size, width)]
     if not listed:
         raise FileNotFoundError(f"{path} {pattern}")
-    # small files share tasks, a task reads about a range's worth
-    tasks = lambda n: max(1, min(n, max(2 * spark.sparkContext.defaultParallelism, sum(hi - lo for _, lo, hi in listed) // width)))
+    # small files and small ranges share tasks
+    tasks = lambda n: max(1, min(n, max(2 * spark.sparkContext.defaultParallelism, sum(hi - lo for _, lo, hi in listed) // max(width, _TASK))))
     parts = spark.createDataFrame(listed, "path string, lo long, hi long").repartition(tasks(len(listed)), "path", "lo")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
