@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import string
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is read; null for null where ``use`` gives that."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
@@ -22,20 +28,21 @@ def strip_fillers(text: Column, fillers: Sequence[str]) -> Column:
 
 def char_ngrams(text: Column, n: int) -> Column:
     """Distinct character n-grams in order of first appearance; none for shorter texts."""
-    chars = F.split(text, "")
-    grams = chars
-    for k in range(1, n):  # a place in a text costs its length to find, so neighbours in the array are joined instead
-        grams = F.zip_with(grams, F.slice(chars, F.lit(k + 1), F.length(text)), lambda a, b: F.concat(a, b))
-    grams = F.filter(grams, lambda g: g.isNotNull())
-    return F.when(F.length(text) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    def joined(chars: Column) -> Column:
+        grams = chars
+        for k in range(1, n):  # a place in a text costs its length to find, so neighbours in the array are joined instead
+            grams = F.zip_with(grams, F.slice(chars, F.lit(k + 1), F.size(chars)), lambda a, b: F.concat(a, b))
+        return F.array_distinct(F.filter(grams, lambda g: g.isNotNull()))
+
+    return F.when(F.length(text) >= n, once(F.split(text, ""), joined)).otherwise(F.array().cast("array<string>"))
 
 
 def clean_ngrams(text: Column, n: int, stop: str) -> Column:
     """``char_ngrams`` of a text without zero-width characters, blanks and punctuation; n-grams of characters in ``stop`` alone
     are left out. Texts that need it should be in Unicode form NFKC."""
     clean = F.regexp_replace(text, r"[\x{200b}-\x{200f}\x{2060}-\x{2064}\x{feff}]", "")
-    clean = F.regexp_replace(clean, r"[\s,\x{ff0c}\x{3002}\x{ff01}\x{ff1f}\x{3001}\x{ff1b}\x{ff1a}\x{201c}\x{201d}\x{2018}\x{2019}()\[\]\x{3010}\x{3011}-]", "")
-    return F.filter(char_ngrams(clean, n), lambda g: F.length(F.translate(g, stop, "")) > 0)
+    clean = F.regexp_replace(clean, r"[\s,\x{ff0c}\x{3002}\x{ff01}\x{ff1f}\x{3001}\x{ff1b}\x{ff1a}\x{201c}\x{201d}\x{2018}\x{2019}()\[\]\x{3010}\x{3011}-]+", "")
+    return F.filter(once(clean, lambda c: char_ngrams(c, n)), lambda g: F.length(F.translate(g, stop, "")) > 0)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -80,7 +87,10 @@ def estimate_tokens(text: Column) -> Column:
 
 def length_score(text: Column) -> Column:
     """1 for 20 to 80 characters (blanks and line feeds aside), falling to .7 at 10 and 120 and on to .2 beyond."""
-    n = F.length(F.translate(text, " \n", ""))
+    return once(F.length(F.translate(text, " \n", "")), _length_score)
+
+
+def _length_score(n: Column) -> Column:
     low, high = F.lit(0.2), F.lit(0.2)
     ladder = F.when(n.between(20, 80), 1.0).when(n.between(10, 19), 0.7 + 0.3 * (n - 10) / 10).when(n.between(81, 120), 0.7 + 0.3 * (120 - n) / 40)
     return ladder.when(n < 10, F.greatest(low, n / 10 * 0.5)).otherwise(F.greatest(high, F.lit(120) / n * 0.5))
@@ -88,9 +98,16 @@ def length_score(text: Column) -> Column:
 
 def diversity_score(text: Column) -> Column:
     """Distinct letters, digits and ideographs over all of them, stretched from .3 to .7; zero without any."""
-    clean = F.regexp_replace(text, r"[^\x{4e00}-\x{9fa5}a-zA-Z0-9]", "")
-    ratio = F.size(F.array_distinct(F.split(clean, ""))) / F.length(clean)
-    return F.when(F.length(clean) == 0, 0.0).when(ratio >= 0.3, F.least(F.lit(1.0), (ratio - 0.3) / 0.4)).otherwise(ratio)
+    plain = [F.lit(c) for c in string.ascii_letters + string.digits]
+
+    def score(clean: Column) -> Column:
+        ideographs = F.regexp_replace(clean, "[a-zA-Z0-9]+", "")
+        others = once(ideographs, lambda x: F.when(x == "", 0).otherwise(F.size(F.array_distinct(F.split(x, "")))))
+        different = sum((F.contains(clean, c).cast("int") for c in plain), others)
+        ratio = F.when(F.length(clean) > 0, different / F.length(clean))
+        return once(ratio, lambda r: F.when(r.isNull() & clean.isNotNull(), 0.0).when(r >= 0.3, F.least(F.lit(1.0), (r - 0.3) / 0.4)).otherwise(r))
+
+    return once(F.regexp_replace(text, r"[^\x{4e00}-\x{9fa5}a-zA-Z0-9]+", ""), score)
 
 
 def keyword_score(text: Column, pattern: str) -> Column:
@@ -163,7 +180,7 @@ def windowed_words(text: Column, keep: int, sizes: Sequence[int], stop: Sequence
         at = lambda i: F.filter(F.array(*[F.when(i + n - 1 <= F.length(w), F.substr(w, i, F.lit(n))) for n in sizes]), lambda x: x.isNotNull())
         return F.flatten(F.transform(F.sequence(F.lit(1), F.length(w) - min(sizes) + 1), at))
 
-    parts = F.transform(words(text), lambda w: F.when(F.length(w) <= keep, F.array(w)).otherwise(windows(w)))
+    parts = F.transform(F.array_distinct(words(text)), lambda w: F.when(F.length(w) <= keep, F.array(w)).otherwise(windows(w)))
     out = F.array_distinct(F.flatten(parts))
     if stop:
         out = F.array_except(out, F.array(*[F.lit(x) for x in stop]))

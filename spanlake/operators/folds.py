@@ -10,6 +10,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, its session set to hand Python at most ``rows`` rows at a time: texts may be long, and workers keep what they once took."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def fold(df: DataFrame, keys: list[str], order: list[str], step: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
     """``step`` of each key's rows (as dicts, sorted by ``order``); a key's rows are streamed, never gathered."""
     dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
