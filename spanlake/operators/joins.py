@@ -21,7 +21,8 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width:
     interval and is kept only in the first bin that both share, so it appears once; the join is an equi-join on keys,
     level and bin whose hot bins AQE can split. ``longest`` is about the length of the longest intervals, the margin
     included: no more levels are made than that needs (one, up to ``width``). Longer ones take more bins of the highest
-    level; results don't depend on it, and the plan needs no look at the data.
+    level; results don't depend on it, and the plan needs no look at the data. Where most rows are short ones of one side,
+    ``width`` is a good ``longest``: they are then dealt once instead of once a level, and only the few long ones take several bins.
     """
     lo, hi = F.col("l_start") - margin, F.col("l_end") + margin
     levels = next((k + 1 for k in range(_LEVELS) if longest is not None and width * _FACTOR**k >= longest), _LEVELS)
@@ -37,7 +38,8 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width:
         a, b = bounds[side]
         if not single:
             df = df.withColumn("_own", level(a, b)).withColumn("_level", F.explode(F.sequence("_own", F.lit(levels - 1))))
-            roles = F.when(F.col("_own") == F.col("_level"), F.array(F.lit("both"), F.lit(own))).otherwise(F.array(F.lit(other)))
+            here = F.col("_own") == F.col("_level")  # at the lowest level no row is but a guest
+            roles = F.when(here & (F.col("_level") == 0), F.array(F.lit("both"))).when(here, F.array(F.lit("both"), F.lit(own))).otherwise(F.array(F.lit(other)))
             df = df.withColumn("_roles", F.explode(roles)).drop("_own")
         return df.withColumn("_bin", F.explode(F.sequence(F.floor(a / size), F.floor(b / size))))
 
@@ -115,3 +117,9 @@ def first_or_last(pairs: DataFrame, keys: Sequence[str], value: Column, order: S
     rank = F.struct(F.when(inside, 0).otherwise(1), *order) if not last else F.struct(F.when(inside, 1).otherwise(0), *order)
     best = F.max_by if last else F.min_by
     return pairs.groupBy(*keys).agg(best(value, rank).alias("value"))
+
+
+def going(after: Column) -> Column:
+    """The ``to`` of the rows of a list up to the first whose ``_goes`` doesn't hold."""
+    upto = F.transform(after, lambda x, i: F.struct(x["to"].alias("to"), F.forall(F.slice(after, 1, i + 1), lambda y: y["_goes"]).alias("ok")))
+    return F.transform(F.filter(upto, lambda x: x["ok"]), lambda x: x["to"])

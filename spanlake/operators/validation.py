@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.operators import intervals
-from spanlake.operators.joins import overlap_join
+from spanlake.operators.joins import going, overlap_join
 from spanlake.storage import checkpoints
 
 
@@ -118,35 +118,38 @@ def backfill_in_turn(topics: DataFrame, captions: DataFrame, keys: list[str], id
     w = Window.partitionBy(*keys).orderBy("pos")
     before = F.coalesce(F.lag("ends").over(w), F.lit(True))
     # a way back stops at a caption that switches, or that depends on nothing and follows the end of a sentence
-    caps = captions.withColumn("_stop", (F.col("switches") | (before & ~F.col("depends"))).cast("int")).withColumn("_goes", ~((before & ~F.col("continues")) | F.col("switches")))
-    caps = caps.withColumn("_way", F.sum("_stop").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    caps = captions.withColumn("_stop", F.col("switches") | (before & ~F.col("depends"))).withColumn("_goes", ~((before & ~F.col("continues")) | F.col("switches")))
+    caps = caps.withColumn("_way", F.sum(F.col("_stop").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     checkpoints(topics.sparkSession)
-    caps = caps.withColumn("_next", F.collect_list(F.struct("_goes", F.col("r_end").alias("to"))).over(w.rowsBetween(1, forward))).checkpoint()  # read by four steps
-    what = F.struct("pos", "_way", "depends", "_next")
+    # one that stops is the first of its way; of the captions after one only the ends up to the first that doesn't go on are kept
+    after = F.collect_list(F.struct("_goes", F.col("r_end").alias("to"))).over(w.rowsBetween(1, forward))
+    caps = caps.select(
+        *keys, "pos", "r_start", "r_end", "_way", F.coalesce(F.col("depends") & ~F.col("_stop"), F.lit(False)).alias("_back"), (F.lead("_way").over(w) == F.col("_way")).alias("_more"), going(after).alias("_to")
+    ).checkpoint()
     bounds = lambda s: [F.col(s)["start_ms"].alias("l_start"), F.col(s)["end_ms"].alias("l_end")]
     tops = whole.withColumn("_a", F.element_at("segments", 1)).withColumn("_z", F.element_at("segments", -1)).checkpoint()
 
-    def met(rows: DataFrame) -> DataFrame:
-        pairs = overlap_join(rows, caps.select(*keys, "pos", "_way", "depends", "_next", "r_start", "r_end"), keys, width)
+    def met(rows: DataFrame, *told: str) -> DataFrame:
+        pairs = overlap_join(rows, caps.select(*keys, "pos", *told, "r_start", "r_end"), keys, width, longest=width)
         return pairs.withColumn("_in", (F.col("r_start") >= F.col("l_start")) & (F.col("r_end") <= F.col("l_end")))
 
-    first = met(tops.select(*keys, ident, *bounds("_a"))).groupBy(*keys, ident, "l_start").agg(F.min_by(what, F.struct((~F.col("_in")).alias("o"), "pos")).alias("_first"))
-    reach = first.where("_first.depends").select(*keys, ident, "_first", F.col("l_start").alias("_was"), F.greatest(F.lit(0), F.col("l_start") - back).alias("l_start"), F.col("l_start").alias("l_end"))
-    points = caps.select(*keys, "pos", "_way", "r_start", F.col("r_start").alias("r_end"))
-    earlier = overlap_join(reach, points, keys, width, how="within").where("pos < _first.pos and _way = _first._way").groupBy(*keys, ident, "_was").agg(F.min("r_start").alias("_start"))
+    what = F.struct("pos", "_way", "_back")
+    first = met(tops.select(*keys, ident, *bounds("_a")), "_way", "_back").groupBy(*keys, ident, "l_start").agg(F.min_by(what, F.struct((~F.col("_in")).alias("o"), "pos")).alias("_first"))
+    reach = first.where("_first._back").select(*keys, ident, "_first._way", F.col("_first.pos").alias("_pos"), F.col("l_start").alias("_was"), F.greatest(F.lit(0), F.col("l_start") - back).alias("l_start"), F.col("l_start").alias("l_end"))
+    points = caps.where("_more").select(*keys, "_way", "pos", "r_start", F.col("r_start").alias("r_end"))  # those that another one of their way follows
+    earlier = overlap_join(reach, points, [*keys, "_way"], width, how="within", longest=width).where("pos < _pos").groupBy(*keys, ident, "_was").agg(F.min("r_start").alias("_start"))
     earlier = earlier.where("_start < _was").select(*keys, ident, "_start")
     tops = tops.join(earlier, [*keys, ident], "left").checkpoint()
-    # the last caption of the last segment, once as it is and once with the new start, which is its own if there is one segment
-    grown = F.when((F.size("segments") == 1) & F.col("_start").isNotNull(), F.col("_start")).otherwise(F.col("_z")["start_ms"])
-    both = tops.select(*keys, ident, F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("_z")["start_ms"].alias("s")), F.struct(F.lit(1).alias("v"), grown.alias("s")))).alias("x"), F.col("_z")["end_ms"].alias("l_end"))
-    last = met(both.select(*keys, ident, F.col("x.v").alias("_v"), F.col("x.s").alias("l_start"), "l_end")).groupBy(*keys, ident).agg(
-        *[F.max_by("_next", F.when(F.col("_v") == v, F.struct("_in", "pos"))).alias(f"_n{v}") for v in (0, 1)]
+    # the last caption of the last segment as it is, and with the new start where that is its own: there is one segment
+    moved = (F.size("segments") == 1) & F.col("_start").isNotNull()
+    was, now = F.struct(F.lit(0).alias("v"), F.col("_z")["start_ms"].alias("s")), F.struct(F.lit(1).alias("v"), F.col("_start").alias("s"))
+    both = tops.select(*keys, ident, F.explode(F.when(moved, F.array(was, now)).otherwise(F.array(was))).alias("x"), F.col("_z")["end_ms"].alias("l_end"))
+    last = met(both.select(*keys, ident, F.col("x.v").alias("_v"), F.col("x.s").alias("l_start"), "l_end"), "_to").groupBy(*keys, ident).agg(
+        *[F.max_by("_to", F.when(F.col("_v") == v, F.struct("_in", "pos"))).alias(f"_n{v}") for v in (0, 1)]
     )
     tops = tops.join(last, [*keys, ident], "left")
-    # steps up to the first that doesn't go on
-    steps = lambda n: F.transform(F.filter(F.transform(n, lambda x, i: F.struct(x["to"].alias("to"), F.forall(F.slice(n, 1, i + 1), lambda y: y["_goes"]).alias("ok"))), lambda x: x["ok"]), lambda x: x["to"])
     none = F.array().cast("array<bigint>")
-    tops = tops.select(*keys, ident, "segments", "_start", F.coalesce(steps(F.col("_n0")), none).alias("_to0"), F.coalesce(steps(F.col("_n1")), none).alias("_to1"))
+    tops = tops.select(*keys, ident, "segments", "_start", F.coalesce("_n0", none).alias("_to0"), F.coalesce(F.when(moved, F.col("_n1")).otherwise(F.col("_n0")), none).alias("_to1"))
     ends = F.transform("segments", lambda s: s["end_ms"])
     tops = tops.withColumn("_lo", F.least("_start", F.array_min(F.transform("segments", lambda s: s["start_ms"])))).withColumn("_hi", F.array_max(F.concat(ends, "_to0", "_to1")))
     chained = intervals.islands(tops, keys, 0, "_lo", "_hi", [ident])

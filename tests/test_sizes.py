@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanlake.operators import mining
+from spanlake.operators.joins import overlap_join
 from spanlake.plans import catalogue, more_queries
 from spanlake.sources import json_arrays
 
@@ -48,3 +49,38 @@ def test_terms_that_cannot_rank_are_not_joined(spark):
     rows = {(r.doc_id, r["rank"]): r.term for r in found.collect()}
     assert all([rows[i, k] for k in (1, 2, 3)] == ["often", "twice", "rare" if i == 3 else "third"] for i in range(20))
     assert "Repartition" in plan(found)
+
+
+def shuffled(spark, work):
+    """Rows that ``work`` shuffles where no join is broadcast."""
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    name, before = "spark.sql.autoBroadcastJoinThreshold", written()
+    was = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        work()
+    finally:
+        spark.conf.set(name, was)
+    return sum(n for k, n in written().items() if k not in before)
+
+
+@pytest.mark.parametrize("name, most", [("F15_backfill_in_turn", 9)])
+def test_captions_are_dealt_once(spark, sf_dir, name, most):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    assert shuffled(spark, lambda: QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()) <= most * events
+
+
+@pytest.mark.parametrize("how", ["overlap", "within"])
+def test_long_intervals_meet_as_often_at_one_level(spark, how):
+    spans = [(i, 137 * i % 5000, 137 * i % 5000 + (i * i % 11) ** (i % 6)) for i in range(150)]
+    left, right = (spark.createDataFrame([(1, *x) for x in spans[k::2]], f"k long, {s} long, {s}_start long, {s}_end long") for k, s in ((0, "l"), (1, "r")))
+    test = (lambda a, b: a[1] <= b[1] and b[2] <= a[2]) if how == "within" else (lambda a, b: b[1] < a[2] and b[2] > a[1])
+    expected = sorted((a[0], b[0]) for a in spans[::2] for b in spans[1::2] if test(a, b))
+    for longest in (None, 100):
+        assert sorted((p.l, p.r) for p in overlap_join(left, right, ["k"], 100, how, longest=longest).collect()) == expected
