@@ -13,7 +13,7 @@ from spanlake.functions.text import jaccard, keywords, title_similarity
 from spanlake.functions.times import parse_ms
 from spanlake.operators.folds import fold
 from spanlake.operators.intervals import merge
-from spanlake.operators.joins import asof, first_or_last, overlap_join
+from spanlake.operators.joins import asof, going, overlap_join
 from spanlake.storage import checkpoints
 
 
@@ -245,30 +245,31 @@ def backfill(segments: DataFrame, captions: DataFrame, keys: list[str], ident: s
     ``forward`` captions later, until a sentence ends and the next caption doesn't continue it, or switches the topic.
     Neither reaches more than ``margin`` into another segment. Segments are judged by their bounds as they were.
     """
+    checkpoints(segments.sparkSession)
     w = Window.partitionBy(*keys).orderBy("r_start", "event_id")
-    caps = captions.withColumn("pos", F.row_number().over(w))
-    before = F.lag("ends").over(w)
-    stop_back = F.col("switches") | (F.coalesce(before, F.lit(True)) & ~F.col("depends"))
-    stop_on = (F.coalesce(before, F.lit(True)) & ~F.col("continues")) | F.col("switches")
-    caps = caps.withColumn("way", F.sum(stop_back.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("goes", ~stop_on)
-    pairs = overlap_join(segments, caps, keys, width).withColumn("inside", (F.col("r_start") >= F.col("l_start")) & (F.col("r_end") <= F.col("l_end")))
-    what, order = F.struct("pos", "way", "depends"), [F.col("pos")]
-    first = first_or_last(pairs, [ident], what, order, F.col("inside")).select(ident, F.col("value").alias("first"))
-    last = first_or_last(pairs, [ident], F.col("pos"), order, F.col("inside"), last=True).select(ident, F.col("value").alias("last"))
+    before = F.coalesce(F.lag("ends").over(w), F.lit(True))
+    stop = F.col("switches") | (before & ~F.col("depends"))  # such a caption is the first of its way
+    caps = captions.withColumn("pos", F.row_number().over(w)).withColumn("stop", stop).withColumn("_goes", ~((before & ~F.col("continues")) | F.col("switches")))
+    caps = caps.withColumn("way", F.sum(F.col("stop").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    after = F.collect_list(F.struct("_goes", F.col("r_end").alias("to"))).over(w.rowsBetween(1, forward))
+    told = caps.select(*keys, "pos", "way", F.coalesce(F.col("depends") & ~F.col("stop"), F.lit(False)).alias("_back"), going(after).alias("on"), "r_start", "r_end")
+    pairs = overlap_join(segments, told, keys, width, longest=width)
+    inside = (F.col("r_start") >= F.col("l_start")) & (F.col("r_end") <= F.col("l_end"))
+    met = pairs.groupBy(ident).agg(F.min_by(F.struct("pos", "way", "_back"), F.struct(~inside, "pos")).alias("first"), F.max_by("on", F.struct(inside, "pos")).alias("on"))
+    met = segments.join(met, ident).select(*keys, ident, "l_start", "l_end", "first", "on").checkpoint()  # read by both ways
     blocked = segments.select(*keys, F.col(ident).alias("_other"), (F.col("l_start") + margin).alias("r_start"), (F.col("l_end") - margin).alias("r_end"))
 
     def free(moves: DataFrame) -> DataFrame:
         """Moves (``l_start`` to ``l_end``) that reach into no other segment."""
-        hit = overlap_join(moves, blocked, keys, width).where(F.col(ident) != F.col("_other")).select("_move").distinct()
+        hit = overlap_join(moves, blocked, keys, width, longest=width).where(F.col(ident) != F.col("_other")).select("_move").distinct()
         return moves.join(hit, "_move", "left_anti")
 
-    points = caps.select(*keys, "pos", "way", "r_start", F.col("r_start").alias("r_end"))
-    reach = segments.join(first.where("first.depends"), ident).select(*keys, ident, "first", F.col("l_start").alias("was"), (F.col("l_start") - back).alias("l_start"), F.col("l_start").alias("l_end"))
-    to = overlap_join(reach, points, keys, width, how="within").where("pos < first.pos and way = first.way").groupBy(*keys, ident, "was").agg(F.min("r_start").alias("l_start"))
+    points = caps.withColumn("more", F.lead("way").over(w) == F.col("way")).where("more").select(*keys, "way", "pos", "r_start", F.col("r_start").alias("r_end"))  # those that another one of their way follows
+    reach = met.where("first._back").select(*keys, ident, "first.way", F.col("first.pos").alias("_pos"), F.col("l_start").alias("was"), (F.col("l_start") - back).alias("l_start"), F.col("l_start").alias("l_end"))
+    to = overlap_join(reach, points, [*keys, "way"], width, how="within", longest=width).where("pos < _pos").groupBy(*keys, ident, "was").agg(F.min("r_start").alias("l_start"))
     starts = free(to.where("l_start < was").withColumn("l_end", F.col("was")).withColumn("_move", F.col(ident))).select(ident, F.col("l_start").alias("_start"))
-    steps = segments.join(last, ident).select(*keys, ident, F.col("l_end").alias("from"), F.explode(F.sequence(F.lit(1), F.lit(forward))).alias("k"), "last").withColumn("pos", F.col("last") + F.col("k"))
-    steps = steps.join(caps.select(*keys, "pos", "goes", F.col("r_end").alias("to")), [*keys, "pos"]).withColumn("_move", F.concat_ws(":", F.col(ident).cast("string"), F.col("k").cast("string")))
-    open_ = free(steps.where("goes").withColumn("l_start", F.col("from")).withColumn("l_end", F.col("to"))).select("_move", F.lit(True).alias("open"))
+    steps = met.select(*keys, ident, F.col("l_end").alias("from"), F.posexplode("on").alias("k", "to")).withColumn("_move", F.concat_ws(":", F.col(ident).cast("string"), F.col("k").cast("string")))
+    open_ = free(steps.withColumn("l_start", F.col("from")).withColumn("l_end", F.col("to"))).select("_move", F.lit(True).alias("open"))
     steps = steps.join(open_, "_move", "left")
     on = F.bool_and(F.coalesce("open", F.lit(False))).over(Window.partitionBy(ident).orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
     ends = steps.withColumn("on", on).where("on").groupBy(ident).agg(F.max_by("to", "k").alias("_end"))
