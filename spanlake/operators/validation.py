@@ -26,21 +26,23 @@ def snapped(segments: DataFrame, captions: DataFrame, keys: list[str], own: list
     ``silence`` between its captions are to be removed. One without captions is to be removed whole, unless ``voiceless``
     (``r_start``, ``r_end``) is given and no such interval overlaps it: it then stays, with ``low_confidence``.
     """
-    met = overlap_join(segments, captions.select(*keys, "pos", "seq", "r_start", "r_end"), keys, width)
+    checkpoints(segments.sparkSession)
+    met = overlap_join(segments, captions.select(*keys, "pos", "seq", "r_start", "r_end"), keys, width, longest=width)
     met = met.withColumn("_in", (F.col("r_start") >= F.col("l_start")) & (F.col("r_end") <= F.col("l_end")))
     met = met.withColumn("_any", F.max("_in").over(Window.partitionBy(*keys, *own))).where("_in or not _any")
     w = Window.partitionBy(*keys, *own).orderBy("pos")
     met = met.withColumn("_before", F.lag("r_end").over(w)).withColumn("_jump", F.col("seq") - F.lag("seq").over(w) > 1)
-    found = met.groupBy(*keys, *own, "l_start", "l_end").agg(
+    gap = F.when(F.col("r_start") - F.col("_before") > silence, F.struct(F.col("_before").alias("start_ms"), F.col("r_start").alias("end_ms")))
+    met = met.groupBy(*keys, *own, "l_start", "l_end").agg(
         F.min_by("r_start", "pos").alias("start_ms"), F.max_by("r_end", "pos").alias("_end"), F.max_by("_before", F.when(F.col("_jump"), F.col("pos"))).alias("_cut"),
-        F.max_by(F.struct((F.col("r_start") - F.col("_before")).alias("gap"), F.col("_before").alias("at")), "pos").alias("_tail"),
-    )
+        F.max_by(F.struct((F.col("r_start") - F.col("_before")).alias("gap"), F.col("_before").alias("at")), "pos").alias("_tail"), F.collect_list(gap).alias("_gaps"),
+    ).checkpoint()
     late = F.when((F.col("_tail.gap") > tail) & (2 * F.col("_tail.gap") > silence), F.col("_tail.at"))
-    found = found.select(*keys, *own, "start_ms", F.least("_end", "_cut", late).alias("end_ms"), F.lit(False).alias("low_confidence"))
-    gaps = met.where(F.col("r_start") - F.col("_before") > silence).select(*keys, *own, F.col("_before").alias("start_ms"), F.col("r_start").alias("end_ms"), F.lit("gap").alias("reason"))
+    found = met.select(*keys, *own, "start_ms", F.least("_end", "_cut", late).alias("end_ms"), F.lit(False).alias("low_confidence"))
+    gaps = met.select(*keys, *own, F.inline("_gaps")).withColumn("reason", F.lit("gap"))
     bare = segments.join(found.select(*keys, *own), [*keys, *own], "left_anti")
     if voiceless is not None:
-        quiet = overlap_join(bare, voiceless.select(*keys, "r_start", "r_end"), keys, width).select(*keys, *own).distinct()
+        quiet = overlap_join(bare, voiceless.select(*keys, "r_start", "r_end"), keys, width, longest=width).select(*keys, *own).distinct()
         heard = bare.join(quiet, [*keys, *own], "left_anti").select(*keys, *own, F.col("l_start").alias("start_ms"), F.col("l_end").alias("end_ms"), F.lit(True).alias("low_confidence"))
         found, bare = found.unionByName(heard), bare.join(quiet, [*keys, *own], "left_semi")
     removed = gaps.unionByName(bare.select(*keys, *own, F.col("l_start").alias("start_ms"), F.col("l_end").alias("end_ms"), F.lit("no captions").alias("reason")))
@@ -104,6 +106,12 @@ def validate(segments: DataFrame, captions: DataFrame, keys: list[str], clip: st
     return kept.select(*keys, clip, "start_ms", "end_ms").unionByName(rest).checkpoint(), removed.select(*keys, clip, "start_ms", "end_ms", "reason").distinct()
 
 
+def sections(segments: DataFrame, captions: DataFrame, keys: list[str], clip: str, ident: str, width: int, silence: int, tail: int, voiceless: DataFrame | None = None) -> DataFrame:
+    """The sections to remove that ``validate`` gives, where its segments aren't asked for: they depend on the first step alone."""
+    removed = snapped(segments, captions, keys, [clip, ident], width, silence, tail, voiceless)[1]
+    return removed.select(*keys, clip, "start_ms", "end_ms", "reason").distinct()
+
+
 def backfill_in_turn(topics: DataFrame, captions: DataFrame, keys: list[str], ident: str, width: int, back: int, forward: int, margin: int) -> DataFrame:
     """``keys, ident, segments`` (sorted, of ``start_ms`` and ``end_ms``) of topics whose first start and last end grow, in order of ``ident``.
 

@@ -78,3 +78,12 @@ def test_composition_is_planned_step_by_step(spark, sf_dir):
 
     # one plan of all steps took the driver's memory
     assert len(catalogue.queries()["X14_topic_composition"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+def test_sections_alone_are_those_of_the_whole(spark):
+    captions = [(1, 0, 10, "e"), (2, 10, 20, "e"), (3, 30, 40, "e"), (4, 40, 50, "e"), (8, 90, 100, "e")]
+    rows = [(1, 0, 50), (1, 35, 101), (2, 60, 70), (3, 72, 80)]
+    quiet = spark.createDataFrame([(1, 65_000, 71_000)], "media_id long, r_start long, r_end long")
+    gone = validation.sections(segs(spark, rows), caps(spark, captions), ["media_id"], "clip", "seg", 60_000, 2000, 1000, quiet)
+    found = sorted((r.clip, r.start_ms // 1000, r.end_ms // 1000, r.reason) for r in gone.collect())
+    assert found == run(spark, rows, captions, [(65, 71)])[1] == [(1, 20, 30, "gap"), (1, 50, 90, "gap"), (2, 60, 70, "no captions")]
