@@ -58,10 +58,10 @@ def joined_neighbours(segments: DataFrame, captions: DataFrame, keys: list[str],
     whole = intervals.merge(segments.select(*keys, *clip, "start_ms", "end_ms"), [*keys, *clip]).drop("n_segments")
     w = Window.partitionBy(*keys, *clip).orderBy("start_ms")
     whole = whole.withColumn("_pe", F.lag("end_ms").over(w))
-    gaps = whole.where("_pe is not null").select(*keys, *clip, F.col("start_ms").alias("_at"), F.col("_pe").alias("l_start"), F.col("start_ms").alias("l_end"))
-    flags = captions.select(*keys, "r_start", "r_end", "hit", (F.col("continues") | (F.col("r_end") - F.col("r_start") <= short)).alias("_on"))
-    inside = overlap_join(gaps, flags, keys, width, how="within").groupBy(*keys, *clip, F.col("_at").alias("start_ms")).agg(F.bool_or("hit").alias("_hit"), F.bool_and("_on").alias("_all"))
     gap = F.col("start_ms") - F.col("_pe")
+    gaps = whole.where(gap <= max(near, on, far)).select(*keys, *clip, F.col("start_ms").alias("_at"), F.col("_pe").alias("l_start"), F.col("start_ms").alias("l_end"))
+    flags = captions.select(*keys, "r_start", "r_end", "hit", (F.col("continues") | (F.col("r_end") - F.col("r_start") <= short)).alias("_on"))
+    inside = overlap_join(gaps, flags, keys, width, how="within", longest=width).groupBy(*keys, *clip, F.col("_at").alias("start_ms")).agg(F.bool_or("hit").alias("_hit"), F.bool_and("_on").alias("_all"))
     closes = F.when(F.col("_all").isNull(), gap <= near).when(gap > on, (gap <= far) & F.col("_hit")).otherwise(F.col("_all"))
     both = whole.join(inside, [*keys, *clip, "start_ms"], "left").withColumn("_new", F.when(F.coalesce(closes, F.lit(False)), 0).otherwise(1))
     both = both.withColumn("_group", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -83,7 +83,7 @@ def run_on(segments: DataFrame, captions: DataFrame, keys: list[str], own: list[
     chained = intervals._numbered(sliced, keys, ["_at", "pos"], "_fresh", slice_ms, "_chain")
     last = chained.groupBy(*keys, "_chain").agg(F.max(F.struct("pos", F.col("r_end").alias("to"))).alias("_last"))
     rows = segments.withColumn("l_start", F.col("start_ms")).withColumn("l_end", F.col("end_ms"))
-    met = overlap_join(rows.select(*keys, *own, "l_start", "l_end"), chained.select(*keys, "pos", "_chain", "r_start", "r_end"), keys, width)
+    met = overlap_join(rows.select(*keys, *own, "l_start", "l_end"), chained.select(*keys, "pos", "_chain", "r_start", "r_end"), keys, width, longest=width)
     inside = (F.col("r_start") >= F.col("l_start")) & (F.col("r_end") <= F.col("l_end"))
     here = F.struct("pos", "_chain")
     at = met.groupBy(*keys, *own, "l_start", "l_end").agg(F.coalesce(F.max(F.when(inside, here)), F.min(here)).alias("_here")).withColumn("_chain", F.col("_here._chain"))

@@ -70,7 +70,7 @@ def shuffled(spark, work):
     return sum(n for k, n in written().items() if k not in before)
 
 
-@pytest.mark.parametrize("name, most", [("F15_backfill_in_turn", 9), ("F15_backfill", 8), ("F9_removed_sections", 7)])
+@pytest.mark.parametrize("name, most", [("F15_backfill_in_turn", 9), ("F15_backfill", 8), ("F9_removed_sections", 7), ("F9_validate_segments", 14)])
 def test_captions_are_dealt_once(spark, sf_dir, name, most):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     assert shuffled(spark, lambda: QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()) <= most * events
