@@ -279,7 +279,7 @@ SELECT media_id, segment_id, event_id FROM gaps JOIN others USING (media_id) WHE
 def gap_entries(spark, sf_dir):
     w = Window.partitionBy("media_id").orderBy("l_start", "segment_id")
     gaps = segments(spark, sf_dir).select("media_id", "segment_id", F.col("l_end").alias("a"), F.lead("l_start").over(w).alias("l_end")).withColumnRenamed("a", "l_start").where("l_end >= l_start")
-    return joins.overlap_join(gaps, others(spark, sf_dir), ["media_id"], 6 * BIN, how="within").select("media_id", "segment_id", "event_id")
+    return joins.overlap_join(gaps, others(spark, sf_dir), ["media_id"], 144 * BIN, how="within", longest=144 * BIN).select("media_id", "segment_id", "event_id")
 
 
 @register("J20_align_start", SEGMENTS + """
@@ -426,7 +426,7 @@ SELECT s.segment_id, round(least(1.0, count(o.event_id) / (greatest(1, l_end - l
 LEFT JOIN others o ON o.media_id = s.media_id AND o.r_start >= l_start AND o.r_end <= l_end GROUP BY s.segment_id, l_start, l_end""")
 def density_confidence(spark, sf_dir):
     left = segments(spark, sf_dir)
-    n = joins.overlap_join(left, others(spark, sf_dir), ["media_id"], BIN, how="within").groupBy("segment_id").agg(F.count("*").alias("n"))
+    n = joins.overlap_join(left, others(spark, sf_dir), ["media_id"], BIN, how="within", longest=BIN).groupBy("segment_id").agg(F.count("*").alias("n"))
     seconds = F.greatest(F.lit(1), F.col("l_end") - F.col("l_start")) / 1000.0
     return left.join(n, "segment_id", "left").select("segment_id", F.round(F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / seconds), 4).alias("confidence"))
 
